@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, mixing, simhash, token_file, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_mix_sources": mixing.op5_mix_sources,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op8_token_ids": token_file.op8_token_ids,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op5_mix_sources": mixing.ORACLE,
+}
