@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, token_file, toxicity
+from . import decontaminate, licenses, lm_scoring, mixing, ngram_quality, quality_rules, quotations, simhash, token_file, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_ngram_quality": ngram_quality.op3_ngram_quality,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    "op7_quotation_threads": quotations.op7_quotation_threads,
     "op8_token_ids": token_file.op8_token_ids,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
