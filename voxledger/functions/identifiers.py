@@ -119,10 +119,11 @@ def casefold(text: Column) -> Column:
 
 def normalized_sql(value: Column, depth: int = 4) -> Column:
     """The comparable form with built-in functions: up to `depth` outer pairs, lower case instead of folding."""
-    out = F.trim(value)
-    for _ in range(depth):
+
+    def once(text: Column, _: Column) -> Column:
         pair = F.lit(False)
         for a, b in PAIRS.items():
-            pair = pair | (out.startswith(a) & out.endswith(b))
-        out = F.when(pair & (F.length(out) >= 2), F.trim(F.substring(out, F.lit(2), F.length(out) - 2))).otherwise(out)
-    return F.lower(out)
+            pair = pair | (text.startswith(a) & text.endswith(b))
+        return F.when(pair & (F.length(text) >= 2), F.trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+
+    return F.lower(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.trim(value), once))
