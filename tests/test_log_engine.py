@@ -1,0 +1,246 @@
+import datetime as dt
+import hashlib
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from voxledger.functions import identifiers as ids
+from voxledger.functions.temporal import local_to_utc, offset_to_utc, utc_text
+from voxledger.operators import blocks, correlate, graph, headers, rules, sanitize, search, stats, timeline
+from voxledger.plans import scenario
+from voxledger.sources import logs
+
+VPL = b"2025-01-15 10:00:00.000000 0% [INFO] synthetic_source channel sofia/synthetic/<CALL_ID_1>@<HOST_INTERNO_1>\nstructural continuation vpl\n"
+ORK = b"2025-01-15T13:00:01.000000+00:00 <HOST_INTERNO_1> synthetic_process[1]: INFO - synthetic.logger - TelecomCallId=<CALL_ID_1> CallId=<CALL_ID_1>\nstructural continuation ork\n"
+
+
+@pytest.fixture
+def golden(tmp_path):
+    (tmp_path / "vpl.log").write_bytes(VPL)
+    (tmp_path / "ork.log").write_bytes(ORK)
+    return [("VPL", str(tmp_path / "vpl.log")), ("ORK", str(tmp_path / "ork.log"))]
+
+
+def test_golden_scenario(spark, golden):
+    s = scenario.answer(spark, "<CALL_ID_1>", golden)
+    entries = {r["app"]: r for r in s.entries.collect()}
+    assert set(entries) == {"VPL", "ORK"} and all(r["interpreted"] and r["line_end"] == 2 for r in entries.values())
+    assert [(r["app"], r["utc_text"]) for r in s.timeline.collect()] == [("VPL", "2025-01-15T13:00:00.000000+00:00"), ("ORK", "2025-01-15T13:00:01.000000+00:00")]
+    assert s.undated.count() == 0 and s.errors.count() == 0
+    c = s.correlation.first()
+    assert c["found"] and c["base"] == "valor_compartilhado" and c["n_evidence"] == 3
+    assert s.classification.first()["category"] == "NAO_CLASSIFICADA"
+    assert {r["state"] for r in s.secure.collect()} == {"CONCLUIDA"}
+    found = sorted((i["type"], i["namespace"], i["normalized"]) for r in entries.values() for i in r["identifiers"])
+    assert found == [("call_id", "chamada_externa", "call_id_1"), ("chamada_externa", "chamada_externa", "call_id_1"), ("telecom_call_id", "chamada_externa", "call_id_1")]
+    assert "correlation: found" in scenario.report(s)
+
+
+def test_scenario_with_rules_and_a_bad_file(spark, golden, tmp_path):
+    rule = rules.Rule("both", 1, "SUCESSO", ("VPL", "ORK"), ({"condition_id": "a", "operator": "APPLICATION_PRESENT", "application": "VPL"}, {"condition_id": "b", "operator": "CARDINALITY", "target": "ENTRY", "comparison": "GTE", "value": 2}), 1)
+    s = scenario.answer(spark, "call_id_1", [*golden, ("ORK", str(tmp_path / "gone.log"))], [rule])
+    assert s.classification.first()["rule_id"] == "both"
+    assert [(r["file_token"], r["code"]) for r in s.errors.collect()] == [("<ARQUIVO_3>", "FILE_UNAVAILABLE")]
+
+
+@pytest.mark.parametrize(("query", "problem"), [("", "EMPTY_QUERY"), ("  ", "BLANK_QUERY"), ("x" * 257, "QUERY_TOO_LONG")])
+def test_bad_queries_are_rejected_first(spark, query, problem):
+    with pytest.raises(ValueError, match=problem):
+        scenario.answer(spark, query, [("VPL", "/nowhere")])
+
+
+def test_preflight(spark, tmp_path):
+    (tmp_path / "empty").touch()
+    _, errors = logs.preflight(spark, [("VPL", str(tmp_path / "empty")), ("VPL", str(tmp_path))] + [("ORK", str(tmp_path / "no"))] * 99)
+    got = [r["code"] for r in errors.orderBy(F.regexp_extract("file_token", r"\d+", 0).cast("int")).collect()]
+    assert got[:3] == ["EMPTY_FILE", "NOT_REGULAR_FILE", "FILE_UNAVAILABLE"] and got[100] == "BATCH_LIMIT_EXCEEDED"
+
+
+@pytest.mark.parametrize("data", [b"a\nb\r\nc", b"\n\n", b"x\xffy\nok\n", "é\r\n\rz\n".encode(), b"one"])
+def test_physical_lines_against_plain(spark, tmp_path, data):
+    (tmp_path / "f").write_bytes(data)
+    want, at = [], 0
+    for i, raw in enumerate([x + b"\n" for x in data.split(b"\n")[:-1]] + ([data.split(b"\n")[-1]] if data.split(b"\n")[-1] else []), 1):
+        end = "\r\n" if raw.endswith(b"\r\n") else "\n" if raw.endswith(b"\n") else ""
+        try:
+            text = raw[: len(raw) - len(end)].decode()
+        except UnicodeDecodeError:
+            text = None
+        want.append((i, at, at + len(raw), text, end, hashlib.sha256(raw).hexdigest()))
+        at += len(raw)
+    got = logs.physical_lines(spark, str(tmp_path / "f")).orderBy("line_no").collect()
+    assert [(r["line_no"], r["start_byte"], r["end_byte"], r["text"], r["terminator"], r["sha256"]) for r in got] == want
+
+
+def test_offsets_across_splits(spark, tmp_path):
+    data = b"".join(f"line {i} {'x' * (i % 50)}\n".encode() for i in range(3000))
+    (tmp_path / "f").write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = logs.physical_lines(spark, str(tmp_path / "f")).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["line_no"] for r in got] == list(range(1, 3001))
+    assert all(data[r["start_byte"] : r["end_byte"]] == (r["text"] + "\n").encode() for r in got)
+
+
+@pytest.mark.parametrize(
+    ("app", "line", "kind"),
+    [
+        ("VPL", "2024-01-15 10:30:45.1 1.5% [ERR] mod.c:1 text here", "CABECALHO_VALIDO"), ("VPL", "2024-01-15 10:30:45.123 [INFO] mod_sofia.c:1234 Session started", "CABECALHO_VALIDO"),
+        ("VPL", "2024-01-15 10:30:45.1234567 1% [ERR] m t", "CABECALHO_APARENTE_INVALIDO"), ("VPL", "2024-13-15 10:30:45.1 1% [ERR] m t", "CABECALHO_APARENTE_INVALIDO"), ("VPL", "2024-02-30 10:30:45.1 1% [ERR] m t", "CABECALHO_APARENTE_INVALIDO"),
+        ("VPL", "2024-01-15 10:30:45.1 1% [err] m t", "CABECALHO_APARENTE_INVALIDO"), ("VPL", "2024-01-15 10:30:45.1 1% [ERR] m", "CABECALHO_APARENTE_INVALIDO"), ("VPL", "more text", "CONTINUACAO"),
+        ("VPL", "11111111-2222-4333-8444-555555555555 2024-01-15 10:30:45.1 1% [ERR] m t", "CABECALHO_VALIDO"), ("ORK", "2024-01-15T10:30:45.123Z h p[12]: warn - log.ger - text", "CABECALHO_VALIDO"),
+        ("ORK", "2024-01-15T10:30:45.123Z h p[12]: WARNING - log - text", "CABECALHO_APARENTE_INVALIDO"), ("ORK", "2024-01-15T10:30:45 h p[12]: INFO - log - text", "CABECALHO_APARENTE_INVALIDO"),
+        ("ORK", "2024-01-15T10:30:45.123000+00:00 | INFO | message | more", "CABECALHO_VALIDO"), ("ORK", "2024-01-15T10:30:45 | CRITICAL | message", "CABECALHO_APARENTE_INVALIDO"), ("ORK", "x 2024-01-15T", "CONTINUACAO"), ("VPL", None, "CONTINUACAO"),
+    ],
+)
+def test_start_kinds(spark, app, line, kind):
+    row = spark.createDataFrame([(app, line)], "app string, text string").select(blocks.start_kind(F.col("app"), F.col("text")).alias("k")).first()
+    assert row["k"] == kind
+
+
+def test_blocks_against_plain(spark):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(5):
+        kinds = rng.choices(["CABECALHO_VALIDO", "CABECALHO_APARENTE_INVALIDO", "CONTINUACAO"], k=30)
+        want: list[list[int]] = []
+        opened = False
+        for n, k in enumerate(kinds, 1):
+            if k == "CONTINUACAO" and opened:
+                want[-1].append(n)
+            else:
+                want.append([n])
+                opened = opened or k != "CONTINUACAO"
+        rows = [("<ARQUIVO_2>", "VPL", n, 0, 0, f"t{n}", "\n", k) for n, k in enumerate(kinds, 1)]
+        got = blocks.blocks(spark.createDataFrame(rows, "file_token string, app string, line_no long, start_byte long, end_byte long, text string, terminator string, start_kind string")).orderBy("read_order").collect()
+        assert [(r["line_start"], r["line_end"]) for r in got] == [(w[0], w[-1]) for w in want]
+        assert [r["text"] for r in got] == ["".join(f"t{n}\n" for n in w) for w in want]
+        assert got[0]["entry_id"] == "ARQUIVO_2_ENTRADA_0"
+
+
+def test_time_zones(spark):
+    def one(f, text):
+        return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("r")).select("r.*").first()
+
+    assert one(local_to_utc, "2018-11-04 00:30:00.1")["failure"] == "TEMPORAL_HORARIO_INEXISTENTE"
+    assert one(local_to_utc, "2018-02-17 23:30:00.1")["failure"] == "TEMPORAL_HORARIO_AMBIGUO"
+    assert one(local_to_utc, "2024-01-01 00:00:00.1234567")["failure"] == "TEMPORAL_PRECISAO_NAO_SUPORTADA"
+    assert one(local_to_utc, "2024-13-01 00:00:00")["failure"] == "TEMPORAL_TIMESTAMP_INVALIDO"
+    assert one(local_to_utc, "2024-01-01 00:00:00.5")["utc"] == dt.datetime(2024, 1, 1, 3, 0, 0, 500000)
+    assert one(offset_to_utc, "2024-01-01T00:00:00")["failure"] == "TEMPORAL_OFFSET_AUSENTE"
+    assert one(offset_to_utc, "2024-01-01T00:00:00.250-03:00")["utc"] == dt.datetime(2024, 1, 1, 3, 0, 0, 250000)
+    text = one(lambda t: F.struct(utc_text(offset_to_utc(t)["utc"], offset_to_utc(t)["precision"]).alias("x")), "2024-01-01T00:00:00.250-03:00")["x"]
+    assert text == "2024-01-01T03:00:00.250+00:00"
+
+
+def test_voci(spark):
+    rows = [("2024-01-15 10:00:00\tinfo\ta\tb",), ("2024-01-15 10:00:00 INFO x",), ("2024-01-15 10:00:00\tTRACE\tx",), ("2024-01-15 10:00:00\tINFO\t  ",)]
+    got = headers.parse_voci(spark.createDataFrame(rows, "text string")).collect()
+    assert [(r["interpreted"], r["level"], r["message"]) for r in got] == [(True, "INFO", "a\tb"), (False, None, None), (False, None, None), (False, None, None)]
+
+
+def test_identifier_normalisation(spark):
+    assert ids.normalize("call_id", ' "<ABC-ß>" ') == "abc-ss"
+    assert ids.normalize("uuid_canal", "not-a-uuid") is None and ids.normalize("call_id", "<>") is None
+    assert ids.normalize_query("<>") == "<>"
+    values = ['"a"', "<[x]>", "plain", "(B) c", "'q", "[]"]
+    got = spark.createDataFrame([(v,) for v in values], "v string").select(ids.normalized_sql(F.col("v")).alias("n")).collect()
+    assert [r["n"] for r in got] == [ids.peel(v).casefold() for v in values]
+
+
+def test_search_prefers_structure(spark):
+    one = [("call_id", "chamada_externa", "CallId", "ABC", "abc", "r", 0, 3, 0)]
+    rows = [("e2", "x abc", []), ("e1", "CallId=ABC", one), ("e3", "nothing", [])]
+    schema = "entry_id string, text string, identifiers array<struct<type:string,namespace:string,field:string,original:string,normalized:string,rule:string,span_start:int,span_end:int,line_offset:int>>"
+    got = search.search(spark.createDataFrame(rows, schema), "abc").collect()
+    assert [(r["entry_id"], r["reasons"]) for r in got] == [("e1", ["IGUALDADE_ESTRUTURADA"]), ("e2", ["FALLBACK_LITERAL"])]
+
+
+def test_graph_against_plain(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = [(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(12)]
+    near: dict = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    depth, todo = {"n1": 0}, ["n1"]
+    for node in todo:
+        for other in near.get(node, ()):
+            if other not in depth:
+                depth[other] = depth[node] + 1
+                todo.append(other)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = graph.closure(df, spark.createDataFrame([("n1",)], "source string")).collect()
+    assert {r["node"]: r["depth"] for r in got} == depth
+    assert all(len(r["path"]) == r["depth"] + 1 and all(y in near[x] for x, y in zip(r["path"], r["path"][1:], strict=False)) for r in got)
+    parts = {r["node"]: r["component"] for r in graph.components(df).collect()}
+    assert set(parts) == set(near)
+    assert all(parts[x] == parts[y] for x in near for y in near[x])
+    assert {n for n in parts if parts[n] == parts["n1"]} == set(depth) if "n1" in parts else True
+
+
+def test_one_violation_poisons_its_component(spark):
+    rows = [("a", "x", "1:1"), ("a", "y", "1:1"), ("y", "z", "N:N"), ("p", "q", "1:1")]
+    df = spark.createDataFrame([(s, d, "r", "s" + c, 1, c, True, "e") for s, d, c in rows], "src string, dst string, relation string, schema_id string, schema_version int, cardinality string, allows_correlation boolean, entry_id string")
+    got = {(r["src"], r["dst"]): r["ambiguous"] for r in graph.with_ambiguity(df).collect()}
+    assert got == {("a", "x"): True, ("a", "y"): True, ("y", "z"): True, ("p", "q"): False}
+
+
+def test_shared_values_drop_ambiguous_keys(spark):
+    left, right = spark.createDataFrame([("k", 1), ("a", 2)], "key string, l int"), spark.createDataFrame([("k", 5), ("a", 6), ("b", 7)], "key string, r int")
+    bad = spark.createDataFrame([("a",)], "key string")
+    assert sorted((r["side"], r["key"]) for r in correlate.shared_values(left, right, ["key"], bad).collect()) == [("left", "k"), ("right", "k")]
+
+
+def test_catalogue_checks():
+    rule = {"rule_id": "r1", "version": 1, "category": "ERRO", "applications": ["VPL"], "conditions": [], "precedence": 1, "state": "ACTIVE"}
+    doc = {"schema_version": 1, "catalog_version": "1", "rules": [rule]}
+    loaded = rules.load_catalog(json.dumps(doc | {"catalog_digest": rules.canonical_digest(doc)}).encode())
+    assert loaded[0].rule_id == "r1"
+    for data, code in (
+        (b'{"a": 1, "a": 2}', "CATALOG_JSON_ERROR"), (b'{"a": NaN}', "CATALOG_JSON_ERROR"), (b"\xff", "CATALOG_ENCODING_ERROR"), (b"{}", "CATALOG_SCHEMA_ERROR"), (json.dumps(doc | {"catalog_digest": "0"}).encode(), "CATALOG_DIGEST_ERROR"),
+        (json.dumps(doc | {"rules": [rule, rule]}).encode(), "CATALOG_REFERENCE_ERROR"), (json.dumps(doc | {"x": "y" * 20000}).encode(), "CATALOG_SIZE_ERROR"),
+    ):
+        with pytest.raises(rules.CatalogError, match=code):
+            rules.load_catalog(data)
+    with pytest.raises(rules.CatalogError, match="CATALOG_HISTORY_ERROR"):
+        rules.check_history(loaded, [])
+
+
+def test_detection_and_placeholders(spark):
+    text = "ip 192.0.2.7 mail a.b@c.invalid cpf 123.456.789-00 phone +1-202-555-0143 url https://syn-1.invalid/x callid=SYN_CALL_1 password: hunter2hunter <CALL_ID_3> 192.0.2.7"
+    kinds = [k for k, *_ in sanitize.detect(text)]
+    assert kinds == ["IP", "DADO_CLIENTE", "DOCUMENTO", "TELEFONE", "URL_INTERNA", "CALL_ID", "CREDENCIAL", "IP"]
+    assert sanitize.detect("callid=null token: [redacted] version 1.2.3") == []
+    rows = [("a", 1, text), ("a", 2, "again 192.0.2.7 and 192.0.2.9"), ("b", 1, "clean")]
+    got = {(r["analysis_id"], r["seq"]): r["safe"] for r in sanitize.sanitize(spark.createDataFrame(rows, "analysis_id string, seq int, text string")).collect()}
+    assert got["a", 2] == "again <IP_1> and <IP_2>" and got["b", 1] == "clean"
+    assert "hunter2" not in got["a", 1] and "<CALL_ID_3>" in got["a", 1]
+    view = sanitize.secure_view(spark.createDataFrame(rows, "analysis_id string, seq int, text string")).collect()
+    assert {r["state"] for r in view} == {"CONCLUIDA"}
+
+
+def test_stats_on_lines(spark):
+    stamp = "2026-06-30T15:44:1{}.068-03:00 ip-10-0-0-1 olos_ai_orchestrator[1]: INFO - m - [User u][CallId: {}] {}"
+    texts = [stamp.format(i, "ab12" if i % 2 else "cd34", t) for i, t in enumerate(["First ElevenLabs chunk received - latency: 120 ms", "cache:HIT", "cache:MISS", "Transitioning from 'A-x' to 'B-ask_cpc'", "WebSocket fechado após hangup por cliente", "ERROR - tts failed", "WARNING - vad x"])]
+    facts = stats.line_facts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_no long, text string"))
+    assert stats.totals(facts).first()[:2] == (7, 2)
+    assert stats.hit_rate(facts).first()["hit_rate"] == 50.0
+    assert [tuple(r) for r in stats.top(facts, "stage", "line_no").collect()] == [("ask_cpc", 1)]
+    assert {r["seconds"] for r in stats.durations(facts, "call_id", "ts", "line_no").collect()} == {6.0, 4.0}
+    values = spark.createDataFrame([(float(i),) for i in range(1, 101)], "v double")
+    assert stats.latency_stats(values, "v").first()["p95"] == 96.0
+
+
+def test_timeline_is_a_partition(spark):
+    rows = [("e1", "VPL", "f1", 0, 1, None), ("e2", "ORK", "f2", 0, 1, dt.datetime(2024, 1, 1)), ("e3", "VPL", "f1", 1, 2, dt.datetime(2023, 1, 1))]
+    df = spark.createDataFrame(rows, "entry_id string, app string, file_token string, read_order int, line_start int, timestamp_utc timestamp")
+    dated, undated = timeline.timeline_parts(df)
+    assert [r["entry_id"] for r in dated.collect()] == ["e3", "e2"] and [r["entry_id"] for r in undated.collect()] == ["e1"]
