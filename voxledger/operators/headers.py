@@ -107,3 +107,12 @@ def parse_voci(lines: DataFrame) -> DataFrame:
 def print_voci(entries: DataFrame) -> Column:
     """The line an interpreted VOCI entry came from."""
     return F.concat_ws("\t", "timestamp_original", "level", "message")
+
+
+def print_entry() -> Column:
+    """The header line an interpreted VPL or ORK entry came from, by its format."""
+    v = lambda n: F.get(F.transform(F.filter("fields", lambda x: x["name"] == n), lambda x: x["value"]), F.lit(0))
+    f = F.col("format")
+    vpl = F.concat_ws(" ", v("ChannelUuid"), v("timestamp"), v("percentual_operacional"), F.concat(F.lit("["), v("severidade"), F.lit("]")), v("origem"), v("mensagem"))
+    ork = F.concat_ws(" - ", F.concat(v("timestamp"), F.lit(" "), v("host"), F.lit(" "), v("processo"), F.lit("["), v("pid"), F.lit("]: "), v("severidade")), v("logger"), v("mensagem"))
+    return F.when(f.startswith("vpl"), vpl).when(f == "ork-real", ork).when(f == "ork-legado", F.concat_ws(" | ", v("timestamp"), v("severidade"), v("mensagem")))

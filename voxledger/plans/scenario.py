@@ -88,9 +88,21 @@ def answer(spark: SparkSession, query: str, files: list[tuple[str, str]], catalo
     return Scenario(chosen, timeline.counts(categorised, "category", "app"), shown, undated, evidence, correlation, classification, secure, errors)
 
 
-def legacy(entries: DataFrame, query: str, apps: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The plain flow of line-based applications: literal filter, presence correlation, timeline."""
-    return correlate.presence(search.contains_text(entries, "text", query), apps)
+def legacy_entries(spark: SparkSession, files: list[tuple[str, str]], query: str) -> tuple[DataFrame, DataFrame]:
+    """The plain flow of line-based applications (VOCI): lines that hold the query, marked as correlated if
+    every application asked for has some; and error rows for files and applications without."""
+    sources, errors = logs.preflight(spark, files)
+    known = sources.collect()  # at most one row for each of MAX_FILES files
+    out = None
+    for r in known:
+        lines = headers.parse_voci(logs.text_lines(spark, r["path"])).withColumns({"app": F.lit(r["app"]), "file_token": F.lit(r["file_token"])})
+        out = lines if out is None else out.unionByName(lines)
+    if out is None:
+        raise ValueError("NO_READABLE_FILE")
+    kept = search.contains_text(out, "text", query).withColumn("read_order", F.col("line_no") - 1).withColumn("timestamp", F.try_to_timestamp("timestamp_original"))
+    marked, missing = correlate.presence(kept, sorted({a for a, _ in files}))
+    failed = errors.select(F.col("file_token").alias("of"), F.col("code").alias("description"))
+    return timeline.legacy_timeline(marked), failed.unionByName(missing.select(F.col("app").alias("of"), "description"))
 
 
 def report(scenario: Scenario) -> str:

@@ -87,11 +87,27 @@ def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"), "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
+def changed_sources(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Paths whose size, time or digest isn't what it was, or that are gone: no entry of theirs may be used."""
+    same = ["path", "size_bytes", "modificationTime", "sha256"]
+    return before.join(after.select(*same), same, "left_anti").select("path", F.lit("SOURCE_CHANGED").alias("code"))
+
+
+def reread(selected: DataFrame, lines: DataFrame, changed: DataFrame) -> DataFrame:
+    """The text of selected entries (path, entry_id, line_start, line_end) from a second read of the files;
+    entries of changed files are left out, others are not affected."""
+    sound = selected.join(changed.select("path"), "path", "left_anti").select("path", "entry_id", "line_start", "line_end")
+    own = sound.select("path", "entry_id", F.explode(F.sequence("line_start", "line_end")).alias("line_no"))
+    joined = own.join(lines, ["path", "line_no"])
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.concat("text", "terminator").alias("t")))), lambda x: x["t"]), "")
+    return joined.groupBy("entry_id").agg(text.alias("text"), F.bool_and("decodable").alias("decodable"))
+
+
 def log_files(directory: str) -> list[str]:
-    """Orchestrator logs in a directory: `.log` and `.gz` names with its name or `.log.`, last path first."""
-    names = (n for n in os.listdir(directory) if n.endswith((".log", ".gz")) or ".log." in n or "olos-ai-orchestrator" in n)
-    own = [os.path.join(directory, n) for n in names if "olos-ai-orchestrator" in n or ".log." in n or n.endswith((".log", ".gz"))]
-    return sorted((p for p in own if os.path.isfile(p)), reverse=True)
+    """Log files in a directory (`.log`, `.gz`, the orchestrator's name, or `.log.` in it), last path first."""
+    names = [n for n in os.listdir(directory) if n.endswith((".log", ".gz")) or "olos-ai-orchestrator" in n or ".log." in n]
+    paths = [os.path.join(directory, n) for n in names]
+    return sorted((p for p in paths if os.path.isfile(p)), reverse=True)
 
 
 def call_lines(lines: DataFrame, call_id: str) -> DataFrame:
