@@ -3,7 +3,7 @@
 A paragraph is a line of text. Multinomial logistic regression over hashed word and word-pair features
 gives each paragraph a probability for every licence family and for `unknown`. It is trained here on
 variants of the family templates (words dropped, prose around them, words swapped), and, as unknown, on
-prose of the corpus (at most `sample_docs` documents: a documented bound) and on licence-like sentences
+prose of the corpus (at most `sample_paragraphs` paragraphs of `sample_docs` documents: documented bounds) and on licence-like sentences
 whose family words have been replaced. A temperature fitted on a held-out part calibrates it. A
 paragraph counts as a licence if some family has MIN_PROBABILITY or more and a template of that family
 confirms it: CONFIRM or more of the template's word pairs are in the paragraph.
@@ -32,6 +32,7 @@ from .common import read_table
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 400
+SAMPLE_PARAGRAPHS = 4000
 MIN_PROBABILITY = 0.5
 CONFIRM = 0.6
 UNKNOWN = "unknown"
@@ -199,11 +200,13 @@ def fit(words: list[list[bytes]], family: np.ndarray, epochs: int = 30, l2: floa
     return model
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LicenseModel:
-    """Prose comes from the first paragraphs of at most `sample_docs` documents with the least hashes of
-    doc_id; those that a template nearly matches aren't prose."""
-    rows = docs.select("doc_id", F.substring("text", 1, 4000).alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("t")).limit(sample_docs).collect()
-    prose = [p.split() for r in rows for p in (r["t"] or "").encode().translate(WORDS).split(b"\n")]
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS) -> LicenseModel:
+    """Prose is at most `sample_paragraphs` paragraphs (least hashes) of at most `sample_docs` documents (least
+    hashes of doc_id); those that a template nearly matches aren't prose."""
+    chosen = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
+    lines = chosen.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.trim("line") != "")
+    rows = lines.orderBy(F.xxhash64("line"), "line").limit(sample_paragraphs).collect()
+    prose = [r["line"].encode().translate(WORDS).split() for r in rows]
     return fit(*training_set([p for p in prose if p and max(containment(f, p) for f in TEMPLATES) < 0.3]))
 
 
