@@ -8,7 +8,7 @@ from voxledger.llm import token_file as t
 
 TEXTS = [
     None, "", " \n", "Hello, world!", "the cat's can't DON'T I'll", "ÉCOLE école école Straße ΣΑΣ σας İstanbul", "a<|endoftext|>b <|ENDOFTEXT|> x", "123 4.5 ½ ² x²", "日本語 テキスト",
-    "soft­hyphen nb space  em \x1c \x85 zero​width", "😀 emoji 👩‍👩‍👧", "ﬁ ligature ª º µ ß ÿ ÷ ×", "ends. with; punct: marks!? ", "a" * 300, "x\x00y", "word " * 5000,
+    "soft­hyphen nb space  em \x1c \x85 zero​width", "😀 emoji 👩‍👩‍👧", "ﬁ ligature ª º µ ß ÿ ÷ ×", "ends. with; punct: marks!? ", "a" * 300, "x\x00y", "word " * 5000, "École, ÉTÉ! naïve?! ñandú... d'été, l'ÉTÉ. Ÿ ÿ, Þór;: a,b .c ,, é́ e\u0301, A\u030a.", "x<|startoftext|>, y<|endoftext|>.", "thnd*** err$$$ ou.### a%%% b'. c-d- (e) [f]_ 9*** école&&& é'é",
 ]
 
 

@@ -13,8 +13,9 @@ vocabulary, and is all that is collected.
 
 Encoding: the tokenizer drops white space and never joins words across it, so a text's ids are those of
 its ASCII-white-space words in turn. Words are encoded with the tokenizers library and kept, up to
-CACHE_WORDS a worker. Words of lower-case ASCII or Latin-1 letters alone are single pre-tokens and go
-straight to the library's BPE model; all others take the full pipeline.
+CACHE_WORDS a worker. Words of ASCII and Latin-1 letters alone are single pre-tokens and go straight to
+the library's BPE model; such a word with closing punctuation is two pre-tokens, letters and marks; all
+others take the full pipeline.
 
 Null and empty texts have only the end id. Very long texts are encoded some megabytes at a time.
 """
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -38,12 +40,16 @@ from .common import materialize, read_table, shared_dir, words_in_chunks
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
+COUNT_BYTES = 4 << 20
 MAGIC = b"VOXTOK1\n"
 HEAD = "<QQQQ"  # documents, ids, control bytes, data bytes
 
-#: Lower-case letters whose NFC form and lower case are themselves: a-z and Latin-1.
-_PLAIN = frozenset([*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)])
+#: Letters that NFC leaves alone and whose lower case is one letter of the same kind: ASCII and Latin-1.
+_PLAIN = frozenset(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)]) - {"×", "÷"}
+#: Marks that, after a letter and up to the word's end, are a pre-token of their own: ASCII punctuation but
+#: the apostrophe, which can open a pre-token with letters, and the marks in special tokens.
+_CLOSING = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<|>")
 #: The byte-level alphabet of byte-level BPE: printable Latin-1 bytes stand for themselves, the others
 #: follow from U+0100 in order.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -60,19 +66,35 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = str.maketrans(_BYTE_CHARS)
+        self.seen: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha() and word.islower():  # bytes: a-z alone
-            ids = [t.id for t in self.model.tokenize(word.decode())]
-        elif _PLAIN.issuperset(map(ord, text := word.decode("utf-8", "replace"))):
-            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))]
+        letters = word.rstrip(_CLOSING)
+        if letters.isalpha():  # bytes: A-Z and a-z alone
+            if len(letters) < len(word):
+                out = self[letters] + self.marks(word[len(letters) :])
+            else:
+                out = array("I", [t.id for t in self.model.tokenize(word.lower().decode())]).tobytes()
+        elif letters and _PLAIN.issuperset(text := letters.decode("utf-8", "replace")):
+            if len(letters) < len(word):
+                out = self[letters] + self.marks(word[len(letters) :])
+            else:
+                spelt = text.lower().encode().decode("latin-1").translate(self.letters)
+                out = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
+            out = self.marks(word)
         if len(self) < CACHE_WORDS:
             self[word] = out
         return out
 
+    def marks(self, word: bytes) -> bytes:
+        """The full pipeline, for anything."""
+        if (known := self.seen.get(word)) is None:
+            known = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            if len(self.seen) < 10_000:
+                self.seen[word] = known
+        return known
+
 
 @cache
 def word_ids(path: str) -> WordIds:
@@ -136,9 +158,15 @@ def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
 def _count(path: str, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = word_ids(path), np.zeros(size, np.int64)
+        held, n = [], 0
         for batch in batches:
             for text in batch.column(0):
-                total += np.bincount(np.frombuffer(encode(text.as_py(), table), "<u4"), minlength=size)
+                held.append(encode(text.as_py(), table))
+                n += len(held[-1])
+                if n >= COUNT_BYTES:
+                    total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=size)
+                    held, n = [], 0
+        total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
