@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import normalized_sql
 from voxledger.functions.prefix import running_sum
-from voxledger.operators import correlate, graph, rules, sanitize, search, stats, timeline
+from voxledger.operators import correlate, graph, rules, sanitize, search, stats, summaries, timeline
 from voxledger.sources import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -393,3 +393,50 @@ def local_time_to_utc(spark, sf_dir):
     t = local_to_utc(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     late = F.col("ts").between(F.lit("2019-03-01").cast("timestamp_ntz"), F.lit("2030-01-01").cast("timestamp_ntz"))
     return e.select("event_id", F.when(late, F.date_format(t["utc"], "yyyy-MM-dd HH:mm:ss")).otherwise("other").alias("utc"), F.when(late, t["failure"]).alias("failure"))
+
+
+@query("""SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE -1 END) * 10000000 - event_id) AS failure FROM events GROUP BY user_id""")
+def failure_priority(spark, sf_dir):
+    """The most telling failure of each group; of equal ones the first."""
+    return summaries.main_failure(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", ("view", "click", "error"))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1""")
+def representative_occurrence(spark, sf_dir):
+    """One occurrence for each node."""
+    return summaries.representative(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+def missing_applications(spark, sf_dir):
+    """Keys asked for that nothing has."""
+    have = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
+    return summaries.missing(have, table(spark, sf_dir, "nation"), "n_nationkey")
+
+
+@query("""SELECT o_orderkey, o_custkey, l_quantity FROM orders LEFT JOIN (SELECT l_orderkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS r FROM lineitem) WHERE r = 1) ON o_orderkey = l_orderkey""")
+def evidence_lookup(spark, sf_dir):
+    """References with the first entry each points to."""
+    entries = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    found = summaries.first_match(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), entries, ["o_orderkey"], ["l_linenumber", "l_quantity"])
+    return found.select("o_orderkey", "o_custkey", F.col("entry.l_quantity").alias("l_quantity"))
+
+
+@query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+def json_rows(spark, sf_dir):
+    """Rows as JSON in field order."""
+    return summaries.json_rows(table(spark, sf_dir, "region"))
+
+
+@query("""SELECT l.doc_id, l.quality, d.lang, d.n_chars FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.lang = 'en'""")
+def report_enrichment(spark, sf_dir):
+    """Reports with what else is known about them, where something is."""
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", "n_chars")
+    return table(spark, sf_dir, "labels").select("doc_id", "quality").join(d, "doc_id", "left")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role LIKE '%user%' THEN 'DADO_CLIENTE' END AS kind FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user_name' ELSE role END AS role FROM conversations)""")
+def placeholder_type(spark, sf_dir):
+    """The kind of value a field's name announces."""
+    c = table(spark, sf_dir, "conversations").withColumn("f", F.when(F.col("role") == "user", "user_name").otherwise(F.col("role")))
+    return c.select("conv_id", "turn", summaries.placeholder_type(F.col("f")).alias("kind"))
