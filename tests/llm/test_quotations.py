@@ -100,3 +100,17 @@ def test_query_keeps_turns_where_nothing_is_quoted(spark, medium):
     for r in got:
         by.setdefault(r.conv_id, []).append((r.position, r.turn))
     assert all([n for _, n in sorted(v)] == sorted(n for _, n in v) for v in by.values())
+
+
+def test_sql_form_on_quotes(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, n, r, x) for c, n, r, x, *_ in conversations(2) if n is not None and (c, n) != (7, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = con.execute(t.ORACLE)
+    names = [d[0] for d in cur.description]
+    df = t.op7_quotation_threads(spark, str(tmp_path))
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in df.collect())

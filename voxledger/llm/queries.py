@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
+    "op7_quotation_threads": quotations.ORACLE,
 }

@@ -83,9 +83,10 @@ def threads(messages: DataFrame) -> DataFrame:
     all_ = all_.withColumns({
         "__root": F.coalesce("__r", "turn"), "__n_quoted": n_quoted, "__clean": clean_text(), "__levels": F.coalesce("__levels", F.lit(0)).cast("long"), "__n_linked": F.coalesce("__n_linked", F.lit(0)).cast("long"),
     }).drop("__r")
-    all_ = all_.withColumn("__bucket", F.floor(F.col("__root") / ROOT_BUCKET))
+    first = F.lit(-(1 << 62))
+    all_ = all_.withColumns({"__bucket": F.coalesce(F.floor(F.col("__root") / ROOT_BUCKET), first), "__conv": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))})
     order = [F.col("__root").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.xxhash64("role", "text")]
-    return ranks(all_, ["conv_id"], ["__bucket"], order, "__position").drop("__bucket")
+    return ranks(all_, ["__conv"], ["__bucket"], order, "__position").drop("__bucket", "__conv")
 
 
 def op7_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,3 +95,27 @@ def op7_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", "role", F.col("__position").alias("position"), F.col("__reply_to").alias("reply_to"), F.col("__root").alias("root"), F.col("__n_quoted").alias("n_quoted"),
         F.col("__n_linked").alias("n_linked"), F.col("__levels").alias("quote_levels"), F.length("__clean").cast("long").alias("clean_chars"), F.sha2("__clean", 256).alias("clean_sha256"),
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
+l AS (SELECT rid, conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM c),
+m AS (SELECT *, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[ \t]', '', 'g')) AS level,
+             trim(regexp_replace(lower(regexp_replace(line, '^[ \t]*((?:>[ \t]?)+)', '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS plain FROM l),
+q AS (SELECT * FROM m WHERE len(string_split(plain, ' ')) >= 3),
+w AS (SELECT conv_id, plain, min(turn) AS origin FROM q WHERE level = 0 AND turn IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT conv_id, turn, plain, min(level) AS level, count(*) AS n FROM q WHERE level > 0 AND turn IS NOT NULL GROUP BY 1, 2, 3),
+j AS (SELECT k.conv_id, k.turn, arg_max(origin, origin - 1000000 * level) AS reply_to, sum(n) AS n_linked
+      FROM k JOIN w ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.plain = w.plain WHERE origin < turn GROUP BY 1, 2),
+up AS (SELECT conv_id, turn, reply_to AS root FROM j UNION ALL SELECT up.conv_id, up.turn, j.reply_to FROM up JOIN j ON up.conv_id IS NOT DISTINCT FROM j.conv_id AND up.root = j.turn),
+r AS (SELECT conv_id, turn, min(root) AS root FROM up GROUP BY 1, 2),
+lv AS (SELECT conv_id, turn, max(level) AS levels FROM q WHERE level > 0 GROUP BY 1, 2),
+n AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY i), 0) AS next_level FROM m),
+t AS (SELECT rid, count(*) FILTER (WHERE level > 0) AS n_quoted, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (next_level > 0
+      AND regexp_matches(line, '(?i)^[ \t]*(?:on\b.*\bwrote|.* (?:wrote|writes|schrieb|a écrit|escribió)) ?:[ \t]*\r?$'))), '') AS kept FROM n GROUP BY rid)
+SELECT c.conv_id, c.turn, c.role, row_number() OVER (PARTITION BY c.conv_id ORDER BY coalesce(r.root, c.turn) NULLS FIRST, c.turn NULLS FIRST) AS position, j.reply_to, coalesce(r.root, c.turn) AS root,
+       CAST(t.n_quoted AS BIGINT) AS n_quoted, CAST(coalesce(j.n_linked, 0) AS BIGINT) AS n_linked, CAST(coalesce(lv.levels, 0) AS BIGINT) AS quote_levels,
+       CAST(length(regexp_replace(t.kept, '\A\s+|\s+\z', '', 'g')) AS BIGINT) AS clean_chars, sha256(regexp_replace(t.kept, '\A\s+|\s+\z', '', 'g')) AS clean_sha256
+FROM c JOIN t USING (rid) LEFT JOIN j ON c.conv_id IS NOT DISTINCT FROM j.conv_id AND c.turn = j.turn
+LEFT JOIN r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.turn = r.turn LEFT JOIN lv ON c.conv_id IS NOT DISTINCT FROM lv.conv_id AND c.turn = lv.turn
+"""
