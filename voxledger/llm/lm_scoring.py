@@ -38,8 +38,10 @@ from .common import materialize, read_table, words_in_chunks
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_WORDS = 3 << 20
+BLOCK_DOCS = 60_000
 EM_ROUNDS = 2
 START = "▁"
+SHORT = 24
 LOG10 = math.log(10)
 
 
@@ -58,7 +60,8 @@ class PieceModel:
 
     def __post_init__(self) -> None:
         self.index = {p: i for i, p in enumerate(self.pieces)}
-        self.longest = max(map(len, self.pieces), default=1)
+        #: Every beginning of a piece: its number if it is one itself, else -1.
+        self.begins = dict.fromkeys((p[:k] for p in self.pieces for k in range(1, len(p))), -1) | self.index
 
     @classmethod
     def initial(cls, path: str) -> PieceModel:
@@ -73,30 +76,42 @@ class PieceModel:
         return cls(pieces, np.log(chance / chance.sum()))
 
     def edges(self, word: bytes) -> Iterator[tuple[int, int, float, tuple[int, ...]]]:
-        """The lattice of a word, in order of ends: start, end, log probability, pieces."""
+        """The lattice of a word, in order of starts: start, end, log probability, pieces."""
         text = START + word.decode("utf-8", "replace")
-        get, logp, known = self.index.get, self.logp, len(self.pieces)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                if (i := get(text[start:end])) is not None:
+        get, logp, known = self.begins.get, self.logp, len(self.pieces)
+        for start in range(len(text)):
+            if text[start] not in self.index:
+                ids = tuple(known + b for b in text[start].encode())
+                yield start, start + 1, sum(logp[i] for i in ids), ids
+            for end in range(start + 1, len(text) + 1):
+                if (i := get(text[start:end])) is None:
+                    break
+                if i >= 0:
                     yield start, end, logp[i], (i,)
-                elif start == end - 1:
-                    ids = tuple(known + b for b in text[start].encode())
-                    yield start, end, sum(logp[i] for i in ids), ids
 
     def log_probability(self, word: bytes) -> float:
         """Natural log of the word's probability over all segmentations: the forward recursion."""
         text = START + word.decode("utf-8", "replace")
-        get, scores, longest, exp = self.index.get, self.scores(), self.longest, math.exp
-        known = len(self.pieces)
-        alpha = [0.0]
-        for end in range(1, len(text) + 1):
-            terms = [alpha[start] + scores[i] for start in range(max(0, end - longest), end) if (i := get(text[start:end])) is not None]
-            if text[end - 1] not in self.index:
-                terms.append(alpha[end - 1] + sum(scores[known + b] for b in text[end - 1].encode()))
-            top = max(terms)
-            alpha.append(top + math.log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top)
-        return alpha[-1]
+        get, scores, index, exp, log = self.begins.get, self.scores(), self.index, math.exp, math.log
+        known, n = len(self.pieces), len(text)
+        terms: list[list[float]] = [[0.0], *([] for _ in range(n))]
+        for start in range(n + 1):
+            own = terms[start]
+            if len(own) == 1:
+                alpha = own[0]
+            else:
+                top = max(own)
+                alpha = top + log(sum([exp(t - top) for t in own]))
+            if start == n:
+                break
+            if text[start] not in index:
+                terms[start + 1].append(alpha + sum([scores[known + b] for b in text[start].encode()]))
+            for end in range(start + 1, n + 1):
+                if (i := get(text[start:end])) is None:
+                    break
+                if i >= 0:
+                    terms[end].append(alpha + scores[i])
+        return alpha
 
     def scores(self) -> list[float]:
         """logp as plain floats, faster one by one than an array's items."""
@@ -104,8 +119,46 @@ class PieceModel:
             self._scores = self.logp.tolist()
         return self._scores
 
-    def expected_counts(self, word: bytes, weight: float, into: np.ndarray) -> None:
-        """Add the expected uses of each piece in `weight` occurrences of the word: forward-backward."""
+    def expected_counts(self, word: bytes, weight: float, into: list[float] | np.ndarray) -> None:
+        """Add the expected uses of each piece in `weight` occurrences of the word: forward-backward. Words of
+        up to SHORT characters can't underflow and take plain probabilities, longer ones logarithms."""
+        text = START + word.decode("utf-8", "replace")
+        if len(text) > SHORT:
+            return self._expected_counts_long(word, weight, into)
+        get, p, index, known = self.begins.get, self.chances(), self.index, len(self.pieces)
+        n = len(text)
+        edges = []
+        forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for start in range(n):
+            here = forward[start]
+            if text[start] not in index:
+                ids = [known + b for b in text[start].encode()]
+                q = math.prod([p[i] for i in ids])
+                edges.append((start, start + 1, ids, q))
+                forward[start + 1] += here * q
+            for end in range(start + 1, n + 1):
+                if (i := get(text[start:end])) is None:
+                    break
+                if i >= 0:
+                    edges.append((start, end, i, p[i]))
+                    forward[end] += here * p[i]
+        scale = weight / forward[n]
+        for start, end, i, q in reversed(edges):
+            use = q * backward[end]
+            backward[start] += use
+            share = forward[start] * use * scale
+            if type(i) is int:
+                into[i] += share
+            else:
+                for k in i:
+                    into[k] += share
+
+    def chances(self) -> list[float]:
+        if getattr(self, "_chances", None) is None:
+            self._chances = np.exp(self.logp).tolist()
+        return self._chances
+
+    def _expected_counts_long(self, word: bytes, weight: float, into: list[float] | np.ndarray) -> None:
         edges = list(self.edges(word))
         n = edges[-1][1]
         alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
@@ -126,13 +179,38 @@ class PieceModel:
 
 # ---------------------------------------------------------------- blocks of documents by word
 
-BLOCK_SCHEMA = "block long, size int, word binary, train long, docs array<int>, counts array<int>, doc_ids array<long>, held array<boolean>"
-_INTS = pa.list_(pa.int32())
+#: Which documents of a block have a word (uint16 places) and how often (uint32), as bytes that are never null:
+#: Spark's Arrow writer goes over all nulls since the last value again for every row of a list or binary column.
+BLOCK_SCHEMA = "block long, size int, word binary, train long, docs binary, counts binary, doc_ids binary"
 _ARROW = pa.schema(
-    [("block", pa.int64()), ("size", pa.int32()), ("word", pa.binary()), ("train", pa.int64()), ("docs", _INTS), ("counts", _INTS), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
+    [("block", pa.int64()), ("size", pa.int32()), ("word", pa.binary()), ("train", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.binary())]
 )
 
 
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary array whose rows are the bytes of values[starts[i]:starts[i + 1]]."""
+    offsets = (starts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(rows: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary rows, and how many each has."""
+    _, offsets, data = rows.buffers()
+    at = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(values).view(kind), np.diff(at) // np.dtype(kind).itemsize
+
+
+def _ids_bytes(doc_ids: list[int | None], held: list[bool]) -> bytes:
+    """A block's ids, which of them are null, and which documents are held out."""
+    return np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + bytes(held)
+
+
+def _ids_of(data: bytes, n: int) -> tuple[pa.Array, pa.Array]:
+    ids, flags = np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, 2 * n, 8 * n).astype(bool)
+    return pa.array(ids, pa.int64(), mask=flags[:n]), pa.array(flags[n:])
+
+
 def _blocks(limit: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -147,19 +225,19 @@ def _blocks(limit: int) -> Callable:
             lengths = np.array([len(x) for x in ids])
             key = np.concatenate(ids).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
             key, counts = np.unique(key, return_counts=True)
-            word, doc = key // n, (key % n).astype(np.int32)
+            word, doc = key // n, (key % n).astype("<u2")
             train = np.bincount(word, counts * ~np.array(held)[doc], len(vocabulary)).astype(np.int64)
-            starts = np.searchsorted(word, np.arange(len(vocabulary) + 1)).astype(np.int32)
+            starts = np.searchsorted(word, np.arange(len(vocabulary) + 1))
             v = len(vocabulary)
             if v:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(v, number)), pa.array(np.full(v, n, np.int32)), pa.array(list(vocabulary), pa.binary()), pa.array(train),
-                        pa.ListArray.from_arrays(starts, doc), pa.ListArray.from_arrays(starts, counts.astype(np.int32)), pa.nulls(v, _ARROW.field("doc_ids").type), pa.nulls(v, _ARROW.field("held").type),
+                        _packed(doc, starts), _packed(counts.astype("<u4"), starts), pa.array([b""] * v, pa.binary()),
                     ],
                     schema=_ARROW,
                 )
-            head = {"block": number, "size": n, "word": None, "train": n - sum(held), "docs": None, "counts": lengths.tolist(), "doc_ids": doc_ids, "held": held}
+            head = {"block": number, "size": n, "word": None, "train": n - sum(held), "docs": b"", "counts": lengths.astype("<i8").tobytes(), "doc_ids": _ids_bytes(doc_ids, held)}
             yield pa.RecordBatch.from_pylist([head], schema=_ARROW)
 
         for batch in batches:
@@ -171,7 +249,7 @@ def _blocks(limit: int) -> Callable:
                 doc_ids.append(doc_id.as_py())
                 held.append(is_held.as_py())
                 size += len(ids[-1])
-                if size >= limit:
+                if size >= limit or len(doc_ids) >= BLOCK_DOCS:
                     yield from emit()
                     vocabulary, ids, doc_ids, held, size, made = {}, [], [], [], 0, made + 1
         if doc_ids:
@@ -193,10 +271,11 @@ def fit(words: DataFrame, train_docs: int, path: str, rounds: int = EM_ROUNDS) -
         now = model
 
         def expect(batches: Iterator[pa.RecordBatch], now: PieceModel = now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(now.logp))
+            sums = [0.0] * len(now.logp)
             for batch in batches:
                 for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    now.expected_counts(word, c, total)
+                    now.expected_counts(word, c, sums)
+            total = np.array(sums)
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "n"])
 
@@ -227,16 +306,16 @@ def _gather(total: int, distinct: int, train_docs: int, end_lp: float) -> Callab
         heads: dict[int, dict] = {}
         for batch in batches:
             block, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            is_head = np.array(batch.column(6).is_valid())
+            is_head = np.array(batch.column(2).is_null())
             for i in np.flatnonzero(is_head).tolist():
-                heads[int(block[i])] = {"ids": batch.column(6)[i].as_py(), "held": batch.column(7)[i].as_py(), "lengths": batch.column(5)[i].as_py()}
+                heads[int(block[i])] = {"ids": batch.column(6)[i].as_py(), "lengths": np.frombuffer(batch.column(5)[i].as_py(), "<i8")}
             rows = batch.filter(pa.array(~is_head))
             if not rows.num_rows:
                 continue
             block, size = block[~is_head], size[~is_head]
             c, lp = rows.column(2).to_numpy().astype(float), rows.column(3).to_numpy()
-            each = rows.column(4).value_lengths().to_numpy()
-            doc, n = rows.column(4).flatten().to_numpy(), rows.column(5).flatten().to_numpy()
+            doc, each = _unpacked(rows.column(4), "<u2")
+            n, _ = _unpacked(rows.column(5), "<u4")
             base = np.log10(c + 0.5) - below
             for b in np.unique(block).tolist():
                 own = np.repeat(block == b, each)
@@ -247,12 +326,13 @@ def _gather(total: int, distinct: int, train_docs: int, end_lp: float) -> Callab
                 s[1] += np.bincount(d, k * base[of], m)
                 s[2] += np.bincount(d, k * lp[of], m)
         for b, head in heads.items():
-            m = len(head["ids"])
+            m = len(head["lengths"])
+            ids, held = _ids_of(head["ids"], m)
             known, base, score = sums.pop(b, np.zeros((3, m)))
             end = math.log10(train_docs + 0.5) - below
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(head["ids"], pa.int64()), pa.array(head["held"], pa.bool_()), pa.array(np.array(head["lengths"], np.int64) + 1), pa.array(known.astype(np.int64) + (train_docs > 0)),
+                    ids, held, pa.array(head["lengths"] + 1), pa.array(known.astype(np.int64) + (train_docs > 0)),
                     pa.array(np.full(m, total)), pa.array(base + end), pa.array(score + end_lp),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -273,10 +353,10 @@ def score_documents(docs: DataFrame, path: str | None = None, block_words: int =
     n_words, seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     model = fit(words, train_docs, path or vocabulary_path(), rounds)
     scored = materialize(words.mapInArrow(_word_scores(model), "word binary, c long, lp double"))
-    found = own.select("block", "size", "word", "docs", "counts").join(scored, "word")
+    found = own.select("block", "size", "word", "docs", "counts", "doc_ids").join(scored, "word")
+    found = found.select("block", "size", "c", "lp", "docs", "counts", "doc_ids")
     none = F.lit(None)
-    found = found.select("block", "size", "c", "lp", "docs", "counts", none.cast("array<long>").alias("doc_ids"), none.cast("array<boolean>").alias("held"))
-    found = found.unionByName(heads.select("block", "size", none.cast("long").alias("c"), none.cast("double").alias("lp"), "docs", "counts", "doc_ids", "held"))
+    found = found.unionByName(heads.select("block", "size", none.cast("long").alias("c"), none.cast("double").alias("lp"), "docs", "counts", "doc_ids"))
     # Blocks count up within tasks: the low half of a block's number is its task.
     place = F.pmod(F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftright("block", 32) * 31, F.lit(n)).cast("int")
     dealt = found.repartitionById(n, place)
