@@ -76,17 +76,13 @@ def ranks(df: DataFrame, group: list[str], bucket: list[str], order: list[Column
     """`df` with `name`: the 1-based row number within `group`, without bringing a group into one task.
 
     `bucket` columns must sort before `order` does: rows of a lower bucket precede all of a higher one.
+    `group` and `bucket` columns must not be null, so that the join below keeps the window's partitioning.
     Rows are numbered inside each (group, bucket) and shifted by the sizes of the buckets before it.
-    The table of bucket sizes is aggregated before it is shuffled.
+    The table of bucket sizes is aggregated before it is shuffled; the rows themselves are shuffled once.
     """
     keys = group + bucket
+    before = W.partitionBy(*group).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(*group).orderBy(*[F.col(b).asc_nulls_first() for b in bucket]).rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    sizes = sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     local = df.withColumn("__row", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    same = None
-    for i, k in enumerate(keys):
-        one = F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        same = one if same is None else same & one
-    out = local.join(sizes, same, "inner")
-    return out.withColumn(name, (F.col("__row") + F.col("__before")).cast("long")).drop("__row", "__before", *[f"__k{i}" for i in range(len(keys))])
+    return local.join(sizes, keys).withColumn(name, (F.col("__row") + F.col("__before")).cast("long")).drop("__row", "__before")

@@ -61,14 +61,15 @@ def mix(docs: DataFrame, seed: str = SEED, slots: int = 16) -> DataFrame:
     plan = materialize(targets(sized.select("__source", "__size")))
     digest = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     dealt = sized.withColumns({"__class": _class(F.col("__size")), "__digest": digest}).withColumn("__slot", F.floor(F.coalesce(F.conv(F.substring("__digest", 1, 4), 16, 10).cast("long"), F.lit(0)) * slots / 65536).cast("int"))
-    placed = ranks(dealt, ["__source"], ["__class", "__slot"], [F.col("__digest"), F.col("doc_id")], "__rank")
+    dealt = dealt.withColumn("__group", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("null")))
+    placed = ranks(dealt, ["__group"], ["__class", "__slot"], [F.col("__digest"), F.col("doc_id")], "__rank")
     own = plan.withColumnRenamed("__source", "__of")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("__of"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
     own = own.withColumn("__offset", offset)
     each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     upto = lambda k: F.floor(k * each + F.col("__offset"))
     joined = placed.join(own, F.col("__source").eqNullSafe(F.col("__of")))
-    return joined.withColumn("__copies", (upto(F.col("__rank")) - upto(F.col("__rank") - 1)).cast("long")).drop("__of", "__offset", "__class", "__slot", "__digest", "__rank", "__source")
+    return joined.withColumn("__copies", (upto(F.col("__rank")) - upto(F.col("__rank") - 1)).cast("long")).drop("__of", "__offset", "__class", "__slot", "__digest", "__rank", "__source", "__group")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
