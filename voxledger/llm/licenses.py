@@ -203,8 +203,9 @@ def fit(words: list[list[bytes]], family: np.ndarray, epochs: int = 30, l2: floa
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS) -> LicenseModel:
     """Prose is at most `sample_paragraphs` paragraphs (least hashes) of at most `sample_docs` documents (least
     hashes of doc_id); those that a template nearly matches aren't prose."""
-    chosen = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs)
-    lines = chosen.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.trim("line") != "")
+    chosen = docs.select(F.col("doc_id").alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(sample_docs).distinct()
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    lines = own.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.trim("line") != "")
     rows = lines.orderBy(F.xxhash64("line"), "line").limit(sample_paragraphs).collect()
     prose = [r["line"].encode().translate(WORDS).split() for r in rows]
     return fit(*training_set([p for p in prose if p and max(containment(f, p) for f in TEMPLATES) < 0.3]))
