@@ -78,6 +78,26 @@ def test_components_on_a_fixture(spark):
                 assert r["component_id"] == want[r["doc_id"]]
 
 
+def test_forest_connects_what_links_connect_in_any_order():
+    rng = np.random.default_rng(3)
+    chain = [0]
+    for i in range(40):  # neighbours differ in two bits, rows two apart in four
+        chain.append(chain[-1] ^ (1 << i % 32) ^ (1 << 32 + (i * 7) % 32))
+    for n in (7, 12, 41):
+        for _ in range(200):
+            fp = np.array(chain[:n], np.uint64)[rng.permutation(n)]
+            group = np.sort(rng.integers(0, 2, n))
+            got = np.arange(n)
+            member, root = simhash.forest(group, fp)
+            got[member] = root
+            want = np.arange(n)
+            for a in range(n):
+                for b in range(a + 1, n):
+                    if group[a] == group[b] and int(fp[a] ^ fp[b]).bit_count() <= 3:
+                        want[want == max(want[a], want[b])] = min(want[a], want[b])
+            assert got.tolist() == want.tolist()
+
+
 def test_long_chains_merge(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000), (2000, 2001)]
     roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(chain, "src long, dst long")).collect()}

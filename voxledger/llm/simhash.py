@@ -155,6 +155,13 @@ def choose_masks(sample: np.ndarray, rows: int, tau: int = TAU, row_cost: float
 # ---------------------------------------------------------------- probe and verify
 
 
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The roots of rows `at`, however far up; the paths to them are shortened on the way."""
+    while not np.array_equal(up := parent[at], at):
+        parent[at] = at = parent[up]
+    return at
+
+
 def forest(group: np.ndarray, fp: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest: rows are sorted by `group`, and rows of one group link at `tau` or
     fewer differing bits. Returns (member, root) row numbers."""
@@ -167,8 +174,7 @@ def forest(group: np.ndarray, fp: np.ndarray, tau: int = TAU) -> tuple[np.ndarra
         near = alive[np.bitwise_count(fp[alive] ^ fp[alive + k]) <= tau]
         a, b = near, near + k
         while len(a):
-            a, b = parent[a], parent[b]
-            a, b = parent[a], parent[b]
+            a, b = _roots(parent, a), _roots(parent, b)
             differ = a != b
             a, b = a[differ], b[differ]
             if len(a):
