@@ -73,6 +73,18 @@ def test_expected_counts_are_gradients():
         assert counts[i] == pytest.approx(2 * slope, rel=1e-3)
 
 
+@pytest.mark.parametrize("letters", ["\U0001d400", "\ua000", "\U0001d400a"])
+def test_words_without_pieces_do_not_underflow(letters):
+    model = m.PieceModel.initial(m.vocabulary_path())
+    for n in range(10, 24):
+        word = (letters * n)[:n].encode()
+        got, want = np.zeros(len(model.logp)), np.zeros(len(model.logp))
+        model.expected_counts(word, 3, got)
+        model._expected_counts_long(word, 3, want)
+        assert np.isfinite(got).all() and np.allclose(got, want)
+        assert math.isfinite(model.updated(got).log_probability(word))
+
+
 def test_scores_are_sums_over_words_and_em_helps(spark):
     table = spark.createDataFrame([(d, t, "x", "y") for d, t in rows()], SCHEMA)
     words = Counter(w for d, t in rows() if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1 for w in (t or "").encode().lower().split())

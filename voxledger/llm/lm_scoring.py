@@ -42,6 +42,8 @@ BLOCK_DOCS = 60_000
 EM_ROUNDS = 2
 START = "▁"
 SHORT = 24
+#: Least probability of a word in plain probabilities.
+SAFE = 1e-250
 LOG10 = math.log(10)
 
 
@@ -121,7 +123,8 @@ class PieceModel:
 
     def expected_counts(self, word: bytes, weight: float, into: list[float] | np.ndarray) -> None:
         """Add the expected uses of each piece in `weight` occurrences of the word: forward-backward. Words of
-        up to SHORT characters can't underflow and take plain probabilities, longer ones logarithms."""
+        up to SHORT characters take plain probabilities, longer ones logarithms, and so do those whose
+        probability is so small (many characters spelt in bytes) that parts of it may underflow."""
         text = START + word.decode("utf-8", "replace")
         if len(text) > SHORT:
             return self._expected_counts_long(word, weight, into)
@@ -142,6 +145,8 @@ class PieceModel:
                 if i >= 0:
                     edges.append((start, end, i, p[i]))
                     forward[end] += here * p[i]
+        if forward[n] < SAFE:
+            return self._expected_counts_long(word, weight, into)
         scale = weight / forward[n]
         for start, end, i, q in reversed(edges):
             use = q * backward[end]
