@@ -111,6 +111,16 @@ def test_keep_one_keeps_a_row_of_each_component(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "9", "None"]
 
 
+def test_keep_one_keeps_components_that_share_an_id(spark):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"k{int(x)}" for x in rng.integers(0, 5000, 60))
+    lost, again, copied = [text() for _ in range(6)], [text() for _ in range(5)], text()
+    rows = [(None, t, "x", 1) for t in lost] * 2 + [(7, t, "x", 1) for t in again] * 2
+    rows += [(None, copied, "x", 1), (3, copied, "x", 1), (3, copied, "x", 1), (8, copied, "x", 1), (4, None, "x", 1), (4, "", "x", 1)]
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in simhash.keep_one(docs_of(spark, rows)).collect())
+    assert kept == sorted([("None", t) for t in lost] + [("7", t) for t in again] + [("3", copied), ("4", "")])
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).collect() == []
     assert simhash.keep_one(docs_of(spark, [])).collect() == []

@@ -80,8 +80,8 @@ def fingerprint_udf(text: pa.Array) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (signed long) of every row."""
-    return docs.select("doc_id", fingerprint_udf(F.col("text").cast("binary")).alias("fp"))
+    """doc_id, fingerprint (signed long) and a hash of the text of every row."""
+    return docs.select("doc_id", fingerprint_udf(F.col("text").cast("binary")).alias("fp"), F.xxhash64("text").alias("text_hash"))
 
 
 # ---------------------------------------------------------------- plan of the search
@@ -281,14 +281,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU, fit_rows: int = FIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id of the component) of every row of docs."""
+    """doc_id, fp, text_hash, component_id (the least doc_id of the component) and root (its least
+    fingerprint, so one for each component) of every row of docs."""
     rows = materialize(fingerprints(docs))
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(nodes.select("fp"), tau, fit_rows, bucket_rows))
     rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted)
     low = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    return rows.join(materialize(rooted.join(low, "root").select("fp", "component_id")), "fp")
+    return rows.join(materialize(rooted.join(low, "root").select("fp", "component_id", "root")), "fp")
 
 
 def hex_digits(fp) -> F.Column:
@@ -301,11 +302,19 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component the row with the least doc_id stays; if that doc_id has
-    several rows, one of them. A component of null ids keeps one row."""
+    """Pipeline stage: of each component one row stays, one with the least doc_id (null only if the
+    component has no other) and of those the least hash of the text. A doc_id, or null, whose rows are in
+    several components has a row for each."""
     found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep"))
-    kept = materialize(kept.distinct())
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = materialize(first.groupBy("root").agg(F.min("doc_id").alias("__keep"), F.min("text_hash").alias("__hash"), F.count(F.lit(1)).alias("__n")))
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        same = F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.xxhash64("text") == F.col("__hash"))
+        return docs.join(kept, same, "left_semi")
+
+    repeated = materialize(first.where("__n > 1"))
+    if repeated.isEmpty():
+        return rows_of(first)
+    # what is left of a component that had several rows is equal in doc_id and text
+    return rows_of(first.where("__n = 1")).unionByName(rows_of(repeated).dropDuplicates(["doc_id", "text"]))
