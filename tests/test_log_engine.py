@@ -244,3 +244,14 @@ def test_timeline_is_a_partition(spark):
     df = spark.createDataFrame(rows, "entry_id string, app string, file_token string, read_order int, line_start int, timestamp_utc timestamp")
     dated, undated = timeline.timeline_parts(df)
     assert [r["entry_id"] for r in dated.collect()] == ["e3", "e2"] and [r["entry_id"] for r in undated.collect()] == ["e1"]
+
+
+def test_no_window_or_list_holds_all_values(spark):
+    values = spark.range(3000).select(F.lit("a").alias("analysis_id"), F.col("id").alias("seq"), F.struct(F.array(F.struct(F.lit("IP").alias("type"), F.lit(0).alias("span_start"), F.lit(1).alias("span_end"), F.concat(F.lit("v"), F.col("id") % 2000).alias("normalized"))).alias("spans")).alias("d"))
+    names = sanitize.placeholders(values)
+    assert {r["normalized"]: r["placeholder"] for r in names.collect()} == {f"v{i}": f"<IP_{i + 1}>" for i in range(2000)}
+    assert "row_number" not in names._jdf.queryExecution().toString()
+    seconds = spark.createDataFrame([(x,) for x in (4.0, 1.0, 90.0, 4.0)], "seconds double")
+    got = stats.duration_stats(seconds)
+    assert got.first()["upper_median"] == 4.0 and "collect_list" not in got._jdf.queryExecution().toString()
+    assert stats.duration_stats(seconds.limit(0)).first()["upper_median"] is None

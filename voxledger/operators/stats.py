@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.functions.prefix import index_percentile
 
 #: Patterns of orchestrator lines.
 CALL = r"\[CallId: ([a-f0-9]+)\]"
@@ -52,10 +51,12 @@ def durations(rows: DataFrame, key: str, ts: str, order: str) -> DataFrame:
 def duration_stats(seconds: DataFrame) -> DataFrame:
     """n, mean, upper median, max, min and how many are over 60 s, over 120 s and under 10 s."""
     s = F.col("seconds")
-    return seconds.agg(
-        F.count(s).alias("n"), F.avg(s).alias("mean"), index_percentile(s, 0.5).alias("upper_median"), F.max(s).alias("max"), F.min(s).alias("min"),
+    base = seconds.agg(
+        F.count(s).alias("n"), F.avg(s).alias("mean"), F.max(s).alias("max"), F.min(s).alias("min"),
         F.count_if(s > 60).alias("over_60"), F.count_if(s > 120).alias("over_120"), F.count_if(s < 10).alias("under_10"),
     )
+    median = ranked_value(seconds, "seconds", 0.5).select(F.col("value").alias("upper_median"))
+    return base.join(median, F.lit(True), "left").select("n", "mean", "upper_median", "max", "min", "over_60", "over_120", "under_10")  # one row each
 
 
 def ranked_value(values: DataFrame, value: str, share: float) -> DataFrame:
