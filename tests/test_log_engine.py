@@ -255,3 +255,26 @@ def test_no_window_or_list_holds_all_values(spark):
     got = stats.duration_stats(seconds)
     assert got.first()["upper_median"] == 4.0 and "collect_list" not in got._jdf.queryExecution().toString()
     assert stats.duration_stats(seconds.limit(0)).first()["upper_median"] is None
+
+
+def test_partly_overlapping_spans_lose_no_others(spark, tmp_path):
+    from voxledger.plans import catalog
+
+    text = "mail jane@example.com from 192.168.100.200 8080"
+    with pytest.raises(ValueError):
+        sanitize.detect(text)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["type"]: r["n"] for r in catalog.pii_detect(spark, str(tmp_path)).collect()}
+    assert got == {"DADO_CLIENTE": 1, "IP": 1}
+    assert sanitize.detect(text, join=True)[-1][:3] == ("IP", 27, len(text))
+
+
+def test_link_conditions_test_both_end_types(spark):
+    schemas = spark.createDataFrame([("s", 1, True, "LEG", "1:1", True, ["A"], ["B"])], "schema_id string, schema_version int, approved boolean, relation string, cardinality string, allows_correlation boolean, source_types array<string>, target_types array<string>")
+    told = spark.createDataFrame([("x", "y", "A", "B", "e", "e", "e", "s")], "src string, dst string, src_type string, dst_type string, entry_id string, src_entry string, dst_entry string, schema_id string")
+    entries = spark.createDataFrame([("v", "e", None, [])], "app string, entry_id string, timestamp_utc timestamp, fields array<struct<name: string, value: string>>")
+    facts = rules.scenario_facts(entries, graph.recognised(told, schemas).withColumn("ambiguous", F.lit(False)))
+    asked = [{"relation": "LEG"}, {"relation": "LEG", "source_type": "A", "target_type": "B"}, {"relation": "LEG", "source_type": "B"}, {"relation": "LEG", "target_type": "A"}, {"source_type": "A"}]
+    of = [rules.Rule(f"r{i}", 1, "C", ("v",), ({"condition_id": "c", "operator": "LINK_PRESENT", **a},), i) for i, a in enumerate(asked)]
+    got = {r["rule_id"]: r["state"] for r in rules.evaluate(facts, of).collect()}
+    assert got == {"r0": "SATISFEITA", "r1": "SATISFEITA", "r2": "NAO_SATISFEITA", "r3": "NAO_SATISFEITA", "r4": "ERRO_SEGURO"}

@@ -79,7 +79,7 @@ def recognised(declarations: DataFrame, schemas: DataFrame) -> DataFrame:
     fits = F.array_contains("source_types", F.col("src_type")) & F.array_contains("target_types", F.col("dst_type"))
     one_entry = (F.col("src_entry") == F.col("entry_id")) & (F.col("dst_entry") == F.col("entry_id"))
     kept = own.where(fits & one_entry & (F.col("src") != F.col("dst")))
-    return kept.select("src", "dst", "relation", "schema_id", "schema_version", "cardinality", "allows_correlation", "entry_id").dropDuplicates(["src", "dst", "relation", "schema_id", "schema_version", "entry_id"])
+    return kept.select("src", "dst", "relation", "schema_id", "schema_version", "cardinality", "allows_correlation", "entry_id", "src_type", "dst_type").dropDuplicates(["src", "dst", "relation", "schema_id", "schema_version", "entry_id", "src_type", "dst_type"])
 
 
 def cardinality_violations(edges: DataFrame) -> DataFrame:

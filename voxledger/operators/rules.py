@@ -24,7 +24,7 @@ PARAMETERS = {
     "LINK_PRESENT": {"relation", "schema_id", "schema_version", "source_type", "target_type", "allows_correlation"}, "EXPLICIT_LINK_PRESENT": {"relation", "schema_id", "schema_version", "source_type", "target_type", "allows_correlation"},
     "FACT_PRESENT": {"fact", "application"}, "CARDINALITY": {"target", "comparison", "value", "application", "field", "relation", "fact"}, "TEMPORAL_ORDER": {"before", "after", "allow_equal"},
 }
-REQUIRED = {"APPLICATION_PRESENT": {"application"}, "FIELD_PRESENT": {"field"}, "FIELD_EQUALS": {"field", "expected"}, "FACT_PRESENT": {"fact"}, "CARDINALITY": {"target", "comparison", "value"}, "TEMPORAL_ORDER": {"before", "after"}}
+REQUIRED = {"APPLICATION_PRESENT": {"application"}, "LINK_PRESENT": {"relation"}, "EXPLICIT_LINK_PRESENT": {"relation"}, "FIELD_PRESENT": {"field"}, "FIELD_EQUALS": {"field", "expected"}, "FACT_PRESENT": {"fact"}, "CARDINALITY": {"target", "comparison", "value"}, "TEMPORAL_ORDER": {"before", "after"}}
 UNCLASSIFIED = "NAO_CLASSIFICADA"
 
 
@@ -127,7 +127,8 @@ def scenario_facts(entries: DataFrame, edges: DataFrame | None = None, facts: Da
     out = out.unionByName(f.select(F.lit("FIELD").alias("kind"), "app", F.col("f.name").alias("name"), F.col("f.value").alias("value"), F.concat_ws(":", F.lit("field"), "entry_id", "i").alias("ref"), "utc"))
     if edges is not None:
         good = edges.where("not ambiguous")
-        out = out.unionByName(good.select(F.lit("LINK").alias("kind"), none.alias("app"), F.col("relation").alias("name"), F.to_json(F.struct("schema_id", "schema_version", "allows_correlation")).alias("value"), F.concat_ws(":", F.lit("link"), "src", "dst", "relation").alias("ref"), F.lit(None).cast("timestamp").alias("utc")))
+        ends = [(F.col(c) if c in edges.columns else none).alias(name) for c, name in (("src_type", "source_type"), ("dst_type", "target_type"))]
+        out = out.unionByName(good.select(F.lit("LINK").alias("kind"), none.alias("app"), F.col("relation").alias("name"), F.to_json(F.struct("schema_id", "schema_version", "allows_correlation", *ends)).alias("value"), F.concat_ws(":", F.lit("link"), "src", "dst", "relation").alias("ref"), F.lit(None).cast("timestamp").alias("utc")))
     if facts is not None:
         out = out.unionByName(facts.select(F.lit("FACT").alias("kind"), "app", "name", none.alias("value"), F.concat_ws(":", F.lit("fact"), "app", "name", "entry_id").alias("ref"), "utc"))
     return out
@@ -143,7 +144,7 @@ def _is(kind: str, **wanted: object) -> Column:
 
 def _link(c: dict) -> Column:
     test = _is("LINK", name=c.get("relation"))
-    for key in ("schema_id", "schema_version", "allows_correlation"):
+    for key in ("schema_id", "schema_version", "source_type", "target_type", "allows_correlation"):
         if key in c:
             test = test & (F.get_json_object("value", f"$.{key}") == F.lit(str(c[key]).lower() if isinstance(c[key], bool) else str(c[key])))
     return test
