@@ -32,29 +32,55 @@ def test_targets_copies_and_reruns(spark):
     assert len(got) == len(rows())
     sizes, taken, target = {}, {}, {}
     for r in got:
-        n = len((r["text"] or "").split())
-        assert r["__size"] == n and 0 <= r["__copies"] <= 3
-        sizes[r["source"]] = sizes.get(r["source"], 0) + n
-        taken[r["source"]] = taken.get(r["source"], 0) + n * r["__copies"]
-        target[r["source"]] = r["__target"]
+        source, n = r["row"]["source"], len((r["row"]["text"] or "").split())
+        assert r["size"] == n and 0 <= r["copies"] <= 3
+        sizes[source] = sizes.get(source, 0) + n
+        taken[source] = taken.get(source, 0) + n * r["copies"]
+        target[source] = r["target"]
     want = plain_targets(sizes)
     for s in want:
         assert target[s] == pytest.approx(want[s])
         assert abs(taken[s] - want[s]) <= 3 * 50
-    again = mixing.mix(table.repartition(3)).collect()
-    key = lambda r: (str(r["doc_id"]), str(r["source"]), str(r["text"]), r["__copies"])
-    assert sorted(map(key, got)) == sorted(map(key, again))
+    key = lambda r: (*map(str, r["row"]), r["copies"])
+    for parts, slots in ((3, 16), (7, 512)):
+        again = mixing.mix(table.repartition(parts), slots=slots).collect()
+        assert sorted(map(key, got)) == sorted(map(key, again))
+
+
+def test_repeated_and_null_ids_take_the_same_copies_in_any_order(spark):
+    many = [(i % 3 or None, "a", " ".join(["w"] * (1 + i % 11)), i) for i in range(300)]
+    runs = []
+    for seed in range(4):
+        table = spark.createDataFrame(many, SCHEMA).orderBy(F.rand(seed)).repartition(seed + 1)
+        taken = mixing.mix(table).groupBy("row.doc_id", "row.text").agg(F.sum("copies").alias("n")).collect()
+        runs.append({(r["doc_id"], r["text"]): r["n"] for r in taken})
+    assert all(r == runs[0] for r in runs)
+
+
+def test_no_slot_holds_a_hot_source(spark):
+    table = spark.range(4000).select("id", F.lit("hot").alias("source"), F.concat_ws(" ", F.lit("same size"), "id").alias("text"))
+    for ids in (F.col("id"), F.lit(None).cast("long")):
+        rows = mixing._dealt(mixing.sized(table.select(ids.alias("doc_id"), "source", "text")), 64)
+        assert rows.groupBy("__group", "__class", "__slot").count().agg(F.max("count")).first()[0] < 4000 / 20
+
+
+def test_clashing_names_and_long_texts(spark):
+    names = ["row", "size", "copies", "target", "source_size", "__size", "__rank", "__row", "__before", "__group", "id", "hash", "n"]
+    table = spark.createDataFrame([(i, "s", "w " * (200_000 if i == 7 else i), *names) for i in range(20)], ["doc_id", "source", "text", *names])
+    out = mixing.emit(table)
+    assert out.columns == table.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(names)}
 
 
 def test_emit_repeats_rows_and_keeps_columns(spark):
     table = spark.createDataFrame(rows(), SCHEMA)
     out = mixing.emit(table)
     assert out.columns == table.columns
-    copies = mixing.mix(table).agg(F.sum("__copies")).first()[0]
+    copies = mixing.mix(table).agg(F.sum("copies")).first()[0]
     assert out.count() == copies
 
 
 def test_empty_and_wordless_tables(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, "a", None, 1), (2, None, " ", 1)], SCHEMA)).collect()
-    assert {(r["__size"], r["__target"], r["__copies"]) for r in got} == {(0, 0.0, 0)}
+    assert {(r["size"], r["target"], r["copies"]) for r in got} == {(0, 0.0, 0)}

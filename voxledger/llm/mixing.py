@@ -6,26 +6,34 @@ shared again by weight. Each document's expected copies are target / source size
 documents stand in a fixed order, the prefix sums of expected copies get one pseudo-random offset, and a
 document is emitted once for each integer that its interval crosses, so a source's taken words stay near
 its target and no document is emitted more than CAP times. The order is by size class, then by a hash of
-doc_id: neighbours have like sizes, which keeps the taken words near the target even if few documents
-hold most words. Offset and order depend on `seed`, source and doc_id alone: reruns agree.
+doc_id and text: neighbours have like sizes, which keeps the taken words near the target even if few
+documents hold most words. Offset and order depend on `seed`, source, doc_id and text alone, so reruns agree
+however the rows are dealt; rows equal in these are copies of each other, and any of them may be taken.
 
 Prefix sums are counts: rows are numbered within (source, class, hash slot) and shifted by the sizes of
-the slots before, so a source with a third of all rows never meets in one task.
+the slots before, so a source with a third of all rows never meets in one task. There are as many slots as
+rows need, about SLOT_ROWS rows each; the order doesn't depend on their number.
 
-Null texts have size 0 and, like empty ones, are emitted by the same rule. Null sources are one source.
-If all sizes are 0 every target is 0. Repeated rows are sampled one by one.
+Null texts have size 0 and, like empty ones, are emitted by the same rule. Null sources are one source, null
+ids are told apart by their texts. If all sizes are 0 every target is 0. Repeated rows are sampled one by one.
+An empty table gives an empty one. Other columns, whatever their names, stay in the struct `row`.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import materialize, ranks, read_table, word_count
+from .common import materialize, packed, ranks, read_table, scratch, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+#: About how many rows of one source and size class are ordered in one task.
+SLOT_ROWS = 100_000
 
 
 def _class(size: Column) -> Column:
@@ -55,36 +63,65 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("__source", "__source_size", target.alias("__target"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, slots: int = 16) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies."""
-    sized = docs.withColumns({"__size": word_count(F.col("text")), "__source": F.col("source")})
-    plan = materialize(targets(sized.select("__source", "__size")))
-    digest = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    dealt = sized.withColumns({"__class": _class(F.col("__size")), "__digest": digest}).withColumn("__slot", F.floor(F.coalesce(F.conv(F.substring("__digest", 1, 4), 16, 10).cast("long"), F.lit(0)) * slots / 65536).cast("int"))
-    dealt = dealt.withColumn("__group", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("null")))
-    placed = ranks(dealt, ["__group"], ["__class", "__slot"], [F.col("__digest"), F.col("doc_id")], "__rank")
-    own = plan.withColumnRenamed("__source", "__of")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("__of"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
-    own = own.withColumn("__offset", offset)
+def sized(docs: DataFrame, *keep: Column) -> DataFrame:
+    """`keep`, source, __size and __digest of each row: all that the mix needs of a text."""
+    digest = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    return docs.select(*keep, F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), digest.alias("__digest"))
+
+
+def _dealt(rows: DataFrame, slots: int) -> DataFrame:
+    """Rows of sized() with the bucket that each is ordered in."""
+    slot = F.floor(F.conv(F.substring("__digest", 1, 8), 16, 10).cast("long") * F.lit(slots) / F.lit(2.0**32)).cast("long")
+    group = F.coalesce(F.concat(F.lit("="), "__source"), F.lit("null"))
+    return rows.withColumns({"__group": group, "__class": _class(F.col("__size")), "__slot": slot})
+
+
+def _numbered(rows: DataFrame, seed: str, slots: int) -> DataFrame:
+    """Rows of sized() with __source_size, __target and __copies. Rows are read twice: once for the sizes of
+    buckets, once to be ordered, which is the one shuffle of what they hold."""
+    keys, dealt = ["__group", "__class", "__slot"], _dealt(rows, slots)
+    buckets = materialize(dealt.groupBy("__source", *keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__size")))
+    plan = targets(buckets.select("__source", "__size"))
+    plan = plan.withColumn("__group", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("null")))
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("__source"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
+    plan = plan.select("__group", "__source_size", "__target", offset.alias("__offset"))
+    before = F.sum("__n").over(W.partitionBy("__group").orderBy("__class", "__slot").rowsBetween(W.unboundedPreceding, -1))
+    starts = buckets.select(*keys, F.coalesce(before, F.lit(0)).alias("__before")).join(plan, "__group")
+    row = F.row_number().over(W.partitionBy(*keys).orderBy("__digest"))
     each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     upto = lambda k: F.floor(k * each + F.col("__offset"))
-    joined = placed.join(own, F.col("__source").eqNullSafe(F.col("__of")))
-    return joined.withColumn("__copies", (upto(F.col("__rank")) - upto(F.col("__rank") - 1)).cast("long")).drop("__of", "__offset", "__class", "__slot", "__digest", "__rank", "__source", "__group")
+    k = F.col("__row") + F.col("__before")
+    placed = dealt.withColumn("__row", row).join(materialize(starts), keys)
+    return placed.withColumn("__copies", (upto(k) - upto(k - 1)).cast("long")).drop(*keys, "__row", "__before", "__offset", "__digest", "__source")
+
+
+def _slots(docs: DataFrame) -> int:
+    """A power of two, at least 16, that leaves about SLOT_ROWS rows to a slot."""
+    return 1 << max(4, math.ceil(math.log2(max(1, docs.count()) / SLOT_ROWS)))
+
+
+def mix(docs: DataFrame, seed: str = SEED, slots: int | None = None) -> DataFrame:
+    """row (the columns of docs), size, source_size, target and copies of every row of docs."""
+    found = _numbered(sized(docs, packed(docs)), seed, slots or _slots(docs))
+    return found.select("row", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    docs = read_table(spark, sf_dir, "documents")
+    with scratch(spark) as keep:
+        rows = materialize(sized(docs, F.col("doc_id")))  # texts are read once, and never shuffled
+        found = _numbered(rows, SEED, _slots(rows))
+        return keep(found.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken")))
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: each row once for each copy, columns unchanged."""
-    mixed = mix(docs).where(F.col("__copies") > 0)
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: each row once for each copy, columns unchanged. Texts are shuffled once."""
+    mixed = mix(docs).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 ORACLE = r"""
-WITH s AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH s AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
@@ -102,7 +139,7 @@ k AS (
          CAST(CAST('0x' || substr(md5('mix-1/' || coalesce(s.source, '')), 1, 4) AS BIGINT) AS DOUBLE) / 65536 AS u,
          row_number() OVER (PARTITION BY s.source ORDER BY
            length(bin(size)) * 8 + ((size * 8) // CAST(pow(2, length(bin(size)) - 1) AS BIGINT)) % 8,
-           md5(CAST(doc_id AS VARCHAR)), doc_id) AS i
+           digest) AS i
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(floor(i * e + u) - floor((i - 1) * e + u) AS BIGINT) * size AS taken FROM k
 """

@@ -15,7 +15,9 @@ search stays exact whatever the skew.
 
 Nulls and empty texts have fingerprint zero and link like any other. Rows with equal fingerprints are
 one node, so thousands of copies cost one signature. Rows that repeat a doc_id are scored one by one.
-A null doc_id counts for no component id unless a component has no other.
+A null doc_id counts for no component id unless a component has no other. An empty table gives an empty one.
+Other columns, whatever their names, are left alone: keep_one() returns the columns of docs. Texts of any
+length are hashed whole, some megabytes at a time.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import materialize, read_table, words_in_chunks
+from .common import materialize, packed, read_table, scratch, words_in_chunks
 
 TAU = 3
 #: Distinct fingerprints from which bit correlations and candidate counts are estimated.
@@ -283,13 +285,14 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, tau: int = TAU, fit_rows: int = FIT_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fp, text_hash, component_id (the least doc_id of the component) and root (its least
     fingerprint, so one for each component) of every row of docs."""
-    rows = materialize(fingerprints(docs))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes.select("fp"), tau, fit_rows, bucket_rows))
-    rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted)
-    low = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    return rows.join(materialize(rooted.join(low, "root").select("fp", "component_id", "root")), "fp")
+    with scratch(docs.sparkSession) as keep:
+        rows = materialize(fingerprints(docs))
+        nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+        roots = components(links(nodes.select("fp"), tau, fit_rows, bucket_rows))
+        rooted = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        rooted = materialize(rooted)
+        low = materialize(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
+        return keep(rows.join(materialize(rooted.join(low, "root").select("fp", "component_id", "root")), "fp"))
 
 
 def hex_digits(fp) -> F.Column:
@@ -304,17 +307,24 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component one row stays, one with the least doc_id (null only if the
     component has no other) and of those the least hash of the text. A doc_id, or null, whose rows are in
-    several components has a row for each."""
-    found = near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = materialize(first.groupBy("root").agg(F.min("doc_id").alias("__keep"), F.min("text_hash").alias("__hash"), F.count(F.lit(1)).alias("__n")))
+    several components has a row for each. Columns are unchanged.
+
+    Texts are shuffled once, to meet the keys of the rows that stay: a sort-merge join at every size, since
+    these keys grow with the corpus.
+    """
+    with scratch(docs.sparkSession) as keep:
+        found = near_duplicates(docs)
+        first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        first = first.groupBy("root").agg(F.min("doc_id").alias("id"), F.min("text_hash").alias("hash"), F.count(F.lit(1)).alias("n"))
+        first = keep(first.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "hash", "n"))
+    rows = docs.select(packed(docs), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("hash"))
 
     def rows_of(kept: DataFrame) -> DataFrame:
-        same = F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.xxhash64("text") == F.col("__hash"))
-        return docs.join(kept, same, "left_semi")
+        return rows.join(kept.hint("merge"), ["id", "none", "hash"], "left_semi")
 
-    repeated = materialize(first.where("__n > 1"))
+    repeated = first.where("n > 1")
     if repeated.isEmpty():
-        return rows_of(first)
+        return rows_of(first).select("row.*")
     # what is left of a component that had several rows is equal in doc_id and text
-    return rows_of(first.where("__n = 1")).unionByName(rows_of(repeated).dropDuplicates(["doc_id", "text"]))
+    again = rows_of(repeated).withColumn("text", F.col("row.text")).dropDuplicates(["id", "none", "text"])
+    return rows_of(first.where("n = 1")).select("row.*").unionByName(again.select("row.*"))

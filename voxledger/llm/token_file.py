@@ -5,6 +5,9 @@ and written in byte-aligned variable-length coding: a stream of control bytes, e
 of four numbers (two bits each), apart from the stream of their data bytes. Reading back is a numpy table
 lookup: a control byte selects the mask of data bytes in four 4-byte words.
 
+Texts are encoded once, where they are; from then on ids move, two bytes each while the vocabulary allows, and
+texts never do. The encoded table is removed when the files are written.
+
 Files: documents in ascending doc_id order (nulls first, repeated ids by text hash), one file for each
 range of doc_ids, each a series of blocks of about BLOCK_IDS ids. Tasks write to the shared folder under
 names of their own attempt; the manifest table of the attempts that Spark committed says which files count,
@@ -17,7 +20,9 @@ CACHE_WORDS a worker. Words of ASCII and Latin-1 letters alone are single pre-to
 the library's BPE model; such a word with closing punctuation is two pre-tokens, letters and marks; all
 others take the full pipeline.
 
-Null and empty texts have only the end id. Very long texts are encoded some megabytes at a time.
+Null and empty texts have only the end id. Very long texts are encoded some megabytes at a time. Repeated rows
+are written one by one; equal (doc_id, text) rows are interchangeable. An empty table gives no rows. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,12 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, read_table, shared_dir, words_in_chunks
+from .common import materialize, read_table, scratch, shared_dir, stored, words_in_chunks
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
 CACHE_WORDS = 400_000
-COUNT_BYTES = 4 << 20
+PART_BYTES = 4 << 20
 MAGIC = b"VOXTOK1\n"
 HEAD = "<QQQQ"  # documents, ids, control bytes, data bytes
 
@@ -155,34 +160,54 @@ def read_file(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
 # ---------------------------------------------------------------- the jobs
 
 
-def _count(path: str, size: int) -> Callable:
+def _kind(size: int) -> str:
+    """How an id is stored while it travels."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _encode(path: str, size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, kind = word_ids(path), _kind(size)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held, n, begin = [], 0, at
+                while at < batch.num_rows and n < PART_BYTES:  # bounds what is held besides the batch
+                    ids = np.frombuffer(encode(batch.column(2)[at].as_py(), table), "<u4").astype(kind)
+                    held.append(ids.tobytes())
+                    n, at = n + len(held[-1]), at + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at - begin), batch.column(1).slice(begin, at - begin), pa.array(held, pa.binary())], names=["doc_id", "h", "ids"])
+
+    return run
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, a hash of the text and the ids (with the end id) of every row of docs, as bytes."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(_encode(path, vocabulary_size(path)), "doc_id long, h long, ids binary")
+
+
+def _count(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = word_ids(path), np.zeros(size, np.int64)
-        held, n = [], 0
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                held.append(encode(text.as_py(), table))
-                n += len(held[-1])
-                if n >= COUNT_BYTES:
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=size)
-                    held, n = [], 0
-        total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=size)
+            for at in range(0, batch.num_rows, 1000):  # bounds what is joined at once
+                total += np.bincount(np.frombuffer(b"".join(batch.column(0).slice(at, 1000).to_pylist()), _kind(size)), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
     return run
 
 
-def id_ranks(docs: DataFrame, path: str) -> np.ndarray:
+def id_ranks(table: DataFrame, size: int) -> np.ndarray:
     """The id of each rank, most frequent first; at most one entry for each id of the vocabulary."""
-    size = vocabulary_size(path)
-    counts = docs.select(F.col("text").cast("binary")).mapInArrow(_count(path, size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = table.select("ids").mapInArrow(_count(size), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))], np.int64)
 
 
-def _write(folder: str, path: str, id_of: np.ndarray) -> Callable:
+def _write(folder: str, kind: str, id_of: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, task = word_ids(path), TaskContext.get()
+        task = TaskContext.get()
         rank_of = np.zeros(int(id_of.max(initial=0)) + 1, "<u4")
         rank_of[id_of] = np.arange(len(id_of))
         part = task.partitionId()
@@ -192,24 +217,24 @@ def _write(folder: str, path: str, id_of: np.ndarray) -> Callable:
         docs = total = 0
         with store.open_output_stream(at) as f:
             f.write(MAGIC)
-            held: list[tuple[int | None, bytes]] = []
+            held: list[tuple[int | None, np.ndarray]] = []
             size = 0
 
             def block() -> None:
-                ranks = rank_of[np.frombuffer(b"".join([x for _, x in held]), "<u4")]
+                ranks = rank_of[np.concatenate([x for _, x in held])]
                 control, data = pack(ranks)
                 f.write(struct.pack(HEAD, len(held), len(ranks), len(control), len(data)))
                 f.write(np.array([d or 0 for d, _ in held], "<i8").tobytes())
                 f.write(np.array([d is None for d, _ in held], np.uint8).tobytes())
-                f.write(np.array([len(x) // 4 for _, x in held], "<i8").tobytes())
+                f.write(np.array([len(x) for _, x in held], "<i8").tobytes())
                 f.write(control)
                 f.write(data)
 
             for batch in batches:
-                for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                    held.append((doc.as_py(), encode(text.as_py(), table)))
-                    size += len(held[-1][1]) // 4
-                    docs, total = docs + 1, total + len(held[-1][1]) // 4
+                for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
+                    held.append((doc.as_py(), np.frombuffer(ids.as_buffer(), kind)))
+                    size += len(held[-1][1])
+                    docs, total = docs + 1, total + len(held[-1][1])
                     if size >= BLOCK_IDS:
                         block()
                         held, size = [], 0
@@ -220,13 +245,12 @@ def _write(folder: str, path: str, id_of: np.ndarray) -> Callable:
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, id_of: np.ndarray, folder: str) -> DataFrame:
-    """Write docs to token files in `folder`; returns the manifest (part, path, docs, ids) in file order."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"))
+def write_tokens(table: DataFrame, size: int, id_of: np.ndarray, folder: str) -> DataFrame:
+    """Write encoded documents to token files in `folder`; the manifest (part, path, docs, ids) in file order."""
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
-    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return materialize(ordered.mapInArrow(_write(folder, path, id_of), "part int, path string, docs long, ids long"))
+    ordered = table.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return ordered.mapInArrow(_write(folder, _kind(size), id_of), "part int, path string, docs long, ids long")
 
 
 def _read(id_of: np.ndarray) -> Callable:
@@ -263,9 +287,13 @@ def tokenizer_path() -> str:
 
 def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode, write and read back: one row for each row of docs."""
-    path = path or tokenizer_path()
-    id_of = id_ranks(docs, path)
-    return read_tokens(write_tokens(docs, path, id_of, shared_dir(docs.sparkSession)), id_of)
+    path, spark = path or tokenizer_path(), docs.sparkSession
+    size, folder = vocabulary_size(path), shared_dir(spark)
+    with scratch(spark):
+        table = materialize(encoded(docs, path))
+        id_of = id_ranks(table, size)
+        manifest = stored(write_tokens(table, size, id_of, f"{folder}/tokens"), f"{folder}/manifest")
+    return read_tokens(manifest, id_of)
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
