@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, near duplicates, benchmark passages, mixing, token files."""
+"""The corpus pipeline: toxicity, near duplicates, benchmark passages, mixing, token files.
+
+Stages take and return all columns of documents, whatever they are named, but the last, which returns the
+token table. Nulls, empty and very long texts, repeated rows and ids pass through every stage as its operator's
+docstring says; in short, a null or empty text is clean, has fingerprint zero (one such row stays), size 0 and
+only the end id. Empty tables give empty results. A stage's input is removed once its result is stored.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxledger.llm import decontaminate, mixing, simhash, token_file, toxicity
-from voxledger.llm.common import materialize, read_table
+from voxledger.llm.common import read_table, remove, shared_dir, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +55,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs)
-    return docs
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = shared_dir(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
