@@ -44,7 +44,7 @@ def all_segmentations(model, word):
         at = [0, *[i + 1 for i, c in enumerate(cuts) if c], n]
         p = 1.0
         for a, b in zip(at, at[1:], strict=False):
-            i = model.index.get(text[a:b])
+            i = None if a and text[a] == m.START else model.index.get(text[a:b])
             if i is not None:
                 p *= math.exp(model.logp[i])
             elif b - a == 1:
@@ -55,12 +55,40 @@ def all_segmentations(model, word):
     return math.log(total)
 
 
-@pytest.mark.parametrize("word", ["a", "the", "within", "zzqé", "語x"])
+@pytest.mark.parametrize("word", ["a", "the", "within", "zzqé", "語x", "a▁b", "▁", "▁▁a"])
 def test_forward_recursion_sums_all_segmentations(word):
     model = m.PieceModel.initial(m.vocabulary_path())
     assert model.log_probability(word.encode()) == pytest.approx(all_segmentations(model, word))
 
 
+def test_the_start_mark_inside_a_word_is_not_a_word_border():
+    model = m.PieceModel.initial(m.vocabulary_path())
+    two = model.log_probability(b"a") + model.log_probability(b"b")
+    assert model.log_probability("a▁b".encode()) < two - 1
+    for word in ("a▁b", "▁▁a"):
+        a, b = np.zeros(len(model.logp)), np.zeros(len(model.logp))
+        model.expected_counts(word.encode(), 2.0, a)
+        model._expected_counts_long(word.encode(), 2.0, b)
+        assert np.allclose(a, b)
+
+
+def test_a_frequent_word_costs_one_narrow_row_a_block(spark):
+    """A word in every document: the rows that are joined on words hold no postings, and one row a block."""
+    docs = spark.range(600).selectExpr("id AS doc_id", "false AS held", "CAST(concat('hot hot w', id) AS BINARY) AS text").repartition(3)
+    rows = docs.mapInArrow(m._blocks(50), m.BLOCK_SCHEMA).collect()
+    blocks = {r["block"] for r in rows}
+    hot = [r for r in rows if r["word"] == b"hot"]
+    assert len(blocks) > 20 and len(hot) == len(blocks)
+    assert all(r["data"] == b"" for r in rows if r["number"] < m.LAST)
+    assert sum(r["train"] for r in hot) == 1200
+
+
+def test_clashing_names_and_a_long_text(spark):
+    names = ["block", "number", "train", "data", "c", "score", "held"]
+    table = spark.createDataFrame([(i, "a b " * (100_000 if i == 2 else 3), *names) for i in range(4)], ["doc_id", "text", *names])
+    assert sorted((r.doc_id, r.n_tokens) for r in m.score_documents(table, rounds=1).collect()) == [(0, 7), (1, 7), (2, 200_001), (3, 7)]
+
+
 def test_expected_counts_are_gradients():
     model = m.PieceModel.initial(m.vocabulary_path())
     counts = np.zeros(len(model.logp))

@@ -10,16 +10,19 @@ one log-space forward recursion over its lattice. Probabilities start from the v
 pieces (a piece's chance falls with its place) and take EM_ROUNDS of expectation-maximisation over the
 distinct training words, weighted by their counts. Characters without a piece are spelt in byte pieces.
 
-Jobs: every task turns its documents into blocks and writes, for each distinct word of a block, which
-documents have it and how often. Word counts are sums over those rows; a word's count and log probability
-are joined to its rows once for each block, not for each document, and go back to the block's task, which
-adds them up by document. A frequent word has one row a block, so no key is hot. What is gathered grows
-with the corpus: all distinct words and their counts. Only the piece table, as long as the vocabulary, is
-collected.
+Jobs: every task turns its documents into blocks and writes a row for each distinct word of a block and one row
+that holds which documents have which word and how often. Word counts are sums over the word rows; a word's count
+and log probability are joined to its word rows, one narrow row for each block that has it, and go back to the
+block's task, where they meet the block's own row and are added up by document. What is attached to a word never
+travels with the join, so a frequent word costs one narrow row a block; adaptive execution splits it beyond that.
+What is gathered grows with the corpus: all distinct words and their counts. Only the piece table, as long as the
+vocabulary, is collected.
 
 Null and empty texts are the end alone. A null doc_id counts as the text ''. Repeated rows are learned
 from and scored one by one. Without training documents counts are zero and pieces keep their first
-probabilities. A word of any length is one lattice, linear in its length.
+probabilities. A word of any length is one lattice, linear in its length; the start mark itself, inside a word,
+is spelt in bytes, so no two words share a spelling. An empty table gives no rows. Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, words_in_chunks
+from .common import materialize, read_table, scratch, words_in_chunks
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_WORDS = 3 << 20
@@ -82,9 +85,11 @@ class PieceModel:
         text = START + word.decode("utf-8", "replace")
         get, logp, known = self.begins.get, self.logp, len(self.pieces)
         for start in range(len(text)):
-            if text[start] not in self.index:
+            if text[start] not in self.index or (start and text[start] == START):
                 ids = tuple(known + b for b in text[start].encode())
                 yield start, start + 1, sum(logp[i] for i in ids), ids
+                if text[start] == START:
+                    continue
             for end in range(start + 1, len(text) + 1):
                 if (i := get(text[start:end])) is None:
                     break
@@ -106,8 +111,10 @@ class PieceModel:
                 alpha = top + log(sum([exp(t - top) for t in own]))
             if start == n:
                 break
-            if text[start] not in index:
+            if text[start] not in index or (start and text[start] == START):
                 terms[start + 1].append(alpha + sum([scores[known + b] for b in text[start].encode()]))
+                if text[start] == START:
+                    continue
             for end in range(start + 1, n + 1):
                 if (i := get(text[start:end])) is None:
                     break
@@ -134,11 +141,13 @@ class PieceModel:
         forward, backward = [1.0] + [0.0] * n, [0.0] * n + [1.0]
         for start in range(n):
             here = forward[start]
-            if text[start] not in index:
+            if text[start] not in index or (start and text[start] == START):
                 ids = [known + b for b in text[start].encode()]
                 q = math.prod([p[i] for i in ids])
                 edges.append((start, start + 1, ids, q))
                 forward[start + 1] += here * q
+                if text[start] == START:
+                    continue
             for end in range(start + 1, n + 1):
                 if (i := get(text[start:end])) is None:
                     break
@@ -184,36 +193,39 @@ class PieceModel:
 
 # ---------------------------------------------------------------- blocks of documents by word
 
-#: Which documents of a block have a word (uint16 places) and how often (uint32), as bytes that are never null:
-#: Spark's Arrow writer goes over all nulls since the last value again for every row of a list or binary column.
-BLOCK_SCHEMA = "block long, size int, word binary, train long, docs binary, counts binary, doc_ids binary"
-_ARROW = pa.schema(
-    [("block", pa.int64()), ("size", pa.int32()), ("word", pa.binary()), ("train", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.binary())]
-)
+#: Rows of a block: its words, numbered, with their counts in training documents, and last the block's own row.
+BLOCK_SCHEMA = "block long, number int, word binary, train long, data binary"
+_ARROW = pa.schema([("block", pa.int64()), ("number", pa.int32()), ("word", pa.binary()), ("train", pa.int64()), ("data", pa.binary())])
+#: The number of a block's own row, after all words.
+LAST = 2**31 - 1
 
 
-def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """A binary array whose rows are the bytes of values[starts[i]:starts[i + 1]]."""
-    offsets = (starts * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _unpacked(rows: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """All values of binary rows, and how many each has."""
-    _, offsets, data = rows.buffers()
-    at = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1]
-    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(values).view(kind), np.diff(at) // np.dtype(kind).itemsize
+@dataclass
+class Postings:
+    """A block's own row: of each word in turn, the places of the documents that have it and how often; and
+    of each document its id, whether that is null, whether it is held out, and its length in words."""
 
+    starts: np.ndarray
+    docs: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+    null: np.ndarray
+    held: np.ndarray
+    lengths: np.ndarray
 
-def _ids_bytes(doc_ids: list[int | None], held: list[bool]) -> bytes:
-    """A block's ids, which of them are null, and which documents are held out."""
-    return np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids) + bytes(held)
+    KINDS = ("<i8", "<u2", "<u4", "<i8", "?", "?", "<i8")
 
+    def to_bytes(self) -> bytes:
+        parts = [np.asarray(x, k) for x, k in zip(vars(self).values(), self.KINDS, strict=True)]
+        return np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(p.tobytes() for p in parts)
 
-def _ids_of(data: bytes, n: int) -> tuple[pa.Array, pa.Array]:
-    ids, flags = np.frombuffer(data, "<i8", n), np.frombuffer(data, np.uint8, 2 * n, 8 * n).astype(bool)
-    return pa.array(ids, pa.int64(), mask=flags[:n]), pa.array(flags[n:])
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Postings:
+        sizes, at, parts = np.frombuffer(data, "<i8", len(cls.KINDS)), 8 * len(cls.KINDS), []
+        for n, kind in zip(sizes.tolist(), cls.KINDS, strict=True):
+            parts.append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        return cls(*parts)
 
 
 def _blocks(limit: int) -> Callable:
@@ -226,24 +238,19 @@ def _blocks(limit: int) -> Callable:
         size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            n, number = len(doc_ids), (made << 32) + part
+            n, v, block = len(doc_ids), len(vocabulary), (made << 32) + part
             lengths = np.array([len(x) for x in ids])
             key = np.concatenate(ids).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
             key, counts = np.unique(key, return_counts=True)
-            word, doc = key // n, (key % n).astype("<u2")
-            train = np.bincount(word, counts * ~np.array(held)[doc], len(vocabulary)).astype(np.int64)
-            starts = np.searchsorted(word, np.arange(len(vocabulary) + 1))
-            v = len(vocabulary)
+            word, doc = key // n, key % n
+            train = np.bincount(word, counts * ~np.array(held)[doc], v).astype(np.int64)
+            starts = np.searchsorted(word, np.arange(v + 1))
             if v:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(v, number)), pa.array(np.full(v, n, np.int32)), pa.array(list(vocabulary), pa.binary()), pa.array(train),
-                        _packed(doc, starts), _packed(counts.astype("<u4"), starts), pa.array([b""] * v, pa.binary()),
-                    ],
-                    schema=_ARROW,
-                )
-            head = {"block": number, "size": n, "word": None, "train": n - sum(held), "docs": b"", "counts": lengths.astype("<i8").tobytes(), "doc_ids": _ids_bytes(doc_ids, held)}
-            yield pa.RecordBatch.from_pylist([head], schema=_ARROW)
+                words = pa.array(list(vocabulary), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(v, block)), pa.array(np.arange(v, dtype=np.int32)), words, pa.array(train), pa.array([b""] * v, pa.binary())], schema=_ARROW)
+            own = Postings(starts, doc, counts, [d or 0 for d in doc_ids], [d is None for d in doc_ids], held, lengths)
+            row = {"block": block, "number": LAST, "word": b"", "train": n - sum(held), "data": own.to_bytes()}
+            yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
             for doc_id, is_held, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
@@ -303,45 +310,31 @@ def _word_scores(model: PieceModel) -> Callable:
 
 
 def _gather(total: int, distinct: int, train_docs: int, end_lp: float) -> Callable:
-    """Adds up a block's words by document; rows of a block may come in any order, its head among them."""
+    """Adds up the words of blocks by document; rows come block by block, a block's own row after its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         below = math.log10(total + 0.5 * (distinct + 1))
-        sums: dict[int, np.ndarray] = {}
-        heads: dict[int, dict] = {}
+        end = math.log10(train_docs + 0.5) - below
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            block, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            is_head = np.array(batch.column(2).is_null())
-            for i in np.flatnonzero(is_head).tolist():
-                heads[int(block[i])] = {"ids": batch.column(6)[i].as_py(), "lengths": np.frombuffer(batch.column(5)[i].as_py(), "<i8")}
-            rows = batch.filter(pa.array(~is_head))
-            if not rows.num_rows:
-                continue
-            block, size = block[~is_head], size[~is_head]
-            c, lp = rows.column(2).to_numpy().astype(float), rows.column(3).to_numpy()
-            doc, each = _unpacked(rows.column(4), "<u2")
-            n, _ = _unpacked(rows.column(5), "<u4")
-            base = np.log10(c + 0.5) - below
-            for b in np.unique(block).tolist():
-                own = np.repeat(block == b, each)
-                of = np.repeat(np.arange(len(block)), each)[own]
-                d, k, m = doc[own], n[own], int(size[block == b][0])
-                s = sums.setdefault(b, np.zeros((3, m)))
-                s[0] += np.bincount(d, k * (c[of] > 0), m)
-                s[1] += np.bincount(d, k * base[of], m)
-                s[2] += np.bincount(d, k * lp[of], m)
-        for b, head in heads.items():
-            m = len(head["lengths"])
-            ids, held = _ids_of(head["ids"], m)
-            known, base, score = sums.pop(b, np.zeros((3, m)))
-            end = math.log10(train_docs + 0.5) - below
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, held, pa.array(head["lengths"] + 1), pa.array(known.astype(np.int64) + (train_docs > 0)),
-                    pa.array(np.full(m, total)), pa.array(base + end), pa.array(score + end_lp),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            number, c, lp = (batch.column(k).to_numpy() for k in (1, 2, 3))
+            at = 0
+            for last in np.flatnonzero(number == LAST).tolist():
+                held.append((c[at:last], lp[at:last]))
+                at = last + 1
+                own, known, scores = Postings.from_bytes(batch.column(4)[last].as_py()), *map(np.concatenate, zip(*held, strict=True))
+                held, m, each = [], len(own.lengths), np.diff(own.starts)
+                if len(known) != len(each):
+                    raise ValueError(f"a block of {len(each)} words got {len(known)}")
+                add = lambda x, own=own, each=each, m=m: np.bincount(own.docs, own.counts * np.repeat(x, each), m)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(own.ids, pa.int64(), mask=own.null), pa.array(own.held), pa.array(own.lengths + 1), pa.array(add(known > 0).astype(np.int64) + (train_docs > 0)),
+                        pa.array(np.full(m, total)), pa.array(add(np.log10(known + 0.5) - below) + end), pa.array(add(scores) + end_lp),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+            held.append((c[at:], lp[at:]))
 
     return run
 
@@ -350,23 +343,21 @@ def score_documents(docs: DataFrame, path: str | None = None, block_words: int =
     """One row for each row of docs: fold, token counts, base score and lattice score."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", held_out().alias("held"), F.col("text").cast("binary").alias("text"))
-    blocks = materialize(rows.mapInArrow(_blocks(block_words), BLOCK_SCHEMA))
-    own = blocks.where(F.col("word").isNotNull())
-    heads = blocks.where(F.col("word").isNull())
-    words = materialize(own.groupBy("word").agg(F.sum("train").alias("c")))
-    train_docs = heads.agg(F.sum("train")).first()[0] or 0
-    n_words, seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    model = fit(words, train_docs, path or vocabulary_path(), rounds)
-    scored = materialize(words.mapInArrow(_word_scores(model), "word binary, c long, lp double"))
-    found = own.select("block", "size", "word", "docs", "counts", "doc_ids").join(scored, "word")
-    found = found.select("block", "size", "c", "lp", "docs", "counts", "doc_ids")
-    none = F.lit(None)
-    found = found.unionByName(heads.select("block", "size", none.cast("long").alias("c"), none.cast("double").alias("lp"), "docs", "counts", "doc_ids"))
-    # Blocks count up within tasks: the low half of a block's number is its task.
-    place = F.pmod(F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftright("block", 32) * 31, F.lit(n)).cast("int")
-    dealt = found.repartitionById(n, place)
-    gather = _gather(n_words + train_docs, seen + (train_docs > 0), train_docs, float(model.logp[-1]) / LOG10)
-    return dealt.mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    with scratch(docs.sparkSession) as keep:
+        blocks = materialize(rows.mapInArrow(_blocks(block_words), BLOCK_SCHEMA))
+        own, last = blocks.where(F.col("number") < LAST).select("block", "number", "word", "train"), blocks.where(F.col("number") == LAST)
+        words = materialize(own.groupBy("word").agg(F.sum("train").alias("c")))
+        train_docs = last.agg(F.sum("train")).first()[0] or 0
+        n_words, seen = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+        model = fit(words, train_docs, path or vocabulary_path(), rounds)
+        scored = materialize(words.mapInArrow(_word_scores(model), "word binary, c long, lp double"))
+        found = own.select("block", "number", "word").join(scored, "word").select("block", "number", "c", "lp", F.lit(b"").alias("data"))
+        found = found.unionByName(last.select("block", "number", F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("lp"), "data"))
+        # Blocks count up within tasks: the low half of a block's number is its task.
+        place = F.pmod(F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftright("block", 32) * 31, F.lit(n)).cast("int")
+        dealt = found.repartitionById(n, place).sortWithinPartitions("block", "number")
+        gather = _gather(n_words + train_docs, seen + (train_docs > 0), train_docs, float(model.logp[-1]) / LOG10)
+        return keep(dealt.mapInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
