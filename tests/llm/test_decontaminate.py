@@ -38,8 +38,8 @@ def fixture():
 def results(spark, docs, items, **kw):
     table = spark.createDataFrame([(i, t, "s") for i, t in docs], SCHEMA)
     found = d.contamination(table, spark.createDataFrame(items, "item_id long, text string"), **kw)
-    assert found.columns == ["doc_id", "text", "spans", "__match"]
-    rows = found.select("doc_id", "text", "__match.*").collect()
+    assert found.columns == ["row", "match"] and found.select("row.*").columns == table.columns
+    rows = found.select("row.doc_id", "row.text", "match.*").collect()
     return sorted((str(r.doc_id), str(r.text), r.n_words, sum(s.end - s.start for s in r.spans), len(r["items"]), hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest()) for r in rows)
 
 
@@ -48,6 +48,25 @@ def test_against_brute_force(spark):
     want = sorted((str(i), str(t), *plain(t, items)) for i, t in docs)
     assert results(spark, docs, items) == want
     assert results(spark, docs, items, block_words=40) == want  # several blocks of items
+    assert results(spark, docs, items, block_words=26) == want  # items longer than a block
+
+
+def test_no_block_is_over_its_bound(spark):
+    items = [(1, " ".join(f"w{i}" for i in range(1000))), (2, "a b c"), (3, " ".join(f"v{i}" for i in range(100)))]
+    blocks = list(d._blocks(spark.createDataFrame(items, "item_id long, text string"), 100))
+    assert all(len(b.vocabulary) <= 100 for b in blocks)
+    windows = {tuple(sorted(b.vocabulary, key=b.vocabulary.get)[i - 1] for i in w) for b in blocks for ws, _ in b.windows for w in ws.tolist()}
+    want = {tuple(w[i : i + 13]) for _, t in items for w in [t.encode().split()] for i in range(max(1, len(w) - 12))}
+    assert windows == want
+
+
+def test_clashing_names(spark):
+    names = ["row", "match", "m", "d", "h", "s", "i", "__match"]
+    docs, items = fixture()
+    table = spark.createDataFrame([(i, t, *names) for i, t in docs], ", ".join(["doc_id long, text string"] + [f"{n} string" for n in names]))
+    for words in (1 << 20, 40):
+        kept = d.contamination(table, spark.createDataFrame(items, "item_id long, text string"), words).where(~d.contaminated()).select("row.*")
+        assert kept.columns == table.columns and {tuple(r)[2:] for r in kept.collect()} == {tuple(names)}
 
 
 def test_small_shards_and_long_texts(monkeypatch):

@@ -1,6 +1,9 @@
+import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from voxledger.llm import quotations as t
 
 SCHEMA = "conv_id long, turn long, role string, text string, root string, level string"
@@ -15,7 +18,9 @@ def plain(messages):
             marks = re.match(r"[ \t]*((?:>[ \t]?)+)", line)
             body = line[marks.end() :] if marks else line
             out.append((marks.group(1).count(">") if marks else 0, re.sub(r"[\W_]+", " ", body.lower()).strip()))
-        return [(n, p) for n, p in out if len(p.split(" ")) >= 3]
+        runs = [list(g) for _, g in itertools.groupby(out, key=lambda x: (x[0], x[1] == ""))]
+        out += [(run[0][0], " ".join(p for _, p in run)) for run in runs if len(run) > 1]
+        return [(n, p) for n, p in out if p.strip()]
 
     first = {}
     for conv, turn, _, text, *_ in messages:
@@ -28,8 +33,8 @@ def plain(messages):
         for n, p in lines(text):
             o = first.get((conv, p))
             if turn is not None and n and o is not None and o < turn:
-                best[conv, turn] = max(best.get((conv, turn), (-99, 0)), (-n, o))
-    reply = {m: o for m, (_, o) in best.items()}
+                best[conv, turn] = max(best.get((conv, turn), (False, -99, 0)), (len(p.split(" ")) >= 3 or len(p) >= 12, -n, o))
+    reply = {m: o for m, (*_, o) in best.items()}
 
     def root(conv, turn):
         while (conv, turn) in reply:
@@ -65,10 +70,10 @@ def test_against_plain(spark):
     want = plain(rows)
     assert sum(w[0] is not None for w in want.values()) > 20
     for r in got:
-        assert (r["__reply_to"], r["__root"]) == want[r["conv_id"], r["turn"]]
+        assert (r["reply_to"], r["root"]) == want[r["row"]["conv_id"], r["row"]["turn"]]
     by = {}
     for r in got:
-        by.setdefault(r["conv_id"], []).append((r["__position"], r["__root"] if r["__root"] is not None else -1, r["turn"] if r["turn"] is not None else -1))
+        by.setdefault(r["row"]["conv_id"], []).append((r["position"], r["root"] if r["root"] is not None else -1, r["row"]["turn"] if r["row"]["turn"] is not None else -1))
     for own in by.values():
         own.sort()
         assert [p for p, *_ in own] == list(range(1, len(own) + 1))
@@ -78,15 +83,50 @@ def test_against_plain(spark):
 def test_clean_text(spark):
     text = "Hi,\nOn Tuesday, Kim wrote:\n> old words here\n> > older words there\n\nMy answer > yours\nHe wrote:\nno quote follows"
     row = t.threads(spark.createDataFrame([(1, 0, "user", text, "r", "l")], SCHEMA)).first()
-    assert row["__clean"] == "Hi,\n\nMy answer > yours\nHe wrote:\nno quote follows"
-    assert (row["__n_quoted"], row["__levels"], row["__n_linked"], row["root"]) == (2, 2, 0, "r")
+    assert row["clean"] == "Hi,\n\nMy answer > yours\nHe wrote:\nno quote follows"
+    assert (row["n_quoted"], row["levels"], row["n_linked"], row["row"]["root"]) == (2, 2, 0, "r")
 
 
 def test_long_chain_and_hot_conversation(spark):
     rows = [(1, 0, "u", "message number 0", "r", "l")] + [(1, i, "u", f"> message number {i - 1}\nmessage number {i}", "r", "l") for i in range(1, 300)]
     got = t.threads(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert {r["__root"] for r in got} == {0}
-    assert [r["turn"] for r in sorted(got, key=lambda r: r["__position"])] == list(range(300))
+    assert {r["root"] for r in got} == {0}
+    assert [r["row"]["turn"] for r in sorted(got, key=lambda r: r["position"])] == list(range(300))
+
+
+def test_wrapped_and_short_quotes_are_linked(spark):
+    first = "The quick brown fox jumps over\nthe lazy dog and runs away\n\nSecond paragraph here"
+    again = "> The quick brown fox\n> jumps over the lazy dog\n> and runs away\nIndeed."
+    rows = [(1, 0, "u", first), (1, 1, "a", "Unrelated words"), (1, 2, "u", again), (1, 3, "a", "> Indeed\nGood"), (1, 4, "u", ">good\n> unrelated WORDS\n好的"), (1, 5, "a", "> 好的")]
+    got = {r["row"]["turn"]: (r["reply_to"], r["root"]) for r in t.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0), 1: (None, 1), 2: (0, 0), 3: (2, 0), 4: (1, 1), 5: (4, 1)}
+
+
+def test_one_conversation_and_rows_without_turn_are_dealt_over_tasks(spark):
+    """All rows are of one conversation, half of them without a turn and some equal: no bucket holds most."""
+    n = 4000
+    rows = spark.range(n).select(F.lit(5).alias("conv_id"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("turn"), F.lit("u").alias("role"), F.concat(F.lit("text "), F.floor(F.col("id") / 3)).alias("text"))
+    seen, real = [], t.running_sum
+
+    def spy(df, *rest):
+        seen.append(df.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+        return real(df, *rest)
+
+    t.running_sum = spy
+    try:
+        got = t.threads(rows).collect()
+    finally:
+        t.running_sum = real
+    assert seen[0] < 0.6 * n
+    assert sorted(r["position"] for r in got) == list(range(1, n + 1))
+    assert {r["row"]["turn"] for r in got if r["position"] <= n // 2} == {None}
+
+
+def test_clashing_names_and_a_long_text(spark):
+    names = ["c", "t", "t0", "h", "row", "n", "root", "position", "clean"]
+    table = spark.createDataFrame([(1, i, "u", "some words\n" * (100_000 if i == 1 else 2), *names) for i in range(3)], ["conv_id", "turn", "role", "text", *names])
+    got = t.threads(table).collect()
+    assert sorted((r["position"], r["row"]["turn"], r["row"]["root"]) for r in got) == [(1, 0, "root"), (2, 1, "root"), (3, 2, "root")]
 
 
 def test_empty_table(spark):

@@ -10,14 +10,15 @@ locations of its verbatim matches. Matches that overlap or touch are joined to t
 that no item has end a suffix, and stretches between them that are shorter than the shortest window
 can't hold a match, so those suffixes are left out of the array.
 
-The items are taken in blocks of at most `block_words` words; only one block is on the driver and sent to
-the executors at a time, so both stay within that bound however large the benchmark is. Documents never
-leave their task: no shuffle.
+The items are taken in blocks of at most `block_words` words, longer items in pieces that overlap by a window less
+one word; only one block is on the driver and sent to the executors at a time, so both stay within that bound
+however large the benchmark is. Documents never leave their task: no shuffle.
 
 Null and empty texts have no words and are not contaminated. Items without words are ignored. An item
 without an id still hits words but is not counted among the items; rows of one item id are one item.
 Repeated documents are judged one by one. A very long text is searched in stretches that overlap by a
-window less one word.
+window less one word. An empty table of documents gives no rows; without items nothing is contaminated. Other
+columns, whatever their names, stay in the struct `row`; drop_contaminated() returns the columns of docs.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .common import materialize, read_table, words_in_chunks
+from .common import materialize, packed, read_table, words_in_chunks
 
 WINDOW = 13
 SHARD_WORDS = 1 << 20
@@ -203,14 +204,18 @@ def _match_column(spark: SparkSession, text: Column, block: Block) -> Column:
 
 def _blocks(items: DataFrame, block_words: int) -> Iterator[Block]:
     held: list[tuple[str | None, list[bytes]]] = []
-    size = 0
+    size, block_words = 0, max(block_words, 2 * WINDOW)
     for r in items.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
-        if words := item_words(r[1] and bytes(r[1])):
-            if held and size + len(words) > block_words:
+        words, step = item_words(r[1] and bytes(r[1])), block_words - WINDOW + 1
+        for at in range(0, len(words), step):
+            if at and len(words) - at < WINDOW:
+                break  # the piece before holds the last window
+            piece = words[at : at + block_words]
+            if held and size + len(piece) > block_words:
                 yield Block.of(held)
                 held, size = [], 0
-            held.append((r[0], words))
-            size += len(words)
+            held.append((r[0], piece))
+            size += len(piece)
     if held:
         yield Block.of(held)
 
@@ -226,29 +231,28 @@ def _hit(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with a struct column `__match` (n_words, spans, items): the longest verbatim matches of each
-    document with their places, and the ids of the items with windows in it."""
+    """row (the columns of docs) and match (n_words, spans, items) of every row: the longest verbatim matches
+    of each document with their places, and the ids of the items with windows in it."""
     spark, blocks = docs.sparkSession, _blocks(items, block_words)
-    first = next(blocks, None)
+    first, text = next(blocks, None), F.col("text")
     if first is None:
-        none = F.struct(_count(F.col("text")).alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
-        return docs.withColumn("__match", none)
-    base = docs.withColumn("__match", _match_column(spark, F.col("text"), first))
-    later = [_match_column(spark, F.col("text"), b) for b in blocks]
+        return docs.select(packed(docs), F.struct(_count(text).alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")).alias("match"))
+    later = [_match_column(spark, text, b) for b in blocks]
     if not later:
-        return base
+        return docs.select(packed(docs), _match_column(spark, text, first).alias("match"))
     # Matches of later blocks are gathered by document and joined: equal rows have equal matches.
-    key = [F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h")]
+    key = [F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")]
     more = None
     for column in later:
         one = docs.select(*key, column.alias("m")).where(F.size("m.spans") > 0)
-        one = materialize(one.select("__d", "__h", "m.spans", "m.items").dropDuplicates(["__d", "__h"]))
+        one = materialize(one.select("d", "h", "m.spans", "m.items").dropDuplicates(["d", "h"]))
         more = one if more is None else more.unionByName(one)
-    more = more.groupBy("__d", "__h").agg(F.flatten(F.collect_list("spans")).alias("__s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__i"))
-    both = base.join(materialize(more), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h")), "left")
-    m, s, i = F.col("__match"), F.col("__s"), F.col("__i")
+    more = more.groupBy(F.col("d").alias("d2"), F.col("h").alias("h2")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+    base = docs.select(packed(docs), *key, _match_column(spark, text, first).alias("m"))
+    both = base.join(materialize(more), F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
+    m, s, i = F.col("m"), F.col("s"), F.col("i")
     full = F.when(s.isNull(), m).otherwise(F.struct(m["n_words"].alias("n_words"), _join_spans(F.concat(m["spans"], s)).alias("spans"), F.array_sort(F.array_union(m["items"], i)).alias("items")))
-    return both.withColumn("__match", full).drop("__d", "__h", "__s", "__i")
+    return both.select("row", full.alias("match"))
 
 
 def _count(text: Column) -> Column:
@@ -256,20 +260,20 @@ def _count(text: Column) -> Column:
 
 
 def contaminated() -> Column:
-    n = _hit(F.col("__match.spans"))
-    return (n > 0) & (20 * n >= F.col("__match.n_words"))
+    n = _hit(F.col("match.spans"))
+    return (n > 0) & (20 * n >= F.col("match.n_words"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    longest = F.coalesce(F.array_max(F.transform("__match.spans", lambda s: s["end"] - s["start"])), F.lit(0)).cast("long")
+    longest = F.coalesce(F.array_max(F.transform("match.spans", lambda s: s["end"] - s["start"])), F.lit(0)).cast("long")
     return found.select(
-        "doc_id",
-        F.col("__match.n_words").alias("n_words"),
-        _hit(F.col("__match.spans")).alias("n_hit"),
-        F.size("__match.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("__match.items"), ","), 256).alias("items_sha256"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("match.n_words").alias("n_words"),
+        _hit(F.col("match.spans")).alias("n_hit"),
+        F.size("match.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("match.items"), ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
         longest.alias("longest_match"),
     )
@@ -277,7 +281,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline stage: documents that are not contaminated stay, columns unchanged."""
-    return contamination(docs, items).where(~contaminated()).drop("__match")
+    return contamination(docs, items).where(~contaminated()).select("row.*")
 
 
 ORACLE = r"""
