@@ -13,7 +13,7 @@ def model(spark, medium):
 
 def test_held_out_accuracy(model):
     prose = [[f"word{(i * j) % 91}".encode() for j in range(12)] for i in range(1, 60)]
-    words, family = c.training_set(prose, seed=99, per_template=10)
+    words, family, _ = c.training_set(prose, seed=99, per_template=10)
     p = model.probabilities(words)
     assert (np.argmax(p, axis=1) == family).mean() > 0.9
     assert np.allclose(p.sum(axis=1), 1)
@@ -35,11 +35,84 @@ def test_lines(model, line, family):
 
 def test_every_notice_of_the_corpus_is_found_and_no_other(spark, medium, model):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
-    known = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc"}
+    known = {"Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "proprietary"}
     got = {r.doc_id: {x.family for x in r.licenses} for r in c.scan_documents(spark.read.parquet(f"{medium}/documents.parquet"), model).collect()}
     assert got == {d: {f for line, f in known.items() if line in t.split("\n")} for d, t in docs.items()}
 
 
+BSD = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+GPL = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License."]
+MIT = ["Permission is hereby granted, free of charge, to any person obtaining a", "copy of this software and associated documentation files"]
+
+
+@pytest.mark.parametrize(("lines", "family"), [(BSD, "bsd"), (GPL, "gpl"), (MIT, "mit")])
+def test_wrapped_notices(model, lines, family):
+    text = "\n".join(["Some prose stands here first.", *lines, "", "And more prose follows the notice."])
+    found = c.scan([text.encode()], model)[0]["licenses"]
+    assert [x["family"] for x in found] == [family]
+    assert 1 <= found[0]["line"] <= found[0]["line"] + found[0]["lines"] - 1 <= len(lines)
+    apart = "\n\n".join(lines)  # blank lines part paragraphs
+    assert all(x["lines"] == 1 for x in c.scan([apart.encode()], model)[0]["licenses"])
+
+
+def test_templates_that_a_model_has_not_seen_stay_unknown_or_right(spark, medium):
+    """Calibration is by template: models of one half of the templates, on the other half."""
+    rows = spark.read.parquet(f"{medium}/documents.parquet").selectExpr("explode(split(text, '\n')) AS line").limit(1500).collect()
+    words, family, half = c.training_set([p for r in rows if (p := r["line"].encode().translate(c.WORDS).split())])
+    for part in (0, 1):
+        seen, unseen = np.flatnonzero(half == part), np.flatnonzero(half != part)
+        model = c.fit([words[i] for i in seen], family[seen])
+        model.temperature = c.temperature(model, [words[i] for i in unseen], family[unseen])
+        p = model.probabilities([words[i] for i in unseen])
+        truth = family[unseen]
+        sure = p.max(axis=1) >= 0.9
+        assert (np.argmax(p, axis=1) == truth)[sure].mean() > 0.8
+        assert (np.argmax(p, axis=1) == 0)[truth == 0].mean() > 0.9
+
+
+def plain_scan(text, model):
+    """The same by its definition: one line, then one run of lines, at a time."""
+    lines = [p.split() for p in (text or b"").translate(c.WORDS).split(b"\n")]
+
+    def probabilities(words):
+        features, _ = c.paragraph_features([words])
+        z = sum(model.weights[f].astype(float) for f in features) / np.sqrt(len(features)) + model.bias
+        e = np.exp((z - z.max()) / model.temperature)
+        return e / e.sum()
+
+    def verdict(words):
+        p = probabilities(words)
+        k = 1 + int(np.argmax(p[1:]))
+        pairs = set(zip(words, words[1:], strict=False))
+        shares = [len(pairs & set(zip(t, t[1:], strict=False))) / len(set(zip(t, t[1:], strict=False))) for t in (x.encode().translate(c.WORDS).split() for x in c.TEMPLATES[c.FAMILIES[k]])]
+        return c.FAMILIES[k] if p[k] >= c.MIN_PROBABILITY and max(shares) >= c.CONFIRM else None
+
+    found = {(i, 1): v for i, w in enumerate(lines) if w and (v := verdict(w))}
+    taken = {i for i, _ in found}
+    for n in range(2, c.WRAP + 1):
+        for a in range(len(lines) - n + 1):
+            run = range(a, a + n)
+            if all(lines[k] for k in run) and not taken.intersection(run) and any(probabilities(lines[k])[1:].max() >= c.SEED for k in run):
+                if v := verdict([w for k in run for w in lines[k]]):
+                    found[a, n] = v
+                    taken.update(run)
+    return sorted((a, n, v) for (a, n), v in found.items())
+
+
+def test_query_against_plain(spark, small):
+    """Every document of the smallest table, and texts with wrapped notices, against the plain version."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = c.train(docs)
+    texts = {r.doc_id: r.text.encode() for r in docs.collect()}
+    got = {r.doc_id: sorted((x.line, x.lines, x.family) for x in r.licenses) for r in c.scan_documents(docs, model).collect()}
+    assert got == {d: plain_scan(t, model) for d, t in texts.items()}
+    odd = ["\n".join(x).encode() for x in (BSD, [*GPL, *MIT], ["Licensed under", "the MIT", "license."], [*BSD, "", *BSD], ["x", *MIT, "All rights reserved."])]
+    for text, x in zip(odd, c.scan(odd, model), strict=True):
+        assert sorted((y["line"], y["lines"], y["family"]) for y in x["licenses"]) == plain_scan(text, model)
+    rows = {r.doc_id: (r.n_licenses, r.families) for r in c.op4_license_scan(spark, small).collect()}
+    assert rows == {d: (len(v), ",".join(sorted({f for *_, f in v}))) for d, v in got.items()}
+
+
 def test_nulls_empties_and_clashing_columns(spark, model):
     rows = [(None, None, "x", "y"), (1, "", "x", "y"), (2, "\n\n", "x", "y"), (3, "Released under the MIT License.", "x", "y"), (3, "Released under the MIT License.", "x", "y"), (4, "w " * 600_000 + "\nReleased under the MIT License.", "x", "y")]
     got = c.scan_documents(spark.createDataFrame(rows, DOCS), model).collect()

@@ -47,6 +47,56 @@ def test_nulls_empties_ties_and_clashing_columns(spark):
     assert kept.columns == table.columns and kept.count() == 22
 
 
+def test_severity_follows_how_bad_a_text_is(spark):
+    """Labels say only toxic or not; texts unseen in training get grades in the order of how many bad words they hold."""
+    rng = np.random.default_rng(4)
+    bad, good = [f"vile{chr(97 + i)}" for i in range(12)], [f"calm{chr(97 + i)}" for i in range(20)]
+
+    def text(k):
+        words = [*rng.choice(good, 15), *rng.choice(bad, k, replace=False)]
+        return " ".join(rng.permutation(words))
+
+    amount = [int(x) for x in rng.choice([0, 0, 0, 1, 2, 3, 5, 8, 11], 400)]
+    table = spark.createDataFrame([(i, text(k), "x", "en") for i, k in enumerate(amount)], DOCS)
+    labels = spark.createDataFrame([(i, int(k > 0)) for i, k in enumerate(amount) if i % 2], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity.grades(table, toxicity.train(table, labels)).collect() if r.doc_id % 2 == 0}
+    means = [np.mean([rows[i].expected_severity for i in rows if amount[i] == k]) for k in sorted(set(amount))]
+    assert means == sorted(means) and means[0] < 0.3 and means[-1] > 2
+    pairs = np.array([(amount[i], r.expected_severity) for i, r in rows.items()])
+    ranks = pairs.argsort(axis=0, kind="stable").argsort(axis=0)
+    assert np.corrcoef(ranks.T)[0, 1] > 0.9
+    grades = {k: np.mean([rows[i].grade for i in rows if amount[i] == k]) for k in (0, 1, 11)}
+    assert grades[0] < grades[1] < grades[11]
+
+
+def test_query_against_plain(spark, small):
+    """Scores of the query, recomputed from the model's weights document by document."""
+    import math
+    import re
+
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.op9_toxicity(spark, small).collect()}
+    assert len(got) == docs.count()
+    for d in docs.collect():
+        lowered = "".join(c.lower() if c.isascii() else c for c in d.text or "")
+        words = {w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)}
+        score = sum(model.weights.get(f, 0.0) for f in words | {b"^" + w[: toxicity.STEM] for w in words})
+        p = [1 / (1 + math.exp(t - score)) for t in model.thetas]
+        each = [1 - p[0], p[0] - p[1], p[1] - p[2], p[2]]
+        r = got[d.doc_id]
+        assert abs(r.expected_severity - sum(p)) < 1e-9 and r.toxic == (p[0] >= toxicity.REJECT) and r.grade == each.index(max(each))
+
+
+def test_clashing_names_and_a_long_text(spark):
+    names = ["p", "toxic", "features", "__id", "__text", "__toxic", "f"]
+    table = spark.createDataFrame([(i, ("vile " if i % 2 else "calm ") * (300_000 if i == 5 else 3) + f"w{i}", *names) for i in range(40)], ["doc_id", "text", *names])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(table, labels)
+    assert kept.columns == table.columns
+    assert {r.doc_id for r in kept.collect()} == set(range(0, 40, 2))
+
+
 def test_without_labels_nothing_is_toxic(spark):
     table = spark.createDataFrame([(1, "a b", "x", "en")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -1,17 +1,22 @@
 """Operator 4: licence scans with a paragraph classifier.
 
-A paragraph is a line of text. Multinomial logistic regression over hashed word and word-pair features
-gives each paragraph a probability for every licence family and for `unknown`. It is trained here on
-variants of the family templates (words dropped, prose around them, words swapped), and, as unknown, on
-prose of the corpus (at most `sample_paragraphs` paragraphs of `sample_docs` documents: documented bounds) and on licence-like sentences
-whose family words have been replaced. A temperature fitted on a held-out part calibrates it. A
-paragraph counts as a licence if some family has MIN_PROBABILITY or more and a template of that family
-confirms it: CONFIRM or more of the template's word pairs are in the paragraph.
-
-All paragraphs of all documents are classified, over whole texts. Scoring is row by row; nothing is shuffled.
-
-Null and empty texts have no paragraphs. Repeated rows are scanned one by one and alike. An empty corpus
-still trains, on templates and word-like noise.
+A paragraph is a line of text, or a notice that was wrapped over up to WRAP neighbouring lines. Multinomial logistic
+regression over hashed word and word-pair features gives each paragraph a probability for every licence family and
+for `unknown`. It is trained here on variants of the family templates (words dropped, prose around them, parts of
+long ones), and, as unknown, on prose of the corpus (at most `sample_paragraphs` paragraphs of `sample_docs`
+documents: documented bounds) and on licence-like sentences whose family words have been replaced. A temperature
+calibrates it: it is fitted on variants of every other template of each family, and prose, that a model of the rest
+has not seen. A paragraph counts as a licence if some family has MIN_PROBABILITY or more and a template of that
+family confirms it: CONFIRM or more of the template's word pairs are in the paragraph.
+
+Lines are classified one by one. Around each line that isn't confirmed though a family has SEED or more, runs of 2 to
+WRAP lines without a blank one are classified too, the shortest first; a run that is confirmed is reported at its
+first line. All paragraphs of all documents are classified, over whole texts. Scoring is row by row; nothing is
+shuffled.
+
+Null and empty texts have no paragraphs. Repeated rows are scanned one by one and alike. An empty corpus still
+trains, on templates and word-like noise, and gives no rows. Columns but doc_id and text, whatever their names, are
+not read. Texts are classified some 500,000 words at a time, but never cut within a run of lines.
 """
 
 from __future__ import annotations
@@ -35,6 +40,9 @@ SAMPLE_DOCS = 400
 SAMPLE_PARAGRAPHS = 4000
 MIN_PROBABILITY = 0.5
 CONFIRM = 0.6
+#: A notice may be wrapped over so many lines, one of which has a family of this probability.
+WRAP = 4
+SEED = 0.1
 UNKNOWN = "unknown"
 
 #: Notices by which licence families are declared.
@@ -73,7 +81,7 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without permission.", "Copyright reserved; redistribution is prohibited without written permission."],
+    "proprietary": ["All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission.", "Copyright reserved; redistribution is prohibited without written permission."],
     "public-domain": ["This work is dedicated to the public domain under CC0 1.0.", "This text is in the public domain."],
 }
 FAMILIES = [UNKNOWN, *sorted(TEMPLATES)]
@@ -138,41 +146,54 @@ def containment(family: str, words: list[bytes]) -> float:
     return max(len(p & own) / len(p) for p in _TEMPLATE_PAIRS[family])
 
 
-def training_set(prose: list[list[bytes]], seed: int = 7, per_template: int = 120) -> tuple[list[list[bytes]], np.ndarray]:
-    """Paragraphs and family numbers: variants of templates, prose, and notices of no known family."""
+def _parity(template: int) -> int:
+    return template % 2
+
+
+def training_set(prose: list[list[bytes]], seed: int = 7, per_template: int = 90) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Paragraphs, family numbers and halves: variants of templates, prose, and notices of no known family.
+    Every other template of a family, and every other piece of prose, is in half 1."""
     rng = np.random.default_rng(seed)
     prose = [p for p in prose if p] or [[b"lorem", b"text", b"of", b"no", b"licence"]]
-    words, family = [], []
+    words, family, half = [], [], []
     common = re.compile(rb"(?i)license|licensed|under|the|released|this|work|is|a|an|version|of|terms|in|to")
+
+    def add(paragraph: list[bytes], of: int, part: int) -> None:
+        words.append(paragraph)
+        family.append(of)
+        half.append(part)
+
     for f, ts in TEMPLATES.items():
-        for t in ts:
-            base = t.encode().translate(WORDS).split()
+        for number, t in enumerate(ts):
+            base, part = t.encode().translate(WORDS).split(), _parity(number)
             for i in range(per_template):
                 keep = [w for w in base if rng.random() > 0.06] or base
+                if len(keep) > 11 and i % 4 == 3:  # a line of a wrapped notice
+                    n = int(rng.integers(len(keep) * 2 // 5, len(keep)))
+                    at = int(rng.integers(len(keep) - n + 1))
+                    keep = keep[at : at + n]
                 around = prose[int(rng.integers(len(prose)))]
                 cut = int(rng.integers(0, 9)) if i % 3 else 0
-                words.append(around[:cut] + keep + around[cut : cut + int(rng.integers(0, 5)) * (i % 2)])
-                family.append(FAMILIES.index(f))
+                add(around[:cut] + keep + around[cut : cut + int(rng.integers(0, 5)) * (i % 2)], FAMILIES.index(f), part)
                 if i % 3 == 0:  # the same notice with its telling words replaced
                     pool = prose[int(rng.integers(len(prose)))]
-                    words.append([w if common.fullmatch(w) else pool[int(rng.integers(len(pool)))] for w in base])
-                    family.append(0)
-    for p in prose:
-        words.append(p)
-        family.append(0)
-    return words, np.array(family)
+                    other = [w if common.fullmatch(w) else pool[int(rng.integers(len(pool)))] for w in base]
+                    if other != base:
+                        add(other, 0, part)
+    for i, p in enumerate(prose):
+        add(p, 0, i % 2)
+    return words, np.array(family), np.array(half)
 
 
-def fit(words: list[list[bytes]], family: np.ndarray, epochs: int = 30, l2: float = 1e-5, seed: int = 7) -> LicenseModel:
-    """Adagrad on mini-batches; a tenth is held out to fit the temperature."""
+def fit(words: list[list[bytes]], family: np.ndarray, epochs: int = 15, l2: float = 1e-5, seed: int = 7) -> LicenseModel:
+    """Adagrad on mini-batches."""
     rng = np.random.default_rng(seed)
-    n, k = len(words), len(FAMILIES)
+    k = len(FAMILIES)
     features, lengths = paragraph_features(words)
     starts = np.cumsum(lengths) - lengths
-    held = rng.random(n) < 0.1
-    train = np.flatnonzero(~held & (lengths > 0))
     w, b = np.zeros((BUCKETS, k)), np.zeros(k)
     gw, gb = np.full((BUCKETS, k), 1e-6), np.full(k, 1e-6)
+    train = np.flatnonzero(lengths > 0)
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(train), max(1, len(train) // 256)):
             cols = np.concatenate([features[starts[r] : starts[r] + lengths[r]] for r in rows])
@@ -190,13 +211,26 @@ def fit(words: list[list[bytes]], family: np.ndarray, epochs: int = 30, l2: floa
             w[used] -= 0.5 * step / np.sqrt(gw[used])
             gb += g.mean(axis=0) ** 2
             b -= 0.5 * g.mean(axis=0) / np.sqrt(gb)
-    model = LicenseModel(w.astype(np.float32), b)
-    check = np.flatnonzero(held & (lengths > 0))
-    if len(check):
-        logits = np.log(model.probabilities([words[i] for i in check]) + 1e-12)
-        grid = np.linspace(0.5, 4, 36)
-        loss = [-np.log(softmax(logits / t)[np.arange(len(check)), family[check]] + 1e-12).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
+    return LicenseModel(w.astype(np.float32), b)
+
+
+def temperature(model: LicenseModel, words: list[list[bytes]], family: np.ndarray) -> float:
+    """The temperature under which the model's probabilities of unseen paragraphs have the least log loss."""
+    logits = np.log(model.probabilities(words) + 1e-12)
+    grid = np.linspace(0.5, 2, 16)
+    loss = [-np.log(softmax(logits / t)[np.arange(len(words)), family] + 1e-12).mean() for t in grid]
+    return float(grid[int(np.argmin(loss))])
+
+
+def fit_calibrated(words: list[list[bytes]], family: np.ndarray, half: np.ndarray) -> LicenseModel:
+    """Fit on all paragraphs, with the mean temperature of two models that have seen one half each."""
+    found = []
+    for part in (0, 1):
+        seen, unseen = np.flatnonzero(half == part), np.flatnonzero(half != part)
+        model = fit([words[i] for i in seen], family[seen])
+        found.append(temperature(model, [words[i] for i in unseen], family[unseen]))
+    model = fit(words, family)
+    model.temperature = sum(found) / len(found)
     return model
 
 
@@ -208,31 +242,63 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_paragraphs: in
     lines = own.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.trim("line") != "")
     rows = lines.orderBy(F.xxhash64("line"), "line").limit(sample_paragraphs).collect()
     prose = [r["line"].encode().translate(WORDS).split() for r in rows]
-    return fit(*training_set([p for p in prose if p and max(containment(f, p) for f in TEMPLATES) < 0.3]))
+    return fit_calibrated(*training_set([p for p in prose if p and max(containment(f, p) for f in TEMPLATES) < 0.3]))
 
 
 FOUND = T.StructType(
     [
         T.StructField("n_paragraphs", T.LongType()),
-        T.StructField("licenses", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("match", T.DoubleType())]))),
+        T.StructField("licenses", T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("match", T.DoubleType()), T.StructField("lines", T.LongType())]))),
     ]
 )
-_LICENSE = pa.struct([("line", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("match", pa.float64())])
+_LICENSE = pa.struct([("line", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("match", pa.float64()), ("lines", pa.int64())])
 _FOUND = pa.struct([("n_paragraphs", pa.int64()), ("licenses", pa.list_(_LICENSE))])
 
 
+def confirmed(words: list[list[bytes]], p: np.ndarray) -> dict[int, dict]:
+    """Of each paragraph that is a licence: its family, probability and share of the template."""
+    best = 1 + np.argmax(p[:, 1:], axis=1)
+    out = {}
+    for i in np.flatnonzero(p[np.arange(len(p)), best] >= MIN_PROBABILITY).tolist():
+        if (match := containment(FAMILIES[best[i]], words[i])) >= CONFIRM:
+            out[i] = {"family": FAMILIES[best[i]], "probability": float(p[i, best[i]]), "match": match}
+    return out
+
+
+def _wrapped(words: list[list[bytes]], where: list[tuple[int, int]], p: np.ndarray, found: dict[int, dict], model: LicenseModel) -> list[tuple[int, dict]]:
+    """Confirmed notices over several lines, (first paragraph, licence), around the lines that may be parts of one."""
+    runs: dict[tuple[int, int], None] = {}
+    for i in np.flatnonzero(p[:, 1:].max(axis=1) >= SEED).tolist():
+        if i in found:
+            continue
+        for n in range(2, WRAP + 1):
+            for a in range(max(0, i - n + 1), min(i, len(words) - n) + 1):
+                (doc, line), (last_doc, last) = where[a], where[a + n - 1]
+                if doc == last_doc and last - line == n - 1 and not any(k in found for k in range(a, a + n)):
+                    runs[a, n] = None
+    if not runs:
+        return []
+    order = sorted(runs, key=lambda r: (r[1], r[0]))
+    joined = [[w for k in range(a, a + n) for w in words[k]] for a, n in order]
+    hits, taken, out = confirmed(joined, model.probabilities(joined)), set(), []
+    for i, (a, n) in enumerate(order):
+        if i in hits and not taken.intersection(range(a, a + n)):
+            taken.update(range(a, a + n))
+            out.append((a, hits[i] | {"lines": n}))
+    return out
+
+
 def scan(texts: list[bytes | None], model: LicenseModel) -> list[dict]:
-    """Paragraphs with words, and the confirmed licences with their lines, of each text."""
+    """Lines with words, and the confirmed licences with their first lines, of each text."""
     out, words, where = [], [], []
 
     def flush() -> None:
         if words:
             p = model.probabilities(words)
-            best = 1 + np.argmax(p[:, 1:], axis=1)
-            for i in np.flatnonzero(p[np.arange(len(p)), best] >= MIN_PROBABILITY):
-                family, (doc, line) = FAMILIES[best[i]], where[i]
-                if (match := containment(family, words[i])) >= CONFIRM:
-                    out[doc]["licenses"].append({"line": line, "family": family, "probability": float(p[i, best[i]]), "match": match})
+            found = confirmed(words, p)
+            for i, x in [*((i, x | {"lines": 1}) for i, x in found.items()), *_wrapped(words, where, p, found, model)]:
+                doc, line = where[i]
+                out[doc]["licenses"].append({"line": line} | x)
         words.clear()
         where.clear()
 
@@ -245,10 +311,15 @@ def scan(texts: list[bytes | None], model: LicenseModel) -> list[dict]:
                 words.append(own)
                 where.append((doc, line))
                 size += len(own)
-                if size > 500_000:
-                    flush()
-                    size = 0
+            elif size > 500_000:  # never between the lines of a run
+                flush()
+                size = 0
+        if size > 500_000:
+            flush()
+            size = 0
     flush()
+    for x in out:
+        x["licenses"].sort(key=lambda y: y["line"])
     return out
 
 

@@ -12,7 +12,9 @@ Every document is scored over its whole text.
 
 Null and empty texts have no features. Null labels, and labels without a document, are ignored; if a
 doc_id has several labels, the highest counts. With no labelled document of one class nothing is toxic.
-Repeated rows are scored one by one; equal texts get equal grades.
+Repeated rows are scored one by one; equal texts get equal grades. An empty table gives no rows. Columns but doc_id
+and text, whatever their names, are not read; drop_toxic() returns the columns of docs. Very long texts are cut into
+words some megabytes at a time, and only distinct words are held.
 """
 
 from __future__ import annotations
