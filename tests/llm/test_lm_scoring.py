@@ -25,7 +25,7 @@ def plain_base(rows):
 
 def rows():
     out = [(i, " ".join(f"w{(i * k) % 23}" for k in range(i % 40))) for i in range(60)]
-    return out + [(None, None), (None, "Lost words"), (100, ""), (101, "Ünïcode ÜNÏCODE 語 😀"), (7, "tie tie"), (7, "tie tie"), (102, "x" * 3000)]
+    return out + [(None, None), (None, "Lost words"), (100, ""), (101, "Ünïcode ÜNÏCODE 語 😀"), (7, "tie tie"), (7, "tie tie"), (102, "x" * 3000), (103, "often " * 700 + "seldom " * 255)]
 
 
 def test_base_against_plain(spark):

@@ -203,17 +203,25 @@ LAST = 2**31 - 1
 @dataclass
 class Postings:
     """A block's own row: of each word in turn, the places of the documents that have it and how often; and
-    of each document its id, whether that is null, whether it is held out, and its length in words."""
+    of each document its id, whether that is null, whether it is held out, and its length in words. Counts
+    take a byte each; those of 255 and more stand apart, in order."""
 
     starts: np.ndarray
     docs: np.ndarray
-    counts: np.ndarray
+    few: np.ndarray
+    many: np.ndarray
     ids: np.ndarray
     null: np.ndarray
     held: np.ndarray
     lengths: np.ndarray
 
-    KINDS = ("<i8", "<u2", "<u4", "<i8", "?", "?", "<i8")
+    KINDS = ("<i8", "<u2", "u1", "<u4", "<i8", "?", "?", "<i8")
+
+    @property
+    def counts(self) -> np.ndarray:
+        out = self.few.astype(np.int64)
+        out[self.few == 255] = self.many
+        return out
 
     def to_bytes(self) -> bytes:
         parts = [np.asarray(x, k) for x, k in zip(vars(self).values(), self.KINDS, strict=True)]
@@ -248,7 +256,7 @@ def _blocks(limit: int) -> Callable:
             if v:
                 words = pa.array(list(vocabulary), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(v, block)), pa.array(np.arange(v, dtype=np.int32)), words, pa.array(train), pa.array([b""] * v, pa.binary())], schema=_ARROW)
-            own = Postings(starts, doc, counts, [d or 0 for d in doc_ids], [d is None for d in doc_ids], held, lengths)
+            own = Postings(starts, doc, np.minimum(counts, 255), counts[counts >= 255], [d or 0 for d in doc_ids], [d is None for d in doc_ids], held, lengths)
             row = {"block": block, "number": LAST, "word": b"", "train": n - sum(held), "data": own.to_bytes()}
             yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
@@ -326,7 +334,7 @@ def _gather(total: int, distinct: int, train_docs: int, end_lp: float) -> Callab
                 held, m, each = [], len(own.lengths), np.diff(own.starts)
                 if len(known) != len(each):
                     raise ValueError(f"a block of {len(each)} words got {len(known)}")
-                add = lambda x, own=own, each=each, m=m: np.bincount(own.docs, own.counts * np.repeat(x, each), m)
+                add = lambda x, own=own, counts=own.counts, each=each, m=m: np.bincount(own.docs, counts * np.repeat(x, each), m)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own.ids, pa.int64(), mask=own.null), pa.array(own.held), pa.array(own.lengths + 1), pa.array(add(known > 0).astype(np.int64) + (train_docs > 0)),
