@@ -117,8 +117,9 @@ def casefold(text: Column) -> Column:
     return _casefold(text)
 
 
-def normalized_sql(value: Column, depth: int = 4) -> Column:
-    """The comparable form with built-in functions: up to `depth` outer pairs, lower case instead of folding."""
+def normalized_sql(value: Column) -> Column:
+    """The comparable form with built-in functions: outer pairs peeled as often as there are some (half the length
+    at most), lower case instead of folding."""
 
     def once(text: Column, _: Column) -> Column:
         pair = F.lit(False)
@@ -126,4 +127,5 @@ def normalized_sql(value: Column, depth: int = 4) -> Column:
             pair = pair | (text.startswith(a) & text.endswith(b))
         return F.when(pair & (F.length(text) >= 2), F.trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
 
-    return F.lower(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.trim(value), once))
+    most = F.coalesce(F.floor(F.length(value) / 2), F.lit(0)) + 1
+    return F.lower(F.aggregate(F.sequence(F.lit(1).cast("long"), most), F.trim(value), once))

@@ -67,3 +67,9 @@ def presence(entries: DataFrame, apps: list[str]) -> tuple[DataFrame, DataFrame]
     missing = wanted.join(have, "app", "left_anti").withColumn("description", F.lit("no entries"))
     all_there = have.where(F.col("app").isin(*apps)).agg((F.count(F.lit(1)) == len(set(apps))).alias("correlated"))
     return entries.crossJoin(all_there), missing
+
+
+def presence_by(entries: DataFrame, group: list[str], wanted: int) -> DataFrame:
+    """The same rule group by group: how many applications each has, and whether those are all."""
+    n = F.count_distinct("app")
+    return entries.groupBy(*group).agg(n.alias("apps"), (n == wanted).alias("correlated"))

@@ -47,8 +47,15 @@ def compare_artifacts(spark: SparkSession, root: str, manifest: dict) -> DataFra
     base = "file:" + str(Path(root).resolve()) + "/"
     real = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.replace(F.url_decode("path"), F.lit(base), F.lit("")).alias("path"), F.sha2("content", 256).alias("real"))
     real = real.where(~F.col("path").endswith("manifest.json"))
-    state = F.when(F.col("declared").isNull(), "undeclared").when(F.col("real").isNull(), "missing").when(F.col("declared") == F.col("real"), "ok").otherwise("changed")
-    return declared.join(real, "path", "full").select("path", state.alias("state"))
+    return compared(declared, real, "path").select("path", "state")
+
+
+def compared(declared: DataFrame, real: DataFrame, key: str) -> DataFrame:
+    """All columns of a full outer join on the key, with the state of each: ok or changed by the columns
+    `declared` and `real` (two nulls are equal), missing or undeclared."""
+    a, b = declared.withColumn("__a", F.lit(True)), real.withColumn("__b", F.lit(True))
+    state = F.when(F.col("__a").isNull(), "undeclared").when(F.col("__b").isNull(), "missing").when(F.col("declared").eqNullSafe(F.col("real")), "ok").otherwise("changed")
+    return a.join(b, key, "full").withColumn("state", state).drop("__a", "__b")
 
 
 def gate(rule: Rule, manifests: dict[str, dict], facts: dict[str, DataFrame], labelled_errors: int = 0, samples: int = 1) -> list[str]:
@@ -86,3 +93,8 @@ def explain(evaluated: DataFrame, evidence: DataFrame) -> DataFrame:
     n = evidence.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_evidence"))
     joined = evaluated.join(n, "rule_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
     return joined.withColumn("supported", (F.col("state") != "SATISFEITA") | (F.col("n_evidence") > 0))
+
+
+def supported_only(explained: DataFrame) -> DataFrame:
+    """Explained rules as they may classify: a satisfied rule that nothing supports isn't satisfied."""
+    return explained.withColumn("state", F.when(F.col("supported"), F.col("state")).otherwise("NAO_SATISFEITA"))

@@ -85,7 +85,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     }
     fields = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in parts.items()]), lambda x: x["value"].isNotNull())
     time = F.when(app == "VPL", local_to_utc(parts["timestamp"])).otherwise(offset_to_utc(parts["timestamp"]))
-    region = F.when(f == "ork-real", F.length(t) - F.length(parts["logger"]) - 3 - F.length(parts["mensagem"])).when(f.isNotNull(), F.length(t) - F.length(F.ltrim(parts["mensagem"])))
+    region = F.when(f == "ork-real", F.length(t) - F.length(parts["logger"]) - 3 - F.length(parts["mensagem"])).when(f == "ork-legado", F.length(F.regexp_replace(t, r"\s+\z", "")) - F.length(parts["mensagem"])).when(f.isNotNull(), F.length(t) - F.length(F.ltrim(parts["mensagem"])))
     parsed = b.select("*", fields.alias("fields"), time.alias("__time"), identifiers(app, F.when(f.isNotNull(), t), region, parts["ChannelUuid"]).alias("identifiers"))
     value = lambda n: F.get(F.transform(F.filter("fields", lambda x: x["name"] == n), lambda x: x["value"]), F.lit(0))
     broken = F.when(t.isNull(), INVALID_UTF8).when(f.isNull(), F.concat(app, F.lit("_"), F.when(F.col("start_kind") == "CONTINUACAO", ORPHAN).otherwise(INVALID_HEADER)))

@@ -195,6 +195,37 @@ def condition(c: dict) -> Column:
     return ~undated & F.coalesce(ordered, F.lit(False))
 
 
+def concerns(c: dict) -> Column:
+    """Row by row: is a fact one that the condition, if satisfied, rests on?"""
+    op, app = c["operator"], c.get("application")
+    if op == "APPLICATION_PRESENT":
+        return _is("APPLICATION", app=app)
+    if op in ("FIELD_PRESENT", "FIELD_EQUALS"):
+        return _is("FIELD", name=c["field"], app=app, value=c.get("expected"))
+    if op == "FACT_PRESENT":
+        return _is("FACT", name=c["fact"], app=app)
+    if op == "TEMPORAL_ORDER":
+        return _selector(c["before"]) | _selector(c["after"])
+    if op == "CARDINALITY" and c["target"] != "LINK":
+        return _is(c["target"], app=app, name=c.get("field") if c["target"] == "FIELD" else c.get("fact") if c["target"] == "FACT" else None)
+    return _link(c)
+
+
+def evidence(facts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule_id and ref of every fact that a condition of the rule rests on: one pass for all rules."""
+    sound = [r for r in rules if r.conditions and not any(map(condition_error, r.conditions))]
+    if not sound:
+        return facts.select(F.lit(None).cast("string").alias("rule_id"), "ref").limit(0)
+
+    def hit(r: Rule) -> Column:
+        any_of = F.lit(False)
+        for c in r.conditions:
+            any_of = any_of | F.coalesce(concerns(c), F.lit(False))
+        return F.when(any_of, F.lit(r.rule_id))
+
+    return facts.select(F.explode(F.array_compact(F.array(*[hit(r) for r in sound]))).alias("rule_id"), "ref").distinct()
+
+
 def evaluate(facts: DataFrame, rules: list[Rule]) -> DataFrame:
     """rule_id, version, precedence, category, state of evaluation: SATISFEITA, NAO_SATISFEITA or ERRO_SEGURO."""
     spark = facts.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -93,3 +94,9 @@ def busy_call(facts: DataFrame, lines: int = 200, best: int = 20) -> DataFrame:
     """Of the `best` calls with most lines, the first with over `lines` of them, else the first."""
     ranked = top(facts, "call_id", "line_no", best)
     return ranked.orderBy((F.col("n") > lines).desc(), F.desc("n")).limit(1)
+
+
+def transitions(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """How often each value follows which within a key: from_value, to_value, n."""
+    near = rows.select(F.lag(value).over(W.partitionBy(key).orderBy(order)).alias("from_value"), F.col(value).alias("to_value"))
+    return near.where("from_value is not null").groupBy("from_value", "to_value").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxledger.functions.prefix import running_sum
+
 
 def legacy_timeline(entries: DataFrame) -> DataFrame:
     """By time stamp (nulls last), application and read order."""
@@ -19,10 +21,18 @@ def timeline_parts(entries: DataFrame, utc: str = "timestamp_utc") -> tuple[Data
     return dated, undated
 
 
+def grouped_positions(entries: DataFrame, scope: list[str], app: str, order: list[str], bucket_rows: int = 100_000) -> DataFrame:
+    """entries with `position` (from 1) within `scope`: applications by first appearance (column `first`), then in
+    read order. Rows are numbered in buckets, so an application of any size is no single row or task."""
+    place = F.col(order[0])
+    bucketed = entries.withColumns({"__one": F.lit(1).cast("long"), "__bucket": F.floor(place / bucket_rows)})
+    return running_sum(bucketed, scope, ["first", app, "__bucket"], [F.col(c) for c in order], "__one", "position").drop("__one", "__bucket")
+
+
 def grouped_by_app(entries: DataFrame) -> DataFrame:
-    """entry ids of each application in read order; applications by first appearance."""
-    each = entries.groupBy("app").agg(F.min(F.struct("file_token", "read_order")).alias("__first"), F.transform(F.sort_array(F.collect_list(F.struct("file_token", "read_order", "entry_id"))), lambda x: x["entry_id"]).alias("entry_ids"))
-    return each.orderBy("__first").drop("__first")
+    """Entries with their application's place by first appearance, and their position in read order within it."""
+    first = entries.groupBy("app").agg(F.min(F.struct("file_token", "read_order")).alias("first"))
+    return grouped_positions(entries.join(F.broadcast(first), "app"), ["app"], "file_token", ["read_order"]).orderBy("first", "position")
 
 
 def counts(entries: DataFrame, category: str, app: str) -> DataFrame:

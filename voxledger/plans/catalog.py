@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import normalized_sql
 from voxledger.functions.prefix import running_sum
-from voxledger.operators import correlate, graph, rules, sanitize, search, stats, summaries, timeline
-from voxledger.sources import reports
+from voxledger.operators import correlate, governance, graph, rules, scanner, sanitize, search, stats, summaries, timeline
+from voxledger.sources import logs, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,8 +135,7 @@ def stage_carry_forward(spark, sf_dir):
 def stage_transitions(spark, sf_dir):
     """How often each role follows which."""
     c = table(spark, sf_dir, "conversations")
-    near = c.withColumn("from_role", F.lag("role").over(W.partitionBy("conv_id").orderBy("turn"))).where("from_role is not null").withColumnRenamed("role", "to_role")
-    return near.groupBy("from_role", "to_role").agg(F.count(F.lit(1)).alias("n"))
+    return stats.transitions(c, "conv_id", "turn", "role").withColumnsRenamed({"from_value": "from_role", "to_value": "to_role"})
 
 
 @query("""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, string_agg(role, '>' ORDER BY turn) AS roles,
@@ -198,18 +196,17 @@ def shared_value_join(spark, sf_dir):
 SELECT doc_id, 'structured' AS reason FROM s UNION ALL SELECT doc_id, 'literal' FROM documents WHERE contains(lower(text), 'license') AND doc_id NOT IN (SELECT doc_id FROM s)""")
 def literal_fallback(spark, sf_dir):
     """Literal matches only where there is no structured one."""
-    d = table(spark, sf_dir, "documents")
-    s = d.where("source = 'src3'").select("doc_id")
-    rest = search.contains_text(d.join(s, "doc_id", "left_anti"), "text", "license").select("doc_id")
-    return s.withColumn("reason", F.lit("structured")).unionByName(rest.withColumn("reason", F.lit("literal")))
+    d = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "entry_id")
+    s = d.where("source = 'src3'").select("entry_id")
+    found = s.withColumn("reason", F.lit("structured")).unionByName(search.literal(d, "LICENSE", s).withColumn("reason", F.lit("literal")))
+    return found.withColumnRenamed("entry_id", "doc_id")
 
 
 @query("""SELECT n_nationkey, CAST(count(DISTINCT app) AS BIGINT) AS apps, count(DISTINCT app) = 2 AS correlated FROM (SELECT c_nationkey AS n_nationkey, 'c' AS app FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier) GROUP BY 1""")
 def presence_by_group(spark, sf_dir):
     """Which groups have entries of both applications."""
     both = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.lit("c").alias("app")).union(table(spark, sf_dir, "supplier").select("s_nationkey", F.lit("s")))
-    n = F.count_distinct("app")
-    return both.groupBy("n_nationkey").agg(n.alias("apps"), (n == 2).alias("correlated"))
+    return correlate.presence_by(both, ["n_nationkey"], 2)
 
 
 @query("SELECT app, CAST(count(*) AS BIGINT) AS n, true AS correlated FROM (SELECT event_type AS app FROM events WHERE event_type IN ('click', 'view')) GROUP BY 1")
@@ -219,12 +216,12 @@ def presence_correlation(spark, sf_dir):
     return correlate.presence(e, ["click", "view"])[0].groupBy("app", "correlated").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EDGES = "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey <= 60"
+_EDGES = "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 60").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
     return n.union(c)
 
 
@@ -237,8 +234,8 @@ def link_closure(spark, sf_dir):
     return graph.closure(_edges(spark, sf_dir), seeds).select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@query(f"""WITH RECURSIVE e AS ({_EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS (SELECT DISTINCT src AS node FROM b),
-w AS (SELECT node, node AS seen FROM nodes UNION SELECT w.node, b.dst FROM w JOIN b ON b.src = w.seen) SELECT node, min(seen) AS component FROM w GROUP BY node""")
+@query("""WITH m AS (SELECT 'r' || n_regionkey AS region, 'n' || n_nationkey AS node FROM nation UNION SELECT 'r' || n_regionkey, 'r' || n_regionkey FROM nation
+UNION SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT node, min(node) OVER (PARTITION BY region) AS component FROM m""")
 def link_components(spark, sf_dir):
     """The connected component of every node."""
     return graph.components(_edges(spark, sf_dir))
@@ -251,11 +248,11 @@ def cardinality_violation(spark, sf_dir):
     return graph.cardinality_violations(e).select("node", "partners")
 
 
-_FACTS = """SELECT event_type AS app, 'E' || event_id AS entry_id, ts FROM events WHERE event_id < 1000"""
+_FACTS = """SELECT event_type AS app, 'E' || event_id AS entry_id, ts FROM events"""
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 1000")
+    e = table(spark, sf_dir, "events")
     entries = e.select(F.col("event_type").alias("app"), F.concat(F.lit("E"), "event_id").alias("entry_id"), F.col("ts").cast("timestamp").alias("timestamp_utc"), F.array(F.struct(F.lit("value").alias("name"), F.col("value").cast("string").alias("value"))).alias("fields"))
     return rules.scenario_facts(entries)
 
@@ -292,10 +289,29 @@ def rule_precedence(spark, sf_dir):
     return rules.classify(rules.evaluate(_facts(spark, sf_dir), [r for r in RULES if r.rule_id != "broken"])).select("category", "rule_id")
 
 
-@query("SELECT 'NAO_CLASSIFICADA' AS category")
+@query(f"""WITH e AS ({_FACTS}), r AS (SELECT 20 AS p, 'CAT_ordered' AS c WHERE (SELECT max(ts) FILTER (WHERE entry_id = 'E1') < min(ts) FILTER (WHERE entry_id = 'E990') FROM e) UNION ALL SELECT 25, 'CAT_both')
+SELECT 'sound' AS rules, arg_min(c, p) AS category FROM r UNION ALL SELECT 'with a broken one', 'NAO_CLASSIFICADA' UNION ALL SELECT 'ambiguous links', 'NAO_CLASSIFICADA'""")
 def rule_fail_closed(spark, sf_dir):
-    """One rule that can't be evaluated leaves everything unclassified."""
-    return rules.classify(rules.evaluate(_facts(spark, sf_dir), RULES)).select("category")
+    """One rule that can't be evaluated, or ambiguous links, leave everything unclassified."""
+    facts, sound = _facts(spark, sf_dir), [r for r in RULES if r.rule_id != "broken"]
+    runs = {"sound": (sound, False), "with a broken one": (RULES, False), "ambiguous links": (sound, True)}
+    out = [rules.classify(rules.evaluate(facts, own), unsafe).select(F.lit(name).alias("rules"), "category") for name, (own, unsafe) in runs.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query(f"""WITH e AS ({_FACTS}) SELECT 'ordered' AS rule_id, CAST(2 AS BIGINT) AS n FROM e WHERE entry_id = 'E1' UNION ALL SELECT 'many_views', count(*) FROM e WHERE app = 'view' UNION ALL SELECT 'few_views', count(*) FROM e WHERE app = 'view'
+UNION ALL SELECT 'both', count(*) + 1 FROM e""")
+def rule_evidence(spark, sf_dir):
+    """How many facts each rule rests on."""
+    return rules.evidence(_facts(spark, sf_dir), RULES).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH e AS ({_FACTS}) SELECT 'nothing_seen' AS rule_id, 'NAO_SATISFEITA' AS state, false AS supported UNION ALL SELECT 'many_views', CASE WHEN count(*) FILTER (WHERE app = 'view') >= 50 THEN 'SATISFEITA' ELSE 'NAO_SATISFEITA' END, true FROM e""")
+def rule_support(spark, sf_dir):
+    """A satisfied rule that no fact supports may not classify."""
+    facts, own = _facts(spark, sf_dir), [RULES[0], _rule("nothing_seen", 1, {"operator": "CARDINALITY", "target": "FACT", "comparison": "LT", "value": 5})]
+    explained = governance.explain(rules.evaluate(facts, own), rules.evidence(facts, own))
+    return governance.supported_only(explained).select("rule_id", "state", "supported")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -321,8 +337,10 @@ FROM (SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1) a FULL
 def full_outer_digest(spark, sf_dir):
     """Declared against real artefacts by digest."""
     a = table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
-    b = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("digest"), F.lit(1).alias("b")).distinct()
-    return a.join(b, "digest", "full").select("digest", F.when(F.col("n").isNull(), "missing").when(F.col("b").isNull(), "extra").otherwise("both").alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
+    b = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("digest"), F.col("item_id").cast("string").alias("item")).dropDuplicates(["digest"])
+    found = governance.compared(b.select("digest", F.lit(None).cast("string").alias("declared")), a.select("digest", "n", F.lit(None).cast("string").alias("real")), "digest")
+    state = F.when(F.col("state") == "undeclared", "extra").when(F.col("state") == "missing", "missing").otherwise("both")
+    return found.select("digest", state.alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""SELECT op, k FROM (SELECT 'intersect' AS op, k FROM (SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT DISTINCT s_nationkey FROM supplier)
@@ -361,11 +379,12 @@ def placeholder_index(spark, sf_dir):
     return sanitize.placeholders(d.select("analysis_id", "seq", F.struct(spans.alias("spans")).alias("d"))).select(F.col("normalized").alias("value"), "placeholder")
 
 
-@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_matches(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '(internal|local|lan|corp|intranet|private|invalid|test)$') AS internal FROM pages""")
+@query(r"""SELECT page_id, h AS host, regexp_matches(h, '^localhost$|\.(?:corp|internal|intranet|invalid|lan|local|private|test|home\.arpa)$|^[^.]*$|^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9.]+$') AS internal
+FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) || CASE page_id % 4 WHEN 0 THEN '.local' ELSE '' END AS h FROM pages)""")
 def internal_url(spark, sf_dir):
-    """Hosts of pages, and whether they are internal."""
-    host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), host.rlike("(internal|local|lan|corp|intranet|private|invalid|test)$").alias("internal"))
+    """Hosts of pages, a fourth of them moved to an inner domain, and whether they are internal."""
+    host = F.concat(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), F.when(F.col("page_id") % 4 == 0, ".local").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), scanner.internal_host(host).alias("internal"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN v LIKE '(%)' THEN lower(trim(substr(v, 2, length(v) - 2))) ELSE lower(v) END AS normalized FROM
@@ -376,25 +395,6 @@ def identifier_normalize(spark, sf_dir):
     return c.select("conv_id", "turn", normalized_sql(F.col("v")).alias("normalized"))
 
 
-@query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(min(epoch_us(ts)) AS BIGINT) AS first_us, CAST(max(epoch_us(ts)) AS BIGINT) AS last_us, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM events WHERE user_id = 7 GROUP BY 1""")
-def call_dossier_events(spark, sf_dir):
-    """The events of one call by kind, in order."""
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "events").where("user_id = 7").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min(micros("ts")).alias("first_us"), F.max(micros("ts")).alias("last_us"), ids.alias("ids"))
-
-
-@query("""WITH x AS (SELECT event_id, ts FROM events WHERE event_id < 500) SELECT event_id, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d %H:%M:%S') AS utc, CAST(NULL AS VARCHAR) AS failure FROM x WHERE ts BETWEEN TIMESTAMP '2019-03-01' AND TIMESTAMP '2030-01-01'
-UNION ALL SELECT event_id, 'other', NULL FROM x WHERE NOT ts BETWEEN TIMESTAMP '2019-03-01' AND TIMESTAMP '2030-01-01'""")
-def local_time_to_utc(spark, sf_dir):
-    """Channel wall-clock times in UTC."""
-    from voxledger.functions.temporal import local_to_utc
-
-    e = table(spark, sf_dir, "events").where("event_id < 500")
-    t = local_to_utc(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    late = F.col("ts").between(F.lit("2019-03-01").cast("timestamp_ntz"), F.lit("2030-01-01").cast("timestamp_ntz"))
-    return e.select("event_id", F.when(late, F.date_format(t["utc"], "yyyy-MM-dd HH:mm:ss")).otherwise("other").alias("utc"), F.when(late, t["failure"]).alias("failure"))
-
-
 @query("""SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 ELSE -1 END) * 10000000 - event_id) AS failure FROM events GROUP BY user_id""")
 def failure_priority(spark, sf_dir):
     """The most telling failure of each group; of equal ones the first."""
@@ -407,10 +407,10 @@ def representative_occurrence(spark, sf_dir):
     return summaries.representative(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@query("SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+@query("SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900")
 def missing_applications(spark, sf_dir):
     """Keys asked for that nothing has."""
-    have = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
+    have = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
     return summaries.missing(have, table(spark, sf_dir, "nation"), "n_nationkey")
 
 
@@ -432,7 +432,7 @@ def json_rows(spark, sf_dir):
 def report_enrichment(spark, sf_dir):
     """Reports with what else is known about them, where something is."""
     d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang", "n_chars")
-    return table(spark, sf_dir, "labels").select("doc_id", "quality").join(d, "doc_id", "left")
+    return reports.enriched(table(spark, sf_dir, "labels").select("doc_id", "quality"), d, "doc_id")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN role LIKE '%user%' THEN 'DADO_CLIENTE' END AS kind FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user_name' ELSE role END AS role FROM conversations)""")
@@ -440,3 +440,15 @@ def placeholder_type(spark, sf_dir):
     """The kind of value a field's name announces."""
     c = table(spark, sf_dir, "conversations").withColumn("f", F.when(F.col("role") == "user", "user_name").otherwise(F.col("role")))
     return c.select("conv_id", "turn", summaries.placeholder_type(F.col("f")).alias("kind"))
+
+
+@query("""SELECT page_id, CASE WHEN length(t) = 0 THEN 'EMPTY' WHEN length(t) <> 16 THEN 'LENGTH' WHEN NOT regexp_matches(t, '^[0-9a-fA-F]{16}$') THEN 'NOT_HEXADECIMAL' END AS problem
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN left(md5(url), 16) WHEN 2 THEN md5(url) ELSE 'zz' || left(md5(url), 14) END AS t FROM pages)""")
+def call_id_check(spark, sf_dir):
+    """What is wrong with call ids, if anything."""
+    h, k = F.md5("url"), F.col("page_id") % 4
+    call = F.when(k == 0, "  ").when(k == 1, F.concat(F.lit(" "), F.substring(h, 1, 16))).when(k == 2, h).otherwise(F.concat(F.lit("zz"), F.substring(h, 1, 14)))
+    return table(spark, sf_dir, "pages").select("page_id", logs.call_id_problem(call).alias("problem"))
+
+
+from voxledger.plans import log_queries  # noqa: E402, F401  registers the queries on log lines

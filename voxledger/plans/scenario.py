@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxledger.functions.identifiers import check_query
-from voxledger.functions.temporal import utc_text
-from voxledger.operators import blocks, correlate, graph, headers, rules, sanitize, search, timeline
+from voxledger.functions.identifiers import check_query, normalize_query
+from voxledger.functions.temporal import NO_OFFSET, utc_text
+from voxledger.operators import blocks, correlate, governance, graph, headers, rules, sanitize, search, timeline
 from voxledger.operators.graph import written
+from voxledger.operators.summaries import placeholder_type
+from voxledger.plans.registry import Registry, default_registry
 from voxledger.sources import logs
 
 
@@ -27,65 +29,124 @@ class Scenario:
     classification: DataFrame
     secure: DataFrame
     errors: DataFrame
+    values: DataFrame  # identifiers, fields, links and evidence in their secure view
 
 
-def parse_files(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(entries, errors) of (app, path) pairs. One bad file, line or block never stops the others."""
-    sources, errors = logs.preflight(spark, files)
+#: Fixed value: the code of files whose application nothing parses.
+UNREGISTERED = "APPLICATION_NOT_REGISTERED"
+
+
+def parse_files(spark: SparkSession, files: list[tuple[str, str]], registry: Registry | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """(entries, errors) of (app, path) pairs. One bad file, line or block never stops the others. Of a path that is
+    given several times the last application counts; an application that isn't registered is an error row."""
+    registry = registry or default_registry()
+    last = {path: app for app, path in files}
+    sources, errors = logs.preflight(spark, [(app, path) for path, app in last.items()])
     known = sources.collect()  # at most one row for each of MAX_FILES files
+    strange = [(r["file_token"], r["app"], UNREGISTERED) for r in known if registry.get(r["app"]) is None]
+    if strange:
+        errors = errors.unionByName(spark.createDataFrame(strange, logs.ERRORS_SCHEMA))
     entries = None
-    paths = [r["path"] for r in known if r["app"] in ("VPL", "ORK")]
-    if paths:
-        of = F.create_map(*[F.lit(x) for r in known for x in (r["path"], r["file_token"] + "|" + r["app"])])
-        lines = logs.physical_lines(spark, paths)
-        place = F.regexp_replace(F.url_decode(F.col("path")), r"^file:/*", "/")
-        tagged = lines.withColumn("__of", F.split(of[place], r"\|")).withColumns({"file_token": F.get("__of", F.lit(0)), "app": F.get("__of", F.lit(1))}).drop("__of")
-        kinds = tagged.withColumn("start_kind", blocks.start_kind(F.col("app"), F.col("text")))
-        entries = headers.parse_blocks(blocks.blocks(kinds))
+    for app_id in sorted({r["app"] for r in known}):
+        app = registry.get(app_id)
+        if app is None:
+            continue
+        own = sources.where(F.col("app") == app_id).select("file_token", "app", F.col("path").alias("place"))
+        lines = logs.physical_lines(spark, [r["path"] for r in known if r["app"] == app_id])
+        lines = lines.withColumn("place", F.regexp_replace(F.url_decode(F.col("path")), r"^file:/*", "/")).join(F.broadcast(own), "place")
+        if app.has_blocks:
+            parsed = app.parse(blocks.blocks(lines.withColumn("start_kind", blocks.start_kind(F.col("app"), F.col("text")))))
+        else:
+            parsed = line_entries(app.parse(lines))
+        parsed = parsed.withColumn("category", app.category())
+        entries = parsed if entries is None else entries.unionByName(parsed, allowMissingColumns=True)
     return entries, errors
 
 
-def answer(spark: SparkSession, query: str, files: list[tuple[str, str]], catalog: list[rules.Rule] | None = None, links: DataFrame | None = None) -> Scenario:
-    """Answer one identifier over some files. The query is checked before anything is read.
+def line_entries(lines: DataFrame) -> DataFrame:
+    """Parsed lines as entries of one line each: their times have no zone, so they are undated."""
+    number = F.regexp_extract("file_token", r"(\d+)", 1)
+    fields = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in (("timestamp", "timestamp_original"), ("severidade", "level"), ("mensagem", "message"))])
+    none = F.array().cast("array<struct<type:string,namespace:string,field:string,original:string,normalized:string,rule:string,span_start:int,span_end:int,line_offset:int>>")
+    failure = F.when(F.col("text").isNull(), headers.INVALID_UTF8).when(~F.col("interpreted"), F.concat("app", F.lit("_LINHA_NAO_INTERPRETADA"))).otherwise(NO_OFFSET)
+    place = (F.col("line_no") - 1).cast("long")
+    return lines.select(
+        "file_token", "app", F.concat(F.lit("ARQUIVO_"), number, F.lit("_ENTRADA_"), place.cast("string")).alias("entry_id"), place.alias("read_order"), F.col("line_no").alias("line_start"), F.col("line_no").alias("line_end"),
+        "start_byte", "end_byte", F.concat("text", "terminator").alias("text"), F.when(F.col("interpreted"), F.lower("app")).alias("format"), "interpreted", "level", "message", "timestamp_original",
+        F.lit(None).cast("timestamp").alias("timestamp_utc"), F.lit(None).cast("int").alias("precision"), F.when(F.col("interpreted"), fields).otherwise(fields.cast("array<struct<name:string,value:string>>")).alias("fields"),
+        none.alias("identifiers"), F.array(failure).alias("failures"),
+    )
 
-    `links` are recognised edges (src, dst, relation, schema_id, schema_version, cardinality,
-    allows_correlation, entry_id) between identifier nodes; without any, only shared values correlate.
-    """
+
+def answer(spark: SparkSession, query: str, files: list[tuple[str, str]], catalog: list[rules.Rule] | None = None, links: DataFrame | None = None, registry: Registry | None = None) -> Scenario:
+    """Answer one identifier over some files. The query is checked before anything is read."""
     if problem := check_query(query):
         raise ValueError(problem)
-    entries, errors = parse_files(spark, files)
+    entries, errors = parse_files(spark, files, registry)
     if entries is None:
         raise ValueError("NO_READABLE_FILE")
+    return analyse(spark, query, entries, errors, catalog, links)
+
+
+def analyse(spark: SparkSession, query: str, entries: DataFrame, errors: DataFrame | None = None, catalog: list[rules.Rule] | None = None, links: DataFrame | None = None) -> Scenario:
+    """The answer to one identifier from parsed entries.
+
+    `links` are recognised edges (src, dst, relation, schema_id, schema_version, cardinality,
+    allows_correlation, entry_id) between identifier nodes; without any, only shared values correlate. Paths start
+    from the query's nodes, and then from the channel's nodes of the selection, never from all.
+    """
+    if problem := check_query(query):
+        raise ValueError(problem)
+    errors = errors if errors is not None else spark.createDataFrame([], logs.ERRORS_SCHEMA)
     entries = written(entries)
     ids = search.exploded_identifiers(entries)
-    ambiguous, reach, edges = None, None, None
+    node = F.concat_ws("\u0000", "namespace", "normalized")
+    ambiguous, edges, expansion = None, None, None
     if links is not None:
         edges = written(graph.with_ambiguity(links))
         allowed = edges.where("allows_correlation and not ambiguous")
-        node = F.concat_ws("\u0000", "namespace", "normalized")
-        reach = graph.closure(allowed, ids.select(node.alias("source")).distinct())
+        asked = ids.where(F.col("normalized") == normalize_query(query)).select(node.alias("source")).distinct()
+        expansion = search.expand(ids, query, graph.closure(allowed, asked), edges)
         bad = edges.where("ambiguous")
         ambiguous = bad.select(F.col("src").alias("n")).union(bad.select("dst")).distinct().select(F.split("n", "\u0000")[0].alias("namespace"), F.split("n", "\u0000")[1].alias("normalized"))
-    expansion = search.expand(ids, query, reach, edges) if links is not None else None
     found = written(search.search(entries, query, expansion))
     chosen = written(entries.join(found, "entry_id"))
     own = search.exploded_identifiers(chosen)
     evidence = written(correlate.shared_identifiers(own, ambiguous))
-    paths = correlate.valid_chains(correlate.chains(own, reach), edges, chosen) if links is not None else None
-    correlation = correlate.summary(chosen, evidence, paths, edges.where("ambiguous") if edges is not None else None)
+    paths, blocked = None, None
+    if edges is not None:
+        sides = own.where("app = 'VPL'").select(node.alias("source")).distinct()
+        reach = lambda e: graph.closure(e, sides)
+        paths = correlate.valid_chains(correlate.chains(own, reach(edges.where("allows_correlation and not ambiguous"))), edges, chosen)
+        blocked = written(correlate.chains(own, reach(edges.where("allows_correlation and ambiguous"))))
+    correlation = correlate.summary(chosen, evidence, paths, blocked)
     dated, undated = timeline.timeline_parts(chosen)
     active = [r for r in catalog or [] if r.state == "ACTIVE"]
-    facts = rules.scenario_facts(chosen, edges)
-    unsafe = edges is not None and not edges.where("ambiguous").isEmpty()
     if active:
-        classification = rules.classify(rules.evaluate(facts, active), unsafe)
+        facts = written(rules.scenario_facts(chosen, edges))
+        explained = governance.explain(rules.evaluate(facts, active), rules.evidence(facts, active))
+        classification = rules.classify(governance.supported_only(explained), blocked is not None and not blocked.isEmpty())
     else:
         classification = spark.range(1).select(F.lit(rules.UNCLASSIFIED).alias("category"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("root_cause"))
     texts = chosen.select(F.lit(query).alias("analysis_id"), F.struct("file_token", "read_order").alias("seq"), "text")
-    secure = sanitize.secure_view(texts)
     shown = dated.withColumn("utc_text", utc_text(F.col("timestamp_utc"), F.col("precision")))
-    categorised = chosen.withColumn("category", F.lit(rules.UNCLASSIFIED))
-    return Scenario(chosen, timeline.counts(categorised, "category", "app"), shown, undated, evidence, correlation, classification, secure, errors)
+    categorised = chosen if "category" in chosen.columns else chosen.withColumn("category", F.lit(rules.UNCLASSIFIED))
+    return Scenario(chosen, timeline.counts(categorised, "category", "app"), shown, undated, evidence, correlation, classification, sanitize.secure_view(texts), errors, secure_values(query, chosen, edges, evidence))
+
+
+def secure_values(query: str, chosen: DataFrame, edges: DataFrame | None, evidence: DataFrame) -> DataFrame:
+    """The identifiers, fields, file references, links and evidence of an answer in their secure view."""
+    kind = F.when(F.col("namespace") == "chamada_externa", "CALL_ID").when(F.col("namespace") == "uuid_canal", "UUID_CANAL").when(F.col("namespace") == "uuid_sessao", "UUID_SESSAO").otherwise("CALL_ID")
+    order = F.xxhash64("file_token", "read_order").alias("seq")
+    ids = search.exploded_identifiers(chosen)
+    row = lambda df, part, of, value: df.select(F.lit(query).alias("analysis_id"), F.lit(part).alias("part"), order, of.alias("type"), value.alias("value"))
+    fields = chosen.select("file_token", "read_order", F.explode("fields").alias("f"))
+    out = row(ids, "identifiers", kind, F.col("normalized")).unionByName(row(fields, "fields", placeholder_type(F.col("f.name")), F.col("f.value")))
+    out = out.unionByName(row(evidence, "evidence", kind, F.col("normalized")))
+    if edges is not None:
+        ends = edges.select("entry_id", F.explode(F.array("src", "dst")).alias("n")).select("entry_id", F.split("n", "\u0000")[0].alias("namespace"), F.split("n", "\u0000")[1].alias("normalized"))
+        out = out.unionByName(row(ends.withColumns({"file_token": F.col("entry_id"), "read_order": F.lit(0)}), "links", kind, F.col("normalized")))
+    return sanitize.secure_parts(out.where("value is not null").distinct())
 
 
 def legacy_entries(spark: SparkSession, files: list[tuple[str, str]], query: str) -> tuple[DataFrame, DataFrame]:
@@ -105,13 +166,39 @@ def legacy_entries(spark: SparkSession, files: list[tuple[str, str]], query: str
     return timeline.legacy_timeline(marked), failed.unionByName(missing.select(F.col("app").alias("of"), "description"))
 
 
+def _rows(title: str, lines: list[str]) -> list[str]:
+    return ["", title, *(lines or ["  none"])]
+
+
 def report(scenario: Scenario) -> str:
-    """A text report of a scenario. All lines are made before any is shown; texts come from the secure view."""
+    """A text report of a scenario: all its parts, values and texts from the secure view alone. All lines are made
+    before any is shown; an error of any part leaves no half of a report."""
     c = scenario.correlation.first()
     k = scenario.classification.first()
-    lines = [f"correlation: {'found' if c['found'] else 'not found'} ({c['base']})", f"category: {k['category']}", ""]
+    lines = [f"correlation: {'found' if c['found'] else 'not found'} ({c['base']})" + (f": {c['reason']}" if c["reason"] else ""), f"category: {k['category']}", f"rule: {k['rule_id'] or 'none'}{' v' + str(k['version']) if k['rule_id'] else ''}", f"root cause: {k['root_cause'] or 'undetermined'}", ""]
     lines += [f"{r['dimension']} {r['key']}: {r['n']}" for r in scenario.counts.orderBy("dimension", "key").toLocalIterator()]
-    lines += ["", "timeline:"] + [f"{r['utc_text']} {r['app']} {r['entry_id']}" for r in scenario.timeline.select("utc_text", "app", "entry_id").toLocalIterator()]
-    lines += ["", "without UTC:"] + [f"{r['app']} {r['entry_id']}" for r in scenario.undated.select("app", "entry_id").toLocalIterator()]
-    lines += ["", "texts:"] + [(r["safe"] or "suppressed").rstrip("\n") for r in scenario.secure.orderBy("seq").toLocalIterator()]
+    lines += _rows("errors:", [f"  {r['file_token']} [{r['app']}] {r['code']}" for r in scenario.errors.orderBy("file_token").toLocalIterator()])
+    for part in ("identifiers", "links", "evidence"):
+        values = scenario.values.where((F.col("part") == part) & F.col("safe").isNotNull()).groupBy("type", "safe").count().orderBy("type", "safe")
+        lines += _rows(f"{part}:", [f"  {r['type']} {r['safe']} ({r['count']})" for r in values.toLocalIterator()])
+    lines += _rows("timeline:", [f"{r['utc_text']} {r['app']} {r['entry_id']}" for r in scenario.timeline.select("utc_text", "app", "entry_id").toLocalIterator()])
+    lines += _rows("without UTC:", [f"{r['app']} {r['entry_id']}" for r in scenario.undated.select("app", "entry_id").toLocalIterator()])
+    lines += _rows("texts:", [(r["safe"] or "suppressed").rstrip("\n") for r in scenario.secure.orderBy("seq").toLocalIterator()])
     return "\n".join(lines) + "\n"
+
+
+def legacy_report(query: str, entries: DataFrame, errors: DataFrame) -> str:
+    """The plain report of line-based applications: each application's entries, counts by category and by
+    application, then errors."""
+    lines = [f"analysis of: {query}", ""]
+    n = {r["app"]: r["n"] for r in entries.groupBy("app").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each application
+    if not n:
+        return "\n".join([*lines, "no entry holds the identifier", *(f"  {r['of']}: {r['description']}" for r in errors.toLocalIterator())]) + "\n"
+    app = None
+    for r in entries.orderBy("app", "file_token", "read_order").toLocalIterator():
+        if r["app"] != app:
+            app = r["app"]
+            lines += [f"[{app}] ({n[app]} entries)"]
+        lines.append(f"  {r['timestamp_original'] or 'no time'} {r['level'] or '-'} {r['message'] or r['text']}")
+    lines += ["", *(f"app {a}: {n[a]}" for a in sorted(n))]
+    return "\n".join(lines + _rows("errors:", [f"  {r['of']}: {r['description']}" for r in errors.toLocalIterator()])) + "\n"

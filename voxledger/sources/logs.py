@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.functions.prefix import running_sum
@@ -110,6 +110,18 @@ def log_files(directory: str) -> list[str]:
     return sorted((p for p in paths if os.path.isfile(p)), reverse=True)
 
 
+def flow_files(directory: str) -> list[str]:
+    """Flow documents (`.json`) in a directory, in order; none if it isn't one."""
+    names = sorted(os.listdir(directory)) if os.path.isdir(directory) else []
+    return [n for n in names if n.endswith(".json") and os.path.isfile(os.path.join(directory, n))]
+
+
+def call_id_problem(call_id: Column) -> Column:
+    """What is wrong with an orchestrator call id, null if nothing: it has 16 hexadecimal digits."""
+    plain = F.trim(F.coalesce(call_id, F.lit("")))
+    return F.when(plain == "", "EMPTY").when(F.length(plain) != 16, "LENGTH").when(~plain.rlike("^[0-9a-fA-F]{16}$"), "NOT_HEXADECIMAL")
+
+
 def call_lines(lines: DataFrame, call_id: str) -> DataFrame:
     """Lines that hold the call's id: a case-sensitive substring, tested before any pattern."""
     return lines.where(F.contains("text", F.lit(call_id)))

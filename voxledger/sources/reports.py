@@ -13,6 +13,11 @@ def current(log: DataFrame, key: str = "call_id", at: str = "saved_at", value: s
     return log.groupBy(key).agg(F.max_by(value, F.struct(at, value)).alias(value), F.min(at).alias("created_at"), F.max(at).alias("modified_at"))
 
 
+def enriched(reports: DataFrame, dossiers: DataFrame, key: str = "call_id") -> DataFrame:
+    """Reports with what the dossiers know about their calls, where they know something."""
+    return reports.join(dossiers, key, "left")
+
+
 class ReportStore:
     """Reports in a folder; saving appends, so writers never rewrite what others have saved."""
 
@@ -32,8 +37,10 @@ class ReportStore:
 
     def export(self, dossiers: DataFrame) -> DataFrame:
         """Reports with what the dossiers know about their calls, where they know something."""
-        return self.reports().join(dossiers, "call_id", "left")
+        return enriched(self.reports(), dossiers)
 
     def compact(self, target: str) -> None:
-        """Write the current state, with both of its times, to another folder."""
-        self.reports().write.mode("overwrite").parquet(target)
+        """Write the current state to another folder, a store like this one: each report as first and last saved."""
+        now = self.reports()
+        row = lambda at: now.select("call_id", "report_text", F.col(at).alias("saved_at"))
+        row("created_at").unionByName(row("modified_at")).distinct().write.mode("overwrite").parquet(target)
