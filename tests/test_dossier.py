@@ -98,3 +98,19 @@ def test_streams(spark, tmp_path):
             assert spark.table(name).agg(F.sum("lines")).first()[0] == len(MESSAGES)
         finally:
             q.stop()
+
+
+def test_channel_dossier_parts(spark):
+    info = {"NOME_CLIENTE": "Synthetic", "valorDivida": "", "Valor": "10", "dtPrimeiraParcelaAtrasada": "2026-01-01", "dtTerceiraParcelaAtrasada": "2026-03-01", "valorConta1": "5", "CodigoPixConta3": "pix", "WayEngine": "eleven", "CampaignId": "c1", "VAgentName": "Ada"}
+    texts = [
+        "x WaySchInfo: " + json.dumps(info), 'x adaConversation: [{"user": "hi"}]', 'x adaConversation: [{"user": "hi", "assistant": "hello"}, {"assistant": "bye"}]', "x adaConversation: [broken]",
+        "callDisposition [dispositionId: 42]", 'callDisposition: {"navigationDescription": "Promise", "x": 1}', "Hangup sofia [USER_BUSY]", "promptVoice: anna x", ' ERROR: CALLID: x real', ' ERROR: CALLID: x "error":""', "[ERR] y",
+    ]
+    table = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)] + [("other", 0, "Hangup NORMAL_CLEARING"), ("third", 0, "callDisposition [dispositionId: 7]")], "call_id string, line_no long, text string")
+    got = {r["call_id"]: r for r in dossier.channel_dossiers(table).collect()}
+    d = got["k"]
+    assert (d["hangup_reason"], d["disposition"], d["n_errors"], d["debt_total"], d["tts_supplier"], d["tts_voice"], d["campaign_id"], d["agent_name"]) == ("USER_BUSY", "Promise", 2, "10", "eleven", "anna", "c1", "Ada")
+    assert d["overdue_dates"] == ["2026-01-01", "2026-03-01"] and [tuple(a) for a in d["accounts"]] == [("5", None, None), (None, None, "pix")]
+    assert (got["other"]["hangup_reason"], got["third"]["hangup_reason"]) == ("NORMAL_CLEARING", "disposition_7")
+    said = [(r["speaker"], r["text"]) for r in dossier.channel_conversation(table).orderBy("place").collect()]
+    assert said == [("customer", "hi"), ("assistant", "hello"), ("assistant", "bye")]

@@ -234,16 +234,20 @@ def fleet_line_facts(spark, sf_dir):
 # ---------------------------------------------------------------- scenario
 
 _QUERY = "CALL-7"
+ORK_FILES = 1_000_000_000
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(vpl_lines(spark, sf_dir)).unionByName(_entries(ork_lines(spark, sf_dir).withColumn("file_token", F.concat(F.lit("<ARQUIVO_9"), F.substring("file_token", 10, 99)))))
+    """Entries of both applications; the orchestrator's files are numbered from ORK_FILES on."""
+    number = F.regexp_extract("file_token", r"(\d+)", 1).cast("long") + ORK_FILES
+    ork = ork_lines(spark, sf_dir).withColumn("file_token", _text("<ARQUIVO_", number.cast("string"), ">"))
+    return _entries(vpl_lines(spark, sf_dir)).unionByName(_entries(ork))
 
 
-_PICKED = """SELECT *, event_id % 10 AS k FROM events WHERE user_id = 7 OR (event_id % 10 = 7 AND CAST(user_id AS VARCHAR) LIKE '7%')"""
+_PICKED = """SELECT *, event_id % 10 AS k FROM events WHERE CAST(user_id AS VARCHAR) LIKE '7%'"""
 
 
-@query(f"""WITH p AS ({_PICKED}), v AS (SELECT event_id, CASE WHEN k <> 7 THEN 'IGUALDADE_ESTRUTURADA' ELSE 'FALLBACK_LITERAL' END AS reason, k FROM p)
+@query(f"""WITH p AS ({_PICKED}), v AS (SELECT event_id, CASE WHEN k <> 7 AND user_id = 7 THEN 'IGUALDADE_ESTRUTURADA' ELSE 'FALLBACK_LITERAL' END AS reason, k FROM p)
 SELECT 'VPL' AS app, event_id, reason FROM v UNION ALL SELECT 'ORK', event_id, reason FROM v""")
 def scenario_search(spark, sf_dir):
     """Entries of both applications that hold one call: by identifier, else by the text as typed."""
@@ -284,8 +288,9 @@ def shared_call_evidence(spark, sf_dir):
 (SELECT user_id, event_id, 'ORK' AS app FROM events UNION ALL SELECT user_id, event_id, 'VPL' FROM events)""")
 def grouped_entries(spark, sf_dir):
     """Entries of each call grouped by application in read order, applications by first appearance."""
-    e = _both(spark, sf_dir).select(F.regexp_extract("file_token", r"_9?(\d+)", 1).alias("u"), "app", "read_order", "entry_id", F.when(F.col("app") == "VPL", 0).otherwise(1).alias("first"), ((F.col("line_start") - 1) / 2).cast("long").alias("event_id"), "file_token")
-    own = e.withColumn("user_id", F.when(F.col("app") == "VPL", F.regexp_extract("file_token", r"(\d+)", 1)).otherwise(F.regexp_extract("file_token", r"_9(\d+)", 1)).cast("long"))
+    e = _both(spark, sf_dir)
+    user = F.regexp_extract("file_token", r"(\d+)", 1).cast("long") % ORK_FILES
+    own = e.select(user.alias("user_id"), "app", "read_order", F.when(F.col("app") == "VPL", 0).otherwise(1).alias("first"), ((F.col("line_start") - 1) / 2).cast("long").alias("event_id"))
     placed = timeline.grouped_positions(own, ["user_id"], "app", ["read_order"])
     return placed.select("user_id", (F.col("position") - 1).alias("place"), "app", "event_id")
 
