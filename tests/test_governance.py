@@ -98,3 +98,12 @@ def test_legacy_flow(spark, tmp_path):
 def test_command_line(capsys):
     assert main([]) == 1 and main(["x"]) == 1
     assert "APP:PATH" in capsys.readouterr().out
+
+
+def test_manifests_are_read_with_and_without_a_mark(tmp_path):
+    for name, data in (("a", b'\xef\xbb\xbf{"fixture_id": "f1"}'), ("b", b'{"fixture_id": "f2"}'), ("c", b'{"fixture_id": "f2"}'), ("d", b"\xff")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.json").write_bytes(data)
+    found, problems = governance.read_manifests(str(tmp_path))
+    assert list(found) == ["f1"]
+    assert sorted(problems) == [("b/manifest.json", "DUPLICATE_FIXTURE"), ("c/manifest.json", "DUPLICATE_FIXTURE"), ("d/manifest.json", "MANIFEST_INVALID")]

@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,19 +200,46 @@ def test_shared_values_drop_ambiguous_keys(spark):
     assert sorted((r["side"], r["key"]) for r in correlate.shared_values(left, right, ["key"], bad).collect()) == [("left", "k"), ("right", "k")]
 
 
-def test_catalogue_checks():
-    rule = {"rule_id": "r1", "version": 1, "category": "ERRO", "applications": ["VPL"], "conditions": [], "precedence": 1, "state": "ACTIVE"}
-    doc = {"schema_version": 1, "catalog_version": "1", "rules": [rule]}
-    loaded = rules.load_catalog(json.dumps(doc | {"catalog_digest": rules.canonical_digest(doc)}).encode())
+def catalogue():
+    approval = {"approved_by": "a", "approved_at": "2026-01-01T00:00:00Z", "approval_reference": "x"}
+    rule = {"rule_id": "r1", "version": 1, "category": "ERRO", "applications": ["VPL"], "conditions": [], "fixture_ids": [], "fixture_digests": {}, "precedence": 1, "state": "ACTIVE", **approval}
+    return rule, {"schema_version": 1, "catalog_version": "v1", "coverage": {"labeled_successes": 1, "labeled_errors": 0}, "rules": [rule]}
+
+
+def test_catalogue_checks(tmp_path):
+    rule, doc = catalogue()
+    approval = {k: rule[k] for k in rules.APPROVAL}
+    as_bytes = lambda d: json.dumps(d).encode()
+    loaded = rules.load_catalog(as_bytes(doc | {"catalog_digest": rules.canonical_digest(doc)}))
     assert loaded[0].rule_id == "r1"
     for data, code in (
-        (b'{"a": 1, "a": 2}', "CATALOG_JSON_ERROR"), (b'{"a": NaN}', "CATALOG_JSON_ERROR"), (b"\xff", "CATALOG_ENCODING_ERROR"), (b"{}", "CATALOG_SCHEMA_ERROR"), (json.dumps(doc | {"catalog_digest": "0"}).encode(), "CATALOG_DIGEST_ERROR"),
-        (json.dumps(doc | {"rules": [rule, rule]}).encode(), "CATALOG_REFERENCE_ERROR"), (json.dumps(doc | {"x": "y" * 20000}).encode(), "CATALOG_SIZE_ERROR"),
+        (b'{"a": 1, "a": 2}', "CATALOG_JSON_ERROR"), (b'{"a": NaN}', "CATALOG_JSON_ERROR"), (b"\xff", "CATALOG_ENCODING_ERROR"), (b"{}", "CATALOG_VERSION_ERROR"), (as_bytes(doc | {"catalog_digest": "0"}), "CATALOG_DIGEST_ERROR"),
+        (as_bytes(doc | {"rules": [rule, rule]}), "CATALOG_REFERENCE_ERROR"), (as_bytes(doc | {"x": "y" * 20000}), "CATALOG_SIZE_ERROR"), (as_bytes(doc | {"x": 1}), "CATALOG_SCHEMA_ERROR"),
+        (as_bytes(doc | {"rules": [rule | {"x": 1}]}), "CATALOG_SCHEMA_ERROR"), (as_bytes(doc | {"rules": [rule | {"approval": approval}]}), "CATALOG_SCHEMA_ERROR"), (as_bytes(doc | {"schema_version": 2}), "CATALOG_VERSION_ERROR"),
+        (as_bytes(doc | {"coverage": doc["coverage"] | {"statement": "many"}}), "CATALOG_SCHEMA_ERROR"), (as_bytes(doc | {"gaps": ["g", "g"]}), "CATALOG_REFERENCE_ERROR"),
+        (as_bytes(doc | {"precedence": [{"rule_id": "r1", "version": 1, "precedence": 2}]}), "CATALOG_REFERENCE_ERROR"),
     ):
         with pytest.raises(rules.CatalogError, match=code):
             rules.load_catalog(data)
+    with pytest.raises(rules.CatalogError, match="CATALOG_FILE_ERROR"):
+        rules.read_catalog(str(tmp_path))
     with pytest.raises(rules.CatalogError, match="CATALOG_HISTORY_ERROR"):
         rules.check_history(loaded, [])
+    nested = {k: v for k, v in rule.items() if k not in approval} | {"approval": approval}
+    full = rules.parse_catalog(as_bytes(doc | {"rules": [nested], "gaps": ["a text", "G1"], "precedence": [{"rule_id": "r1", "version": 1, "precedence": 1}]}))
+    assert full.statement == "1 cenário de sucesso; 0 cenários de erro" and full.rules[0].extra["approved_by"] == "a"
+    assert rules.DEFAULT_GAP in full.gaps and ("G1", "G1") in full.gaps and len(full.gaps) == 3
+    with pytest.raises(rules.CatalogError, match="CATALOG_VERSION_ERROR"):
+        rules.check_succession(rules.parse_catalog(as_bytes(doc)), rules.parse_catalog(as_bytes(doc | {"gaps": ["G1"]})))
+
+
+def test_rules_are_checked_before_use():
+    a = rules.Rule("a", 1, "ERRO", ("VPL",), (), 2)
+    b = rules.Rule("b", 1, "SUCESSO", ("VPL",), (), 1)
+    assert [r.rule_id for r in rules.usable([a, b])] == ["b", "a"]
+    assert rules.usable([a, b], {("a", 1)}) == [] and rules.usable([a, b], {("a", 1), ("b", 1)}) != []
+    for bad in (replace(b, precedence=2), replace(b, category=rules.UNCLASSIFIED), replace(b, root_cause="x"), replace(a, precedence=5)):
+        assert rules.usable([a, bad]) == []
 
 
 def test_detection_and_placeholders(spark):
@@ -376,3 +404,14 @@ def test_link_conditions_test_both_end_types(spark):
     of = [rules.Rule(f"r{i}", 1, "C", ("v",), ({"condition_id": "c", "operator": "LINK_PRESENT", **a},), i) for i, a in enumerate(asked)]
     got = {r["rule_id"]: r["state"] for r in rules.evaluate(facts, of).collect()}
     assert got == {"r0": "SATISFEITA", "r1": "SATISFEITA", "r2": "NAO_SATISFEITA", "r3": "NAO_SATISFEITA", "r4": "ERRO_SEGURO"}
+
+
+def test_structured_search_within_a_namespace(spark):
+    rows = [("a", [("n1", "x")]), ("b", [("n2", "x")]), ("c", [("n1", "y")])]
+    e = spark.createDataFrame(rows, "entry_id string, identifiers array<struct<namespace:string,normalized:string>>")
+    assert sorted(r[0] for r in search.structured(e, "X").collect()) == ["a", "b"]
+    assert [r[0] for r in search.structured(e, "X", "n1").collect()] == ["a"]
+    i = e.select("entry_id", F.explode("identifiers").alias("i"))
+    digests = [r[0] for r in i.select(search.keyed_digest(F.col("i.namespace"), F.col("i.normalized"), "key")).collect()]
+    other = i.select(search.keyed_digest(F.col("i.namespace"), F.col("i.normalized"), "k2")).first()[0]
+    assert len(set(digests)) == 3 and other not in digests

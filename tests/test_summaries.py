@@ -25,3 +25,9 @@ def test_types_of_fields(spark):
     names = ["TelecomCallId", "ChannelUuid", "session_id", "OriginalPhoneNumber", "CPF", "vpl_ip", "WayHost", "api_key", "NOME_CLIENTE", "other"]
     got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(summaries.placeholder_type(F.col("n"))).collect()]
     assert got == ["CALL_ID", "UUID_CANAL", "UUID_SESSAO", "TELEFONE", "DOCUMENTO", "IP", "HOST_INTERNO", "CREDENCIAL", "DADO_CLIENTE", None]
+
+
+def test_references_are_located_by_lines_and_by_one_application(spark):
+    entries = spark.createDataFrame([("f", "e1", "VPL", 1, 3), ("f", "e2", "VPL", 4, 6), ("f", "e2", "ORK", 4, 6)], "file_token string, entry_id string, app string, line_start int, line_end int")
+    refs = spark.createDataFrame([(1, "f", "e1", 2, 3), (2, "f", "e1", 3, 4), (3, "f", "e2", 4, 4), (4, "g", "e1", 1, 1), (5, "f", "e1", 2, 3)], "n int, file_token string, entry_id string, line_start int, line_end int")
+    assert {r["n"]: r["app"] for r in summaries.located(refs, entries).collect()} == {1: "VPL", 2: None, 3: None, 4: None, 5: "VPL"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,23 @@ def manifest_problems(manifest: dict) -> list[str]:
     return missing
 
 
+def read_manifests(root: str) -> tuple[dict[str, dict], list[tuple[str, str]]]:
+    """Manifests below a folder by fixture, a leading byte order mark or not; and (path, problem) of those that
+    can't be read or name a fixture that another one has too, neither of which then counts."""
+    found, problems = {}, []
+    for p in sorted(Path(root).rglob("manifest.json")):
+        try:
+            manifest = json.loads(p.read_bytes().decode("utf-8-sig"))
+        except ValueError:
+            manifest = None
+        if p.is_symlink() or not isinstance(manifest, dict) or not isinstance(manifest.get("fixture_id"), str):
+            problems.append((str(p.relative_to(root)), "MANIFEST_INVALID"))
+        else:
+            found.setdefault(manifest["fixture_id"], []).append((str(p.relative_to(root)), manifest))
+    problems += [(path, "DUPLICATE_FIXTURE") for same in found.values() if len(same) > 1 for path, _ in same]
+    return {f: same[0][1] for f, same in found.items() if len(same) == 1}, problems
+
+
 def artifact_files(root: str) -> list[tuple[str, str | None]]:
     """(relative path, problem) of the files below a folder; links and unknown kinds are problems."""
     out = []

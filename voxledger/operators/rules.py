@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from dataclasses import dataclass, field
 
@@ -26,6 +27,20 @@ PARAMETERS = {
 }
 REQUIRED = {"APPLICATION_PRESENT": {"application"}, "LINK_PRESENT": {"relation"}, "EXPLICIT_LINK_PRESENT": {"relation"}, "FIELD_PRESENT": {"field"}, "FIELD_EQUALS": {"field", "expected"}, "FACT_PRESENT": {"fact"}, "CARDINALITY": {"target", "comparison", "value"}, "TEMPORAL_ORDER": {"before", "after"}}
 UNCLASSIFIED = "NAO_CLASSIFICADA"
+#: Categories, and the keys that each part of a catalogue must and may have.
+CATEGORIES = ("SUCESSO", "ERRO", UNCLASSIFIED)
+APPROVAL = {"approved_by", "approved_at", "approval_reference"}
+KEYS = {
+    "catalog": ({"schema_version", "catalog_version", "coverage", "rules"}, {"fixtures", "gaps", "precedence", "catalog_digest"}),
+    "rule": ({"rule_id", "version", "category", "applications", "conditions", "fixture_ids", "fixture_digests", "state", "precedence"}, {"approval", "evidence_selectors", "digest", "root_cause", "causa_raiz"} | APPROVAL),
+    "coverage": ({"labeled_successes", "labeled_errors"}, {"statement", "gaps"}),
+    "gap": ({"gap_id", "description"}, set()),
+    "fixture": ({"fixture_id", "label", "sanitized_origin", "validated_at", "validated_by"}, {"digest", "sha256", "sanitizer_version"}),
+    "precedence": ({"rule_id", "version", "precedence"}, set()),
+    "approval": (APPROVAL, set()),
+}
+#: The gap that every catalogue has.
+DEFAULT_GAP = ("ADDITIONAL_LABELED_SUCCESS_AND_ERROR_SAMPLES", "Amostras adicionais rotuladas de sucesso e erro são necessárias para generalizar padrões além do cenário atualmente coberto.")
 
 
 class CatalogError(ValueError):
@@ -72,11 +87,67 @@ def _bounded(value: object, depth: int = 1) -> None:
         _bounded(x, depth + 1)
 
 
-def load_catalog(data: bytes) -> list[Rule]:
-    """Rules of a catalogue document: strict UTF-8 JSON within limits, known keys, unique ids and precedences,
-    digests that match where they are given."""
-    if len(data) > MAX_BYTES:
-        raise CatalogError("CATALOG_SIZE_ERROR")
+@dataclass(frozen=True)
+class Catalog:
+    """A sound catalogue; its rules are in order of id and version, its gaps in order of id."""
+
+    version: str
+    rules: tuple[Rule, ...]
+    statement: str
+    gaps: tuple[tuple[str, str], ...]
+    digest: str
+
+
+def _need(sound: object, code: str = "CATALOG_SCHEMA_ERROR") -> None:
+    if not sound:
+        raise CatalogError(code)
+
+
+def _part(value: object, name: str) -> dict:
+    """A part of a catalogue with the keys it must have and no others than it may have."""
+    must, may = KEYS[name]
+    _need(isinstance(value, dict) and must <= value.keys() <= must | may)
+    return value  # type: ignore[return-value]
+
+
+def _number(value: object, least: int = 0) -> bool:
+    return type(value) is int and value >= least
+
+
+def coverage_statement(successes: int, errors: int) -> str:
+    """The sentence that says how many labelled scenarios of either kind there are."""
+    noun = lambda n: "cenário" if n == 1 else "cenários"
+    return f"{successes} {noun(successes)} de sucesso; {errors} {noun(errors)} de erro"
+
+
+def _gaps(values: list) -> tuple[tuple[str, str], ...]:
+    found = []
+    for v in values:
+        if isinstance(v, str):  # a gap given by its text alone: the text names it, or its digest does
+            found.append((v if IDENTIFIER.fullmatch(v) else "GAP_" + hashlib.sha256(v.encode()).hexdigest()[:16], v))
+        else:
+            found.append((_part(v, "gap")["gap_id"], v["description"]))
+    _need(len(dict(found)) == len(found), "CATALOG_REFERENCE_ERROR")
+    return tuple(sorted({DEFAULT_GAP[0]: DEFAULT_GAP[1], **dict(found)}.items()))
+
+
+def _rule(value: object) -> Rule:
+    r = _part(value, "rule")
+    flat = APPROVAL & r.keys()
+    _need(bool(flat) != ("approval" in r) and flat in (set(), APPROVAL))
+    approval = _part(r["approval"], "approval") if "approval" in r else r
+    lists = [r[k] for k in ("applications", "conditions", "fixture_ids")]
+    _need(all(isinstance(x, list) for x in lists) and r["applications"] and r["state"] in STATES and r["category"] in CATEGORIES)
+    _need(isinstance(r["rule_id"], str) and IDENTIFIER.fullmatch(r["rule_id"]) and _number(r["version"], 1) and _number(r["precedence"]) and all(isinstance(c, dict) for c in r["conditions"]))
+    _need("digest" not in r or r["digest"] == canonical_digest(r, ("digest",)), "CATALOG_DIGEST_ERROR")
+    cause = r.get("root_cause", r.get("causa_raiz"))
+    return Rule(r["rule_id"], r["version"], r["category"], tuple(r["applications"]), tuple(r["conditions"]), r["precedence"], r["state"], cause, r | {k: approval[k] for k in APPROVAL})
+
+
+def parse_catalog(data: bytes) -> Catalog:
+    """A catalogue document: strict UTF-8 JSON within limits, no unknown keys, unique rules, and what it says twice
+    (digests, coverage sentence, precedences) said alike. The default gap is always there."""
+    _need(len(data) <= MAX_BYTES, "CATALOG_SIZE_ERROR")
     try:
         doc = json.loads(data.decode("utf-8"), object_pairs_hook=_no_duplicates, parse_constant=_no_constants)
     except UnicodeDecodeError as e:
@@ -84,34 +155,78 @@ def load_catalog(data: bytes) -> list[Rule]:
     except json.JSONDecodeError as e:
         raise CatalogError("CATALOG_JSON_ERROR") from e
     _bounded(doc)
-    if not isinstance(doc, dict) or doc.get("schema_version") != 1 or not isinstance(doc.get("rules"), list):
-        raise CatalogError("CATALOG_SCHEMA_ERROR")
-    if "catalog_digest" in doc and doc["catalog_digest"] != canonical_digest(doc, ("catalog_digest",)):
-        raise CatalogError("CATALOG_DIGEST_ERROR")
-    rules = []
-    for r in doc["rules"]:
-        try:
-            rule = Rule(r["rule_id"], r["version"], r["category"], tuple(r["applications"]), tuple(r["conditions"]), r["precedence"], r.get("state", "DRAFT"), r.get("root_cause"), r)
-        except (KeyError, TypeError) as e:
-            raise CatalogError("CATALOG_SCHEMA_ERROR") from e
-        if not IDENTIFIER.fullmatch(rule.rule_id) or rule.state not in STATES:
-            raise CatalogError("CATALOG_SCHEMA_ERROR", rule.rule_id)
-        if "digest" in r and r["digest"] != canonical_digest(r, ("digest",)):
-            raise CatalogError("CATALOG_DIGEST_ERROR", rule.rule_id)
-        rules.append(rule)
-    active = [r.precedence for r in rules if r.state == "ACTIVE"]
-    if len({(r.rule_id, r.version) for r in rules}) < len(rules) or len(set(active)) < len(active):
-        raise CatalogError("CATALOG_REFERENCE_ERROR")
-    return rules
+    _need(isinstance(doc, dict))
+    _need("schema_version" in doc, "CATALOG_VERSION_ERROR")
+    _part(doc, "catalog")
+    _need(type(doc["schema_version"]) is int and doc["schema_version"] == 1, "CATALOG_VERSION_ERROR")
+    _need(isinstance(doc["catalog_version"], str) and IDENTIFIER.fullmatch(doc["catalog_version"]) and isinstance(doc["rules"], list))
+    coverage = _part(doc["coverage"], "coverage")
+    _need(all(isinstance(x, list) for x in (coverage.get("gaps", []), *(doc.get(k, []) for k in ("gaps", "fixtures", "precedence")))))
+    counts = coverage["labeled_successes"], coverage["labeled_errors"]
+    _need(all(map(_number, counts)))
+    statement = coverage_statement(*counts)
+    _need(coverage.get("statement", statement) == statement)
+    gaps = _gaps([*coverage.get("gaps", []), *doc.get("gaps", [])])
+    rules = sorted(map(_rule, doc["rules"]), key=lambda r: (r.rule_id, r.version))
+    order = {(r.rule_id, r.version): r.precedence for r in rules}
+    _need(len(order) == len(rules), "CATALOG_REFERENCE_ERROR")
+    fixtures = [_part(f, "fixture") for f in doc.get("fixtures", [])]
+    _need(all(("digest" in f) != ("sha256" in f) for f in fixtures), "CATALOG_DIGEST_ERROR")
+    _need(len({f["fixture_id"] for f in fixtures}) == len(fixtures), "CATALOG_REFERENCE_ERROR")
+    if "precedence" in doc:
+        said = [(p["rule_id"], p["version"], p["precedence"]) for p in (_part(x, "precedence") for x in doc["precedence"])]
+        _need({(i, v): n for i, v, n in said} == order and len(said) == len(order), "CATALOG_REFERENCE_ERROR")
+    digest = canonical_digest(doc, ("catalog_digest",))
+    _need(doc.get("catalog_digest", digest) == digest, "CATALOG_DIGEST_ERROR")
+    return Catalog(doc["catalog_version"], tuple(rules), statement, gaps, digest)
+
+
+def load_catalog(data: bytes) -> list[Rule]:
+    """The rules of a sound catalogue document."""
+    return list(parse_catalog(data).rules)
+
+
+def read_catalog(path: str) -> Catalog:
+    """The catalogue in a regular file."""
+    try:
+        _need(os.path.isfile(path), "CATALOG_FILE_ERROR")
+        _need(os.path.getsize(path) <= MAX_BYTES, "CATALOG_SIZE_ERROR")
+        with open(path, "rb") as f:
+            return parse_catalog(f.read())
+    except OSError as e:
+        raise CatalogError("CATALOG_FILE_ERROR") from e
 
 
 def check_history(old: list[Rule], new: list[Rule]) -> None:
-    """A published rule never changes or disappears."""
+    """A published rule never changes or disappears, and what is new of it has a higher version."""
     now = {(r.rule_id, r.version): r for r in new}
-    if any(now.get((r.rule_id, r.version)) != r for r in old):
+    before = {(r.rule_id, r.version) for r in old}
+    last: dict[str, int] = {}
+    for r in old:
+        last[r.rule_id] = max(r.version, last.get(r.rule_id, 0))
+    changed = any(now.get((r.rule_id, r.version)) != r for r in old)
+    if changed or any(v <= last.get(i, 0) for i, v in now.keys() - before):
         raise CatalogError("CATALOG_HISTORY_ERROR")
 
 
+def check_succession(old: Catalog, new: Catalog) -> None:
+    """A catalogue that may follow a published one: its history is kept, and what differs has another version."""
+    check_history(list(old.rules), list(new.rules))
+    _need(new.version != old.version or new == old, "CATALOG_VERSION_ERROR")
+
+
+def usable(rules: list[Rule], authorised: set[tuple[str, int]] | None = None) -> list[Rule]:
+    """The active rules in order of precedence, checked anew before use. No rule may be used if one is wrong:
+    repeated, of an equal precedence, of no category, with a cause that isn't an error's, or if not exactly the
+    active ones are authorised (where that is said)."""
+    active = sorted((r for r in rules if r.state == "ACTIVE"), key=lambda r: (r.precedence, r.rule_id, r.version))
+    sound = len({(r.rule_id, r.version) for r in rules}) == len(rules) and len({r.precedence for r in active}) == len(active)
+    sound = sound and all(_number(r.version, 1) and _number(r.precedence) and r.category != UNCLASSIFIED and (r.root_cause is None or r.category == "ERRO") for r in active)
+    if authorised is not None:
+        sound = sound and authorised == {(r.rule_id, r.version) for r in active}
+    return active if sound else []
+
+
 # ---------------------------------------------------------------- conditions
 
 FACTS_SCHEMA = "kind string, app string, name string, value string, ref string, utc timestamp"

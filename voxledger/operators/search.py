@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import casefold, normalize_query
@@ -21,10 +21,17 @@ def exploded_identifiers(entries: DataFrame) -> DataFrame:
     return entries.select("file_token", "app", "entry_id", "read_order", "line_start", F.explode("identifiers").alias("i")).select("file_token", "app", "entry_id", "read_order", "line_start", "i.*")
 
 
-def structured(entries: DataFrame, query: str) -> DataFrame:
-    """entry_id of entries with an identifier equal to the normalised query."""
+def keyed_digest(namespace: Column, normalized: Column, key: str) -> Column:
+    """A digest that compares like (namespace, normalized) and doesn't tell the value to who lacks the key."""
+    inner = F.sha2(F.concat_ws("\u0000", F.lit(key), namespace, normalized), 256)
+    return F.sha2(F.concat_ws("\u0000", F.lit(key), inner), 256)
+
+
+def structured(entries: DataFrame, query: str, namespace: str | None = None) -> DataFrame:
+    """entry_id of entries with an identifier equal to the normalised query, of one namespace if one is given."""
     wanted = normalize_query(query)
-    return entries.where(F.exists("identifiers", lambda i: i["normalized"] == wanted)).select("entry_id").distinct()
+    own = lambda i: i["normalized"] == wanted if namespace is None else (i["normalized"] == wanted) & (i["namespace"] == namespace)
+    return entries.where(F.exists("identifiers", own)).select("entry_id").distinct()
 
 
 def literal(entries: DataFrame, query: str, found: DataFrame) -> DataFrame:

@@ -33,6 +33,16 @@ def first_match(references: DataFrame, entries: DataFrame, keys: list[str], orde
     return references.join(first, keys, "left")
 
 
+def located(references: DataFrame, entries: DataFrame) -> DataFrame:
+    """References (file_token, entry_id, line_start, line_end and more) with the application of the entry whose lines
+    hold theirs; null if none does, or if entries of several applications do."""
+    own, lines = ["file_token", "entry_id"], ["line_start", "line_end"]
+    held = entries.select(*own, F.col("app").alias("__app"), F.col("line_start").alias("__from"), F.col("line_end").alias("__to"))
+    hits = references.select(*own, *lines).distinct().join(held, own).where("__from <= line_start AND line_end <= __to")
+    sure = hits.groupBy(*own, *lines).agg(F.min("__app").alias("app"), F.max("__app").alias("__last")).where("app = __last").drop("__last")
+    return references.join(sure, [*own, *lines], "left")
+
+
 def latency_card(dossiers: DataFrame) -> DataFrame:
     """Mean and greatest speech latency and mean categoriser latency of each call, and its longest repetition."""
     mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(c))

@@ -358,7 +358,7 @@ def set_ops(spark, sf_dir):
 @query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9.!#$%&*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS BIGINT) AS emails,
 CAST(len(regexp_extract_all(text, '(?:[0-9]{1,3}\.){3}[0-9]{1,3}')) AS BIGINT) AS quads FROM documents""")
 def pii_counts(spark, sf_dir):
-    """How many e-mail addresses and dotted quads each document has."""
+    """How many e-mail addresses and dotted quads each document has, by plain patterns."""
     n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
     return table(spark, sf_dir, "documents").select("doc_id", n(r"[A-Za-z0-9.!#$%&*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").alias("emails"), n(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}").alias("quads"))
 
@@ -422,6 +422,17 @@ def evidence_lookup(spark, sf_dir):
     return found.select("o_orderkey", "o_custkey", F.col("entry.l_quantity").alias("l_quantity"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 3 AND l_orderkey % 5 <> 0 THEN o_orderstatus END AS app FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""")
+def evidence_location(spark, sf_dir):
+    """References with the application of the entry that holds their lines: entries of three lines, some of them
+    claimed by a second application."""
+    o = table(spark, sf_dir, "orders")
+    entry = lambda df, app: df.select(F.lit("f").alias("file_token"), F.col("o_orderkey").alias("entry_id"), app.alias("app"), F.lit(1).alias("line_start"), F.lit(3).alias("line_end"))
+    entries = entry(o, F.col("o_orderstatus")).union(entry(o.where("o_orderkey % 5 = 0"), F.lit("other")))
+    place = {"file_token": F.lit("f"), "entry_id": F.col("l_orderkey"), "line_start": F.col("l_linenumber"), "line_end": F.col("l_linenumber")}
+    return summaries.located(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").withColumns(place), entries).select("l_orderkey", "l_linenumber", "app")
+
+
 @query("SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
 def json_rows(spark, sf_dir):
     """Rows as JSON in field order."""

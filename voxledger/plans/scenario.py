@@ -121,7 +121,7 @@ def analyse(spark: SparkSession, query: str, entries: DataFrame, errors: DataFra
         blocked = written(correlate.chains(own, reach(edges.where("allows_correlation and ambiguous"))))
     correlation = correlate.summary(chosen, evidence, paths, blocked)
     dated, undated = timeline.timeline_parts(chosen)
-    active = [r for r in catalog or [] if r.state == "ACTIVE"]
+    active = rules.usable(catalog or [])
     if active:
         facts = written(rules.scenario_facts(chosen, edges))
         explained = governance.explain(rules.evaluate(facts, active), rules.evidence(facts, active))
