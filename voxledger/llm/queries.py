@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lm_scoring, mixing, ngram_quality, quality_rules, quotations, simhash, token_file, toxicity
+from . import codebooks, cross_polytope, decontaminate, licenses, lm_scoring, mixing, ngram_quality, quality_rules, quotations, simhash, token_file, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,10 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": token_file.op8_token_ids,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_lm_scoring": lm_scoring.op10_lm_scoring,
+    "op11_embedding_near_dedup": cross_polytope.op11_embedding_near_dedup,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_vector_codes": codebooks.op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op7_quotation_threads": quotations.ORACLE,
+    "op11_embedding_near_dedup": cross_polytope.ORACLE,
+    "op13_vector_codes": codebooks.ORACLE,
 }
