@@ -55,6 +55,18 @@ def test_wrapped_notices(model, lines, family):
     assert all(x["lines"] == 1 for x in c.scan([apart.encode()], model)[0]["licenses"])
 
 
+LONG = [(family, t) for family, ts in c.TEMPLATES.items() for t in ts if len(t.split()) >= 12]
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_notices_wrapped_over_any_number_of_lines(model, n):
+    for family, template in LONG:
+        words = template.split()
+        cut = [" ".join(x) for x in np.array_split(words, n)]
+        text = "\n".join(["Some prose stands here first.", *cut, "More prose follows it at once."])
+        assert {x["family"] for x in c.scan([text.encode()], model)[0]["licenses"]} == {family}, (template, cut)
+
+
 def test_templates_that_a_model_has_not_seen_stay_unknown_or_right(spark, medium):
     """Calibration is by template: models of one half of the templates, on the other half."""
     rows = spark.read.parquet(f"{medium}/documents.parquet").selectExpr("explode(split(text, '\n')) AS line").limit(1500).collect()
@@ -84,18 +96,39 @@ def plain_scan(text, model):
         p = probabilities(words)
         k = 1 + int(np.argmax(p[1:]))
         pairs = set(zip(words, words[1:], strict=False))
-        shares = [len(pairs & set(zip(t, t[1:], strict=False))) / len(set(zip(t, t[1:], strict=False))) for t in (x.encode().translate(c.WORDS).split() for x in c.TEMPLATES[c.FAMILIES[k]])]
-        return c.FAMILIES[k] if p[k] >= c.MIN_PROBABILITY and max(shares) >= c.CONFIRM else None
+        best = max(len(pairs & set(zip(t, t[1:], strict=False))) / len(set(zip(t, t[1:], strict=False))) for t in (x.encode().translate(c.WORDS).split() for x in c.TEMPLATES[c.FAMILIES[k]]))
+        return (best, c.FAMILIES[k]) if p[k] >= c.MIN_PROBABILITY and best >= c.CONFIRM else None
+
+    def share(words, template):
+        return len(set(zip(words, words[1:], strict=False)) & template)
+
+    def text(a, b):
+        return [w for k in range(a, b + 1) for w in lines[k]]
 
     found = {(i, 1): v for i, w in enumerate(lines) if w and (v := verdict(w))}
-    taken = {i for i, _ in found}
-    for n in range(2, c.WRAP + 1):
-        for a in range(len(lines) - n + 1):
-            run = range(a, a + n)
-            if all(lines[k] for k in run) and not taken.intersection(run) and any(probabilities(lines[k])[1:].max() >= c.SEED for k in run):
-                if v := verdict([w for k in run for w in lines[k]]):
-                    found[a, n] = v
-                    taken.update(run)
+    alone = {i for (i, _), v in found.items() if v[0] == 1}
+    free = lambda k: 0 <= k < len(lines) and bool(lines[k]) and k not in alone
+    runs = dict(found)
+    for i, w in enumerate(lines):
+        if not free(i) or probabilities(w)[1:].max() < c.SEED:
+            continue
+        for t in (x.encode().translate(c.WORDS).split() for ts in c.TEMPLATES.values() for x in ts):
+            template, a, b = set(zip(t, t[1:], strict=False)), i, i
+            while True:
+                now = share(text(a, b), template)
+                up = share(text(a - 1, b), template) - now if free(a - 1) else 0
+                down = share(text(a, b + 1), template) - now if free(b + 1) else 0
+                if not up and not down:
+                    break
+                a, b = (a - 1, b) if up >= down else (a, b + 1)
+            if b > a and (v := verdict(text(a, b))):
+                runs[a, b - a + 1] = v
+    found = {}
+    taken = set()
+    for (a, n), (_, v) in sorted(runs.items(), key=lambda r: (-r[1][0], r[0][1], r[0][0])):
+        if not taken.intersection(range(a, a + n)):
+            found[a, n] = v
+            taken.update(range(a, a + n))
     return sorted((a, n, v) for (a, n), v in found.items())
 
 

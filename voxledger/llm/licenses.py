@@ -1,6 +1,6 @@
 """Operator 4: licence scans with a paragraph classifier.
 
-A paragraph is a line of text, or a notice that was wrapped over up to WRAP neighbouring lines. Multinomial logistic
+A paragraph is a line of text, or a notice that was wrapped over any number of neighbouring lines. Multinomial logistic
 regression over hashed word and word-pair features gives each paragraph a probability for every licence family and
 for `unknown`. It is trained here on variants of the family templates (words dropped, prose around them, parts of
 long ones), and, as unknown, on prose of the corpus (at most `sample_paragraphs` paragraphs of `sample_docs`
@@ -9,10 +9,13 @@ calibrates it: it is fitted on variants of every other template of each family,
 has not seen. A paragraph counts as a licence if some family has MIN_PROBABILITY or more and a template of that
 family confirms it: CONFIRM or more of the template's word pairs are in the paragraph.
 
-Lines are classified one by one. Around each line that isn't confirmed though a family has SEED or more, runs of 2 to
-WRAP lines without a blank one are classified too, the shortest first; a run that is confirmed is reported at its
-first line. All paragraphs of all documents are classified, over whole texts. Scoring is row by row; nothing is
-shuffled.
+Lines are classified one by one. A line in which a family has SEED or more, and which isn't confirmed with a whole
+template, is where wrapped notices are looked for: for each template that shares a word pair with it or its
+neighbours, a run grows from the line, by the line above or below that adds more of the template's pairs (above on
+ties), until neither adds any, or is blank or confirmed with a whole template. Of the lines and runs that are
+confirmed, those with the largest share of a template come first, then the shorter and the earlier ones; each that
+overlaps none taken before is reported, at its first line. All paragraphs of all documents are classified, over
+whole texts. Scoring is row by row; nothing is shuffled.
 
 Null and empty texts have no paragraphs. Repeated rows are scanned one by one and alike. An empty corpus still
 trains, on templates and word-like noise, and gives no rows. Columns but doc_id and text, whatever their names, are
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +43,7 @@ SAMPLE_DOCS = 400
 SAMPLE_PARAGRAPHS = 4000
 MIN_PROBABILITY = 0.5
 CONFIRM = 0.6
-#: A notice may be wrapped over so many lines, one of which has a family of this probability.
-WRAP = 4
+#: A notice that is wrapped over several lines is found from one that has a family of this probability.
 SEED = 0.1
 UNKNOWN = "unknown"
 
@@ -140,6 +142,11 @@ def _pairs(words: list[bytes]) -> set[tuple[bytes, bytes]]:
 _TEMPLATE_PAIRS = {f: [_pairs(t.encode().translate(WORDS).split()) for t in ts] for f, ts in TEMPLATES.items()}
 
 
+#: The pairs of each template, and the numbers of the templates that have a pair.
+_PAIRS_OF = [p for ps in _TEMPLATE_PAIRS.values() for p in ps]
+_TEMPLATES_WITH = {pair: [t for t, p in enumerate(_PAIRS_OF) if pair in p] for ps in _PAIRS_OF for pair in ps}
+
+
 def containment(family: str, words: list[bytes]) -> float:
     """The largest share of a family template's word pairs that the paragraph has."""
     own = _pairs(words)
@@ -265,26 +272,60 @@ def confirmed(words: list[list[bytes]], p: np.ndarray) -> dict[int, dict]:
     return out
 
 
-def _wrapped(words: list[list[bytes]], where: list[tuple[int, int]], p: np.ndarray, found: dict[int, dict], model: LicenseModel) -> list[tuple[int, dict]]:
-    """Confirmed notices over several lines, (first paragraph, licence), around the lines that may be parts of one."""
-    runs: dict[tuple[int, int], None] = {}
-    for i in np.flatnonzero(p[:, 1:].max(axis=1) >= SEED).tolist():
-        if i in found:
-            continue
-        for n in range(2, WRAP + 1):
-            for a in range(max(0, i - n + 1), min(i, len(words) - n) + 1):
-                (doc, line), (last_doc, last) = where[a], where[a + n - 1]
-                if doc == last_doc and last - line == n - 1 and not any(k in found for k in range(a, a + n)):
-                    runs[a, n] = None
-    if not runs:
-        return []
-    order = sorted(runs, key=lambda r: (r[1], r[0]))
-    joined = [[w for k in range(a, a + n) for w in words[k]] for a, n in order]
-    hits, taken, out = confirmed(joined, model.probabilities(joined)), set(), []
-    for i, (a, n) in enumerate(order):
-        if i in hits and not taken.intersection(range(a, a + n)):
+def _grown(words: list[list[bytes]], joins: Callable[[int], bool], seed: int, known: dict[int, set]) -> set[tuple[int, int]]:
+    """(first line, lines) of the runs that grow from a line, one for each template that it or a neighbour shares a pair with.
+    joins(k): may line k be in a run with line k + 1?"""
+
+    def pairs(k: int) -> set:
+        """The template pairs in line k, and across its end if the next line joins."""
+        if k not in known:
+            own = _pairs(words[k] + words[k + 1][:1] if joins(k) else words[k])
+            known[k] = {p for p in own if p in _TEMPLATES_WITH}
+        return known[k]
+
+    near = pairs(seed) | (pairs(seed - 1) if joins(seed - 1) else set()) | (pairs(seed + 1) if joins(seed) else set())
+    runs = set()
+    for t in {t for p in near for t in _TEMPLATES_WITH[p]}:
+        template, a, b = _PAIRS_OF[t], seed, seed
+        have = template & _pairs(words[seed])
+        while True:
+            # pairs(k) holds those across the end of k, so a line below counts with the line before it
+            up = len(template & pairs(a - 1) - have) if joins(a - 1) else 0
+            down = len(template & (pairs(b) | _pairs(words[b + 1])) - have) if joins(b) else 0
+            if not up and not down:
+                break
+            if up >= down:
+                a -= 1
+                have |= template & pairs(a)
+            else:
+                have |= template & (pairs(b) | _pairs(words[b + 1]))
+                b += 1
+        if b > a:
+            runs.add((a, b - a + 1))
+    return runs
+
+
+def _notices(words: list[list[bytes]], where: list[tuple[int, int]], p: np.ndarray, model: LicenseModel) -> list[tuple[int, dict]]:
+    """Confirmed notices, (first paragraph, licence), of one line or of several."""
+    alone = confirmed(words, p)
+    whole = {i for i, x in alone.items() if x["match"] == 1}
+
+    def joins(k: int) -> bool:
+        return 0 <= k < len(words) - 1 and where[k + 1] == (where[k][0], where[k][1] + 1) and k not in whole and k + 1 not in whole
+
+    known: dict[int, set] = {}
+    seeds = np.flatnonzero(p[:, 1:].max(axis=1) >= SEED).tolist()
+    runs = sorted(set().union(*(_grown(words, joins, i, known) for i in seeds if i not in whole)))
+    hits = {(i, 1): x for i, x in alone.items()}
+    if runs:
+        joined = [[w for k in range(a, a + n) for w in words[k]] for a, n in runs]
+        hits |= {runs[i]: x for i, x in confirmed(joined, model.probabilities(joined)).items()}
+    taken: set[int] = set()
+    out = []
+    for (a, n), x in sorted(hits.items(), key=lambda h: (-h[1]["match"], h[0][1], h[0][0])):
+        if not taken.intersection(range(a, a + n)):
             taken.update(range(a, a + n))
-            out.append((a, hits[i] | {"lines": n}))
+            out.append((a, x | {"lines": n}))
     return out
 
 
@@ -295,8 +336,7 @@ def scan(texts: list[bytes | None], model: LicenseModel) -> list[dict]:
     def flush() -> None:
         if words:
             p = model.probabilities(words)
-            found = confirmed(words, p)
-            for i, x in [*((i, x | {"lines": 1}) for i, x in found.items()), *_wrapped(words, where, p, found, model)]:
+            for i, x in _notices(words, where, p, model):
                 doc, line = where[i]
                 out[doc]["licenses"].append({"line": line} | x)
         words.clear()
