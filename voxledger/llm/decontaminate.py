@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,9 +192,7 @@ MATCHES = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("s
 _ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
 
 
-def _match_column(spark: SparkSession, text: Column, block: Block) -> Column:
-    sent = spark.sparkContext.broadcast(block)
-
+def _match_column(sent: Broadcast, text: Column) -> Column:
     @arrow_udf(MATCHES)
     def match(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in data:
@@ -233,22 +232,26 @@ def _hit(spans: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """row (the columns of docs) and match (n_words, spans, items) of every row: the longest verbatim matches
     of each document with their places, and the ids of the items with windows in it."""
-    spark, blocks = docs.sparkSession, _blocks(items, block_words)
-    first, text = next(blocks, None), F.col("text")
-    if first is None:
-        return docs.select(packed(docs), F.struct(_count(text).alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")).alias("match"))
-    later = [_match_column(spark, text, b) for b in blocks]
-    if not later:
-        return docs.select(packed(docs), _match_column(spark, text, first).alias("match"))
-    # Matches of later blocks are gathered by document and joined: equal rows have equal matches.
+    context, text = docs.sparkSession.sparkContext, F.col("text")
     key = [F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")]
-    more = None
-    for column in later:
-        one = docs.select(*key, column.alias("m")).where(F.size("m.spans") > 0)
-        one = materialize(one.select("d", "h", "m.spans", "m.items").dropDuplicates(["d", "h"]))
-        more = one if more is None else more.unionByName(one)
+    # Matches of all blocks but the last are gathered by document and joined: equal rows have equal matches.
+    last: Block | None = None
+    more: DataFrame | None = None
+    for block in _blocks(items, block_words):
+        if last is not None:  # one block is sent at a time, and taken back when its matches are stored
+            sent = context.broadcast(last)
+            one = docs.select(*key, _match_column(sent, text).alias("m")).where(F.size("m.spans") > 0)
+            one = materialize(one.select("d", "h", "m.spans", "m.items").dropDuplicates(["d", "h"]))
+            sent.destroy()
+            more = one if more is None else more.unionByName(one)
+        last = block
+    if last is None:
+        return docs.select(packed(docs), F.struct(_count(text).alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")).alias("match"))
+    column = _match_column(context.broadcast(last), text)
+    if more is None:
+        return docs.select(packed(docs), column.alias("match"))
     more = more.groupBy(F.col("d").alias("d2"), F.col("h").alias("h2")).agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
-    base = docs.select(packed(docs), *key, _match_column(spark, text, first).alias("m"))
+    base = docs.select(packed(docs), *key, column.alias("m"))
     both = base.join(materialize(more), F.col("d").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
     m, s, i = F.col("m"), F.col("s"), F.col("i")
     full = F.when(s.isNull(), m).otherwise(F.struct(m["n_words"].alias("n_words"), _join_spans(F.concat(m["spans"], s)).alias("spans"), F.array_sort(F.array_union(m["items"], i)).alias("items")))
