@@ -74,10 +74,22 @@ def test_gates(spark):
     assert governance.manifest_problems(manifest | {"artifacts": [{"path": "../x"}]}) == ["FORBIDDEN_PATH"]
 
 
-def test_satisfied_rules_need_evidence(spark):
-    states = spark.createDataFrame([("a", "SATISFEITA"), ("b", "SATISFEITA"), ("c", "NAO_SATISFEITA")], "rule_id string, state string")
-    got = {r["rule_id"]: r["supported"] for r in governance.explain(states, spark.createDataFrame([("a",)], "rule_id string")).collect()}
-    assert got == {"a": True, "b": False, "c": True}
+def test_a_winner_needs_evidence_of_each_condition(spark):
+    present = {"condition_id": "a", "operator": "APPLICATION_PRESENT", "application": "VPL"}
+    nothing = {"condition_id": "b", "operator": "CARDINALITY", "target": "FACT", "comparison": "LT", "value": 5}
+    rule = lambda i, *c: rules.Rule(i, 1, "CAT_" + i, ("VPL",), c, {"first": 1, "second": 2}[i])
+    rows = [("s1", "APPLICATION", "VPL", None, None, "application:VPL", None), ("s2", "APPLICATION", "VPL", None, None, "application:VPL", None), ("s2", "FACT", "VPL", "f", None, "fact:1", None), ("s3", "APPLICATION", "ORK", None, None, "application:ORK", None)]
+    facts = spark.createDataFrame(rows, "s string, " + rules.FACTS_SCHEMA)
+    for first in (rule("first", nothing), rule("first", present, nothing)):
+        own, by = [first, rule("second", present)], ("s",)
+        got = {r["s"]: (r["category"], r["messages"]) for r in rules.classify(rules.evaluate(facts, own, by), False, rules.evidence(facts, own, by), by).collect()}
+        assert got == {"s1": (rules.UNCLASSIFIED, [rules.NO_RULE, rules.NO_CAUSE]), "s2": ("CAT_first", [rules.NO_CAUSE]), "s3": (rules.UNCLASSIFIED, [rules.NO_RULE, rules.NO_CAUSE])}
+        one = facts.where("s = 's1'").drop("s")
+        assert rules.classify(rules.evaluate(one, own), False, rules.evidence(one, own)).first()["category"] == rules.UNCLASSIFIED
+    blocked = facts.where("s = 's2'").select("s")
+    got = {r["s"]: r["category"] for r in rules.classify(rules.evaluate(facts, own, by), blocked, None, by).collect()}
+    assert got == {"s1": "CAT_first", "s2": rules.UNCLASSIFIED, "s3": rules.UNCLASSIFIED}
+    assert rules.classify(rules.evaluate(one, [])).first()["category"] == rules.UNCLASSIFIED
 
 
 def test_registry():

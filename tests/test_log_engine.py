@@ -1,3 +1,4 @@
+import hmac
 import datetime as dt
 import hashlib
 import json
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxledger.functions import identifiers as ids
 from voxledger.functions.temporal import local_to_utc, offset_to_utc, utc_text
-from voxledger.operators import blocks, correlate, graph, headers, rules, sanitize, scanner, search, stats, timeline
+from voxledger.operators import blocks, correlate, graph, headers, rules, sanitize, scanner, search, secure, stats, timeline
 from voxledger.plans import scenario
 from voxledger.sources import logs
 
@@ -180,7 +181,13 @@ def test_graph_against_plain(spark):
     df = spark.createDataFrame(edges, "src string, dst string")
     got = graph.closure(df, spark.createDataFrame([("n1",)], "source string")).collect()
     assert {r["node"]: r["depth"] for r in got} == depth
-    assert all(len(r["path"]) == r["depth"] + 1 and all(y in near[x] for x, y in zip(r["path"], r["path"][1:], strict=False)) for r in got)
+    assert all(r["parent"] in near[r["node"]] for r in got if r["depth"]) and [r["parent"] for r in got if not r["depth"]] == [None]
+    reach = graph.closure(df, spark.createDataFrame([("n1",)], "source string"))
+    depth = {r["node"]: r["depth"] for r in got}
+    walked = {r["node"]: r["path"] for r in graph.paths(graph.steps(reach, reach)).collect()}
+    assert set(walked) == set(depth) - {"n1"}
+    for end, path in walked.items():
+        assert path[0] == "n1" and path[-1] == end and len(path) == depth[end] + 1 and all(y in near[x] for x, y in zip(path, path[1:], strict=False))
     parts = {r["node"]: r["component"] for r in graph.components(df).collect()}
     assert set(parts) == set(near)
     assert all(parts[x] == parts[y] for x in near for y in near[x])
@@ -248,10 +255,10 @@ def test_detection_and_placeholders(spark):
     assert kinds == ["IP", "DADO_CLIENTE", "DOCUMENTO", "TELEFONE", "URL_INTERNA", "CALL_ID", "CREDENCIAL", "IP"]
     assert sanitize.detect("callid=null token: [redacted] version 1.2.3") == []
     rows = [("a", 1, text), ("a", 2, "again 192.0.2.7 and 192.0.2.9"), ("b", 1, "clean")]
-    got = {(r["analysis_id"], r["seq"]): r["safe"] for r in sanitize.sanitize(spark.createDataFrame(rows, "analysis_id string, seq int, text string")).collect()}
+    view = secure.secure_texts(spark.createDataFrame(rows, "analysis_id string, seq int, text string")).collect()
+    got = {(r["analysis_id"], r["seq"]): r["safe"] for r in view}
     assert got["a", 2] == "again <IP_1> and <IP_2>" and got["b", 1] == "clean"
-    assert "hunter2" not in got["a", 1] and "<CALL_ID_3>" in got["a", 1]
-    view = sanitize.secure_view(spark.createDataFrame(rows, "analysis_id string, seq int, text string")).collect()
+    assert "hunter2" not in got["a", 1] and "<CALL_ID_3>" in got["a", 1] and "<CALL_ID_4>" in got["a", 1]
     assert {r["state"] for r in view} == {"CONCLUIDA"}
 
 
@@ -294,7 +301,7 @@ def test_the_scanner_finds_what_is_left(spark):
 
 def test_secure_parts_share_placeholders(spark):
     rows = [("a", "texts", 1, None, "call from CALL-ABCD to x"), ("a", "identifiers", 1, "CALL_ID", "call-abcd"), ("a", "fields", 1, "DADO_CLIENTE", "Jane"), ("a", "fields", 2, None, "nothing here"), ("a", "evidence", 1, "CALL_ID", "CALL-ABCD"), ("b", "texts", 1, None, "192.168.100.200 8080 4444"), ("b", "fields", 1, "DADO_CLIENTE", "Joe"), ("a", "fields", 3, "IP", None)]
-    got = {(r["analysis_id"], r["part"], r["seq"]): (r["safe"], r["state"]) for r in sanitize.secure_parts(spark.createDataFrame(rows, "analysis_id string, part string, seq long, type string, value string")).collect()}
+    got = {(r["analysis_id"], r["part"], r["seq"]): (r["safe"], r["state"]) for r in secure.secure_view(spark.createDataFrame(rows, "analysis_id string, part string, seq long, type string, value string")).collect()}
     assert got["a", "texts", 1] == ("call from <CALL_ID_1> to x", "CONCLUIDA")
     assert got["a", "identifiers", 1][0] == got["a", "evidence", 1][0] == "<CALL_ID_1>" and got["a", "fields", 1][0] == "<DADO_CLIENTE_1>" and got["a", "fields", 2][0] == "nothing here" and got["a", "fields", 3][0] is None
     assert got["b", "texts", 1] == (None, "SUPRIMIDA") and got["b", "fields", 1] == (None, "SUPRIMIDA")
@@ -374,7 +381,7 @@ def test_timeline_is_a_partition(spark):
 
 def test_no_window_or_list_holds_all_values(spark):
     values = spark.range(3000).select(F.lit("a").alias("analysis_id"), F.col("id").alias("seq"), F.struct(F.array(F.struct(F.lit("IP").alias("type"), F.lit(0).alias("span_start"), F.lit(1).alias("span_end"), F.concat(F.lit("v"), F.col("id") % 2000).alias("normalized"))).alias("spans")).alias("d"))
-    names = sanitize.placeholders(values)
+    names = secure.placeholders(values.withColumn("rank", F.lit(1)))
     assert {r["normalized"]: r["placeholder"] for r in names.collect()} == {f"v{i}": f"<IP_{i + 1}>" for i in range(2000)}
     assert "row_number" not in names._jdf.queryExecution().toString()
     seconds = spark.createDataFrame([(x,) for x in (4.0, 1.0, 90.0, 4.0)], "seconds double")
@@ -412,6 +419,18 @@ def test_structured_search_within_a_namespace(spark):
     assert sorted(r[0] for r in search.structured(e, "X").collect()) == ["a", "b"]
     assert [r[0] for r in search.structured(e, "X", "n1").collect()] == ["a"]
     i = e.select("entry_id", F.explode("identifiers").alias("i"))
-    digests = [r[0] for r in i.select(search.keyed_digest(F.col("i.namespace"), F.col("i.normalized"), "key")).collect()]
-    other = i.select(search.keyed_digest(F.col("i.namespace"), F.col("i.normalized"), "k2")).first()[0]
+    digests = [r[0] for r in i.select(search.keyed_digest(F.col("i.namespace"), F.col("i.normalized"), b"key")).collect()]
+    other = i.select(search.keyed_digest(F.col("i.namespace"), F.col("i.normalized"), b"k2")).first()[0]
     assert len(set(digests)) == 3 and other not in digests
+
+
+def test_digests_are_hmacs_and_can_be_searched(spark):
+    rows = [("a", [("n1", "x"), ("é" * 40, "y")]), ("b", [("n2", "x")]), ("c", [("n1x", ""), ("n1", "X")])]
+    e = spark.createDataFrame(rows, "entry_id string, identifiers array<struct<namespace:string,normalized:string>>")
+    e = e.withColumns({"file_token": F.lit("f"), "app": F.lit("VPL"), "read_order": F.lit(0), "line_start": F.lit(1)})
+    for key in (b"", b"key", b"k" * 64, b"long" * 40):
+        index = search.digest_index(e, key)
+        want = {(i, hmac.new(key, len(n.encode()).to_bytes(2, "big") + n.encode() + v.encode(), "sha256").hexdigest()) for i, ids in rows for n, v in ids}
+        assert {tuple(r) for r in index.collect()} == want
+        assert sorted(r[0] for r in search.structured_by_digest(index, ["n1", "n2"], "X", key).collect()) == ["a", "b"]
+        assert search.structured_by_digest(index, ["n1"], "X", key + b"?").isEmpty()

@@ -16,7 +16,8 @@ def main(args: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     ship(spark)
     try:
-        text = scenario.report(scenario.answer(spark, args[0], [tuple(a.split(":", 1)) for a in args[1:]]))
+        with scenario.answer(spark, args[0], [tuple(a.split(":", 1)) for a in args[1:]]) as found:
+            text = scenario.report(found)
     except ValueError as e:
         sys.stdout.write(f"error: {e}\n")
         return 1

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxledger.functions.prefix import running_sums
 from voxledger.operators.headers import apparent_header, valid_header
 
 #: The kinds of a line.
@@ -17,18 +17,19 @@ def start_kind(app: Column, text: Column) -> Column:
     return F.when(text.isNull(), CONTINUATION).when(valid_header(app, text), VALID).when(apparent_header(app, text), APPARENT).otherwise(CONTINUATION)
 
 
-def blocks(lines: DataFrame) -> DataFrame:
+def blocks(lines: DataFrame, bucket_lines: int = 100_000) -> DataFrame:
     """Blocks of lines (file_token, app, line_no, start_byte, end_byte, text, terminator, start_kind).
 
     A header closes the open block and opens another; a continuation joins the open block, and before the
-    first header each is an orphan block of its own. read_order counts blocks from 0 within a file. A file
-    is one window: its size is bounded by the batch limits.
+    first header each is an orphan block of its own. read_order counts blocks from 0 within a file. Headers and
+    orphans are counted in buckets of lines, so a file of any size is never one task.
     """
-    w = W.partitionBy("file_token").orderBy("line_no")
-    opened = lines.withColumn("__g", F.sum(F.when(F.col("start_kind") != CONTINUATION, 1).otherwise(0)).over(w))
-    orphan = F.col("__g") == 0
-    placed = opened.withColumn("__orphans", F.sum(F.when(orphan, 1).otherwise(0)).over(w))
-    placed = placed.withColumn("read_order", F.when(orphan, F.col("__orphans") - 1).otherwise(F.col("__orphans") + F.col("__g") - 1).cast("long"))
+    header = F.col("start_kind") != CONTINUATION
+    first = lines.where(header).groupBy("file_token").agg(F.min("line_no").alias("__first"))
+    marked = lines.join(first, "file_token", "left").withColumn("__orphan", F.coalesce(F.col("line_no") < F.col("__first"), F.lit(True)))
+    marked = marked.withColumns({"__opens": (header | F.col("__orphan")).cast("long"), "__bucket": F.floor(F.col("line_no") / bucket_lines)})
+    # orphans and headers open a block each, and what comes before a header is an orphan
+    placed = running_sums(marked, ["file_token"], ["__bucket"], [F.col("line_no")], {"__n": "__opens"}).withColumn("read_order", F.col("__n") - 1)
     line = F.struct("line_no", "text", "terminator")
     each = placed.groupBy("file_token", "app", "read_order").agg(
         F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"),

@@ -32,20 +32,19 @@ def shared_identifiers(identifiers: DataFrame, ambiguous: DataFrame | None = Non
 
 
 def chains(identifiers: DataFrame, reach: DataFrame) -> DataFrame:
-    """Paths (source, node, path) from a VPL node to an ORK node by one or more allowed links."""
+    """(source, node) of paths from a VPL node to an ORK node by one or more allowed links."""
     node = F.concat_ws("\u0000", "namespace", "normalized")
     side = lambda app: identifiers.where(F.col("app") == app).select(node.alias("n")).distinct()
-    steps = reach.where("depth >= 1")
-    return steps.join(side("VPL").withColumnRenamed("n", "source"), "source", "left_semi").join(side("ORK").withColumnRenamed("n", "node"), "node", "left_semi")
+    ends = reach.where("depth >= 1").select("source", "node")
+    return ends.join(side("VPL").withColumnRenamed("n", "source"), "source", "left_semi").join(side("ORK").withColumnRenamed("n", "node"), "node", "left_semi")
 
 
-def valid_chains(paths: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:
-    """Paths all of whose steps are unambiguous allowed edges that a selected entry declares."""
-    step = F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("s")
-    steps = paths.select("source", "node", "path", step).select("source", "node", "path", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
+def valid_chains(found: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """(source, node) of paths, given by their steps (source, node, at, a, b), all of whose steps are unambiguous
+    allowed edges that a selected entry declares."""
     good = edges.where("allows_correlation and not ambiguous").join(selected.select("entry_id"), "entry_id", "left_semi")
     pairs = good.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(good.select("dst", "src")).distinct().withColumn("ok", F.lit(True))
-    return steps.join(pairs, ["a", "b"], "left").groupBy("source", "node", "path").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("valid")).where("valid").drop("valid")
+    return found.join(pairs, ["a", "b"], "left").groupBy("source", "node").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("valid")).where("valid").drop("valid")
 
 
 def summary(entries: DataFrame, evidence: DataFrame, paths: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:

@@ -103,16 +103,3 @@ def gate(rule: Rule, manifests: dict[str, dict], facts: dict[str, DataFrame], la
 def diversity(samples: DataFrame, dimensions: list[str]) -> DataFrame:
     """Distinct values of each dimension, and the number of samples."""
     return samples.agg(*[F.count_distinct(d).alias(d) for d in dimensions], F.count(F.lit(1)).alias("samples"))
-
-
-def explain(evaluated: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Each rule's state with the number of pieces of evidence; a satisfied rule without any is marked
-    unsupported, which takes back its classification."""
-    n = evidence.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_evidence"))
-    joined = evaluated.join(n, "rule_id", "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
-    return joined.withColumn("supported", (F.col("state") != "SATISFEITA") | (F.col("n_evidence") > 0))
-
-
-def supported_only(explained: DataFrame) -> DataFrame:
-    """Explained rules as they may classify: a satisfied rule that nothing supports isn't satisfied."""
-    return explained.withColumn("state", F.when(F.col("supported"), F.col("state")).otherwise("NAO_SATISFEITA"))

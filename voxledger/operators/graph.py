@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxledger.functions.store import materialize
+
+EDGES = "src string, dst string, relation string, schema_id string, schema_version int, cardinality string, allows_correlation boolean, entry_id string, src_type string, dst_type string"
 #: Cardinalities; the sides that must have one partner.
 ONE_SOURCE, ONE_TARGET = ("1:1", "1:N"), ("1:1", "N:1")
 
 
-def _shared(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="vox-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/vox-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read back: iterations neither recompute nor grow the plan."""
-    path = _shared(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def node_of() -> Column:
+    """An identifier (namespace, normalized) as a node of the graph."""
+    return F.concat_ws("\u0000", "namespace", "normalized")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -36,40 +25,109 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """One shortest path from each seed `source` to every node it reaches: source, node, depth, path.
+    """Every node that a seed `source` reaches by edges either way: source, node, depth (of a shortest path) and parent,
+    the least node before it on such paths.
 
-    Breadth first: each round joins the frontier with the edges and keeps nodes not seen from that source,
-    the least path winning; ends when a round finds none.
+    Breadth first: each round joins the frontier with the edges and keeps nodes not seen from that source. Rounds are
+    stored once and never rewritten, and a row doesn't grow with its depth; paths() follows the parents.
     """
-    step = written(both_ways(edges))
-    seen = written(seeds.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.array("source").alias("path")).distinct())
+    step = materialize(both_ways(edges))
+    seen = materialize(seeds.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = frontier.join(step, frontier["node"] == step["src"]).select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        new = new.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        frontier = written(new.select("source", "node", F.lit(depth).alias("depth"), "path"))
+        new = frontier.select("source", F.col("node").alias("src")).join(step, "src").groupBy("source", F.col("dst").alias("node")).agg(F.lit(depth).alias("depth"), F.min("src").alias("parent"))
+        frontier = materialize(new.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = written(seen.unionByName(frontier))
+            break
+        seen = seen.unionByName(frontier)
     return seen
 
 
+def steps(reach: DataFrame, ends: DataFrame) -> DataFrame:
+    """The steps of the paths from `source` to `node` of ends: source, node, at (from 1), a, b. Parents are followed
+    from the ends back, a join each step."""
+    links = reach.where("depth > 0").select("source", F.col("node").alias("b"), F.col("parent").alias("a"), F.col("depth").alias("at"))
+    now = materialize(ends.select("source", "node").distinct().join(links.withColumn("node", F.col("b")), ["source", "node"]))
+    out = now
+    while not (more := now.where("at > 1")).isEmpty():
+        back = more.select("source", "node", F.col("a").alias("b"))
+        now = materialize(back.join(links, ["source", "b"]).select("source", "node", "b", "a", "at"))
+        out = out.unionByName(now)
+    return out.select("source", "node", "at", "a", "b")
+
+
+def paths(found: DataFrame) -> DataFrame:
+    """source, node and path (all nodes in order) of steps."""
+    ordered = F.sort_array(F.collect_list(F.struct("at", "b")))
+    return found.groupBy("source", "node").agg(F.concat(F.array("source"), F.transform(ordered, lambda x: x["b"])).alias("path"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node): labels fall to the least neighbour's label, and to the label of
     the label, until nothing moves."""
-    pairs = written(both_ways(edges))
-    labels = written(pairs.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
+    pairs = materialize(both_ways(edges))
+    labels = materialize(pairs.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
     while True:
         near = pairs.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
         hop = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = labels.join(near, "node").join(hop, "component", "left").select("node", F.least("component", "low", "up").alias("component"), (F.least("component", "low", "up") < F.col("component")).alias("moved"))
-        new = written(new)
+        new = materialize(new)
         if new.where("moved").isEmpty():
             return new.drop("moved")
         labels = new.drop("moved")
 
 
+@dataclass(frozen=True)
+class LinkSchema:
+    """What makes two identifiers of one entry linked: their types and, if given, a test of both (Columns of their
+    structs). `cardinality` is one of 1:1, 1:N, N:1 and N:N."""
+
+    schema_id: str
+    schema_version: int
+    relation: str
+    cardinality: str
+    allows_correlation: bool
+    source_types: tuple[str, ...]
+    target_types: tuple[str, ...]
+    test: Callable[[Column, Column], Column] | None = None
+    approved: bool = True
+
+
+def _declared(entries: DataFrame, s: LinkSchema) -> DataFrame:
+    def node(i: Column) -> Column:
+        return F.concat_ws("\u0000", i["namespace"], i["normalized"])
+
+    def fits(a: Column, b: Column) -> Column:
+        return (node(a) != node(b)) & (F.lit(True) if s.test is None else F.coalesce(s.test(a, b), F.lit(False)))
+
+    def ends(a: Column, b: Column) -> Column:
+        return F.struct(node(a).alias("src"), node(b).alias("dst"), a["type"].alias("src_type"), b["type"].alias("dst_type"))
+
+    def of(types: tuple[str, ...]) -> Column:
+        return F.filter("identifiers", lambda i: i["type"].isin(*types))
+
+    pairs = F.flatten(F.transform(of(s.source_types), lambda a: F.transform(F.filter(of(s.target_types), lambda b: fits(a, b)), lambda b: ends(a, b))))
+    told = {"relation": s.relation, "schema_id": s.schema_id, "schema_version": s.schema_version, "cardinality": s.cardinality, "allows_correlation": s.allows_correlation}
+    each = entries.select("entry_id", F.explode(F.array_distinct(pairs)).alias("p"))
+    return each.select("p.src", "p.dst", *[F.lit(v).alias(k) for k, v in told.items()], "entry_id", "p.src_type", "p.dst_type")
+
+
+def recognise(entries: DataFrame, schemas: list[LinkSchema]) -> DataFrame:
+    """Edges that entries (entry_id, identifiers) declare by the latest approved version of each schema: pairs of
+    identifiers of one entry, made and tested row by row."""
+    latest: dict[str, LinkSchema] = {}
+    for s in sorted((s for s in schemas if s.approved), key=lambda s: s.schema_version):
+        latest[s.schema_id] = s
+    out = None
+    for s in sorted(latest.values(), key=lambda s: s.schema_id):
+        one = _declared(entries, s)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return entries.sparkSession.createDataFrame([], EDGES)
+    return out.distinct()
+
+
 def latest_schemas(schemas: DataFrame) -> DataFrame:
     """The highest approved version of each link schema."""
     return schemas.where("approved").groupBy("schema_id").agg(F.max_by(F.struct("*"), "schema_version").alias("s")).select("s.*")
@@ -95,7 +153,7 @@ def cardinality_violations(edges: DataFrame) -> DataFrame:
 
 def with_ambiguity(edges: DataFrame) -> DataFrame:
     """edges with `ambiguous`: one violation makes all edges of its component ambiguous."""
-    parts = written(components(edges))
+    parts = materialize(components(edges))
     bad = parts.join(cardinality_violations(edges).select("node").distinct(), "node", "left_semi").select("component").distinct()
-    poisoned = written(parts.join(bad, "component", "left_semi").select(F.col("node").alias("src"), F.lit(True).alias("__bad")))
+    poisoned = materialize(parts.join(bad, "component", "left_semi").select(F.col("node").alias("src"), F.lit(True).alias("__bad")))
     return edges.join(poisoned, "src", "left").withColumn("ambiguous", F.coalesce("__bad", F.lit(False))).drop("__bad")

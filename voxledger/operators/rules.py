@@ -1,7 +1,8 @@
 """Declarative rules over a scenario: conditions, conjunctions, precedence, and the catalogue they come from.
 
-Facts about a scenario are one table (kind, app, name, value, ref, utc): applications, entries, fields, links
-and facts. Every condition is an aggregate over it, so all conditions of all rules take one pass.
+Facts about scenarios are one table (kind, app, name, value, ref, utc, and what tells scenarios apart): applications,
+entries, fields, links and facts. Every condition is an aggregate over it, so all conditions of all rules over all
+scenarios take one pass, and one more finds the evidence of each condition.
 """
 
 from __future__ import annotations
@@ -232,20 +233,21 @@ def usable(rules: list[Rule], authorised: set[tuple[str, int]] | None = None) ->
 FACTS_SCHEMA = "kind string, app string, name string, value string, ref string, utc timestamp"
 
 
-def scenario_facts(entries: DataFrame, edges: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """The fact table of entries (entry_id, app, timestamp_utc, fields), links and given facts."""
+def scenario_facts(entries: DataFrame, edges: DataFrame | None = None, facts: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The fact table of entries (entry_id, app, timestamp_utc, fields), links and given facts; the columns `by`, which
+    all of them have, tell scenarios apart."""
     none = F.lit(None).cast("string")
-    when = F.col("timestamp_utc")
-    out = entries.select(F.lit("APPLICATION").alias("kind"), "app", none.alias("name"), none.alias("value"), F.concat(F.lit("application:"), "app").alias("ref"), F.lit(None).cast("timestamp").alias("utc")).distinct()
-    out = out.unionByName(entries.select(F.lit("ENTRY").alias("kind"), "app", F.col("entry_id").alias("name"), none.alias("value"), F.concat(F.lit("entry:"), "entry_id").alias("ref"), when.alias("utc")))
-    f = entries.select("app", "entry_id", when.alias("utc"), F.posexplode("fields").alias("i", "f"))
-    out = out.unionByName(f.select(F.lit("FIELD").alias("kind"), "app", F.col("f.name").alias("name"), F.col("f.value").alias("value"), F.concat_ws(":", F.lit("field"), "entry_id", "i").alias("ref"), "utc"))
+    when, never = F.col("timestamp_utc"), F.lit(None).cast("timestamp").alias("utc")
+    out = entries.select(*by, F.lit("APPLICATION").alias("kind"), "app", none.alias("name"), none.alias("value"), F.concat(F.lit("application:"), "app").alias("ref"), never).distinct()
+    out = out.unionByName(entries.select(*by, F.lit("ENTRY").alias("kind"), "app", F.col("entry_id").alias("name"), none.alias("value"), F.concat(F.lit("entry:"), "entry_id").alias("ref"), when.alias("utc")))
+    f = entries.select(*by, "app", "entry_id", when.alias("utc"), F.posexplode("fields").alias("i", "f"))
+    out = out.unionByName(f.select(*by, F.lit("FIELD").alias("kind"), "app", F.col("f.name").alias("name"), F.col("f.value").alias("value"), F.concat_ws(":", F.lit("field"), "entry_id", "i").alias("ref"), "utc"))
     if edges is not None:
         good = edges.where("not ambiguous")
         ends = [(F.col(c) if c in edges.columns else none).alias(name) for c, name in (("src_type", "source_type"), ("dst_type", "target_type"))]
-        out = out.unionByName(good.select(F.lit("LINK").alias("kind"), none.alias("app"), F.col("relation").alias("name"), F.to_json(F.struct("schema_id", "schema_version", "allows_correlation", *ends)).alias("value"), F.concat_ws(":", F.lit("link"), "src", "dst", "relation").alias("ref"), F.lit(None).cast("timestamp").alias("utc")))
+        out = out.unionByName(good.select(*by, F.lit("LINK").alias("kind"), none.alias("app"), F.col("relation").alias("name"), F.to_json(F.struct("schema_id", "schema_version", "allows_correlation", *ends)).alias("value"), F.concat_ws(":", F.lit("link"), "src", "dst", "relation").alias("ref"), never))
     if facts is not None:
-        out = out.unionByName(facts.select(F.lit("FACT").alias("kind"), "app", "name", none.alias("value"), F.concat_ws(":", F.lit("fact"), "app", "name", "entry_id").alias("ref"), "utc"))
+        out = out.unionByName(facts.select(*by, F.lit("FACT").alias("kind"), "app", "name", none.alias("value"), F.concat_ws(":", F.lit("fact"), "app", "name", "entry_id").alias("ref"), "utc"))
     return out
 
 
@@ -326,50 +328,72 @@ def concerns(c: dict) -> Column:
     return _link(c)
 
 
-def evidence(facts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """rule_id and ref of every fact that a condition of the rule rests on: one pass for all rules."""
-    sound = [r for r in rules if r.conditions and not any(map(condition_error, r.conditions))]
-    if not sound:
-        return facts.select(F.lit(None).cast("string").alias("rule_id"), "ref").limit(0)
+def _flaw(r: Rule) -> str | None:
+    """The code of what keeps a rule from being evaluated."""
+    ids = [c.get("condition_id") for c in r.conditions]
+    codes = [e for c in r.conditions if (e := condition_error(c))] + (["NO_CONDITIONS"] if not ids else []) + (["DUPLICATE_CONDITION"] if len(set(ids)) < len(ids) else [])
+    return min(codes, default=None)
 
-    def hit(r: Rule) -> Column:
-        any_of = F.lit(False)
-        for c in r.conditions:
-            any_of = any_of | F.coalesce(concerns(c), F.lit(False))
-        return F.when(any_of, F.lit(r.rule_id))
 
-    return facts.select(F.explode(F.array_compact(F.array(*[hit(r) for r in sound]))).alias("rule_id"), "ref").distinct()
+def evidence(facts: DataFrame, rules: list[Rule], by: tuple[str, ...] = ()) -> DataFrame:
+    """What each condition of each rule rests on, scenario by scenario: by, rule_id, version, condition_id, n_evidence and
+    ref (the least). One pass for all rules; conditions without evidence have no row."""
+    hits = [
+        F.when(F.coalesce(concerns(c), F.lit(False)), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.version).alias("version"), F.lit(c["condition_id"]).alias("condition_id")))
+        for r in rules if _flaw(r) is None for c in r.conditions
+    ]
+    none = F.array().cast("array<struct<rule_id: string, version: int, condition_id: string>>")
+    each = facts.select(*by, "ref", F.explode(F.array_compact(F.array(*hits)) if hits else none).alias("c")).select(*by, "c.*", "ref").distinct()
+    return each.groupBy(*by, "rule_id", "version", "condition_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.min("ref").alias("ref"))
 
 
-def evaluate(facts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """rule_id, version, precedence, category, state of evaluation: SATISFEITA, NAO_SATISFEITA or ERRO_SEGURO."""
-    spark = facts.sparkSession
-    rows, tests = [], []
+def evaluate(facts: DataFrame, rules: list[Rule], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, rule_id, version, precedence, category, root_cause, conditions (how many), error and state of evaluation:
+    SATISFEITA, NAO_SATISFEITA or ERRO_SEGURO. A row for each rule and scenario; without rules one of nulls."""
+    present = F.collect_set(F.when(F.col("kind") == "APPLICATION", F.col("app")))
+    tests, rows = [], []
     for i, r in enumerate(rules):
-        ids = [c.get("condition_id") for c in r.conditions]
-        codes = [e for c in r.conditions if (e := condition_error(c))] + (["NO_CONDITIONS"] if not ids else []) + (["DUPLICATE_CONDITION"] if len(set(ids)) < len(ids) else [])
-        error = min(codes, default=None)
+        error, met = _flaw(r), F.lit(False)
         if error is None:
-            here = F.size(F.array_except(F.array(*[F.lit(a) for a in r.applications]).cast("array<string>"), F.collect_set(F.when(F.col("kind") == "APPLICATION", F.col("app"))))) == 0
-            met = here
+            test = F.size(F.array_except(F.array(*[F.lit(a) for a in r.applications]).cast("array<string>"), present)) == 0
             for c in r.conditions:
-                met = met & condition(c)
-            tests.append(met.alias(f"r{i}"))
-        rows.append((i, r.rule_id, r.version, r.precedence, r.category, r.root_cause, error))
-    table = spark.createDataFrame(rows, "i int, rule_id string, version int, precedence int, category string, root_cause string, error string")
-    if not tests:
-        return table.withColumn("state", F.lit("ERRO_SEGURO")).drop("i")
-    one = facts.agg(*tests)
-    names = [c for c in one.columns]
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(int(n[1:])).alias("i"), F.coalesce(F.col(n), F.lit(False)).alias("met")) for n in names])).alias("x")).select("x.*")
-    state = F.when(F.col("error").isNotNull(), "ERRO_SEGURO").when(F.col("met"), "SATISFEITA").otherwise("NAO_SATISFEITA")
-    return table.join(long, "i", "left").withColumn("state", state).drop("i", "met")
-
-
-def classify(evaluated: DataFrame, ambiguous: bool = False) -> DataFrame:
-    """One row: the satisfied rule of least (precedence, id, version). Any error, or ambiguity in the
-    scenario, leaves it unclassified."""
-    best = F.min(F.when(F.col("state") == "SATISFEITA", F.struct("precedence", "rule_id", "version", "category", "root_cause")))
-    safe = (F.count_if(F.col("state") == "ERRO_SEGURO") == 0) & F.lit(not ambiguous)
-    won = evaluated.agg(F.when(safe, best).alias("w"))
-    return won.select(F.coalesce("w.category", F.lit(UNCLASSIFIED)).alias("category"), F.col("w.rule_id").alias("rule_id"), F.col("w.version").alias("version"), F.col("w.root_cause").alias("root_cause"))
+                test = test & condition(c)
+            tests.append(test.alias(f"r{i}"))
+            met = F.coalesce(F.col(f"r{i}"), F.lit(False))
+        state = F.lit("ERRO_SEGURO") if error else F.when(met, "SATISFEITA").otherwise("NAO_SATISFEITA")
+        told = {"rule_id": r.rule_id, "version": r.version, "precedence": r.precedence, "category": r.category, "root_cause": r.root_cause, "conditions": len(r.conditions), "error": error}
+        kinds = {"version": "int", "precedence": "int", "conditions": "int"}
+        rows.append(F.struct(*[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in told.items()], state.alias("state")))
+    one = facts.groupBy(*by).agg(*(tests or [F.count(F.lit(1)).alias("__n")]))
+    none = F.array().cast("array<struct<rule_id: string, version: int, precedence: int, category: string, root_cause: string, conditions: int, error: string, state: string>>")
+    return one.select(*by, F.explode_outer(F.array(*rows) if rows else none).alias("r")).select(*by, "r.*")
+
+
+#: What an explanation says where it has no more to say.
+NO_RULE, NO_CAUSE = "NENHUMA_REGRA_VALIDADA_CORRESPONDEU", "CAUSA_RAIZ_NAO_DETERMINADA"
+
+
+def classify(evaluated: DataFrame, ambiguous: bool | DataFrame = False, found: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, category, rule_id, version, root_cause and messages: a row for each scenario, by its satisfied rule of least
+    (precedence, id, version).
+
+    Any error, or ambiguity in the scenario (`ambiguous`, or a table of such scenarios), leaves it unclassified. So does
+    a winner one of whose conditions has no evidence in `found` (of evidence()): no other rule takes its place.
+    """
+    best = F.min(F.when(F.col("state") == "SATISFEITA", F.struct("precedence", "rule_id", "version", "category", "root_cause", "conditions")))
+    safe = F.count_if(F.col("state") == "ERRO_SEGURO") == 0
+    if ambiguous is True:
+        safe = F.lit(False)
+    won = evaluated.groupBy(*by).agg(F.when(safe, best).alias("w"))
+    if isinstance(ambiguous, DataFrame):
+        won = won.join(ambiguous.select(*by).distinct().withColumn("__no", F.lit(True)), list(by), "left").select(*by, F.when(F.col("__no").isNull(), F.col("w")).alias("w"))
+    if found is not None:
+        told = found.groupBy(*by, F.col("rule_id").alias("__rule"), F.col("version").alias("__version")).agg(F.count(F.lit(1)).alias("__n"))
+        same = (F.col("w.rule_id") == F.col("__rule")) & (F.col("w.version") == F.col("__version"))
+        for c in by:
+            told = told.withColumnRenamed(c, f"__{c}")
+            same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        whole = F.coalesce(F.col("__n") == F.col("w.conditions"), F.lit(False))
+        won = won.join(told, same, "left").select(*by, F.when(whole, F.col("w")).alias("w"))
+    messages = F.array_compact(F.array(F.when(F.col("w").isNull(), NO_RULE), F.when(F.col("w.root_cause").isNull(), NO_CAUSE)))
+    return won.select(*by, F.coalesce("w.category", F.lit(UNCLASSIFIED)).alias("category"), F.col("w.rule_id").alias("rule_id"), F.col("w.version").alias("version"), F.col("w.root_cause").alias("root_cause"), messages.alias("messages"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,37 @@ def exploded_identifiers(entries: DataFrame) -> DataFrame:
     return entries.select("file_token", "app", "entry_id", "read_order", "line_start", F.explode("identifiers").alias("i")).select("file_token", "app", "entry_id", "read_order", "line_start", "i.*")
 
 
-def keyed_digest(namespace: Column, normalized: Column, key: str) -> Column:
-    """A digest that compares like (namespace, normalized) and doesn't tell the value to who lacks the key."""
-    inner = F.sha2(F.concat_ws("\u0000", F.lit(key), namespace, normalized), 256)
-    return F.sha2(F.concat_ws("\u0000", F.lit(key), inner), 256)
+def _padded(key: bytes, byte: int) -> bytes:
+    """The key as a block of SHA-256, combined with a byte."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(k ^ byte for k in block)
+
+
+def hmac_sha256(message: Column, key: bytes) -> Column:
+    """The HMAC of a binary column in hex, by JVM functions alone."""
+    inner = F.unhex(F.sha2(F.concat(F.lit(_padded(key, 0x36)), message), 256))
+    return F.sha2(F.concat(F.lit(_padded(key, 0x5C)), inner), 256)
+
+
+def keyed_digest(namespace: Column, normalized: Column, key: bytes) -> Column:
+    """A digest that compares like (namespace, normalized) and tells neither to who lacks the key. The namespace's length
+    in two bytes goes before it, so that no two pairs have one message."""
+    name = F.encode(namespace, "UTF-8")
+    size = F.unhex(F.lpad(F.hex(F.octet_length(name).cast("long")), 4, "0"))
+    return hmac_sha256(F.concat(size, name, F.encode(normalized, "UTF-8")), key)
+
+
+def digest_index(entries: DataFrame, key: bytes) -> DataFrame:
+    """entry_id and digest of every identifier: an index that can be searched without holding a value."""
+    ids = exploded_identifiers(entries)
+    return ids.select("entry_id", keyed_digest(F.col("namespace"), F.col("normalized"), key).alias("digest")).distinct()
+
+
+def structured_by_digest(index: DataFrame, namespaces: list[str], query: str, key: bytes) -> DataFrame:
+    """entry_id of entries with an identifier equal to the query in one of the namespaces, from digests alone."""
+    wanted = normalize_query(query).encode()
+    digests = [hmac.new(key, len(n.encode()).to_bytes(2, "big") + n.encode() + wanted, "sha256").hexdigest() for n in namespaces]
+    return index.where(F.col("digest").isin(*digests)).select("entry_id").distinct()
 
 
 def structured(entries: DataFrame, query: str, namespace: str | None = None) -> DataFrame:
@@ -55,14 +85,16 @@ def search(entries: DataFrame, query: str, expansion: DataFrame | None = None) -
 
 
 def expand(identifiers: DataFrame, query: str, reach: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entry_id, reason) reached from nodes that equal the query: entries of nodes at the ends of paths, and
-    entries that declare an edge of a path."""
+    """(entry_id, reason) reached from nodes that equal the query: entries of the nodes reached, and entries that
+    declare an edge of a path, which runs either way."""
     wanted = normalize_query(query)
     node = F.concat_ws("\u0000", "namespace", "normalized")
     ids = identifiers.select("entry_id", node.alias("node"), "normalized")
     seeds = ids.where(F.col("normalized") == wanted).select(F.col("node").alias("source")).distinct()
-    ends = reach.join(seeds, "source")
-    reached = ends.select(F.col("node")).join(ids, "node").select("entry_id").distinct().withColumn("reason", F.lit(EXPANDED))
-    steps = ends.select(F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("s")).select("s.a", "s.b").distinct()
-    on_path = steps.join(edges, ((F.col("a") == F.col("src")) & (F.col("b") == F.col("dst"))) | ((F.col("a") == F.col("dst")) & (F.col("b") == F.col("src"))))
+    ends = reach.join(seeds, "source", "left_semi")
+    reached = ends.select("node").join(ids, "node").select("entry_id").distinct().withColumn("reason", F.lit(EXPANDED))
+    # every node reached has the step from its parent: together these are the steps of all paths
+    steps = ends.where("depth > 0").select(F.col("parent").alias("src"), F.col("node").alias("dst")).distinct()
+    both = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    on_path = edges.join(both, ["src", "dst"], "left_semi")
     return reached.unionByName(on_path.select("entry_id").distinct().withColumn("reason", F.lit(EVIDENCE)))

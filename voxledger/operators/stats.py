@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxledger.functions.prefix import previous, running_sum
 
 #: Patterns of orchestrator lines.
 CALL = r"\[CallId: ([a-f0-9]+)\]"
@@ -63,8 +63,6 @@ def duration_stats(seconds: DataFrame) -> DataFrame:
 def ranked_value(values: DataFrame, value: str, share: float) -> DataFrame:
     """The value at index int(n * share) in order, without gathering the values in one task: values are
     counted, and counts are added up in order."""
-    from voxledger.functions.prefix import running_sum
-
     each = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
     bucketed = each.withColumn("__b", F.floor(F.col(value)))
     upto = running_sum(bucketed, [], ["__b"], [F.col(value)], "__n", "__upto")
@@ -96,7 +94,8 @@ def busy_call(facts: DataFrame, lines: int = 200, best: int = 20) -> DataFrame:
     return ranked.orderBy((F.col("n") > lines).desc(), F.desc("n")).limit(1)
 
 
-def transitions(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """How often each value follows which within a key: from_value, to_value, n."""
-    near = rows.select(F.lag(value).over(W.partitionBy(key).orderBy(order)).alias("from_value"), F.col(value).alias("to_value"))
-    return near.where("from_value is not null").groupBy("from_value", "to_value").agg(F.count(F.lit(1)).alias("n"))
+def transitions(rows: DataFrame, key: str, order: str, value: str, bucket_rows: int = 100_000) -> DataFrame:
+    """How often each value follows which within a key: from_value, to_value, n. The order is a number."""
+    bucketed = rows.select(key, order, value, F.floor(F.col(order) / bucket_rows).alias("__bucket"))
+    near = previous(bucketed, [key], ["__bucket"], [order], value, "from_value")
+    return near.where("from_value is not null").groupBy("from_value", F.col(value).alias("to_value")).agg(F.count(F.lit(1)).alias("n"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxledger.functions.prefix import running_sum
+from voxledger.functions.prefix import last_so_far, running_sum
 
 
 def legacy_timeline(entries: DataFrame) -> DataFrame:
@@ -43,13 +42,14 @@ def counts(entries: DataFrame, category: str, app: str) -> DataFrame:
 
 def last_association(rows: DataFrame, key: str, position: str) -> DataFrame:
     """The row of each key that came last."""
-    return rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(position)))).where("__r = 1").drop("__r")
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), position).alias("__last")).select(*[key if c == key else F.col("__last")[c].alias(c) for c in rows.columns])
 
 
-def carried_forward(rows: DataFrame, value: str, by: str, order: list[str], name: str) -> DataFrame:
-    """The last non-null value so far within each group."""
-    w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+def carried_forward(rows: DataFrame, value: str, by: str, order: list[str], name: str, bucket_rows: int = 100_000) -> DataFrame:
+    """The last non-null value so far within each group; the first column of the order is a number."""
+    bucketed = rows.withColumn("__bucket", F.floor(F.col(order[0]) / bucket_rows))
+    return last_so_far(bucketed, [by], ["__bucket"], order, F.col(value), name).drop("__bucket")
 
 
 def ordered_distinct(rows: DataFrame, key: str, order: str) -> DataFrame:

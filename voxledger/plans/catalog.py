@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import normalized_sql
 from voxledger.functions.prefix import running_sum
-from voxledger.operators import correlate, governance, graph, rules, scanner, sanitize, search, stats, summaries, timeline
+from voxledger.operators import correlate, governance, graph, rules, sanitize, scanner, search, secure, stats, summaries, timeline
 from voxledger.sources import logs, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,19 +299,55 @@ def rule_fail_closed(spark, sf_dir):
     return out[0].union(out[1]).union(out[2])
 
 
-@query(f"""WITH e AS ({_FACTS}) SELECT 'ordered' AS rule_id, CAST(2 AS BIGINT) AS n FROM e WHERE entry_id = 'E1' UNION ALL SELECT 'many_views', count(*) FROM e WHERE app = 'view' UNION ALL SELECT 'few_views', count(*) FROM e WHERE app = 'view'
-UNION ALL SELECT 'both', count(*) + 1 FROM e""")
+@query(f"""WITH e AS ({_FACTS}) SELECT 'ordered' AS rule_id, 'c0' AS condition_id, CAST(2 AS BIGINT) AS n_evidence, 'entry:E1' AS ref FROM e WHERE entry_id = 'E1'
+UNION ALL SELECT 'many_views', 'c0', count(*), min('entry:' || entry_id) FROM e WHERE app = 'view' UNION ALL SELECT 'few_views', 'c0', count(*), min('entry:' || entry_id) FROM e WHERE app = 'view'
+UNION ALL SELECT 'both', 'c0', 1, 'application:click' UNION ALL SELECT 'both', 'c1', count(*), min('field:' || entry_id || ':0') FROM e""")
 def rule_evidence(spark, sf_dir):
-    """How many facts each rule rests on."""
-    return rules.evidence(_facts(spark, sf_dir), RULES).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    """How many facts each condition of each rule rests on, and the least of them."""
+    return rules.evidence(_facts(spark, sf_dir), RULES).select("rule_id", "condition_id", "n_evidence", "ref")
 
 
-@query(f"""WITH e AS ({_FACTS}) SELECT 'nothing_seen' AS rule_id, 'NAO_SATISFEITA' AS state, false AS supported UNION ALL SELECT 'many_views', CASE WHEN count(*) FILTER (WHERE app = 'view') >= 50 THEN 'SATISFEITA' ELSE 'NAO_SATISFEITA' END, true FROM e""")
+_MIXED = [{"operator": "APPLICATION_PRESENT", "application": "view"}, {"operator": "CARDINALITY", "target": "FACT", "comparison": "LT", "value": 5}]
+
+
+@query("""SELECT * FROM (VALUES ('no evidence first', 'NAO_CLASSIFICADA', 'NENHUMA_REGRA_VALIDADA_CORRESPONDEU'), ('one condition without', 'NAO_CLASSIFICADA', 'NENHUMA_REGRA_VALIDADA_CORRESPONDEU'), ('all with', 'CAT_second', 'CAUSA_RAIZ_NAO_DETERMINADA')) AS t(rules, category, message),
+(SELECT count(*) AS n FROM events WHERE event_type = 'view') WHERE n > 0""")
 def rule_support(spark, sf_dir):
-    """A satisfied rule that no fact supports may not classify."""
-    facts, own = _facts(spark, sf_dir), [RULES[0], _rule("nothing_seen", 1, {"operator": "CARDINALITY", "target": "FACT", "comparison": "LT", "value": 5})]
-    explained = governance.explain(rules.evaluate(facts, own), rules.evidence(facts, own))
-    return governance.supported_only(explained).select("rule_id", "state", "supported")
+    """A winner one of whose conditions no fact supports leaves all unclassified: the next rule doesn't take its place."""
+    facts, second = _facts(spark, sf_dir), _rule("second", 2, {"operator": "APPLICATION_PRESENT", "application": "view"})
+    runs = {"no evidence first": [_rule("first", 1, _MIXED[1]), second], "one condition without": [_rule("first", 1, *_MIXED), second], "all with": [second]}
+    out = None
+    for name, own in runs.items():
+        k = rules.classify(rules.evaluate(facts, own), False, rules.evidence(facts, own)).select(F.lit(name).alias("rules"), "category", F.col("messages")[0].alias("message"))
+        out = k if out is None else out.unionByName(k)
+    return out.withColumn("n", F.lit(table(spark, sf_dir, "events").where("event_type = 'view'").count()).cast("long"))
+
+
+CALL_RULES = [
+    rules.Rule("failed", 1, "ERRO", ("error",), ({"condition_id": "often", "operator": "CARDINALITY", "target": "ENTRY", "comparison": "GTE", "value": 3, "application": "error"},), 10, root_cause="REPEATED_ERRORS"),
+    rules.Rule("quiet", 2, "SUCESSO", ("signup",), ({"condition_id": "none", "operator": "CARDINALITY", "target": "ENTRY", "comparison": "EXACTLY", "value": 0, "application": "error"},), 15),
+    rules.Rule("sold", 1, "SUCESSO", ("view", "purchase"), ({"condition_id": "both", "operator": "FIELD_PRESENT", "field": "value", "application": "purchase"}, {"condition_id": "order", "operator": "TEMPORAL_ORDER", "before": {"application": "view"}, "after": {"application": "purchase"}, "allow_equal": True}), 20),
+]
+
+
+@query("""WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'signup') AS signups, count(*) FILTER (WHERE event_type = 'purchase') AS sales, count(*) FILTER (WHERE event_type = 'view') AS views,
+max(ts) FILTER (WHERE event_type = 'view') <= min(ts) FILTER (WHERE event_type = 'purchase') AS ordered, min('entry:E' || event_id) FILTER (WHERE event_type = 'error') AS e_ref, min('field:E' || event_id || ':0') FILTER (WHERE event_type = 'purchase') AS s_ref FROM events GROUP BY user_id),
+k AS (SELECT *, CASE WHEN errors >= 3 THEN 'failed' WHEN errors = 0 AND signups > 0 THEN NULL WHEN views > 0 AND sales > 0 AND ordered THEN 'sold' END AS rule_id FROM c)
+SELECT user_id, CASE rule_id WHEN 'failed' THEN 'ERRO' WHEN 'sold' THEN 'SUCESSO' ELSE 'NAO_CLASSIFICADA' END AS category, rule_id, CASE rule_id WHEN 'failed' THEN 'REPEATED_ERRORS' END AS root_cause,
+CASE WHEN rule_id IS NULL THEN 'NENHUMA_REGRA_VALIDADA_CORRESPONDEU,CAUSA_RAIZ_NAO_DETERMINADA' WHEN rule_id = 'sold' THEN 'CAUSA_RAIZ_NAO_DETERMINADA' ELSE '' END AS messages,
+CASE rule_id WHEN 'failed' THEN 'often=' || errors || ':' || e_ref WHEN 'sold' THEN 'both=' || sales || ':' || s_ref ELSE '' END AS first_evidence FROM k""")
+def classified_calls(spark, sf_dir):
+    """All calls classified at once: rules by precedence, evidence by condition, what there is no more to say. A call
+    without errors but with a signup has a winner that rests on nothing, so it stays unclassified."""
+    e = table(spark, sf_dir, "events")
+    entries = e.select("user_id", F.col("event_type").alias("app"), F.concat(F.lit("E"), "event_id").alias("entry_id"), F.col("ts").cast("timestamp").alias("timestamp_utc"), F.array(F.struct(F.lit("value").alias("name"), F.col("value").cast("string").alias("value"))).alias("fields"))
+    by = ("user_id",)
+    facts = rules.scenario_facts(entries, by=by)
+    found = rules.evidence(facts, CALL_RULES, by)
+    classified = rules.classify(rules.evaluate(facts, CALL_RULES, by), False, found, by)
+    first = found.groupBy("user_id", "rule_id").agg(F.min(F.format_string("%s=%d:%s", "condition_id", "n_evidence", "ref")).alias("first_evidence"))
+    out = classified.join(first, ["user_id", "rule_id"], "left")
+    return out.select("user_id", "category", "rule_id", "root_cause", F.array_join("messages", ",").alias("messages"), F.coalesce("first_evidence", F.lit("")).alias("first_evidence"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -376,7 +412,7 @@ def placeholder_index(spark, sf_dir):
     """Placeholders numbered by the first occurrence of their values."""
     d = table(spark, sf_dir, "documents").select(F.lit("all").alias("analysis_id"), F.col("doc_id").alias("seq"), F.regexp_extract_all("text", F.lit(r"[a-z0-9.]+@[a-z0-9-]+\.[a-z]+"), F.lit(0)).alias("v"))
     spans = F.transform("v", lambda x, i: F.struct(F.lit("DADO_CLIENTE").alias("type"), i.alias("span_start"), i.alias("span_end"), x.alias("normalized")))
-    return sanitize.placeholders(d.select("analysis_id", "seq", F.struct(spans.alias("spans")).alias("d"))).select(F.col("normalized").alias("value"), "placeholder")
+    return secure.placeholders(d.select("analysis_id", F.lit(1).alias("rank"), "seq", F.struct(spans.alias("spans")).alias("d"))).select(F.col("normalized").alias("value"), "placeholder")
 
 
 @query(r"""SELECT page_id, h AS host, regexp_matches(h, '^localhost$|\.(?:corp|internal|intranet|invalid|lan|local|private|test|home\.arpa)$|^[^.]*$|^(?:10|127|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9.]+$') AS internal

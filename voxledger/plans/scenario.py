@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import check_query, normalize_query
+from voxledger.functions.store import materialize, remove, shared_dir, within
 from voxledger.functions.temporal import NO_OFFSET, utc_text
-from voxledger.operators import blocks, correlate, governance, graph, headers, rules, sanitize, search, timeline
-from voxledger.operators.graph import written
+from voxledger.operators import blocks, correlate, graph, headers, rules, scanner, search, secure, timeline
 from voxledger.operators.summaries import placeholder_type
 from voxledger.plans.registry import Registry, default_registry
 from voxledger.sources import logs
 
 
-@dataclass
-class Scenario:
-    """The parts of an answer; each is a DataFrame."""
-
-    entries: DataFrame  # the selection, with identifiers, failures and reasons
-    counts: DataFrame
-    timeline: DataFrame
-    undated: DataFrame
-    evidence: DataFrame
-    correlation: DataFrame
-    classification: DataFrame
-    secure: DataFrame
-    errors: DataFrame
-    values: DataFrame  # identifiers, fields, links and evidence in their secure view
-
-
 #: Fixed value: the code of files whose application nothing parses.
 UNREGISTERED = "APPLICATION_NOT_REGISTERED"
+#: Fixed value: what takes the place of a report that isn't safe.
+UNSAFE = "SANITIZATION_ERROR"
 
 
 def parse_files(spark: SparkSession, files: list[tuple[str, str]], registry: Registry | None = None) -> tuple[DataFrame | None, DataFrame]:
@@ -78,75 +65,200 @@ def line_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-def answer(spark: SparkSession, query: str, files: list[tuple[str, str]], catalog: list[rules.Rule] | None = None, links: DataFrame | None = None, registry: Registry | None = None) -> Scenario:
+def answer(
+    spark: SparkSession, query: str, files: list[tuple[str, str]], catalog: list[rules.Rule] | None = None, links: DataFrame | None = None, registry: Registry | None = None,
+    schemas: list[graph.LinkSchema] | None = None, authorised: set[tuple[str, int]] | None = None,
+) -> Scenario:
     """Answer one identifier over some files. The query is checked before anything is read."""
     if problem := check_query(query):
         raise ValueError(problem)
     entries, errors = parse_files(spark, files, registry)
     if entries is None:
         raise ValueError("NO_READABLE_FILE")
-    return analyse(spark, query, entries, errors, catalog, links)
+    places = spark.createDataFrame([(f"<ARQUIVO_{i}>", path) for i, path in enumerate({path: app for app, path in files}, 1)], "file_token string, path string")
+    return analyse(spark, query, entries, errors, catalog, links, schemas, authorised, places)
 
 
-def analyse(spark: SparkSession, query: str, entries: DataFrame, errors: DataFrame | None = None, catalog: list[rules.Rule] | None = None, links: DataFrame | None = None) -> Scenario:
-    """The answer to one identifier from parsed entries.
+def analyse(
+    spark: SparkSession, query: str, entries: DataFrame, errors: DataFrame | None = None, catalog: list[rules.Rule] | None = None, links: DataFrame | None = None,
+    schemas: list[graph.LinkSchema] | None = None, authorised: set[tuple[str, int]] | None = None, places: DataFrame | None = None,
+) -> Scenario:
+    """The answer to one identifier from parsed entries. Its parts are made when they are asked for.
 
-    `links` are recognised edges (src, dst, relation, schema_id, schema_version, cardinality,
-    allows_correlation, entry_id) between identifier nodes; without any, only shared values correlate. Paths start
-    from the query's nodes, and then from the channel's nodes of the selection, never from all.
+    `links` are recognised edges (see graph.recognise) between identifier nodes; `schemas` recognise them in the entries
+    themselves. Without any, only shared values correlate. `authorised` names the rules that have passed the gates;
+    places (file_token, path) are hidden like other values.
     """
     if problem := check_query(query):
         raise ValueError(problem)
     errors = errors if errors is not None else spark.createDataFrame([], logs.ERRORS_SCHEMA)
-    entries = written(entries)
-    ids = search.exploded_identifiers(entries)
-    node = F.concat_ws("\u0000", "namespace", "normalized")
-    ambiguous, edges, expansion = None, None, None
-    if links is not None:
-        edges = written(graph.with_ambiguity(links))
-        allowed = edges.where("allows_correlation and not ambiguous")
-        asked = ids.where(F.col("normalized") == normalize_query(query)).select(node.alias("source")).distinct()
-        expansion = search.expand(ids, query, graph.closure(allowed, asked), edges)
-        bad = edges.where("ambiguous")
-        ambiguous = bad.select(F.col("src").alias("n")).union(bad.select("dst")).distinct().select(F.split("n", "\u0000")[0].alias("namespace"), F.split("n", "\u0000")[1].alias("normalized"))
-    found = written(search.search(entries, query, expansion))
-    chosen = written(entries.join(found, "entry_id"))
-    own = search.exploded_identifiers(chosen)
-    evidence = written(correlate.shared_identifiers(own, ambiguous))
-    paths, blocked = None, None
-    if edges is not None:
-        sides = own.where("app = 'VPL'").select(node.alias("source")).distinct()
-        reach = lambda e: graph.closure(e, sides)
-        paths = correlate.valid_chains(correlate.chains(own, reach(edges.where("allows_correlation and not ambiguous"))), edges, chosen)
-        blocked = written(correlate.chains(own, reach(edges.where("allows_correlation and ambiguous"))))
-    correlation = correlate.summary(chosen, evidence, paths, blocked)
-    dated, undated = timeline.timeline_parts(chosen)
-    active = rules.usable(catalog or [])
-    if active:
-        facts = written(rules.scenario_facts(chosen, edges))
-        explained = governance.explain(rules.evaluate(facts, active), rules.evidence(facts, active))
-        classification = rules.classify(governance.supported_only(explained), blocked is not None and not blocked.isEmpty())
-    else:
-        classification = spark.range(1).select(F.lit(rules.UNCLASSIFIED).alias("category"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("root_cause"))
-    texts = chosen.select(F.lit(query).alias("analysis_id"), F.struct("file_token", "read_order").alias("seq"), "text")
-    shown = dated.withColumn("utc_text", utc_text(F.col("timestamp_utc"), F.col("precision")))
-    categorised = chosen if "category" in chosen.columns else chosen.withColumn("category", F.lit(rules.UNCLASSIFIED))
-    return Scenario(chosen, timeline.counts(categorised, "category", "app"), shown, undated, evidence, correlation, classification, sanitize.secure_view(texts), errors, secure_values(query, chosen, edges, evidence))
-
-
-def secure_values(query: str, chosen: DataFrame, edges: DataFrame | None, evidence: DataFrame) -> DataFrame:
-    """The identifiers, fields, file references, links and evidence of an answer in their secure view."""
-    kind = F.when(F.col("namespace") == "chamada_externa", "CALL_ID").when(F.col("namespace") == "uuid_canal", "UUID_CANAL").when(F.col("namespace") == "uuid_sessao", "UUID_SESSAO").otherwise("CALL_ID")
-    order = F.xxhash64("file_token", "read_order").alias("seq")
-    ids = search.exploded_identifiers(chosen)
-    row = lambda df, part, of, value: df.select(F.lit(query).alias("analysis_id"), F.lit(part).alias("part"), order, of.alias("type"), value.alias("value"))
-    fields = chosen.select("file_token", "read_order", F.explode("fields").alias("f"))
-    out = row(ids, "identifiers", kind, F.col("normalized")).unionByName(row(fields, "fields", placeholder_type(F.col("f.name")), F.col("f.value")))
-    out = out.unionByName(row(evidence, "evidence", kind, F.col("normalized")))
-    if edges is not None:
-        ends = edges.select("entry_id", F.explode(F.array("src", "dst")).alias("n")).select("entry_id", F.split("n", "\u0000")[0].alias("namespace"), F.split("n", "\u0000")[1].alias("normalized"))
-        out = out.unionByName(row(ends.withColumns({"file_token": F.col("entry_id"), "read_order": F.lit(0)}), "links", kind, F.col("normalized")))
-    return sanitize.secure_parts(out.where("value is not null").distinct())
+    return Scenario(spark, query, entries, errors, catalog or [], links, schemas or [], authorised, places)
+
+
+def _part(make: Callable[[Scenario], object]) -> cached_property:
+    """A part of an answer: made once, when it is asked for; tables on the way are in the answer's folder."""
+
+    def run(self: Scenario) -> object:
+        with within(self.folder):
+            return make(self)
+
+    return cached_property(run)
+
+
+class Scenario:
+    """The parts of an answer; each is a DataFrame. close() removes the tables they rest on."""
+
+    def __init__(self, spark: SparkSession, query: str, parsed: DataFrame, errors: DataFrame, catalog: list[rules.Rule], links: DataFrame | None, schemas: list[graph.LinkSchema], authorised: set[tuple[str, int]] | None, places: DataFrame | None):
+        self.spark, self.query, self.errors = spark, query, errors
+        self._parsed, self._catalog, self._links, self._schemas, self._authorised, self._places = parsed, catalog, links, schemas, authorised, places
+        self.folder = shared_dir(spark)
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+    def __enter__(self) -> Scenario:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    @_part
+    def _all(self) -> DataFrame:
+        return materialize(self._parsed)
+
+    @_part
+    def edges(self) -> DataFrame | None:
+        """Edges between nodes, with `ambiguous`; None where there is nothing to link by."""
+        found = [e for e in (self._links, graph.recognise(self._all, self._schemas) if self._schemas else None) if e is not None]
+        return materialize(graph.with_ambiguity(found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True))) if found else None
+
+    def _allowed(self, ambiguous: bool = False) -> DataFrame:
+        return self.edges.where("allows_correlation and " + ("ambiguous" if ambiguous else "not ambiguous"))
+
+    @_part
+    def entries(self) -> DataFrame:
+        """The selection: entries that hold the query or are linked to it, with identifiers, failures and reasons."""
+        expansion = None
+        if self.edges is not None:
+            ids = search.exploded_identifiers(self._all)
+            asked = ids.where(F.col("normalized") == normalize_query(self.query)).select(graph.node_of().alias("source")).distinct()
+            expansion = search.expand(ids, self.query, graph.closure(self._allowed(), asked), self.edges)
+        return materialize(self._all.join(search.search(self._all, self.query, expansion), "entry_id"))
+
+    @_part
+    def counts(self) -> DataFrame:
+        known = self.entries if "category" in self.entries.columns else self.entries.withColumn("category", F.lit(rules.UNCLASSIFIED))
+        return timeline.counts(known, "category", "app")
+
+    @_part
+    def timeline(self) -> DataFrame:
+        dated, _ = timeline.timeline_parts(self.entries)
+        return dated.withColumn("utc_text", utc_text(F.col("timestamp_utc"), F.col("precision")))
+
+    @_part
+    def undated(self) -> DataFrame:
+        return timeline.timeline_parts(self.entries)[1]
+
+    @_part
+    def evidence(self) -> DataFrame:
+        """Occurrences of identifiers that both applications have, without those of ambiguous links."""
+        ambiguous = None
+        if self.edges is not None:
+            bad = self.edges.where("ambiguous")
+            n = bad.select(F.col("src").alias("n")).union(bad.select("dst")).distinct()
+            ambiguous = n.select(F.split("n", "\u0000")[0].alias("namespace"), F.split("n", "\u0000")[1].alias("normalized"))
+        return materialize(correlate.shared_identifiers(search.exploded_identifiers(self.entries), ambiguous))
+
+    def _chains(self, ambiguous: bool) -> tuple[DataFrame, DataFrame]:
+        """(ends, steps) of the paths between the applications. They start from the channel's nodes of the selection."""
+        own = search.exploded_identifiers(self.entries)
+        reach = graph.closure(self._allowed(ambiguous), own.where("app = 'VPL'").select(graph.node_of().alias("source")).distinct())
+        ends = materialize(correlate.chains(own, reach))
+        return ends, graph.steps(reach, ends)
+
+    @_part
+    def _blocked(self) -> DataFrame | None:
+        return self._chains(True)[0] if self.edges is not None else None
+
+    @_part
+    def traversed(self) -> DataFrame | None:
+        """The steps of valid paths between the applications: source, node, at, a, b."""
+        if self.edges is None:
+            return None
+        _, steps = self._chains(False)
+        return materialize(steps.join(correlate.valid_chains(steps, self.edges, self.entries), ["source", "node"], "left_semi"))
+
+    @_part
+    def links(self) -> DataFrame | None:
+        """Edges of valid paths with the entry that is their evidence, and the rule that found them."""
+        if self.traversed is None:
+            return None
+        both = self.traversed.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(self.traversed.select("b", "a")).distinct()
+        used = self._allowed().join(both, ["src", "dst"], "left_semi").join(self.entries.select("entry_id", "file_token", "read_order"), "entry_id")
+        return used.withColumn("rule", F.format_string("vinculo:%s:v%d", "schema_id", "schema_version"))
+
+    @_part
+    def correlation(self) -> DataFrame:
+        paths = self.traversed.select("source", "node").distinct() if self.traversed is not None else None
+        return correlate.summary(self.entries, self.evidence, paths, self._blocked)
+
+    @_part
+    def _facts(self) -> DataFrame:
+        return materialize(rules.scenario_facts(self.entries, self.edges))
+
+    @_part
+    def explanation(self) -> DataFrame:
+        """What each condition of each rule rests on."""
+        return materialize(rules.evidence(self._facts, rules.usable(self._catalog, self._authorised)))
+
+    @_part
+    def classification(self) -> DataFrame:
+        """One row: category, rule_id, version, root_cause and what there is no more to say."""
+        active = rules.usable(self._catalog, self._authorised)
+        blocked = self._blocked is not None and not self._blocked.isEmpty()
+        return rules.classify(rules.evaluate(self._facts, active), blocked, self.explanation)
+
+    @_part
+    def view(self) -> DataFrame:
+        """All values of the answer, numbered and judged together: part, seq, type, safe, state."""
+        return secure.secure_view(self._values())
+
+    @property
+    def secure(self) -> DataFrame:
+        """The selected texts in their secure view: seq, safe, state."""
+        return self.view.where("part = 'texts'").select("analysis_id", "seq", "safe", "state")
+
+    @property
+    def values(self) -> DataFrame:
+        """Identifiers, fields, file references, links and evidence in their secure view."""
+        return self.view.where("part <> 'texts'")
+
+    def _values(self) -> DataFrame:
+        none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+        number = F.coalesce(F.regexp_extract("file_token", r"(\d+)", 1).try_cast("long"), zero)
+        kinds = {"chamada_externa": "CALL_ID", "uuid_canal": "UUID_CANAL", "uuid_sessao": "UUID_SESSAO"}
+        kind = F.coalesce(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("namespace")], F.lit("CALL_ID"))
+
+        def row(df: DataFrame, part: str, of: Column, value: Column, at: Column = zero) -> DataFrame:
+            seq = F.struct(number.alias("file"), F.col("read_order").cast("long").alias("entry"), at.cast("long").alias("at")).alias("seq")
+            return df.select(F.lit(self.query).alias("analysis_id"), F.lit(part).alias("part"), seq, of.alias("type"), value.alias("value"))
+
+        own = self.entries
+        ids = own.select("file_token", "read_order", F.posexplode("identifiers").alias("n", "i")).select("file_token", "read_order", "n", "i.*")
+        fields = own.select("file_token", "read_order", F.posexplode("fields").alias("n", "f"))
+        asked = self.spark.range(1).select(none.alias("file_token"), zero.alias("read_order"))
+        out = row(asked, "query", F.lit("CALL_ID"), F.lit(self.query))
+        out = out.unionByName(row(ids, "identifiers", kind, F.col("original"), F.col("n")))
+        out = out.unionByName(row(fields, "fields", placeholder_type(F.col("f.name")), F.col("f.value"), F.col("n")))
+        out = out.unionByName(row(self.evidence, "evidence", kind, F.col("normalized")))
+        out = out.unionByName(row(own, "texts", none, F.col("text")))
+        if self._places is not None:
+            out = out.unionByName(row(self._places.withColumn("read_order", zero), "files", F.lit("DADO_CLIENTE"), F.col("path")))
+        if self.links is not None:
+            ends = self.links.select("file_token", "read_order", F.posexplode(F.array("src", "dst")).alias("n", "end"))
+            ends = ends.withColumns({"namespace": F.split("end", "\u0000")[0], "normalized": F.split("end", "\u0000")[1]})
+            out = out.unionByName(row(ends, "links", kind, F.col("normalized"), F.col("n")))
+        return out.where("value is not null")
 
 
 def legacy_entries(spark: SparkSession, files: list[tuple[str, str]], query: str) -> tuple[DataFrame, DataFrame]:
@@ -172,18 +284,28 @@ def _rows(title: str, lines: list[str]) -> list[str]:
 
 def report(scenario: Scenario) -> str:
     """A text report of a scenario: all its parts, values and texts from the secure view alone. All lines are made
-    before any is shown; an error of any part leaves no half of a report."""
+    before any is shown, and the scanner looks at them once more; an error of any part leaves no half of a report."""
     c = scenario.correlation.first()
     k = scenario.classification.first()
-    lines = [f"correlation: {'found' if c['found'] else 'not found'} ({c['base']})" + (f": {c['reason']}" if c["reason"] else ""), f"category: {k['category']}", f"rule: {k['rule_id'] or 'none'}{' v' + str(k['version']) if k['rule_id'] else ''}", f"root cause: {k['root_cause'] or 'undetermined'}", ""]
-    lines += [f"{r['dimension']} {r['key']}: {r['n']}" for r in scenario.counts.orderBy("dimension", "key").toLocalIterator()]
+    lines = [f"correlation: {'found' if c['found'] else 'not found'} ({c['base']})" + (f": {c['reason']}" if c["reason"] else ""), f"category: {k['category']}", f"rule: {k['rule_id'] or 'none'}{' v' + str(k['version']) if k['rule_id'] else ''}", f"root cause: {k['root_cause'] or 'undetermined'}"]
+    lines += [f"note: {m}" for m in k["messages"]]
+    lines += ["", *(f"{r['dimension']} {r['key']}: {r['n']}" for r in scenario.counts.orderBy("dimension", "key").toLocalIterator())]
     lines += _rows("errors:", [f"  {r['file_token']} [{r['app']}] {r['code']}" for r in scenario.errors.orderBy("file_token").toLocalIterator()])
-    for part in ("identifiers", "links", "evidence"):
-        values = scenario.values.where((F.col("part") == part) & F.col("safe").isNotNull()).groupBy("type", "safe").count().orderBy("type", "safe")
+    shown = F.col("safe").isNotNull() & (F.trim("safe") != "")
+    for part in ("query", "identifiers", "fields", "files", "links", "evidence"):
+        values = scenario.values.where((F.col("part") == part) & F.col("type").isNotNull() & shown).groupBy("type", "safe").count().orderBy("type", "safe")
         lines += _rows(f"{part}:", [f"  {r['type']} {r['safe']} ({r['count']})" for r in values.toLocalIterator()])
+    told = scenario.explanation.where(F.col("rule_id") == F.lit(k["rule_id"])).orderBy("condition_id")
+    lines += _rows("conditions:", [f"  {r['condition_id']} ({r['n_evidence']})" for r in told.toLocalIterator()])
+    if scenario.links is not None:
+        used = scenario.links.select("rule", "entry_id").distinct().orderBy("rule", "entry_id")
+        lines += _rows("links by:", [f"  {r['rule']} {r['entry_id']}" for r in used.toLocalIterator()])
     lines += _rows("timeline:", [f"{r['utc_text']} {r['app']} {r['entry_id']}" for r in scenario.timeline.select("utc_text", "app", "entry_id").toLocalIterator()])
     lines += _rows("without UTC:", [f"{r['app']} {r['entry_id']}" for r in scenario.undated.select("app", "entry_id").toLocalIterator()])
     lines += _rows("texts:", [(r["safe"] or "suppressed").rstrip("\n") for r in scenario.secure.orderBy("seq").toLocalIterator()])
+    left = scenario.spark.createDataFrame([(line,) for line in lines], "line string").where(scanner.findings(F.col("line")) > 0)
+    if not left.isEmpty():
+        raise ValueError(UNSAFE)
     return "\n".join(lines) + "\n"
 
 
