@@ -84,3 +84,15 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
     got = mixing.mix(spark.createDataFrame([(1, "a", None, 1), (2, None, " ", 1)], SCHEMA)).collect()
     assert {(r["size"], r["target"], r["copies"]) for r in got} == {(0, 0.0, 0)}
+
+
+def test_equal_rows_are_parted_and_each_counted_once(spark):
+    """A third of all rows are equal in all columns: no task of the mix holds them all, and none is lost."""
+    rows = [(7, "hot", "one two three", 1)] * 3000 + [(i, f"s{i % 3}", "w " * (i % 40), 1) for i in range(6000)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    got = mixing.mix(table, slots=4)
+    assert got.count() == len(rows)
+    most = got.where("row.doc_id = 7").groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert most <= 2000
+    taken = got.groupBy("row.source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 60 for r in taken)

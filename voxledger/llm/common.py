@@ -1,82 +1,28 @@
-"""Helpers the training-data operators share: the shared folder, lineage cuts, word splitting and ranks."""
+"""Helpers the training-data operators share: the store of tables on the way, word splitting and ranks."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxledger.functions.store import materialize, remove, scratch, shared_dir, stored
+
+__all__ = ["CHUNK_BYTES", "WORD_RE", "materialize", "packed", "ranks", "read_table", "remove", "scratch", "shared_dir", "stored", "word_count", "words_in_chunks"]
+
 #: Spark/Java regex of a word: a maximal run of anything but ASCII white space.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: Longest piece of a text that is split into Python words at once.
 CHUNK_BYTES = 4 << 20
 
-#: The folder of the innermost open scratch().
-_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of a data folder, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which the driver and all executors see.
-
-    Where the setting is absent and all runs on one machine (tests), a temporary folder is set once per
-    session; a cluster must name one.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="vox-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/vox-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """`df` written to `path` and read back; zstd, since disk is dearer here than the little CPU it takes."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later steps neither recompute it nor depend
-    on an executor's local blocks. Inside scratch() it goes when that ends."""
-    top = _SCRATCH.get()
-    return stored(df, f"{top}/{uuid.uuid4().hex}" if top else shared_dir(df.sparkSession))
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, by whatever file system Spark has for it."""
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """What is materialized inside is removed at the end. Yields the function that stores what is to stay."""
-    outer, own = _SCRATCH.get(), shared_dir(spark)
-    token = _SCRATCH.set(own)
-    try:
-        yield lambda df: stored(df, f"{outer}/{uuid.uuid4().hex}" if outer else shared_dir(spark))
-    finally:
-        _SCRATCH.reset(token)
-        remove(spark, own)
-
-
 def packed(docs: DataFrame) -> Column:
     """All columns of `docs` as one struct `row`: whatever their names, none clashes with a helper's."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

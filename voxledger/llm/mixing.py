@@ -10,9 +10,10 @@ doc_id and text: neighbours have like sizes, which keeps the taken words near th
 documents hold most words. Offset and order depend on `seed`, source, doc_id and text alone, so reruns agree
 however the rows are dealt; rows equal in these are copies of each other, and any of them may be taken.
 
-Prefix sums are counts: rows are numbered within (source, class, hash slot) and shifted by the sizes of
-the slots before, so a source with a third of all rows never meets in one task. There are as many slots as
-rows need, about SLOT_ROWS rows each; the order doesn't depend on their number.
+Prefix sums are counts: equal rows are counted by the part of the table that they are in, these counts are summed up
+within (source, class, hash slot) and shifted by the sizes of the slots before, so neither a source nor a group of equal
+rows with a third of all rows ever meets in one task. There are as many slots as rows need, about SLOT_ROWS rows each; the
+order doesn't depend on their number. Rows are stored first, so that a row is in the same part whenever it is read.
 
 Null texts have size 0 and, like empty ones, are emitted by the same rule. Null sources are one source, null
 ids are told apart by their texts. If all sizes are 0 every target is 0. Repeated rows are sampled one by one.
@@ -22,11 +23,14 @@ An empty table gives an empty one. Other columns, whatever their names, stay in
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voxledger.functions.prefix import running_sum
+
 from .common import materialize, packed, ranks, read_table, scratch, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -64,9 +68,9 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, *keep: Column) -> DataFrame:
-    """`keep`, source, __size and __digest of each row: all that the mix needs of a text."""
+    """`keep`, source, __size, __digest and the part of the table of each row: all that the mix needs of a text."""
     digest = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    return docs.select(*keep, F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), digest.alias("__digest"))
+    return docs.select(*keep, F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), digest.alias("__digest"), F.spark_partition_id().alias("__part"))
 
 
 def _dealt(rows: DataFrame, slots: int) -> DataFrame:
@@ -76,23 +80,27 @@ def _dealt(rows: DataFrame, slots: int) -> DataFrame:
     return rows.withColumns({"__group": group, "__class": _class(F.col("__size")), "__slot": slot})
 
 
-def _numbered(rows: DataFrame, seed: str, slots: int) -> DataFrame:
-    """Rows of sized() with __source_size, __target and __copies. Rows are read twice: once for the sizes of
-    buckets, once to be ordered, which is the one shuffle of what they hold."""
-    keys, dealt = ["__group", "__class", "__slot"], _dealt(rows, slots)
-    buckets = materialize(dealt.groupBy("__source", *keys).agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__size")))
-    plan = targets(buckets.select("__source", "__size"))
+def _numbered(rows: DataFrame, seed: str, slots: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stored rows of sized() with __source_size, __target and __copies. They are read twice: once for the sizes of
+    buckets, once to be numbered, which is the one shuffle of what they hold. keep() stores what the result rests on."""
+    dealt = _dealt(rows, slots)
+    # Rows equal in all that the order knows are counted, by the part of the table that they are in: of a bucket only these
+    # counts meet in a task, and rows are numbered within such counts.
+    equal = ["__group", "__digest", "__part"]
+    counts = dealt.groupBy("__source", *equal, "__class", "__slot").agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__size"))
+    counts = materialize(counts)
+    plan = targets(counts.select("__source", "__size"))
     plan = plan.withColumn("__group", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("null")))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("__source"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
     plan = plan.select("__group", "__source_size", "__target", offset.alias("__offset"))
-    before = F.sum("__n").over(W.partitionBy("__group").orderBy("__class", "__slot").rowsBetween(W.unboundedPreceding, -1))
-    starts = buckets.select(*keys, F.coalesce(before, F.lit(0)).alias("__before")).join(plan, "__group")
-    row = F.row_number().over(W.partitionBy(*keys).orderBy("__digest"))
+    upto = running_sum(counts, ["__group"], ["__class", "__slot"], [F.col("__digest"), F.col("__part")], "__n", "__upto")
+    starts = upto.select(*equal, (F.col("__upto") - F.col("__n")).alias("__before")).join(plan, "__group")
+    row = F.row_number().over(W.partitionBy(*equal).orderBy(F.lit(1)))
     each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    upto = lambda k: F.floor(k * each + F.col("__offset"))
+    copies = lambda k: F.floor(k * each + F.col("__offset"))
     k = F.col("__row") + F.col("__before")
-    placed = dealt.withColumn("__row", row).join(materialize(starts), keys)
-    return placed.withColumn("__copies", (upto(k) - upto(k - 1)).cast("long")).drop(*keys, "__row", "__before", "__offset", "__digest", "__source")
+    placed = dealt.drop("__class", "__slot").join(keep(starts), equal).withColumn("__row", row)
+    return placed.withColumn("__copies", (copies(k) - copies(k - 1)).cast("long")).drop(*equal, "__row", "__before", "__offset", "__source")
 
 
 def _slots(docs: DataFrame) -> int:
@@ -102,7 +110,9 @@ def _slots(docs: DataFrame) -> int:
 
 def mix(docs: DataFrame, seed: str = SEED, slots: int | None = None) -> DataFrame:
     """row (the columns of docs), size, source_size, target and copies of every row of docs."""
-    found = _numbered(sized(docs, packed(docs)), seed, slots or _slots(docs))
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(sized(docs, packed(docs)))  # so that the parts are the same in both reads
+        found = _numbered(rows, seed, slots or _slots(rows), keep)
     return found.select("row", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "copies")])
 
 
@@ -110,12 +120,13 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     with scratch(spark) as keep:
         rows = materialize(sized(docs, F.col("doc_id")))  # texts are read once, and never shuffled
-        found = _numbered(rows, SEED, _slots(rows))
+        found = _numbered(rows, SEED, _slots(rows), materialize)
         return keep(found.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken")))
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: each row once for each copy, columns unchanged. Texts are shuffled once."""
+    """Pipeline stage: each row once for each copy, columns unchanged. Texts are stored once, with their sizes, and
+    shuffled once."""
     mixed = mix(docs).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 

@@ -97,19 +97,20 @@ def clean_text() -> Column:
 
 
 def _placed(messages: DataFrame) -> DataFrame:
-    """c, t0, h, start, reply_to, root, n_linked and levels: what is known of all equal messages together."""
-    found = passages(messages)
+    """c, t0, h, salt, start, reply_to, root, n_linked and levels: what is known of all equal messages of a part of the
+    table together."""
+    found = materialize(passages(messages))
     reply = materialize(links(found))
     levels = found.where("level > 0").groupBy("c", F.coalesce("t", F.lit(NO_TURN)).alias("t0")).agg(F.max("level").alias("levels"))
     known = reply.join(roots(reply), ["c", "t"]).select("c", F.col("t").alias("t0"), "reply_to", "root", "n_linked")
     known = materialize(levels.join(known, ["c", "t0"], "left"))
-    each = messages.groupBy("c", "t0", "h").agg(F.count(F.lit(1)).alias("n")).join(known, ["c", "t0"], "left")
+    each = messages.groupBy("c", "t0", "h", "salt").agg(F.count(F.lit(1)).alias("n")).join(known, ["c", "t0"], "left")
     each = each.withColumn("r0", F.coalesce("root", "t0"))
     # ranges of the order are the buckets, stored so that they stay the same when they are read again
     n = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(each.repartitionByRange(n, "c", "r0", "t0", "h").withColumn("bucket", F.spark_partition_id()))
-    summed = running_sum(dealt, ["c"], ["bucket"], [F.col("r0"), F.col("t0"), F.col("h")], "n", "upto")
-    return summed.select("c", "t0", "h", (F.col("upto") - F.col("n")).alias("start"), "reply_to", "root", "n_linked", "levels")
+    dealt = materialize(each.repartitionByRange(n, "c", "r0", "t0", "h", "salt").withColumn("bucket", F.spark_partition_id()))
+    summed = running_sum(dealt, ["c"], ["bucket"], [F.col(x) for x in ("r0", "t0", "h", "salt")], "n", "upto")
+    return summed.select("c", "t0", "h", "salt", (F.col("upto") - F.col("n")).alias("start"), "reply_to", "root", "n_linked", "levels")
 
 
 def threads(messages: DataFrame) -> DataFrame:
@@ -117,15 +118,17 @@ def threads(messages: DataFrame) -> DataFrame:
     n_linked, levels and clean of every message."""
     c = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null"))
     base = messages.select(packed(messages), c.alias("c"), F.col("turn").alias("t"), F.coalesce("turn", F.lit(NO_TURN)).alias("t0"), F.xxhash64("role", "text").alias("h"), "text")
-    keys = ["c", "t0", "h"]
-    with scratch(messages.sparkSession) as keep:
-        placed = keep(_placed(base.drop("row")))
+    keys = ["c", "t0", "h", "salt"]
     n_quoted = F.size(F.filter(_lines(), lambda x: x.rlike(MARKS))).cast("long")
     own = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(1)))
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
-    return base.join(placed, keys).select(
-        "row", (F.col("start") + own).cast("long").alias("position"), "reply_to", F.coalesce("root", "t").alias("root"), n_quoted.alias("n_quoted"), zero("n_linked"), zero("levels"), clean_text().alias("clean")
-    )
+    with scratch(messages.sparkSession) as keep:
+        # the part of the table that a row is in parts equal messages; stored, it stays the same in both reads
+        base = materialize(base.withColumn("salt", F.spark_partition_id()))
+        found = base.join(_placed(base.drop("row")), keys).select(
+            "row", (F.col("start") + own).cast("long").alias("position"), "reply_to", F.coalesce("root", "t").alias("root"), n_quoted.alias("n_quoted"), zero("n_linked"), zero("levels"), clean_text().alias("clean")
+        )
+        return keep(found)
 
 
 def op7_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,9 +246,10 @@ def _write(folder: str, kind: str, id_of: np.ndarray) -> Callable:
 
 
 def write_tokens(table: DataFrame, size: int, id_of: np.ndarray, folder: str) -> DataFrame:
-    """Write encoded documents to token files in `folder`; the manifest (part, path, docs, ids) in file order."""
+    """Write encoded documents (with a row number `n`) to token files in `folder`; the manifest (part, path, docs, ids)
+    in file order. The row number comes last in the order, so that equal rows can be parted."""
     n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("n").asc()]
     ordered = table.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return ordered.mapInArrow(_write(folder, _kind(size), id_of), "part int, path string, docs long, ids long")
 
@@ -290,7 +291,7 @@ def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     path, spark = path or tokenizer_path(), docs.sparkSession
     size, folder = vocabulary_size(path), shared_dir(spark)
     with scratch(spark):
-        table = materialize(encoded(docs, path))
+        table = materialize(encoded(docs, path).withColumn("n", F.monotonically_increasing_id()))
         id_of = id_ranks(table, size)
         manifest = stored(write_tokens(table, size, id_of, f"{folder}/tokens"), f"{folder}/manifest")
     return read_tokens(manifest, id_of)
