@@ -43,10 +43,23 @@ def test_changed_files_are_left_out(spark, tmp_path):
     (tmp_path / "b").write_text("x\nY\n")
     changed = logs.changed_sources(before, logs.file_digests(spark, str(tmp_path)))
     assert [r["path"].rsplit("/")[-1] for r in changed.collect()] == ["b"]
-    path = {r["path"].rsplit("/")[-1]: r["path"] for r in before.collect()}
-    chosen = spark.createDataFrame([(path["a"], "e1", 1, 2), (path["b"], "e2", 1, 1)], "path string, entry_id string, line_start long, line_end long")
-    lines = logs.physical_lines(spark, str(tmp_path))
-    assert [tuple(r)[:2] for r in logs.reread(chosen, lines, changed).collect()] == [("e1", "one\ntwo\n")]
+
+
+def test_ranges_are_read_again_and_checked(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"one\ntwo\r\nth\xffree\n")
+    (tmp_path / "b").write_text("x\ny\n")
+    lines = logs.physical_lines(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    told = {r["start_byte"]: r["bad_byte"] for r in lines.collect() if r["path"].endswith("a")}
+    assert told == {0: None, 4: None, 9: 11}
+    plan = lines._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan.split("== Physical Plan ==")[1]
+    chosen = lines.select("path", F.concat(F.right("path", F.lit(1)), F.col("line_no").cast("string")).alias("entry_id"), "start_byte", "end_byte", "sha256").collect()
+    chosen = spark.createDataFrame(chosen, "path string, entry_id string, start_byte long, end_byte long, sha256 string")
+    (tmp_path / "b").write_text("x\nY\n")
+    got = {r["entry_id"]: (r["text"], r["code"]) for r in logs.reread(chosen).collect()}
+    assert got == {"a1": ("one\n", None), "a2": ("two\r\n", None), "a3": (None, None), "b1": ("x\n", None), "b2": (None, "SOURCE_CHANGED")}
+    (tmp_path / "b").unlink()
+    assert {r["code"] for r in logs.reread(chosen.where("entry_id like 'b%'")).collect()} == {"FILE_READ_ERROR"}
 
 
 def test_artifacts(spark, tmp_path):

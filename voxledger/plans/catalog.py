@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import normalized_sql
-from voxledger.functions.prefix import running_sum
+from voxledger.functions.prefix import last_so_far, running_sum
+from voxledger.functions.store import shared_dir
 from voxledger.operators import correlate, governance, graph, rules, sanitize, scanner, search, secure, stats, summaries, timeline
 from voxledger.sources import logs, reports
 
@@ -164,10 +165,19 @@ def multiline_blocks(spark, sf_dir):
 @query(f"""SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(e - n AS BIGINT) AS start_byte, CAST(e - 1 AS BIGINT) AS end_byte, sha256(text) AS digest FROM
 (SELECT *, strlen(text) + 1 AS n, sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS e FROM ({_LINES}))""")
 def physical_lines(spark, sf_dir):
-    """Byte ranges and digests of the lines of each document."""
-    l = document_lines(spark, sf_dir).withColumns({"n": F.octet_length("text").cast("long") + 1, "block": F.floor(F.col("line_no") / 1000)})
-    ends = running_sum(l, ["doc_id"], ["block"], [F.col("line_no")], "n", "e")
-    return ends.select("doc_id", "line_no", (F.col("e") - F.col("n")).alias("start_byte"), (F.col("e") - 1).alias("end_byte"), F.sha2("text", 256).alias("digest"))
+    """Documents written as log files, a marked line before each, and read again by the byte-exact reader: byte ranges and
+    digests of the lines of each document."""
+    folder = shared_dir(spark)
+    table(spark, sf_dir, "documents").select(F.concat(F.lit("\u0001"), F.col("doc_id").cast("string"), F.lit("\n"), "text")).write.text(folder)
+    lines = logs.physical_lines(spark, folder).withColumn("bucket", F.floor(F.col("line_no") / 100_000))
+    mark = F.when(F.startswith("text", F.lit("\u0001")), F.struct(F.substring("text", 2, 20).cast("long").alias("doc_id"), "line_no", "end_byte"))
+    own = last_so_far(lines, ["path"], ["bucket"], ["line_no"], mark, "of").where(~F.startswith("text", F.lit("\u0001")))
+    place = lambda c: F.col(c) - F.col("of.end_byte")
+    body = F.octet_length("terminator")
+    return own.select(
+        "of.doc_id", (F.col("line_no") - F.col("of.line_no")).alias("line_no"), place("start_byte").alias("start_byte"), (place("end_byte") - F.least(body, F.lit(1))).alias("end_byte"),
+        F.sha2(F.concat("text", F.when(body == 2, "\r").otherwise("")), 256).alias("digest"),
+    )
 
 
 @query("""SELECT event_id, regexp_extract(props, '"([a-z]+)":', 1) AS key, regexp_extract(props, ':\\s*(\\d+)', 1) AS value FROM events""")

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
+from pyspark.sql.pandas.functions import arrow_udf
 
-from voxledger.functions.prefix import running_sum
+from voxledger.functions.store import materialize
 
 #: Limits of one batch and codes of files that fail them.
 MAX_FILES = 100
@@ -47,38 +56,78 @@ def preflight(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFr
     return spark.createDataFrame(sources, SOURCES_SCHEMA), spark.createDataFrame(errors, ERRORS_SCHEMA)
 
 
+def _in_ranges(column: str, extra: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a scan with their number and the bytes up to them within their file's range: a task reads a range from
+    its beginning to its end, so this needs no shuffle. `extra` bytes end each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, end = None, 0, 0
+        for batch in batches:
+            paths, starts = batch.column("path").to_pylist(), batch.column("block").to_numpy()
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + extra
+            lines, ends = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
+            for k, here in enumerate(zip(paths, starts.tolist(), strict=True)):
+                if here != at:
+                    at, n, end = here, 0, 0
+                n, end = n + 1, end + int(sizes[k])
+                lines[k], ends[k] = n, end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines), pa.array(ends)], names=[*batch.schema.names, "line_in", "end_in"])
+
+    return run
+
+
+def _numbered(raw: DataFrame, column: str, extra: int) -> DataFrame:
+    """raw (path, block and more) with `line_no` and `end`: what each range holds is counted in one scan, and a second
+    scan adds what the ranges before it hold. Only a row for each range is shuffled, never a line."""
+    schema = T.StructType([*raw.schema.fields, T.StructField("line_in", T.LongType()), T.StructField("end_in", T.LongType())])
+    counted = raw.mapInArrow(_in_ranges(column, extra), schema)
+    each = counted.groupBy("path", "block").agg(F.max("line_in").alias("lines"), F.max("end_in").alias("bytes"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    shift = each.select(F.col("path").alias("__path"), F.col("block").alias("__block"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "bytes")])
+    # a row for each range of at most MAX_FILES files of at most MAX_FILE_BYTES: a few thousand
+    placed = counted.join(F.broadcast(materialize(shift)), (F.col("path") == F.col("__path")) & (F.col("block") == F.col("__block")))
+    added = {"line_no": F.col("line_in") + F.col("lines_before"), "end": F.col("end_in") + F.col("bytes_before")}
+    return placed.withColumns(added).drop("__path", "__block", "line_in", "end_in", "lines_before", "bytes_before")
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines cut at LF, CR or CRLF, undecodable bytes replaced: line_no and text for each path."""
     raw = spark.read.text(path).select(F.make_valid_utf8("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    return _numbered(raw.withColumn("__one", F.lit(1)), "__one", "line_no").drop("__one", "block")
+    return _numbered(raw, "text", 0).select("text", "path", "line_no")
 
 
-def _numbered(lines: DataFrame, size: str, name: str) -> DataFrame:
-    """Running sums of `size` within a path; a file that was split over tasks is not brought together."""
-    ordered = lines.withColumn("__id", F.monotonically_increasing_id())
-    return running_sum(ordered, ["path"], ["block"], [F.col("__id")], size, name).drop("__id")
+@arrow_udf(T.IntegerType())
+def _bad_byte(line: pa.Array) -> pa.Array:
+    """Where the first byte stands that isn't UTF-8; null if none is."""
+    out = []
+    for b in line.to_pylist():
+        try:
+            out.append(b and b.decode() and None)
+        except UnicodeDecodeError as e:
+            out.append(e.start)
+    return pa.array([x if isinstance(x, int) else None for x in out], pa.int32())
 
 
 def physical_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines cut at LF alone, with their bytes: path, line_no, start_byte, end_byte (with the terminator),
-    text (null where it isn't UTF-8), terminator, sha256 of the line's bytes, decodable.
+    text (null where it isn't UTF-8), terminator, sha256 of the line's bytes, decodable, and bad_byte: the place in the
+    file of the first byte of the line that isn't UTF-8.
 
     Splitting at LF keeps a CR with its line, and the reader keeps a line's raw bytes.
     """
     raw = spark.read.option("lineSep", "\n").text(path)
-    line = raw.select(F.col("value").cast("binary").alias("b"), "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
-    line = line.withColumns({"__n": F.octet_length("b").cast("long") + 1, "__one": F.lit(1).cast("long")})
-    line = _numbered(line, "__n", "__end")
-    line = _numbered(line, "__one", "line_no")
-    closed = F.col("__end") <= F.col("size")
+    line = raw.select(F.col("value").cast("binary").alias("b"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
+    line = _numbered(line, "b", 1).withColumns({"value": F.col("b").cast("string"), "start": F.col("end") - F.octet_length("b") - 1})
+    closed = F.col("end") <= F.col("size")
     cr = F.col("value").endswith("\r")
     terminator = F.when(~closed, "").when(cr, "\r\n").otherwise("\n")
     valid = F.is_valid_utf8("value")
     body = F.when(closed & cr, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
     ending = F.when(closed, F.lit(b"\n")).otherwise(F.lit(b""))
+    bad = F.col("start") + F.when(~valid, _bad_byte(F.when(~valid, F.col("b"))))
     return line.select(
-        "path", "line_no", (F.col("__end") - F.col("__n")).alias("start_byte"), F.least("__end", "size").alias("end_byte"), F.when(valid, body).alias("text"), terminator.alias("terminator"),
-        F.sha2(F.concat("b", ending), 256).alias("sha256"), valid.alias("decodable"),
+        "path", "line_no", F.col("start").alias("start_byte"), F.least("end", "size").alias("end_byte"), F.when(valid, body).alias("text"), terminator.alias("terminator"),
+        F.sha2(F.concat("b", ending), 256).alias("sha256"), valid.alias("decodable"), bad.alias("bad_byte"),
     )
 
 
@@ -93,14 +142,36 @@ def changed_sources(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.join(after.select(*same), same, "left_anti").select("path", F.lit("SOURCE_CHANGED").alias("code"))
 
 
-def reread(selected: DataFrame, lines: DataFrame, changed: DataFrame) -> DataFrame:
-    """The text of selected entries (path, entry_id, line_start, line_end) from a second read of the files;
-    entries of changed files are left out, others are not affected."""
-    sound = selected.join(changed.select("path"), "path", "left_anti").select("path", "entry_id", "line_start", "line_end")
-    own = sound.select("path", "entry_id", F.explode(F.sequence("line_start", "line_end")).alias("line_no"))
-    joined = own.join(lines, ["path", "line_no"])
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.concat("text", "terminator").alias("t")))), lambda x: x["t"]), "")
-    return joined.groupBy("entry_id").agg(text.alias("text"), F.bool_and("decodable").alias("decodable"))
+def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for path, start, end, digest in zip(*(batch.column(c).to_pylist() for c in ("path", "start_byte", "end_byte", "sha256")), strict=True):
+            try:
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as f:
+                    data = f.read_at(end - start, start)
+            except (OSError, ValueError):
+                out.append((None, "FILE_READ_ERROR"))
+                continue
+            same = len(data) == end - start and hashlib.sha256(data).hexdigest() == digest
+            out.append((data if same else None, None if same else "SOURCE_CHANGED"))
+        yield pa.RecordBatch.from_arrays([batch.column("entry_id"), pa.array([d for d, _ in out], pa.binary()), pa.array([c for _, c in out], pa.string())], names=["entry_id", "data", "code"])
+
+
+def reread(selected: DataFrame, chunk: int = 64 << 20) -> DataFrame:
+    """entry_id, text and code of selected entries (path, entry_id, start_byte, end_byte, sha256) from a second read of
+    their bytes alone.
+
+    An entry whose bytes have another digest now is SOURCE_CHANGED, and others of its file aren't affected; a file that
+    can't be opened is FILE_READ_ERROR. Ranges that lie near one another are read by one task. text is null where it
+    isn't UTF-8.
+    """
+    n = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = selected.select("path", "entry_id", "start_byte", "end_byte", "sha256")
+    dealt = own.repartition(n, "path", F.floor(F.col("start_byte") / chunk)).sortWithinPartitions("path", "start_byte")
+    read = dealt.mapInArrow(_read_ranges, "entry_id string, data binary, code string")
+    text = F.col("data").cast("string")
+    return read.select("entry_id", F.when(F.is_valid_utf8(text), text).alias("text"), "code")
 
 
 def log_files(directory: str) -> list[str]:
