@@ -79,11 +79,14 @@ def test_gates(spark):
     manifest = {k: "x" for k in governance.REQUIRED} | {"origin": "synthetic", "label": "SUCESSO", "artifacts": [{"path": "a.log", "sha256": "0"}]}
     extra = {"fixture_ids": ["f1"], "approved_by": "p", "approved_at": "t", "approval_reference": "r"}
     rule = rules.Rule("r", 1, "SUCESSO", ("VPL",), ({"condition_id": "c", "operator": "APPLICATION_PRESENT", "application": "VPL"},), 1, extra=extra)
-    facts = spark.createDataFrame([("APPLICATION", "VPL", None, None, "application:VPL", None)], rules.FACTS_SCHEMA)
-    assert governance.gate(rule, {"f1": manifest}, {"f1": facts}) == []
-    bad = rules.Rule("r", 1, "ERRO", ("ORK",), rule.conditions, 1, extra={"fixture_ids": ["f1", "f2"]})
-    codes = governance.gate(bad, {"f1": manifest | {"origin": "real"}}, {"f1": facts}, samples=2)
-    assert codes == ["FIXTURE_UNKNOWN", "ORIGIN_NOT_SANITIZED", "LABEL_MISMATCH", "APPROVAL_INCOMPLETE", "TOO_FEW_SAMPLES", "NO_LABELLED_ERROR", "FIXTURE_NAO_SATISFEITA", "FIXTURE_ERRO_SEGURO"]
+    facts = spark.createDataFrame([("f1", "APPLICATION", "VPL", None, None, "application:VPL", None)], "fixture_id string, " + rules.FACTS_SCHEMA)
+    bad = rules.Rule("bad", 1, "ERRO", ("ORK",), rule.conditions, 1, extra={"fixture_ids": ["f1", "f2"]})
+    assert governance.gates([rule], {"f1": manifest}, facts) == {("r", 1): []}
+    codes = governance.gates([rule, bad], {"f1": manifest | {"origin": "real"}}, facts, samples=2)
+    assert codes["bad", 1] == ["FIXTURE_UNKNOWN", "ORIGIN_NOT_SANITIZED", "LABEL_MISMATCH", "APPROVAL_INCOMPLETE", "TOO_FEW_SAMPLES", "NO_LABELLED_ERROR", "FIXTURE_NAO_SATISFEITA", "FIXTURE_ERRO_SEGURO"]
+    assert codes["r", 1] == ["ORIGIN_NOT_SANITIZED", "TOO_FEW_SAMPLES"] and governance.activated([rule, bad], codes) == set()
+    known = governance.gates([rule, bad], {"f1": manifest}, facts, authorised={("bad", 1)})
+    assert known == {("r", 1): [], ("bad", 1): []} and governance.activated([rule, bad], known) == {("r", 1), ("bad", 1)}
     assert governance.manifest_problems(manifest | {"artifacts": [{"path": "../x"}]}) == ["FORBIDDEN_PATH"]
 
 

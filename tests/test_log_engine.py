@@ -464,3 +464,23 @@ def test_digests_are_hmacs_and_can_be_searched(spark):
         assert {tuple(r) for r in index.collect()} == want
         assert sorted(r[0] for r in search.structured_by_digest(index, ["n1", "n2"], "X", key).collect()) == ["a", "b"]
         assert search.structured_by_digest(index, ["n1"], "X", key + b"?").isEmpty()
+
+
+def test_entries_of_a_growing_folder_equal_a_batch_read(spark, tmp_path):
+    from voxledger.plans.registry import default_registry
+    from voxledger.streaming import tail
+
+    app, place = default_registry().get("ORK"), tmp_path / "logs"
+    place.mkdir()
+    line = "2025-01-15T13:00:0{}.5+00:00 host proc[1]: INFO - lo.gger - CallId=c{}\n"
+    follow = lambda: tail.store_entries(spark, str(place), app, str(tmp_path / "out"), str(tmp_path / "state"), 1).awaitTermination()
+    (place / "a.log").write_text("orphan\n" + line.format(1, "a") + "more of it\n\n")
+    (place / "b.log").write_text(line.format(2, "b") + line.format(3, "b"))
+    follow()
+    (place / "c.log").write_text(line.format(4, "c") + "no end")
+    follow()  # after a restart: only the new file
+    follow()
+    columns = ["file_token", "read_order", "line_start", "line_end", "start_byte", "end_byte", "text", "interpreted"]
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(columns).collect()))
+    want = sorted(map(str, tail.entries_of(logs.physical_lines(spark, str(place)), app).select(columns).collect()))
+    assert got == want and len(got) == 5

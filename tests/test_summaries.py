@@ -1,4 +1,9 @@
+import datetime
+import json
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxledger.operators import summaries
 
@@ -31,3 +36,20 @@ def test_references_are_located_by_lines_and_by_one_application(spark):
     entries = spark.createDataFrame([("f", "e1", "VPL", 1, 3), ("f", "e2", "VPL", 4, 6), ("f", "e2", "ORK", 4, 6)], "file_token string, entry_id string, app string, line_start int, line_end int")
     refs = spark.createDataFrame([(1, "f", "e1", 2, 3), (2, "f", "e1", 3, 4), (3, "f", "e2", 4, 4), (4, "g", "e1", 1, 1), (5, "f", "e1", 2, 3)], "n int, file_token string, entry_id string, line_start int, line_end int")
     assert {r["n"]: r["app"] for r in summaries.located(refs, entries).collect()} == {1: "VPL", 2: None, 3: None, 4: None, 5: "VPL"}
+
+
+def test_json_of_any_type_or_an_error_before_any_row(spark):
+    row = (1, None, [("x", 2.5), None], {"k": None, "l": "v"}, datetime.datetime(2025, 1, 2, 3, 4, 5, 6000), datetime.date(2025, 1, 2), True)
+    kinds = "a long, b string, c array<struct<z: string, y: double>>, m map<string, string>, t timestamp, d date, e boolean"
+    df = spark.createDataFrame([row, (None,) * 7], kinds)
+    got = [json.loads(r[0]) for r in summaries.json_rows(df).collect()]
+    assert got[0] == {"a": 1, "b": None, "c": [{"z": "x", "y": 2.5}, None], "m": {"k": None, "l": "v"}, "t": "2025-01-02T03:04:05.006000Z", "d": "2025-01-02", "e": True}
+    assert list(got[0]) == list("abcmtde") and got[1] == dict.fromkeys("abcmtde")
+    for kind in ("binary", "map<int, string>", "array<map<double, int>>", "interval day to second", "struct<x: decimal(10, 2)>"):
+        with pytest.raises(TypeError, match="JSON"):
+            summaries.json_rows(spark.createDataFrame([], f"v {kind}"))
+    two = T.StructType([T.StructField("s", T.StructType([T.StructField("x", T.LongType()), T.StructField("x", T.LongType())]))])
+    with pytest.raises(ValueError, match="one name"):
+        summaries.json_rows(spark.createDataFrame([], two))
+    with pytest.raises(ValueError, match="one name"):
+        summaries.json_rows(df.select("a", F.col("b").alias("a")))

@@ -103,8 +103,9 @@ def _identifiers(app: pa.Array, text: pa.Array, region: pa.Array, prefix: pa.Arr
 
 
 def identifiers(app: Column, text: Column, region: Column, prefix: Column) -> Column:
-    """array<struct> of a block's identifiers; region is where its searchable part begins."""
-    return _identifiers(app, text, region.cast("int"), prefix)
+    """array<struct> of a block's identifiers; region is where its searchable part begins. Texts without any label's
+    beginning (a JVM test) aren't sent to Python."""
+    return _identifiers(app, F.when(text.rlike("(?iU)call|sofia/|channel|session"), text), region.cast("int"), prefix)
 
 
 @arrow_udf(T.StringType())
@@ -113,8 +114,9 @@ def _casefold(text: pa.Array) -> pa.Array:
 
 
 def casefold(text: Column) -> Column:
-    """Full case folding (ß as ss), which lower() isn't."""
-    return _casefold(text)
+    """Full case folding (ß as ss), which lower() isn't, except for ASCII."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(_casefold(F.when(~plain, text)))
 
 
 def normalized_sql(value: Column) -> Column:

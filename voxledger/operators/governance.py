@@ -76,28 +76,38 @@ def compared(declared: DataFrame, real: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").withColumn("state", state).drop("__a", "__b")
 
 
-def gate(rule: Rule, manifests: dict[str, dict], facts: dict[str, DataFrame], labelled_errors: int = 0, samples: int = 1) -> list[str]:
-    """Codes that keep a rule from being activated: manifests, approval, samples, and its own fixtures, on which
-    it must evaluate without error and be satisfied."""
-    own = [manifests.get(f) for f in rule.extra.get("fixture_ids", ())]
-    codes = []
-    if not own or None in own:
-        codes.append("FIXTURE_UNKNOWN")
-    own = [m for m in own if m]
-    codes += sorted({p for m in own for p in manifest_problems(m)})
-    if any(m.get("label") != rule.category for m in own):
-        codes.append("LABEL_MISMATCH")
-    if not all(rule.extra.get(k) for k in ("approved_by", "approved_at", "approval_reference")):
-        codes.append("APPROVAL_INCOMPLETE")
-    if len(own) < samples:
-        codes.append("TOO_FEW_SAMPLES")
-    if (rule.root_cause or rule.category == "ERRO") and labelled_errors < 1:
-        codes.append("NO_LABELLED_ERROR")
-    for f in rule.extra.get("fixture_ids", ()):
-        state = evaluate(facts[f], [rule]).first()["state"] if f in facts else "ERRO_SEGURO"
-        if state != "SATISFEITA":
-            codes.append(f"FIXTURE_{state}")
-    return codes
+def gates(rules: list[Rule], manifests: dict[str, dict], facts: DataFrame, labelled_errors: int = 0, samples: int = 1, authorised: set[tuple[str, int]] | None = None) -> dict[tuple[str, int], list[str]]:
+    """Codes that keep each rule from being activated: manifests, approval, samples, and its own fixtures, on which it must
+    evaluate without error and be satisfied. `facts` are those of all fixtures (with fixture_id), and one evaluation
+    tries all rules on all of them. Rules that were authorised before and haven't changed version skip the gates."""
+    new = [r for r in rules if (r.rule_id, r.version) not in (authorised or set())]
+    by = ("fixture_id",)
+    # a row for each rule and fixture of a catalogue
+    states = {(r["fixture_id"], r["rule_id"], r["version"]): r["state"] for r in evaluate(facts, new, by).collect()} if new else {}
+    out: dict[tuple[str, int], list[str]] = {(r.rule_id, r.version): [] for r in rules}
+    for rule in new:
+        wanted = rule.extra.get("fixture_ids", ())
+        own = [manifests.get(f) for f in wanted]
+        codes = ["FIXTURE_UNKNOWN"] if not own or None in own else []
+        own = [m for m in own if m]
+        codes += sorted({p for m in own for p in manifest_problems(m)})
+        if any(m.get("label") != rule.category for m in own):
+            codes.append("LABEL_MISMATCH")
+        if not all(rule.extra.get(k) for k in ("approved_by", "approved_at", "approval_reference")):
+            codes.append("APPROVAL_INCOMPLETE")
+        if len(own) < samples:
+            codes.append("TOO_FEW_SAMPLES")
+        if (rule.root_cause or rule.category == "ERRO") and labelled_errors < 1:
+            codes.append("NO_LABELLED_ERROR")
+        tried = [states.get((f, rule.rule_id, rule.version), "ERRO_SEGURO") for f in wanted]
+        out[rule.rule_id, rule.version] = codes + [f"FIXTURE_{s}" for s in tried if s != "SATISFEITA"]
+    return out
+
+
+def activated(rules: list[Rule], codes: dict[tuple[str, int], list[str]]) -> set[tuple[str, int]]:
+    """The rules that may be used: active ones that nothing keeps back; none if any active one is kept back."""
+    active = {(r.rule_id, r.version) for r in rules if r.state == "ACTIVE"}
+    return active if all(not codes.get(k, ["UNKNOWN"]) for k in active) else set()
 
 
 def diversity(samples: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Which of a file's failures is told, from least to most telling.
 FAILURE_ORDER = ("CONTINUACAO_ORFA", "CABECALHO_APARENTE_INVALIDO", "INVALID_UTF8", "FILE_READ_ERROR", "SOURCE_CHANGED")
@@ -65,9 +66,39 @@ def by_token_number(errors: DataFrame) -> DataFrame:
     return errors.orderBy(F.regexp_extract("file_token", r"(\d+)", 1).try_cast("int"), "file_token")
 
 
+#: Types that have a JSON form of their own, and how times are written.
+_PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+_TIMES = {T.TimestampType: "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", T.TimestampNTZType: "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", T.DateType: "yyyy-MM-dd"}
+
+
+def _json_form(value: Column, kind: T.DataType, at: str) -> Column:
+    """The value as types that JSON has, in order; a kind without such a form is an error before any row is read."""
+    if isinstance(kind, T.StructType):
+        names = [f.name for f in kind.fields]
+        if len(set(names)) < len(names):
+            raise ValueError(f"{at}: two fields have one name")
+        made = F.struct(*[_json_form(value[f.name], f.dataType, f"{at}.{f.name}").alias(f.name) for f in kind.fields]) if names else value
+        return F.when(value.isNotNull(), made)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _json_form(x, kind.elementType, f"{at}[]"))
+    if isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise TypeError(f"{at}: keys of type {kind.keyType.simpleString()} have no JSON form")
+        return F.transform_values(value, lambda _, x: _json_form(x, kind.valueType, f"{at}{{}}"))
+    if (form := _TIMES.get(type(kind))) is not None:
+        return F.date_format(value, form)
+    if not isinstance(kind, _PLAIN):
+        raise TypeError(f"{at}: type {kind.simpleString()} has no JSON form")
+    return value
+
+
 def json_rows(df: DataFrame) -> DataFrame:
-    """Each row as JSON with its fields in order; nulls are kept."""
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+    """Each row as JSON with its fields in order; nulls are kept, times are ISO 8601. Types without a JSON form, map keys
+    that aren't text and names that occur twice are errors when the plan is made."""
+    if len(set(df.columns)) < len(df.columns):
+        raise ValueError("two columns have one name")
+    made = F.struct(*[_json_form(df[f"`{f.name}`"], f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+    return df.select(F.to_json(made, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def placeholder_type(field: Column) -> Column:

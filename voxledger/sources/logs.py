@@ -11,11 +11,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.functions import arrow_udf
+from pyspark.sql.streaming import DataStreamReader
 
 from voxledger.functions.store import materialize
 
@@ -108,15 +109,23 @@ def _bad_byte(line: pa.Array) -> pa.Array:
     return pa.array([x if isinstance(x, int) else None for x in out], pa.int32())
 
 
+def raw_lines(reader: DataFrameReader | DataStreamReader, path: str | list[str]) -> DataFrame:
+    """Lines as they are read, with their bytes `b`, their file and its range. Splitting at LF alone keeps a CR with its
+    line, and the reader keeps a line's raw bytes."""
+    raw = reader.option("lineSep", "\n").text(path)
+    return raw.select(F.col("value").cast("binary").alias("b"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
+
+
 def physical_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines cut at LF alone, with their bytes: path, line_no, start_byte, end_byte (with the terminator),
+    """The lines of files, see byte_lines()."""
+    return byte_lines(raw_lines(spark.read, path))
+
+
+def byte_lines(line: DataFrame) -> DataFrame:
+    """raw_lines() with their bytes: path, line_no, start_byte, end_byte (with the terminator),
     text (null where it isn't UTF-8), terminator, sha256 of the line's bytes, decodable, and bad_byte: the place in the
     file of the first byte of the line that isn't UTF-8.
-
-    Splitting at LF keeps a CR with its line, and the reader keeps a line's raw bytes.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
-    line = raw.select(F.col("value").cast("binary").alias("b"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"))
     line = _numbered(line, "b", 1).withColumns({"value": F.col("b").cast("string"), "start": F.col("end") - F.octet_length("b") - 1})
     closed = F.col("end") <= F.col("size")
     cr = F.col("value").endswith("\r")

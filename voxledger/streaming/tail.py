@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from voxledger.operators import stats
+from voxledger.functions.store import scratch
+from voxledger.operators import blocks, stats
+from voxledger.plans.registry import Application
+from voxledger.sources import logs
 
 
 def follow(spark: SparkSession, directory: str, per_trigger: int = 100) -> DataFrame:
@@ -29,3 +33,24 @@ def call_sessions(lines: DataFrame, gap: str = "2 minutes", late: str = "10 minu
     dated = lines.select(ts.alias("ts"), F.nullif(F.regexp_extract("text", stats.CALL, 1), F.lit("")).alias("call_id")).where("ts is not null and call_id is not null")
     each = dated.withWatermark("ts", late).groupBy("call_id", F.session_window("ts", gap).alias("s"))
     return each.agg(F.count(F.lit(1)).alias("lines")).select("call_id", "s.start", "s.end", "lines")
+
+
+def entries_of(lines: DataFrame, app: Application) -> DataFrame:
+    """Entries of an application's lines (byte_lines()); a file's token follows from its path alone."""
+    token = F.format_string("<ARQUIVO_%d>", F.pmod(F.xxhash64("path"), F.lit(1 << 53)))
+    own = lines.withColumns({"file_token": token, "app": F.lit(app.app_id)})
+    marked = own.withColumn("start_kind", blocks.start_kind(F.col("app"), F.col("text"))) if app.has_blocks else own
+    return app.parse(blocks.blocks(marked) if app.has_blocks else marked)
+
+
+def store_entries(spark: SparkSession, directory: str, app: Application, out: str, checkpoint: str, per_trigger: int = 100) -> StreamingQuery:
+    """Follow a directory to which whole files are added: each file's entries go to `out` once, as one batch read of all
+    files would give them. A file is read when it appears, so blocks never span batches. What a batch writes is in a
+    folder of its own, which a restart that repeats the batch replaces."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        with scratch(batch.sparkSession):
+            entries_of(logs.byte_lines(batch), app).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    raw = logs.raw_lines(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory)
+    return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
