@@ -167,11 +167,7 @@ def multiline_blocks(spark, sf_dir):
 def physical_lines(spark, sf_dir):
     """Documents written as log files, a marked line before each, and read again by the byte-exact reader: byte ranges and
     digests of the lines of each document."""
-    folder = shared_dir(spark)
-    table(spark, sf_dir, "documents").select(F.concat(F.lit("\u0001"), F.col("doc_id").cast("string"), F.lit("\n"), "text")).write.text(folder)
-    lines = logs.physical_lines(spark, folder).withColumn("bucket", F.floor(F.col("line_no") / 100_000))
-    mark = F.when(F.startswith("text", F.lit("\u0001")), F.struct(F.substring("text", 2, 20).cast("long").alias("doc_id"), "line_no", "end_byte"))
-    own = last_so_far(lines, ["path"], ["bucket"], ["line_no"], mark, "of").where(~F.startswith("text", F.lit("\u0001")))
+    own = _lines_of_files(spark, sf_dir)
     place = lambda c: F.col(c) - F.col("of.end_byte")
     body = F.octet_length("terminator")
     return own.select(
@@ -180,6 +176,23 @@ def physical_lines(spark, sf_dir):
     )
 
 
+def _lines_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    table(spark, sf_dir, "documents").select(F.concat(F.lit("\u0001"), F.col("doc_id").cast("string"), F.lit("\n"), "text")).write.text(folder)
+    lines = logs.physical_lines(spark, folder).withColumn("bucket", F.floor(F.col("line_no") / 100_000))
+    mark = F.when(F.startswith("text", F.lit("\u0001")), F.struct(F.substring("text", 2, 20).cast("long").alias("doc_id"), "line_no", "end_byte"))
+    return last_so_far(lines, ["path"], ["bucket"], ["line_no"], mark, "of").where(~F.startswith("text", F.lit("\u0001")))
+
+
+@query(f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, sha256(text || chr(10)) AS digest, CAST(NULL AS VARCHAR) AS code FROM ({_LINES})")
+def reread_lines(spark, sf_dir):
+    """Every line of documents written as files, read a second time by its range of bytes and checked."""
+    lines = _lines_of_files(spark, sf_dir)
+    named = lines.withColumn("entry_id", F.concat_ws(":", "of.doc_id", F.col("line_no") - F.col("of.line_no")))
+    again, of = logs.reread(named), F.split("entry_id", ":")
+    return again.select(of[0].cast("long").alias("doc_id"), of[1].cast("long").alias("line_no"), F.sha2("text", 256).alias("digest"), "code")
+
+
 @query("""SELECT event_id, regexp_extract(props, '"([a-z]+)":', 1) AS key, regexp_extract(props, ':\\s*(\\d+)', 1) AS value FROM events""")
 def key_value_extract(spark, sf_dir):
     """Keys and values by pattern."""

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.functions.spans import field_spans
+from voxledger.functions.store import materialize, scratch
 from voxledger.functions.temporal import local_to_utc, utc_text
-from voxledger.operators import blocks, correlate, dossier, graph, headers, scanner, search, secure, stats, timeline
+from voxledger.operators import blocks, correlate, dossier, graph, headers, scanner, search, secure, stats, summaries, timeline
 from voxledger.plans import scenario
 from voxledger.plans.catalog import query, table
 
@@ -208,6 +209,21 @@ def call_conversation(spark, sf_dir):
     return dossier.conversation(dossier.events(dossier.lines_by_call(call_lines(spark, sf_dir)))).select("call_id", "line_no", "speaker", "text", "stage")
 
 
+@query(f"""SELECT {_CALL} AS call_id, avg(event_id % 500) FILTER (WHERE event_type = 'purchase') AS tts_mean, CAST(max(event_id % 500) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS tts_max FROM events GROUP BY user_id""")
+def call_latencies(spark, sf_dir):
+    """Mean and greatest speech latency of each call."""
+    d = dossier.dossiers(dossier.lines_by_call(call_lines(spark, sf_dir)))
+    return summaries.latency_card(d).select("call_id", "tts_mean", "tts_max")
+
+
+@query("""WITH v AS (SELECT *, coalesce(CAST(value AS VARCHAR), 'none') AS s FROM events)
+SELECT event_id AS line_no, 'INFO - ' || CASE event_type WHEN 'view' THEN 'BUFFER LIMPO x transcrição=' || chr(39) || s || ' please' || chr(39) WHEN 'click' THEN 'Resposta do assistente: Answer ' || s
+WHEN 'error' THEN 'ERROR - broken ' || s WHEN 'signup' THEN 'Parsed stage: ' || chr(39) || 'Flow-ADA-stage_x' || chr(39) ELSE 'First ElevenLabs chunk received - latency: ' || event_id % 500 || ' ms' END AS shown FROM v""")
+def shown_lines(spark, sf_dir):
+    """Every orchestrator line as it is shown: level and message, without prefix and bracket groups."""
+    return call_lines(spark, sf_dir).select("line_no", dossier.display_line(F.col("text")).alias("shown"))
+
+
 @query("""WITH t AS (SELECT *, event_id % 5 = 4 AS silent, event_id % 3 = 0 AS bye FROM events)
 SELECT CAST(user_id AS VARCHAR) AS call_id, CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (WHERE silent) AS BIGINT) AS no_inputs, bool_or(bye) AS ai_hangup,
 coalesce(string_agg('step_' || event_type, ',' ORDER BY event_id) FILTER (WHERE NOT silent), '') AS stages, 'Name ' || user_id AS customer_name, CAST(user_id * 10 AS VARCHAR) AS debt_total, CAST(0 AS BIGINT) AS n_errors FROM t GROUP BY user_id""")
@@ -301,12 +317,13 @@ SELECT 'VPL' AS app, event_id, 'EXPANSAO_POR_VINCULO' AS reason FROM p WHERE k <
 UNION ALL SELECT 'ORK', event_id, 'EVIDENCIA_DE_VINCULO' FROM p WHERE k <> 7 UNION ALL SELECT 'VPL', event_id, 'EVIDENCIA_DE_VINCULO' FROM p WHERE k = 1""")
 def link_expansion(spark, sf_dir):
     """From one leg along links to its call, its other legs and their channels: entries reached, and those that link."""
-    entries = _both(spark, sf_dir)
-    ids = search.exploded_identifiers(entries)
-    edges = graph.recognise(entries, SCHEMAS)
-    asked = ids.where("normalized = '10'").select(graph.node_of().alias("source")).distinct()
-    found = search.expand(ids, "10", graph.closure(edges, asked), edges)
-    return entries.join(found, "entry_id").select("app", ((F.col("line_start") - 1) / 2).cast("long").alias("event_id"), "reason")
+    with scratch(spark) as keep:
+        entries = materialize(_both(spark, sf_dir))
+        ids = search.exploded_identifiers(entries)
+        edges = materialize(graph.recognise(entries, SCHEMAS))
+        asked = ids.where("normalized = '10'").select(graph.node_of().alias("source")).distinct()
+        found = search.expand(ids, "10", graph.closure(edges, asked), edges)
+        return keep(entries.join(found, "entry_id").select("app", ((F.col("line_start") - 1) / 2).cast("long").alias("event_id"), "reason"))
 
 
 @query(f"WITH p AS ({_PICKED}) SELECT CASE relation WHEN 'LEG' THEN 'vinculo:leg:v2' ELSE 'vinculo:channel:v1' END AS rule, app, event_id FROM ({_LINKED})")

@@ -152,18 +152,25 @@ def changed_sources(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of files, sorted by file: a file is opened once."""
+    at, file = None, None
     for batch in batches:
         out = []
         for path, start, end, digest in zip(*(batch.column(c).to_pylist() for c in ("path", "start_byte", "end_byte", "sha256")), strict=True):
             try:
-                store, name = fs.FileSystem.from_uri(path)
-                with store.open_input_file(name) as f:
-                    data = f.read_at(end - start, start)
+                if path != at:
+                    at, file = path, None
+                    store, name = fs.FileSystem.from_uri(path)
+                    file = store.open_input_file(name)
+                data = file.read_at(end - start, start) if file else None
             except (OSError, ValueError):
+                data = None
+            if data is None:
                 out.append((None, "FILE_READ_ERROR"))
-                continue
-            same = len(data) == end - start and hashlib.sha256(data).hexdigest() == digest
-            out.append((data if same else None, None if same else "SOURCE_CHANGED"))
+            elif len(data) == end - start and hashlib.sha256(data).hexdigest() == digest:
+                out.append((data, None))
+            else:
+                out.append((None, "SOURCE_CHANGED"))
         yield pa.RecordBatch.from_arrays([batch.column("entry_id"), pa.array([d for d, _ in out], pa.binary()), pa.array([c for _, c in out], pa.string())], names=["entry_id", "data", "code"])
 
 
