@@ -57,3 +57,14 @@ def test_results_do_not_depend_on_partitions(spark, small):
             finally:
                 spark.conf.set("spark.sql.shuffle.partitions", old)
         assert seen[0] == seen[1]
+
+
+def test_pii_detect_equals_the_detectors_over_all_texts(spark, small):
+    from collections import Counter
+
+    from voxledger.operators import sanitize
+
+    want = Counter()
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        want.update((r["doc_id"], kind) for kind, *_ in sanitize.detect(r["text"] or "", join=True))
+    assert {(r["doc_id"], r["type"]): r["n"] for r in catalog.pii_detect(spark, small).collect()} == dict(want)

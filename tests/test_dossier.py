@@ -114,3 +114,19 @@ def test_channel_dossier_parts(spark):
     assert (got["other"]["hangup_reason"], got["third"]["hangup_reason"]) == ("NORMAL_CLEARING", "disposition_7")
     said = [(r["speaker"], r["text"]) for r in dossier.channel_conversation(table).orderBy("place").collect()]
     assert said == [("customer", "hi"), ("assistant", "hello"), ("assistant", "bye")]
+
+
+def test_course_of_a_channel_call(spark):
+    at = "2026-01-01 10:00:0{}.123 98.43% [{}] jsmain.cpp:1 "
+    speech = json.dumps({"asr_transcription": "yes", "ai_text_to_vocalize": "fine", "ai_milestone": "Flow-say_it", "ai_system": "s"})
+    turn = lambda **k: json.dumps({"asr_transcription": "yes", "ai_system": "s", "ai_milestone": "m-ask_it", "ai_hangup_call": False, **k})
+    texts = [
+        at.format(1, "ALERT") + "detected-speech parsedBody: " + speech, at.format(2, "ALERT") + "targetContact.ada [AFTER]: " + turn(), at.format(3, "ALERT") + "targetContact.ada [AFTER]: " + turn(ai_milestone="no_input_timeout_1", ai_hangup_call=True),
+        at.format(4, "ALERT") + "[ChamadaFinalizada]", "11111111-2222-4333-8444-555555555555 " + at.format(5, "ERR") + "CALLID: 0a1b it  broke [ERR]", "no time detected-speech parsedBody: " + speech, at.format(6, "INFO") + "detected-speech parsedBody: {broken}", "[ERR] no time", at.format(7, "INFO") + "nothing",
+    ]
+    table = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)], "call_id string, line_no long, text string")
+    got = [(r["line_no"], r["event_type"], r["content"]) for r in dossier.channel_events(table).orderBy("line_no", "place").collect()]
+    assert got == [
+        (0, "ASR_TRANSCRIPTION", "yes"), (0, "BOT_RESPONSE", "fine"), (0, "STAGE_TRANSITION", "→ say_it"), (1, "STAGE_TRANSITION", "→ ask_it"), (2, "VOICE_DETECTION", dossier.SILENT), (2, "FINALIZE_DECISION", dossier.HANGING_UP),
+        (3, "FINALIZE_DECISION", dossier.ENDED), (4, "ERROR", "ERR - it  broke [ERR]"),
+    ]

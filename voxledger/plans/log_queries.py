@@ -209,6 +209,20 @@ def call_conversation(spark, sf_dir):
     return dossier.conversation(dossier.events(dossier.lines_by_call(call_lines(spark, sf_dir)))).select("call_id", "line_no", "speaker", "text", "stage")
 
 
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS call_id, event_id AS line_no, event_type, coalesce(CAST(value AS VARCHAR), 'none') AS said FROM events)
+SELECT call_id, line_no, 'ASR_TRANSCRIPTION' AS event_type, said AS content FROM s WHERE event_type <> 'error' UNION ALL SELECT call_id, line_no, 'BOT_RESPONSE', 'to ' || said FROM s WHERE event_type <> 'error'
+UNION ALL SELECT call_id, line_no, 'STAGE_TRANSITION', '→ step_' || event_type FROM s WHERE event_type <> 'error' UNION ALL SELECT call_id, line_no, 'ERROR', 'ERR - lost ' || said FROM s WHERE event_type = 'error'""")
+def channel_course(spark, sf_dir):
+    """What was said, stages and errors of all channel calls, from detected-speech bodies and error lines."""
+    e = table(spark, sf_dir, "events")
+    said = F.coalesce(F.col("value").cast("string"), F.lit("none"))
+    body = F.to_json(F.struct(said.alias("asr_transcription"), _text("to ", said).alias("ai_text_to_vocalize"), _text("Flow-step_", F.col("event_type")).alias("ai_milestone")))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS")
+    line = F.when(F.col("event_type") == "error", _text(stamp, " 1.5% [ERR] mod.c:7 lost ", said)).otherwise(_text(stamp, " 1.5% [ALERT] jsmain.cpp:1 detected-speech parsedBody: ", body))
+    found = dossier.channel_events(e.select(F.col("user_id").cast("string").alias("call_id"), F.col("event_id").alias("line_no"), line.alias("text")))
+    return found.select("call_id", "line_no", "event_type", "content")
+
+
 @query(f"""SELECT {_CALL} AS call_id, avg(event_id % 500) FILTER (WHERE event_type = 'purchase') AS tts_mean, CAST(max(event_id % 500) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS tts_max FROM events GROUP BY user_id""")
 def call_latencies(spark, sf_dir):
     """Mean and greatest speech latency of each call."""
