@@ -154,3 +154,18 @@ def test_sql_form_on_quotes(spark, tmp_path):
     df = t.op7_quotation_threads(spark, str(tmp_path))
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in df.collect())
+
+
+def test_equal_messages_and_messages_without_a_role(spark):
+    """A third of all messages are equal: they are numbered one by one, and no task places them all."""
+    rows = [(1, 4, "user", "the same words again and again", "x", "y")] * 600 + [(1, i, None, f"message number {i} with words", "x", "y") for i in range(5, 1205)] + [(None, None, None, None, None, None)] * 3
+    rows += [(1, 2000, None, "> the same words again and again\nyes", "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    got = t.threads(df).collect()
+    assert len(got) == len(rows)
+    assert sorted(r["position"] for r in got if r["row"]["conv_id"] == 1) == list(range(1, 1802))
+    assert sorted(r["position"] for r in got if r["row"]["conv_id"] is None) == [1, 2, 3]
+    same = sorted(r["position"] for r in got if r["row"]["turn"] == 4)
+    assert same == list(range(same[0], same[0] + 600))
+    reply = next(r for r in got if r["row"]["turn"] == 2000)
+    assert (reply["reply_to"], reply["clean"]) == (4, "yes")

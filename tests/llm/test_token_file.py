@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voxledger.llm import token_file as t
@@ -57,3 +58,20 @@ def test_query_against_whole_text_encoding(spark, small, plain):
         want.append((d, at, len(docs[d]), zlib.crc32(np.array(docs[d], "<u4").tobytes())))
         at += len(docs[d])
     assert sorted(map(tuple, t.op8_token_ids(spark, small).collect())) == want
+
+
+def test_many_equal_rows_clashing_names_and_a_very_long_text(spark, plain):
+    """A third of all rows are equal, and are dealt over several files; one text is longer than what is cut or held at once."""
+    long = "lower Case, words " * 300_000
+    assert len(long) > max(t.PART_BYTES, 4 << 20)
+    rows = [(9, "same text", 1, "x", 2)] * 900 + [(i, f"text {i}", 1, "x", 2) for i in range(1000, 2800)] + [(5, long, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h int, ids string, n int").repartition(8)
+    got = t.token_table(docs).collect()
+    known: dict = {}
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted((d, *known.setdefault(x, (len(plain(x)), zlib.crc32(np.array(plain(x), "<u4").tobytes())))) for d, x, *_ in rows)
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    table = t.encoded(docs, t.tokenizer_path()).withColumn("n", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("n").asc()]
+    dealt = table.where("doc_id = 9").repartitionByRange(4, *order).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in dealt) < 600

@@ -41,8 +41,8 @@ LEAST_COSINE = 0.98
 PROBES = 3
 #: Share of the pairs at the least cosine that all tables together may miss.
 MISS = 1e-5
-#: Vectors that a bucket of evenly spread ones should hold.
-FILL = 64
+#: Most vectors that a bucket of evenly spread ones should hold.
+FILL = 1024
 #: Most rows that a task compares at once.
 BUCKET_ROWS = 2048
 SEED = 11
