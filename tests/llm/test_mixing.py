@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,26 @@ def test_equal_rows_are_parted_and_each_counted_once(spark):
     assert most <= 2000
     taken = got.groupBy("row.source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 60 for r in taken)
+
+
+def test_offsets_leave_the_least_error(spark):
+    """Against a plain loop over all offsets, with equal rows counted together."""
+    counts = [("a", 0.25, 0.4, 260.0, [(3, 10), (1, 200), (7, 11), (2, 60)]), ("b", 0.875, 2.5, 90.0, [(1, 5), (4, 9), (1, 1)]), ("c", 0.0, 0.0, 0.0, [(2, 0)])]
+    rows, want = [], {}
+    for group, first, each, target, runs in counts:
+        before, sizes = 0, []
+        for n, size in runs:
+            rows.append((group, first, each, target, before, n, n * size))
+            before, sizes = before + n, sizes + [size] * n
+        tried = []
+        for i in range(mixing.OFFSETS):
+            u = (first + i / mixing.OFFSETS) % 1
+            tried.append((abs(sum((math.floor((k + 1) * each + u) - math.floor(k * each + u)) * s for k, s in enumerate(sizes)) - target), i, u))
+        want[group] = min(tried)[2]
+    table = spark.createDataFrame(rows, "__group string, __first double, __each double, __target double, __before long, __n long, __size long")
+    assert {r["__group"]: r["__offset"] for r in mixing._offsets(table).collect()} == want
+
+
+def test_sources_of_few_documents_come_near_their_targets(spark, medium):
+    got = mixing.op5_mix_sources(spark, medium).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(0.89 <= r["taken"] / r["target"] <= 1.03 for r in got)

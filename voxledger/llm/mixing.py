@@ -3,12 +3,15 @@
 A document's size is its number of words. Sources take weights WEIGHTS in turn, by code point with null
 last, and share the total of all sizes; a target stops at CAP times its source's size and the excess is
 shared again by weight. Each document's expected copies are target / source size. Within a source,
-documents stand in a fixed order, the prefix sums of expected copies get one pseudo-random offset, and a
-document is emitted once for each integer that its interval crosses, so a source's taken words stay near
-its target and no document is emitted more than CAP times. The order is by size class, then by a hash of
-doc_id and text: neighbours have like sizes, which keeps the taken words near the target even if few
-documents hold most words. Offset and order depend on `seed`, source, doc_id and text alone, so reruns agree
-however the rows are dealt; rows equal in these are copies of each other, and any of them may be taken.
+documents stand in a fixed order, the prefix sums of expected copies get one offset, and a document is emitted
+once for each integer that its interval crosses, so a source's taken words stay near its target and no document
+is emitted more than CAP times. The order is by size class, then by a hash of doc_id and text: neighbours have
+like sizes, which keeps the taken words near the target even if few documents hold most words. Of OFFSETS evenly
+spaced offsets, the first of them pseudo-random, a source gets the one whose taken words come nearest its target
+(of equals the first). What is still lacking is a few times the largest document at most: where one document outweighs
+a source's target, as in very small tables, no offset hits it. Offset and order depend on `seed` and the source's own rows and
+target alone, so reruns agree however the rows are dealt; rows equal in doc_id and text are copies of each other,
+and any of them may be taken.
 
 Prefix sums are counts: equal rows are counted by the part of the table that they are in, these counts are summed up
 within (source, class, hash slot) and shifted by the sizes of the slots before, so neither a source nor a group of equal
@@ -36,6 +39,8 @@ from .common import materialize, packed, ranks, read_table, scratch, word_count
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+#: How many offsets are tried for a source: a power of two, so that all are exact.
+OFFSETS = 64
 #: About how many rows of one source and size class are ordered in one task.
 SLOT_ROWS = 100_000
 
@@ -80,6 +85,17 @@ def _dealt(rows: DataFrame, slots: int) -> DataFrame:
     return rows.withColumns({"__group": group, "__class": _class(F.col("__size")), "__slot": slot})
 
 
+def _offsets(starts: DataFrame) -> DataFrame:
+    """__group and __offset: the one of OFFSETS whose taken words come nearest the target. Equal rows (__n of them after
+    __before others, __size words together) are taken as often as integers lie in their common interval."""
+    reached = lambda k: F.floor(k * F.col("__each") + F.col("__u"))
+    times = reached(F.col("__before") + F.col("__n")) - reached(F.col("__before"))
+    tried = starts.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1)))).withColumn("__u", (F.col("__first") + F.col("__i") / OFFSETS) % 1)
+    # summed up where the rows are: a row for each source and offset is shuffled
+    sums = tried.groupBy("__group", "__target", "__i", "__u").agg(F.sum(times * (F.col("__size") / F.col("__n")).cast("long")).cast("double").alias("__taken"))
+    return sums.groupBy("__group").agg(F.min_by("__u", F.struct(F.abs(F.col("__taken") - F.col("__target")), "__i")).alias("__offset"))
+
+
 def _numbered(rows: DataFrame, seed: str, slots: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Stored rows of sized() with __source_size, __target and __copies. They are read twice: once for the sizes of
     buckets, once to be numbered, which is the one shuffle of what they hold. keep() stores what the result rests on."""
@@ -91,16 +107,17 @@ def _numbered(rows: DataFrame, seed: str, slots: int, keep: Callable[[DataFrame]
     counts = materialize(counts)
     plan = targets(counts.select("__source", "__size"))
     plan = plan.withColumn("__group", F.coalesce(F.concat(F.lit("="), "__source"), F.lit("null")))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("__source"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
-    plan = plan.select("__group", "__source_size", "__target", offset.alias("__offset"))
+    first = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("__source"), F.lit("")))), 1, 4), 16, 10).cast("double") / 65536
+    each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    plan = materialize(plan.select("__group", "__source_size", "__target", first.alias("__first"), each.alias("__each")))
     upto = running_sum(counts, ["__group"], ["__class", "__slot"], [F.col("__digest"), F.col("__part")], "__n", "__upto")
-    starts = upto.select(*equal, (F.col("__upto") - F.col("__n")).alias("__before")).join(plan, "__group")
+    starts = materialize(upto.select(*equal, "__n", "__size", (F.col("__upto") - F.col("__n")).alias("__before")).join(plan, "__group"))
+    starts = starts.drop("__n", "__size", "__first").join(materialize(_offsets(starts)), "__group")
     row = F.row_number().over(W.partitionBy(*equal).orderBy(F.lit(1)))
-    each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    copies = lambda k: F.floor(k * each + F.col("__offset"))
+    copies = lambda k: F.floor(k * F.col("__each") + F.col("__offset"))
     k = F.col("__row") + F.col("__before")
     placed = dealt.drop("__class", "__slot").join(keep(starts), equal).withColumn("__row", row)
-    return placed.withColumn("__copies", (copies(k) - copies(k - 1)).cast("long")).drop(*equal, "__row", "__before", "__offset", "__source")
+    return placed.withColumn("__copies", (copies(k) - copies(k - 1)).cast("long")).drop(*equal, "__row", "__before", "__each", "__offset", "__source")
 
 
 def _slots(docs: DataFrame) -> int:
@@ -151,6 +168,10 @@ k AS (
          row_number() OVER (PARTITION BY s.source ORDER BY
            length(bin(size)) * 8 + ((size * 8) // CAST(pow(2, length(bin(size)) - 1) AS BIGINT)) % 8,
            digest) AS i
-  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(floor(i * e + u) - floor((i - 1) * e + u) AS BIGINT) * size AS taken FROM k
+  FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+tried AS (SELECT source, j, (u + j / 64.0::DOUBLE) % 1 AS v, abs(CAST(sum(CAST(floor(i * e + (u + j / 64.0::DOUBLE) % 1) - floor((i - 1) * e + (u + j / 64.0::DOUBLE) % 1) AS BIGINT) * size) AS DOUBLE) - target) AS error
+  FROM k, range(64) AS r(j) GROUP BY source, j, u, target),
+best AS (SELECT source, arg_min(v, (error, j)) AS v FROM tried GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(floor(i * e + v) - floor((i - 1) * e + v) AS BIGINT) * size AS taken
+FROM k JOIN best ON k.source IS NOT DISTINCT FROM best.source
 """
