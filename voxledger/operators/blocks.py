@@ -17,6 +17,11 @@ def start_kind(app: Column, text: Column) -> Column:
     return F.when(text.isNull(), CONTINUATION).when(valid_header(app, text), VALID).when(apparent_header(app, text), APPARENT).otherwise(CONTINUATION)
 
 
+def entry_id(file_token: Column, read_order: Column) -> Column:
+    """The name of a file's entry."""
+    return F.concat(F.lit("ARQUIVO_"), F.regexp_extract(file_token, r"(\d+)", 1), F.lit("_ENTRADA_"), read_order.cast("string"))
+
+
 def blocks(lines: DataFrame, bucket_lines: int = 100_000) -> DataFrame:
     """Blocks of lines (file_token, app, line_no, start_byte, end_byte, text, terminator, start_kind).
 
@@ -36,6 +41,4 @@ def blocks(lines: DataFrame, bucket_lines: int = 100_000) -> DataFrame:
         F.min_by("start_kind", "line_no").alias("start_kind"), F.bool_and(F.col("text").isNotNull()).alias("decodable"), F.sort_array(F.collect_list(line)).alias("lines"),
     )
     text = F.concat_ws("", F.flatten(F.transform("lines", lambda x: F.array(x["text"], x["terminator"]))))
-    number = F.regexp_extract("file_token", r"(\d+)", 1)
-    entry_id = F.concat(F.lit("ARQUIVO_"), number, F.lit("_ENTRADA_"), F.col("read_order").cast("string"))
-    return each.select("file_token", "app", entry_id.alias("entry_id"), "read_order", "line_start", "line_end", "start_byte", "end_byte", "start_kind", F.when(F.col("decodable"), text).alias("text"))
+    return each.select("file_token", "app", entry_id(F.col("file_token"), F.col("read_order")).alias("entry_id"), "read_order", "line_start", "line_end", "start_byte", "end_byte", "start_kind", F.when(F.col("decodable"), text).alias("text"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxledger.functions.store import scratch
+from voxledger.functions.store import materialize, remove, scratch
 from voxledger.operators import blocks, stats
 from voxledger.plans.registry import Application
 from voxledger.sources import logs
@@ -35,11 +36,16 @@ def call_sessions(lines: DataFrame, gap: str = "2 minutes", late: str = "10 minu
     return each.agg(F.count(F.lit(1)).alias("lines")).select("call_id", "s.start", "s.end", "lines")
 
 
-def entries_of(lines: DataFrame, app: Application) -> DataFrame:
-    """Entries of an application's lines (byte_lines()); a file's token follows from its path alone."""
-    token = F.format_string("<ARQUIVO_%d>", F.pmod(F.xxhash64("path"), F.lit(1 << 53)))
+def _tokened(lines: DataFrame, app: Application, path: str) -> DataFrame:
+    """Lines with application and token, which follows from the path alone, and what kind of line they are."""
+    token = F.format_string("<ARQUIVO_%d>", F.pmod(F.xxhash64(path), F.lit(1 << 53)))
     own = lines.withColumns({"file_token": token, "app": F.lit(app.app_id)})
-    marked = own.withColumn("start_kind", blocks.start_kind(F.col("app"), F.col("text"))) if app.has_blocks else own
+    return own.withColumn("start_kind", blocks.start_kind(F.col("app"), F.col("text"))) if app.has_blocks else own
+
+
+def entries_of(lines: DataFrame, app: Application) -> DataFrame:
+    """Entries of an application's lines (byte_lines())."""
+    marked = _tokened(lines, app, "path")
     return app.parse(blocks.blocks(marked) if app.has_blocks else marked)
 
 
@@ -54,3 +60,95 @@ def store_entries(spark: SparkSession, directory: str, app: Application, out: st
 
     raw = logs.raw_lines(spark.readStream.option("maxFilesPerTrigger", per_trigger), directory)
     return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: The path of a part of a growing file: the file, and the part's number from 0 on.
+PART = r"^(.+)\.(\d+)$"
+#: What one batch leaves to the next: how far each file has been read, and the lines that are needed once more.
+FILES = "file string, next_part long, lines long, bytes long, closed long"
+LINES = "file string, part long, line_no long, start_byte long, end_byte long, text string, terminator string"
+
+
+def _in_turn(new: DataFrame, files: DataFrame) -> DataFrame:
+    """file, part, ready, what lies before each part, and what it holds: a part is ready once all before it are there."""
+    held = new.groupBy("file", "part").agg(F.max("line_no").alias("own_lines"), F.max("end_byte").alias("own_bytes"))
+    order = W.partitionBy("file").orderBy("part")  # a row for each part
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    turn = zero(F.col("next_part")) + F.row_number().over(order) - 1
+    return held.join(files, "file", "left").select(
+        "file", "part", (F.col("part") == turn).alias("ready"), "own_lines", "own_bytes",
+        (zero(F.col("lines")) + zero(F.sum("own_lines").over(before))).alias("lines_before"), (zero(F.col("bytes")) + zero(F.sum("own_bytes").over(before))).alias("bytes_before"),
+    )
+
+
+def _grown(files: DataFrame, kept: DataFrame, arrived: DataFrame, app: Application) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, files, lines): the entries of files that have grown, and what the next batch needs to know.
+
+    Kept lines without a part are those of a file's open block, with their final numbers; others are of parts that wait.
+    """
+    done = files.select("file", "next_part")
+    waiting = kept.where("part is not null").unionByName(arrived)
+    new = materialize(waiting.join(done, "file", "left").where("next_part is null or part >= next_part").drop("next_part"))
+    parts = materialize(_in_turn(new, files))
+    ready = parts.where("ready")
+    grown = ready.groupBy("file").agg((F.max("part") + 1).alias("to_part"), F.max(F.col("lines_before") + F.col("own_lines")).alias("to_lines"), F.max(F.col("bytes_before") + F.col("own_bytes")).alias("to_bytes"))
+    grown = materialize(grown.join(files.select("file", F.col("closed").alias("closed_before")), "file", "left").withColumn("closed_before", F.coalesce("closed_before", F.lit(0))))
+    moved = {"line_no": F.col("line_no") + F.col("lines_before"), "start_byte": F.col("start_byte") + F.col("bytes_before"), "end_byte": F.col("end_byte") + F.col("bytes_before"), "part": F.lit(None).cast("long")}
+    placed = new.join(ready, ["file", "part"]).withColumns(moved).select(*new.columns)
+    open_lines = kept.where("part is null")
+    marked = _tokened(placed.unionByName(open_lines.join(grown, "file", "left_semi")), app, "file")
+    names = marked.select("file", "file_token").distinct().join(grown, "file")
+    still = open_lines.join(grown, "file", "left_anti").unionByName(new.join(parts.where("not ready"), ["file", "part"], "left_semi"))
+    if app.has_blocks:
+        marked = materialize(marked)
+        names = materialize(names)
+        each = blocks.blocks(marked).join(names.select("file_token", "closed_before"), "file_token").withColumn("read_order", F.col("read_order") + F.col("closed_before"))
+        each = materialize(each.withColumn("entry_id", blocks.entry_id(F.col("file_token"), F.col("read_order"))).drop("closed_before"))
+        last = each.groupBy("file_token").agg(F.max_by(F.struct("read_order", "line_start", (F.col("start_kind") != blocks.CONTINUATION).alias("open")), "read_order").alias("last"))
+        ends = materialize(names.join(last, "file_token").select("file", "to_part", "to_lines", "to_bytes", F.col("last.read_order") + F.when(F.col("last.open"), 0).otherwise(1), F.when(F.col("last.open"), F.col("last.line_start"))).toDF("file", "to_part", "to_lines", "to_bytes", "to_closed", "open_from"))
+        still = still.unionByName(marked.join(ends, "file").where("line_no >= open_from").select(*new.columns))
+        entries = app.parse(each)
+    else:
+        ends = grown.select("file", "to_part", "to_lines", "to_bytes", F.col("to_lines").alias("to_closed"))
+        entries = app.parse(marked.drop("file", "part"))
+    now = files.join(ends, "file", "full").select("file", *[F.coalesce(f"to_{new}", old).alias(old) for new, old in (("part", "next_part"), ("lines", "lines"), ("bytes", "bytes"), ("closed", "closed"))])
+    return entries, now, still
+
+
+def store_growing(spark: SparkSession, directory: str, app: Application, out: str, checkpoint: str, per_trigger: int = 100, part: str = PART) -> StreamingQuery:
+    """Follow a directory to which files are added in numbered parts: entries come out as one read of the whole files
+    would give them, blocks that span parts, line numbers and bytes included (see entries_so_far()).
+
+    `part` matches the path of a part and tells file and number. Parts may come in any order; one waits until all before it
+    are there, and one that was taken before is left out. They hold whole lines and aren't empty. A batch writes the
+    entries of what it could place, a file's open block too, and what the next one needs: how far each file is, the lines of
+    its open block, and waiting parts. Both are in folders of the batch, which a restart that repeats it replaces, and what is
+    kept grows with open blocks and waiting parts, not with the files. An open block is written again when it has grown.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        state = lambda n, name: f"{out}/state/batch={n}/{name}"
+        if number:
+            files, kept = session.read.schema(FILES).parquet(state(number - 1, "files")), session.read.schema(LINES).parquet(state(number - 1, "lines"))
+        else:
+            files, kept = session.createDataFrame([], FILES), session.createDataFrame([], LINES)
+        with scratch(session):
+            of = {"file": F.regexp_extract("path", part, 1), "part": F.regexp_extract("path", part, 2).try_cast("long")}
+            arrived = logs.byte_lines(batch).withColumns(of).where("part is not null").select(*kept.columns)
+            entries, files, kept = _grown(files, kept, arrived, app)
+            for df, path in ((entries, f"{out}/entries/batch={number}"), (files, state(number, "files")), (kept, state(number, "lines"))):
+                df.write.mode("overwrite").parquet(path)
+        remove(session, f"{out}/state/batch={number - 2}")  # repeating this batch takes the one before
+
+    raw = logs.raw_lines(spark.readStream.option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true"), directory)
+    return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def entries_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """The entries that store_growing() has written for block applications: of an entry that was open in several batches, the
+    last and longest form."""
+    rows = spark.read.parquet(f"{out}/entries")
+    latest = rows.groupBy("file_token", "read_order").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("file_token", "read_order", "batch")]), "line_end").alias("e"))
+    return latest.select("file_token", "read_order", "e.*")
