@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.functions.spans import field_spans
-from voxledger.functions.store import materialize, scratch
+from voxledger.functions.store import materialize, remove, scratch, shared_dir
 from voxledger.functions.temporal import local_to_utc, utc_text
 from voxledger.operators import blocks, correlate, dossier, graph, headers, scanner, search, secure, stats, summaries, timeline
 from voxledger.plans import scenario
 from voxledger.plans.catalog import query, table
+from voxledger.plans.registry import default_registry
+from voxledger.streaming import tail
 
 ZONE = "America/Sao_Paulo"
 #: The level that each kind of event is logged with.
@@ -162,6 +164,60 @@ def local_time_to_utc(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(t["utc"], "yyyy-MM-dd HH:mm:ss").alias("utc"), t["failure"].alias("failure"))
 
 
+#: Lines of a part of a growing file: an even number, so that parts begin with an entry's second line.
+PART_LINES = 10_000
+
+
+@query(f"""WITH w AS (SELECT *, event_id % 10 AS k, {_case(ORK_LEVELS)} AS lv, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS nth,
+'TelecomCallId=call-' || user_id || ' CallId="' || event_id || '" done' || chr(10) || 'more of ' || event_id AS msg FROM events)
+SELECT CAST(nth AS BIGINT) AS read_order, CAST(2 * nth + 1 AS BIGINT) AS line_start, CAST(2 * nth + 2 AS BIGINT) AS line_end, CASE k WHEN 3 THEN 'ork-legado' WHEN 7 THEN NULL ELSE 'ork-real' END AS format,
+CASE WHEN k <> 7 THEN upper(lv) END AS level, CASE WHEN k = 3 THEN sha256(msg) WHEN k <> 7 THEN sha256(msg || chr(10)) END AS message_sha256 FROM w""")
+def growing_entries(spark, sf_dir):
+    """Orchestrator lines as four files that grow by parts while a stream follows them, stopped and started again halfway:
+    the entries of the whole files, those that lie in two parts included."""
+    lines = ork_lines(spark, sf_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = lines.select("text", (F.regexp_extract("file_token", r"(\d+)", 1).cast("long") % 4).alias("file"), F.floor(F.col("line_no") / PART_LINES).alias("part"), "line_no")
+    half = lines.agg(F.floor(F.max("line_no") / PART_LINES / 2)).first()[0]
+    with scratch(spark) as keep:
+        folder = shared_dir(spark)
+        for some in (F.col("part") <= half, F.col("part") > half):
+            dealt = parts.where(some).repartition(n, "file", "part").sortWithinPartitions("file", "part", "line_no")
+            dealt.drop("line_no").write.partitionBy("file", "part").mode("append").text(f"{folder}/parts")
+            tail.store_growing(spark, f"{folder}/parts", default_registry().get("ORK"), f"{folder}/out", f"{folder}/state", part=r"^(.+)/part=(\d+)/[^/]+$").awaitTermination()
+        found = tail.entries_so_far(spark, f"{folder}/out").select("read_order", "line_start", "line_end", "format", "level", F.sha2("message", 256).alias("message_sha256"))
+        out = keep(found)
+        remove(spark, folder)
+        return out
+
+
+@query("""WITH e AS (SELECT *, user_id % 5 = 0 AS odd FROM events WHERE event_id % 10 <> 7), n AS (SELECT user_id, count(DISTINCT CASE WHEN odd THEN event_id ELSE user_id END) > 1 AS bad FROM e GROUP BY user_id)
+SELECT 'call-' || user_id AS src, CASE WHEN odd THEN CAST(event_id AS VARCHAR) ELSE 'one-' || user_id END AS dst, bad AS ambiguous, CAST(count(*) AS BIGINT) AS entries FROM e JOIN n USING (user_id) GROUP BY ALL""")
+def ambiguous_links(spark, sf_dir):
+    """Links of calls to legs where each call may have one leg: a call with several makes all its links ambiguous."""
+    e = table(spark, sf_dir, "events").where("event_id % 10 <> 7")
+    src, dst = _text("call-", F.col("user_id").cast("string")), F.when(F.col("user_id") % 5 == 0, F.col("event_id").cast("string")).otherwise(_text("one-", F.col("user_id").cast("string")))
+    told = {"schema_id": F.lit("leg"), "schema_version": F.lit(1), "cardinality": F.lit("1:1")}
+    edges = e.select(src.alias("src"), dst.alias("dst"), F.col("event_id").cast("string").alias("entry_id")).withColumns(told)
+    return graph.with_ambiguity(edges).groupBy("src", "dst", "ambiguous").agg(F.count(F.lit(1)).alias("entries"))
+
+
+#: Made-up key of the digest query, and its two HMAC pads as DuckDB writes bytes.
+_KEY = b"voxledger-example-key"
+
+
+def _blob(byte: int) -> str:
+    return "'" + "".join(f"\\x{(b ^ byte):02X}" for b in _KEY.ljust(64, b"\0")) + "'::BLOB"
+
+
+@query(f"""WITH u AS (SELECT DISTINCT user_id FROM events WHERE event_id % 10 <> 7), m AS (SELECT 'call-' || user_id AS v FROM u UNION SELECT CAST(event_id AS VARCHAR) FROM events WHERE event_id % 10 <> 7)
+SELECT v AS normalized, sha256({_blob(0x5C)} || unhex(sha256({_blob(0x36)} || '\x00\x0F'::BLOB || encode('chamada_externa') || encode(v)))) AS digest FROM m""")
+def identifier_digests(spark, sf_dir):
+    """Keyed digests (HMAC-SHA-256) of all external call identifiers: what an index holds in place of them."""
+    ids = search.exploded_identifiers(_entries(ork_lines(spark, sf_dir)))
+    return ids.select("normalized", search.keyed_digest(F.col("namespace"), F.col("normalized"), _KEY).alias("digest")).distinct()
+
+
 # ---------------------------------------------------------------- dossiers
 
 #: What each kind of event says in the orchestrator's log.
