@@ -139,3 +139,13 @@ def test_a_part_of_the_trusted_documents_is_never_trained_on(spark):
         labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
         assert 0 < k.train(table, labels)[2].count() < n
         assert all(math.isfinite(r.threshold) for r in k.score(table, labels).collect())
+
+
+def test_all_trusted_documents_but_the_held_out_are_trained_on(spark):
+    """More than 2,000 of them, with words that none but the last ones have."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} only{i} w{i % 5}", "en") for i in range(2600)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2600)], "doc_id long, quality int")
+    table, _, chosen = k.train(docs, labels)
+    held = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 1").count()
+    assert chosen.count() == 2600 - held > 2000
+    assert table.where("order = 1").count() == chosen.count() + 7 + 1 + 1  # own words, shared ones, the end and the beginning

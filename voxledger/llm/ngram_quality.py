@@ -5,11 +5,10 @@ counts and counts of counts are Spark aggregations; discounts D1, D2, D3+ follow
 of each order. p(w | u v) = a3(u v w) + g3(u v) * (a2(v w) + g2(v) * (a1(w) + g1 / (V + 1))).
 
 One in HELD_OUT trusted documents, by the same hash of doc_id as in lm_scoring, is never trained on, and of two
-or more at least one isn't. The fit uses at most `train_docs` of the others (least hashes of doc_id), a documented bound that also
-bounds the model. Its n-gram table is cut into SHARDS by key, and the counts are joined to the documents'
-n-grams shard by shard: map-side against the broadcast shards while the table has at most
-`broadcast_rows` n-grams, else by a shuffle join on (shard, key) after each block of documents has reduced
-its n-grams to distinct ones. All documents are scored over their whole texts.
+or more at least one isn't. All others are trained on (`train_docs` may set a bound for trials). The n-gram table is cut
+into SHARDS by key, and the counts are joined to the documents' n-grams shard by shard: map-side against the broadcast
+shards while the table has at most `broadcast_rows` n-grams, else by a shuffle join on (shard, key) after each block of
+documents has reduced its n-grams to distinct ones. All documents are scored over their whole texts.
 
 Verdict: a document is kept while its mean surprisal, drawn towards its language's mean by PRIOR_WORDS
 words, is within its language's limit: the language's mean plus the QUANTILE of the distances from it of the trusted
@@ -38,7 +37,6 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from .common import materialize, read_table, scratch, words_in_chunks
 
-TRAIN_DOCS = 2000
 SHARDS = 16
 BROADCAST_ROWS = 4_000_000
 QUANTILE = 0.995
@@ -117,12 +115,13 @@ def _discounted(counts: DataFrame, history: list[str]) -> tuple[DataFrame, DataF
     return each, sums, row["total"] or 0, row["types"], d
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[DataFrame, float, DataFrame]:
+def train(docs: DataFrame, labels: DataFrame, train_docs: int | None = None) -> tuple[DataFrame, float, DataFrame]:
     """The n-gram table (order, u, v, w, a, g), the chance of an unknown word, and the ids trained on."""
-    trusted = trusted_ids(labels)
-    most = min(train_docs, max(1, trusted.count() - 1))
+    trusted = materialize(trusted_ids(labels))
     rest = trusted.where(F.crc32(F.col("__id").cast("string").cast("binary")) % HELD_OUT != 1)
-    chosen = materialize(rest.orderBy(F.xxhash64("__id"), "__id").limit(most))
+    known = rest.count()
+    most = min(known if train_docs is None else train_docs, max(1, trusted.count() - 1))
+    chosen = materialize(rest if most >= known else rest.orderBy(F.xxhash64("__id"), "__id").limit(most))
     own = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"), "left_semi")
     three = materialize(own.select("text").mapInArrow(_trigrams, "u long, v long, w long, n long").groupBy("u", "v", "w").agg(F.sum("n").alias("c")))
     two = materialize(three.groupBy("v", "w").agg(F.when(F.col("v") == BEGIN, F.sum("c")).otherwise(F.count(F.lit(1))).alias("c")))
@@ -265,7 +264,7 @@ def score_by_join(rows: DataFrame, table: DataFrame, unknown: float) -> DataFram
     return all_.groupBy("__row").agg(F.sum(-F.log(p) * F.col("n")).alias("nats"), F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold (on the drawn mean surprisal), adjusted and kept."""
     with scratch(docs.sparkSession) as keep:
         table, unknown, chosen = train(docs, labels, train_docs)
