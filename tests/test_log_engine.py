@@ -484,3 +484,26 @@ def test_entries_of_a_growing_folder_equal_a_batch_read(spark, tmp_path):
     got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(columns).collect()))
     want = sorted(map(str, tail.entries_of(logs.physical_lines(spark, str(place)), app).select(columns).collect()))
     assert got == want and len(got) == 5
+
+
+def test_start_kinds_as_a_column_and_staged_are_equal(spark):
+    """Headers of all grammars, broken ones, and texts that hold what parts the groups of a match."""
+    texts = [
+        "2024-01-02 10:00:00.123456 1.5% [INFO] mod.c:7 said", "2024-01-02 10:00:00.123 [INFO] mod.c:7 said", "2024-13-02 10:00:00.123 [INFO] mod.c:7 said", "2024-01-02 broken", "2024-01-02x", "more", "", None,
+        "2024-01-02T10:00:00Z h p[1]: INFO - log.x - m\nn", "2024-01-02T10:00:00Z h p[1]: INFO -  log.x - m", "2024-01-02T10:00:00+00:00 | info | m", "  2024-01-02 10:00:00 | info | m | n ", "no | info | time", "\u0000\n", "\n2024-01-02 10:00:00 | info | m",
+    ]
+    rows = spark.createDataFrame([(i, app, t) for i, t in enumerate(texts) for app in ("VPL", "ORK", "VOCI")], "i int, app string, text string")
+    staged = {(r.i, r.app): r.start_kind for r in blocks.with_start_kind(rows).collect()}
+    assert staged == {(r.i, r.app): r.k for r in rows.select("i", "app", blocks.start_kind(F.col("app"), F.col("text")).alias("k")).collect()}
+    kinds = {"v": "CABECALHO_VALIDO", "a": "CABECALHO_APARENTE_INVALIDO", "-": "CONTINUACAO"}
+    assert [staged[i, "VPL"] for i in range(15)] == [kinds[c] for c in "vvaa-----------"] and [staged[i, "ORK"] for i in range(15)] == [kinds[c] for c in "--------vavv--v"]
+
+
+def test_block_numbers_don_t_depend_on_buckets(spark):
+    """Orphans before the first header, blocks over several buckets, gaps in line numbers, a file without a header."""
+    kinds = {1: "--h-h---h--", 2: "----", 3: "h----------h"}
+    lines = [(f"<ARQUIVO_{f}>", "VPL", 3 * i + 1, 0, 0, f"{i}", "\n", blocks.CONTINUATION if k == "-" else "CABECALHO_VALIDO") for f, ks in kinds.items() for i, k in enumerate(ks)]
+    table = spark.createDataFrame(lines, "file_token string, app string, line_no long, start_byte long, end_byte long, text string, terminator string, start_kind string")
+    want = [(1, 0, 1), (1, 1, 4), (1, 2, 7), (1, 3, 13), (1, 4, 25), *((2, i, 3 * i + 1) for i in range(4)), (3, 0, 1), (3, 1, 34)]
+    for bucket in (1, 4, 7, 100_000):
+        assert sorted((int(r.file_token[9]), r.read_order, r.line_start) for r in blocks.blocks(table, bucket).collect()) == want

@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxledger.functions.prefix import running_sums
-from voxledger.operators.headers import apparent_header, valid_header
+from voxledger.operators.headers import CONTINUATION, start_kind, with_start_kind
 
-#: The kinds of a line.
-VALID, APPARENT, CONTINUATION = "CABECALHO_VALIDO", "CABECALHO_APARENTE_INVALIDO", "CONTINUACAO"
+__all__ = ["CONTINUATION", "blocks", "entry_id", "start_kind", "with_start_kind"]
 
 
-def start_kind(app: Column, text: Column) -> Column:
-    """Valid header, header that only looks like one, or continuation; undecodable lines continue."""
-    return F.when(text.isNull(), CONTINUATION).when(valid_header(app, text), VALID).when(apparent_header(app, text), APPARENT).otherwise(CONTINUATION)
-
 
 def entry_id(file_token: Column, read_order: Column) -> Column:
     """The name of a file's entry."""
@@ -29,12 +24,21 @@ def blocks(lines: DataFrame, bucket_lines: int = 100_000) -> DataFrame:
     first header each is an orphan block of its own. read_order counts blocks from 0 within a file. Headers and
     orphans are counted in buckets of lines, so a file of any size is never one task.
     """
-    header = F.col("start_kind") != CONTINUATION
-    first = lines.where(header).groupBy("file_token").agg(F.min("line_no").alias("__first"))
-    marked = lines.join(first, "file_token", "left").withColumn("__orphan", F.coalesce(F.col("line_no") < F.col("__first"), F.lit(True)))
-    marked = marked.withColumns({"__opens": (header | F.col("__orphan")).cast("long"), "__bucket": F.floor(F.col("line_no") / bucket_lines)})
-    # orphans and headers open a block each, and what comes before a header is an orphan
-    placed = running_sums(marked, ["file_token"], ["__bucket"], [F.col("line_no")], {"__n": "__opens"}).withColumn("read_order", F.col("__n") - 1)
+    keys = ["__file", "__bucket"]
+    marked = lines.withColumns({"__file": F.coalesce("file_token", F.lit("")), "__bucket": F.floor(F.col("line_no") / bucket_lines), "__header": (F.col("start_kind") != CONTINUATION).cast("long")})
+    upto = W.partitionBy(*keys).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    counted = marked.withColumns({"__headers": F.sum("__header").over(upto), "__lines": F.count(F.lit(1)).over(upto)})
+    # a row for each bucket; only numbers are read for it
+    each = counted.groupBy(*keys).agg(F.max("__headers").alias("own"), F.count_if(F.col("__headers") == 0).alias("lead"))
+    order = W.partitionBy("__file").orderBy("__bucket")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    each = each.withColumn("__headers_before", zero(F.sum("own").over(before))).withColumn("orphans", F.when(F.col("__headers_before") == 0, F.col("lead")).otherwise(0))
+    each = each.withColumns({"__orphans_before": zero(F.sum("orphans").over(before)), "__orphans": F.sum("orphans").over(order.rowsBetween(W.unboundedPreceding, 0))})
+    # each line before a file's first header is an orphan; after these, each header opens a block
+    headers = F.col("__headers_before") + F.col("__headers")
+    number = F.when(headers == 0, F.col("__orphans_before") + F.col("__lines")).otherwise(F.col("__orphans") + headers) - 1
+    placed = counted.join(each.drop("own", "lead", "orphans"), keys).withColumn("read_order", number)
     line = F.struct("line_no", "text", "terminator")
     each = placed.groupBy("file_token", "app", "read_order").agg(
         F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"),

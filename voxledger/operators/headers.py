@@ -24,41 +24,75 @@ ORK_REAL = rf"^(\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d{{1,6}})?(
 ORK_LEGACY = rf"^\s*((?:(?! \| )[^\r\n])*\S)\s* \| \s*({_ORK_LEVEL})\s* \| \s*((?s:.*\S))\s*$"
 ORK_APPARENT = r"^\d{4}-\d{2}-\d{2}T"
 
+#: The kinds of a line.
+VALID, APPARENT, CONTINUATION = "CABECALHO_VALIDO", "CABECALHO_APARENTE_INVALIDO", "CONTINUACAO"
 #: Failure codes of blocks that don't parse.
 ORPHAN, INVALID_HEADER, INVALID_UTF8 = "CONTINUACAO_ORFA", "CABECALHO_APARENTE_INVALIDO", "INVALID_UTF8"
 
 
+#: What leads the groups of a match: no header begins with it.
+_MATCHED = "\u0000\n"
+
+
 def _real_time(text: Column) -> Column:
     return F.try_to_timestamp(text).isNotNull()
 
 
-def _vpl_real(text: Column) -> Column:
-    return text.rlike(VPL_REAL) & _real_time(F.nullif(F.regexp_extract(text, VPL_REAL, 2), F.lit("")))
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that matches a whole text, from one run of it; null if it doesn't match. They are told
+    apart by line feeds, which no group of a header but the last, its message, can hold."""
+    found = F.regexp_replace(text, pattern, _MATCHED + "\n".join(f"${i + 1}" for i in range(n)))
+    return F.when(found.startswith(_MATCHED) & ~text.startswith(_MATCHED), F.split(F.substring(found, len(_MATCHED) + 1, 2**31 - 1), "\n", n))
 
 
-def _vpl_legacy(text: Column) -> Column:
-    return text.rlike(VPL_LEGACY) & _real_time(F.nullif(F.regexp_extract(text, VPL_LEGACY, 1), F.lit("")))
+def _real(app: Column, text: Column) -> Column:
+    return F.when(app == "VPL", _groups(text, VPL_REAL, 6)).when(app == "ORK", _groups(text, ORK_REAL, 7))
 
 
-def _ork_real(text: Column) -> Column:
-    logger = F.regexp_extract(text, ORK_REAL, 6)
-    return text.rlike(ORK_REAL) & (F.trim(logger) == logger) & _real_time(F.nullif(F.regexp_extract(text, ORK_REAL, 1), F.lit("")))
+def _legacy(app: Column, text: Column) -> Column:
+    return F.when(app == "VPL", _groups(text, VPL_LEGACY, 4)).when(app == "ORK", _groups(text, ORK_LEGACY, 3))
 
 
-def _ork_legacy(text: Column) -> Column:
-    return text.rlike(ORK_LEGACY) & _real_time(F.nullif(F.regexp_extract(text, ORK_LEGACY, 1), F.lit("")))
+def _valid_real(app: Column, g: Column) -> Column:
+    """Do the groups of the real grammar hold a real time and, in the orchestrator's, a logger without blanks around it?"""
+    stamp = F.nullif(F.when(app == "VPL", F.get(g, F.lit(1))).otherwise(F.get(g, F.lit(0))), F.lit(""))
+    return g.isNotNull() & ((app != "ORK") | (F.trim(F.get(g, F.lit(5))) == F.get(g, F.lit(5)))) & _real_time(stamp)
 
 
-def valid_header(app: Column, text: Column) -> Column:
-    return F.when(app == "VPL", _vpl_real(text) | _vpl_legacy(text)).when(app == "ORK", _ork_real(text) | _ork_legacy(text)).otherwise(False)
+def _valid_legacy(g: Column) -> Column:
+    return _real_time(F.nullif(F.get(g, F.lit(0)), F.lit("")))
 
 
-def apparent_header(app: Column, text: Column) -> Column:
-    return F.when(app == "VPL", text.rlike(VPL_APPARENT)).when(app == "ORK", text.rlike(ORK_APPARENT)).otherwise(False)
+def _with_header(rows: DataFrame, app: Column, text: Column) -> DataFrame:
+    """rows with `__real` and `__old`: the groups of the real grammar, else of the legacy one, where the header is valid.
+    Each is a column of its own, so that a pattern is run once for a text, however often its groups are used."""
+    g, o = F.col("__real"), F.col("__old")
+    real = rows.withColumn("__real", _real(app, text)).withColumn("__real", F.when(_valid_real(app, g), g))
+    return real.withColumn("__old", F.when(g.isNull(), _legacy(app, text))).withColumn("__old", F.when(_valid_legacy(o), o))
+
+
+def _kind(text: Column, apparent: Column, valid: Column) -> Column:
+    """Whether a line that seems a header is a valid one isn't asked where only continuations are told from the rest."""
+    return F.when(text.isNull(), CONTINUATION).when(apparent, F.when(valid, VALID).otherwise(APPARENT)).when(valid, VALID).otherwise(CONTINUATION)
+
 
+def start_kind(app: Column, text: Column) -> Column:
+    """Valid header, header that only looks like one, or continuation; undecodable lines continue."""
+    return _kind(text, apparent_header(app, text), _valid_real(app, _real(app, text)) | _valid_legacy(_legacy(app, text)))
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+def with_start_kind(lines: DataFrame) -> DataFrame:
+    """lines (app, text) with their start_kind(). Of lines that don't seem headers only the orchestrator's legacy ones, which
+    have a bar, can be valid: the grammars aren't tried on others."""
+    app, t = F.col("app"), F.col("text")
+    seen = lines.withColumn("__apparent", apparent_header(app, t))
+    tried = seen.withColumn("__tried", F.when(F.col("__apparent") | (app == "ORK") & F.contains(t, F.lit("|")), t))
+    kind = _kind(t, F.col("__apparent"), F.col("__real").isNotNull() | F.col("__old").isNotNull())
+    return _with_header(tried, app, F.col("__tried")).withColumn("start_kind", kind).drop("__apparent", "__tried", "__real", "__old")
+
+
+def apparent_header(app: Column, text: Column) -> Column:
+    return F.when(app == "VPL", text.rlike(VPL_APPARENT)).when(app == "ORK", text.rlike(ORK_APPARENT)).otherwise(False)
 
 
 def parse_blocks(blocks: DataFrame) -> DataFrame:
@@ -67,27 +101,28 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     Adds format, interpreted, level, message, origin, timestamp_original, timestamp_utc, precision,
     fields (name, value), identifiers (with spans and lines) and failures (codes).
     """
-    t, app = F.col("text"), F.col("app")
-    fmt = (
-        F.when((app == "VPL") & _vpl_real(t), "vpl-real").when((app == "VPL") & _vpl_legacy(t), "vpl-legado")
-        .when((app == "ORK") & _ork_real(t), "ork-real").when((app == "ORK") & _ork_legacy(t), "ork-legado")
-    )
-    b = blocks.withColumn("format", fmt)
+    t, app, real, old = F.col("text"), F.col("app"), F.col("__real"), F.col("__old")
+    fmt = F.when(real.isNotNull(), F.concat(F.lower(app), F.lit("-real"))).when(old.isNotNull(), F.concat(F.lower(app), F.lit("-legado")))
     f = F.col("format")
 
     def pick(vpl_real, vpl_old, ork_real, ork_old):
-        take = lambda pattern, g: F.lit(None).cast("string") if g is None else _part(t, pattern, g)
-        return F.when(f == "vpl-real", take(VPL_REAL, vpl_real)).when(f == "vpl-legado", take(VPL_LEGACY, vpl_old)).when(f == "ork-real", take(ORK_REAL, ork_real)).when(f == "ork-legado", take(ORK_LEGACY, ork_old))
+        out = F.lit(None).cast("string")
+        for form, groups, g in (("vpl-real", real, vpl_real), ("vpl-legado", old, vpl_old), ("ork-real", real, ork_real), ("ork-legado", old, ork_old)):
+            out = out if g is None else F.when(f == form, F.nullif(F.get(groups, F.lit(g - 1)), F.lit(""))).otherwise(out)
+        return out
 
     parts = {
         "ChannelUuid": pick(1, None, None, None), "timestamp": pick(2, 1, 1, 1), "percentual_operacional": pick(3, None, None, None), "host": pick(None, None, 2, None),
         "processo": pick(None, None, 3, None), "pid": pick(None, None, 4, None), "severidade": pick(4, 2, 5, 2), "origem": pick(5, 3, None, None), "logger": pick(None, None, 6, None), "mensagem": pick(6, 4, 7, 3),
     }
+    b = _with_header(blocks, app, t).withColumn("format", fmt)
+    b = b.withColumn("__p", F.struct(*[c.alias(n) for n, c in parts.items()]))
+    parts = {n: F.col(f"__p.{n}") for n in parts}
     fields = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in parts.items()]), lambda x: x["value"].isNotNull())
-    time = F.when(app == "VPL", local_to_utc(parts["timestamp"])).otherwise(offset_to_utc(parts["timestamp"]))
+    b = b.withColumn("__time", F.when(app == "VPL", local_to_utc(parts["timestamp"])).otherwise(offset_to_utc(parts["timestamp"])))
     region = F.when(f == "ork-real", F.length(t) - F.length(parts["logger"]) - 3 - F.length(parts["mensagem"])).when(f == "ork-legado", F.length(F.regexp_replace(t, r"\s+\z", "")) - F.length(parts["mensagem"])).when(f.isNotNull(), F.length(t) - F.length(F.ltrim(parts["mensagem"])))
-    parsed = b.select("*", fields.alias("fields"), time.alias("__time"), identifiers(app, F.when(f.isNotNull(), t), region, parts["ChannelUuid"]).alias("identifiers"))
-    value = lambda n: F.get(F.transform(F.filter("fields", lambda x: x["name"] == n), lambda x: x["value"]), F.lit(0))
+    parsed = b.select("*", fields.alias("fields"), identifiers(app, F.when(f.isNotNull(), t), region, parts["ChannelUuid"]).alias("identifiers"))
+    value = parts.__getitem__
     broken = F.when(t.isNull(), INVALID_UTF8).when(f.isNull(), F.concat(app, F.lit("_"), F.when(F.col("start_kind") == "CONTINUACAO", ORPHAN).otherwise(INVALID_HEADER)))
     failures = F.array_compact(F.array(broken, F.when(f.isNotNull(), F.col("__time.failure"))))
     return parsed.select(

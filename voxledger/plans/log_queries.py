@@ -33,8 +33,13 @@ _WALL = "(ts - (event_id % 9) * INTERVAL 1 YEAR)"
 _UUID = "'00000000-0000-4000-8000-' || lpad(CAST(event_id AS VARCHAR), 12, '0')"
 
 
+def _spread(events: DataFrame) -> DataFrame:
+    """Events over all tasks: their rows are small, so that a file has few ranges, and what is made of them isn't."""
+    return events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_id")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("wall", F.col("ts") - F.make_ym_interval((F.col("event_id") % 9).cast("int"), F.lit(0)))
+    return _spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")).withColumn("wall", F.col("ts") - F.make_ym_interval((F.col("event_id") % 9).cast("int"), F.lit(0)))
 
 
 def _text(*parts: object) -> Column:
@@ -51,7 +56,7 @@ def _lines(events: DataFrame, app: str, header: Column, last: Column) -> DataFra
     each = F.explode(F.array(F.struct(F.lit(0).alias("at"), header.alias("text")), F.struct(F.lit(1).alias("at"), last.alias("text")))).alias("l")
     out = events.select(token.alias("file_token"), F.lit(app).alias("app"), "event_id", each).select("file_token", "app", (F.col("event_id") * 2 + F.col("l.at") + 1).alias("line_no"), "l.text")
     place = {"start_byte": F.lit(0).cast("long"), "end_byte": F.lit(0).cast("long"), "terminator": F.lit("\n")}
-    return out.withColumns(place).withColumn("start_kind", blocks.start_kind(F.lit(app), F.col("text")))
+    return blocks.with_start_kind(out.withColumns(place))
 
 
 def vpl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def parse_files(spark: SparkSession, files: list[tuple[str, str]], registry: Reg
         lines = logs.physical_lines(spark, [r["path"] for r in known if r["app"] == app_id])
         lines = lines.withColumn("place", F.regexp_replace(F.url_decode(F.col("path")), r"^file:/*", "/")).join(F.broadcast(own), "place")
         if app.has_blocks:
-            parsed = app.parse(blocks.blocks(lines.withColumn("start_kind", blocks.start_kind(F.col("app"), F.col("text")))))
+            parsed = app.parse(blocks.blocks(blocks.with_start_kind(lines)))
         else:
             parsed = line_entries(app.parse(lines))
         parsed = parsed.withColumn("category", app.category())

@@ -40,7 +40,7 @@ def _tokened(lines: DataFrame, app: Application, path: str) -> DataFrame:
     """Lines with application and token, which follows from the path alone, and what kind of line they are."""
     token = F.format_string("<ARQUIVO_%d>", F.pmod(F.xxhash64(path), F.lit(1 << 53)))
     own = lines.withColumns({"file_token": token, "app": F.lit(app.app_id)})
-    return own.withColumn("start_kind", blocks.start_kind(F.col("app"), F.col("text"))) if app.has_blocks else own
+    return blocks.with_start_kind(own) if app.has_blocks else own
 
 
 def entries_of(lines: DataFrame, app: Application) -> DataFrame:
@@ -62,6 +62,8 @@ def store_entries(spark: SparkSession, directory: str, app: Application, out: st
     return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: How much a batch of parts holds.
+BATCH_BYTES = 256 << 20
 #: The path of a part of a growing file: the file, and the part's number from 0 on.
 PART = r"^(.+)\.(\d+)$"
 #: What one batch leaves to the next: how far each file has been read, and the lines that are needed once more.
@@ -116,7 +118,7 @@ def _grown(files: DataFrame, kept: DataFrame, arrived: DataFrame, app: Applicati
     return entries, now, still
 
 
-def store_growing(spark: SparkSession, directory: str, app: Application, out: str, checkpoint: str, per_trigger: int = 100, part: str = PART) -> StreamingQuery:
+def store_growing(spark: SparkSession, directory: str, app: Application, out: str, checkpoint: str, per_trigger: int | None = None, part: str = PART, batch_bytes: int = BATCH_BYTES) -> StreamingQuery:
     """Follow a directory to which files are added in numbered parts: entries come out as one read of the whole files
     would give them, blocks that span parts, line numbers and bytes included (see entries_so_far()).
 
@@ -125,6 +127,8 @@ def store_growing(spark: SparkSession, directory: str, app: Application, out: st
     entries of what it could place, a file's open block too, and what the next one needs: how far each file is, the lines of
     its open block, and waiting parts. Both are in folders of the batch, which a restart that repeats it replaces, and what is
     kept grows with open blocks and waiting parts, not with the files. An open block is written again when it has grown.
+    A batch takes `per_trigger` parts if that is given, else parts of `batch_bytes` together: a batch's own cost doesn't fall
+    with its size, so many small parts are to be few batches.
     """
 
     def store(batch: DataFrame, number: int) -> None:
@@ -142,7 +146,8 @@ def store_growing(spark: SparkSession, directory: str, app: Application, out: st
                 df.write.mode("overwrite").parquet(path)
         remove(session, f"{out}/state/batch={number - 2}")  # repeating this batch takes the one before
 
-    raw = logs.raw_lines(spark.readStream.option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true"), directory)
+    size = ("maxBytesPerTrigger", batch_bytes) if per_trigger is None else ("maxFilesPerTrigger", per_trigger)
+    raw = logs.raw_lines(spark.readStream.option(*size).option("recursiveFileLookup", "true"), directory)
     return raw.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
