@@ -2,6 +2,8 @@ import hmac
 import datetime as dt
 import hashlib
 import json
+import random
+import re
 from dataclasses import replace
 
 import pytest
@@ -507,3 +509,31 @@ def test_block_numbers_don_t_depend_on_buckets(spark):
     want = [(1, 0, 1), (1, 1, 4), (1, 2, 7), (1, 3, 13), (1, 4, 25), *((2, i, 3 * i + 1) for i in range(4)), (3, 0, 1), (3, 1, 34)]
     for bucket in (1, 4, 7, 100_000):
         assert sorted((int(r.file_token[9]), r.read_order, r.line_start) for r in blocks.blocks(table, bucket).collect()) == want
+
+
+def test_detectors_try_no_pattern_on_plain_prose(monkeypatch):
+    """A form is looked for only in texts with its sign."""
+
+    class Untried:
+        groups = 0
+
+        def finditer(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr(sanitize, "_DIRECT", [(kind, Untried()) for kind, _ in sanitize._DIRECT])
+    assert sanitize.detect("Plain words, well-known ones; and some at 12: none of them is a value. " * 9) == []
+
+
+def test_labels_before_marks_are_those_of_a_plain_scan():
+    names = [n for all_ in sanitize.LABELS.values() for n in all_.split(", ")]
+    plain = re.compile(rf"""(?i)\b({sanitize._ALL_LABELS})\b["']?\s*[=:]\s*""")
+    rng = random.Random(3)
+    pieces = [*names, *(n.upper().replace(" ", "_") for n in names), "=", ":", " = ", '"', "'", " ", "\n", "\u2028", "-", "_", "x", "7", "é", "ſecret", "to\u212aen", "İp", "url\x1c"]
+    hits = 0
+    for _ in range(20_000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 8)))
+        starts = [m.end() for m in plain.finditer(text)]
+        marks = [m.end() for m in sanitize._SET.finditer(text) if sanitize._label_before(text, m.start())]
+        assert marks == starts, text
+        hits += len(starts)
+    assert hits > 1000
