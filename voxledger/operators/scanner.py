@@ -273,7 +273,6 @@ def _has(*needles: str) -> Test:
     return test
 
 
-_digit: Test = lambda line: line.rlike("[0-9]")
 _low = lambda *needles: lambda line: _has(*needles)(F.lower(line))
 #: The codes. Each has a sign without which its test finds nothing, and the test: how many findings.
 CODES: dict[str, tuple[Test, Test]] = {
@@ -284,6 +283,16 @@ CODES: dict[str, tuple[Test, Test]] = {
 }
 
 
+#: What a label's end looks like: labels end in a letter, and '=' or ':' follows, perhaps after a quote and blanks.
+_LABEL_END = rf"[A-Za-z_-][\"']?[{_BLANK}]*[=:]"
+#: The signs of all codes and of labels in one pattern, for texts in lower case. It may let more through, never less. What
+#: its words begin with is asked first.
+_ANY_SIGN = (
+    r"[=:@]|(?=[+0-9a-f.lpr])(?:\+[0-9]|[0-9][ .-][0-9]|[0-9a-f]{8}-|private key|eyj|akia|b(?:asic|earer|rut)|l(?:ocalhost|ogs)|raw|dashboard|c(?:all(?:id)?[_-]|uration\.db)|\.(?:home\.arpa|"
+    + "|".join(SUFFIXES) + "))"
+)
+
+
 # ---------------------------------------------------------------- values after labels
 
 
@@ -329,16 +338,22 @@ def _labelled(line: Column) -> Column:
 
 
 def places(text: Column) -> Column:
-    """array of (line, code) of all findings of a text; null has none."""
-
-    def of(line: Column) -> Column:
-        masked = F.regexp_replace(line, PLACEHOLDER, _MASK)
-        each = [F.when(sign(masked), F.array_repeat(F.lit(code), test(masked))).otherwise(F.array().cast("array<string>")) for code, (sign, test) in CODES.items()]
-        labelled = F.when(line.rlike("[=:]"), _labelled(line)).otherwise(F.array().cast("array<string>"))
-        return F.concat(*each, labelled)
-
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.flatten(F.transform(lines, lambda line, i: F.transform(of(line), lambda c: F.struct((i + 1).alias("line"), c.alias("code")))))
+    """array of (line, code) of all findings of a text; null has none.
+
+    Lines without any sign aren't tested further; placeholders are masked once for a text."""
+    none = F.array().cast("array<string>")
+
+    def of(line: Column, masked: Column) -> Column:
+        each = [F.when(sign(masked), F.array_repeat(F.lit(code), test(masked))).otherwise(none) for code, (sign, test) in CODES.items()]
+        return F.concat(*each, F.when(line.rlike(_LABEL_END), _labelled(line)).otherwise(none))
+
+    whole = F.coalesce(text, F.lit(""))
+    # a placeholder has no line feed, so that masking a text masks its lines
+    lines, hidden = F.split(whole, "\n", -1), F.split(F.regexp_replace(whole, PLACEHOLDER, _MASK), "\n", -1)
+    numbered = F.zip_with(lines, hidden, lambda line, masked: F.struct(line.alias("text"), masked.alias("masked")))
+    numbered = F.filter(F.transform(numbered, lambda x, i: F.struct((i + 1).alias("line"), x["text"].alias("text"), x["masked"].alias("masked"))), lambda x: F.lower(x["masked"]).rlike(_ANY_SIGN))
+    found = F.transform(numbered, lambda x: F.transform(of(x["text"], x["masked"]), lambda c: F.struct(x["line"].alias("line"), c.alias("code"))))
+    return F.flatten(found)
 
 
 def findings(text: Column) -> Column:
