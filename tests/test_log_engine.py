@@ -546,3 +546,15 @@ def test_the_scanner_masks_a_text_once(spark):
     for text, code in DIRTY.items():
         assert re.search(scanner._ANY_SIGN, text.lower()), (text, code)
     assert not re.search(scanner._ANY_SIGN, "well-known words, some of them long; no others.")
+
+
+def test_values_of_one_range_are_dealt_to_all_tasks_before_detection(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def look(values):
+        raise Seen(values._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(secure, "sanitized", look)
+    with pytest.raises(Seen, match="RepartitionByExpression \\[analysis_id"):
+        secure.secure_texts(spark.createDataFrame([("a", 1, "x")], "analysis_id string, seq long, text string").coalesce(1))

@@ -172,15 +172,19 @@ def sanitized(values: DataFrame) -> DataFrame:
     hits = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("known"))
     joined = found.join(own, "row", "left").join(hits, "row", "left")
     whole = F.coalesce(F.col("own")[0]["placeholder"], F.col("value"))
-    safe = F.when(F.col("type").isNotNull(), whole).when(F.col("d.error").isNull(), _rewrite(F.when(F.col("type").isNull(), F.col("value")), "own", "known"))
+    text = lambda c: F.when(F.col("type").isNull(), F.col(c))  # noqa: E731  spans of typed values aren't sent to Python
+    safe = F.when(F.col("type").isNotNull(), whole).when(F.col("d.error").isNull(), _rewrite(text("value"), text("own"), "known"))
     return joined.select(*values.columns, safe.alias("safe")).withColumn("failed", F.col("value").isNotNull() & F.col("safe").isNull())
 
 
 def secure_view(values: DataFrame) -> DataFrame:
     """analysis_id, part, seq, type, safe and state of all values of answers (analysis_id, part, seq, type, value);
     seq is of any type that has an order."""
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch(values.sparkSession) as keep:
-        safe = sanitized(values.select("analysis_id", "part", "seq", "type", "value"))
+        # values may come from a source of few ranges, but what is done with each is dear
+        dealt = values.select("analysis_id", "part", "seq", "type", "value").repartition(n, "analysis_id", "part", "seq")
+        safe = sanitized(dealt)
         safe = materialize(safe.withColumn("bad", F.col("failed") | (scanner.findings(F.col("safe")) > 0)).drop("value", "failed"))
         # the stored table's size tells Spark whether it may be broadcast
         bad = materialize(safe.where("bad").select("analysis_id").distinct().withColumn("__bad", F.lit(True)))
