@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from voxledger.functions import identifiers as ids
 from voxledger.functions.temporal import local_to_utc, offset_to_utc, utc_text
 from voxledger.operators import blocks, correlate, graph, headers, rules, sanitize, scanner, search, secure, stats, timeline
-from voxledger.plans import scenario
+from voxledger.plans import log_queries, scenario
 from voxledger.sources import logs
 
 VPL = b"2025-01-15 10:00:00.000000 0% [INFO] synthetic_source channel sofia/synthetic/<CALL_ID_1>@<HOST_INTERNO_1>\nstructural continuation vpl\n"
@@ -558,3 +558,31 @@ def test_values_of_one_range_are_dealt_to_all_tasks_before_detection(spark, monk
     monkeypatch.setattr(secure, "sanitized", look)
     with pytest.raises(Seen, match="RepartitionByExpression \\[analysis_id"):
         secure.secure_texts(spark.createDataFrame([("a", 1, "x")], "analysis_id string, seq long, text string").coalesce(1))
+
+
+def _plan(df, phase):
+    return getattr(df._jdf.queryExecution(), phase)().toString()
+
+
+def test_identifiers_are_looked_for_once_for_an_entry(spark, small):
+    """A filter on what is found, which the optimizer adds to an explode, doesn't run the search again."""
+    found = search.exploded_identifiers(log_queries._entries(log_queries.vpl_lines(spark, small)))
+    assert _plan(found, "executedPlan").count("ArrowEvalPython") == 1
+
+
+def test_links_of_all_schemas_come_from_one_pass_over_entries(spark, small):
+    entries = log_queries._entries(log_queries.ork_lines(spark, small))
+    edges = graph.recognise(entries, log_queries.SCHEMAS)
+    one = _plan(entries, "optimizedPlan").count("Relation [")
+    assert one and _plan(edges, "optimizedPlan").count("Relation [") == one
+    assert _plan(edges, "executedPlan").count("ArrowEvalPython") == 1
+    assert edges.columns == [c.split()[0] for c in graph.EDGES.split(", ")]
+
+
+def test_links_of_two_schemas_and_entries_without_any(spark):
+    schemas = [graph.LinkSchema("a", 1, "A", "1:N", True, ("x",), ("y",)), graph.LinkSchema("b", 3, "B", "N:N", False, ("y",), ("x", "z"))]
+    i = lambda kind, value: (kind, "n", value)
+    rows = [("1", [i("x", "p"), i("y", "q"), i("y", "q"), i("z", "r")]), ("2", []), ("3", None), ("4", [i("x", "p")]), ("1", [i("x", "p"), i("y", "q")])]
+    entries = spark.createDataFrame(rows, "entry_id string, identifiers array<struct<type:string, namespace:string, normalized:string>>")
+    got = sorted((r.src[2:], r.dst[2:], r.relation, r.schema_version, r.allows_correlation, r.entry_id) for r in graph.recognise(entries, schemas).collect())
+    assert got == [("p", "q", "A", 1, True, "1"), ("q", "p", "B", 3, False, "1"), ("q", "r", "B", 3, False, "1")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -83,29 +84,40 @@ IDENTIFIER = T.StructType(
 _ARROW = pa.list_(pa.struct([(n, pa.string()) for n in ("type", "namespace", "field", "original", "normalized", "rule")] + [(n, pa.int32()) for n in ("span_start", "span_end", "line_offset")]))
 
 
-def identifiers_of(app: str, text: str | None, region: int, prefix: str | None) -> list[dict]:
-    """Identifiers of a block's text from character `region` on, after the channel UUID that may lead it.
-    line_offset counts the lines of the block before the value."""
+def _found(app: str, text: str | None, region: int, prefix: str | None) -> Iterator[tuple]:
+    """The identifiers of a block's text, each as the values of IDENTIFIER."""
     found = [] if not prefix else [("uuid_canal", "ChannelUuid", prefix, RULES["VPL", "prefix"], 0, len(prefix))]
     if text is not None and region is not None and region >= 0:
         found += [(k, n, v, r, a + region, b + region) for k, n, v, r, a, b in _labelled(app, text[region:])]
-    out = []
     for kind, name, value, rule, start, end in found:
         if (plain := normalize(kind, value)) is not None:
-            out.append({"type": kind, "namespace": NAMESPACES[kind], "field": name, "original": value, "normalized": plain, "rule": rule, "span_start": start, "span_end": end, "line_offset": text.count("\n", 0, start) if text else 0})
-    return out
+            yield kind, NAMESPACES[kind], name, value, plain, rule, start, end, text.count("\n", 0, start) if text else 0
+
+
+def identifiers_of(app: str, text: str | None, region: int, prefix: str | None) -> list[dict]:
+    """Identifiers of a block's text from character `region` on, after the channel UUID that may lead it.
+    line_offset counts the lines of the block before the value."""
+    return [dict(zip(IDENTIFIER.names, found, strict=True)) for found in _found(app, text, region, prefix)]
 
 
 @arrow_udf(T.ArrayType(IDENTIFIER))
 def _identifiers(app: pa.Array, text: pa.Array, region: pa.Array, prefix: pa.Array) -> pa.Array:
-    rows = zip(app.to_pylist(), text.to_pylist(), region.to_pylist(), prefix.to_pylist(), strict=True)
-    return pa.array([identifiers_of(a, t, r, p) for a, t, r, p in rows], _ARROW)
+    ends, rows = [0], []
+    for a, t, r, p in zip(app.to_pylist(), text.to_pylist(), region.to_pylist(), prefix.to_pylist(), strict=True):
+        if t is not None or p:
+            rows += _found(a, t, r, p)
+        ends.append(len(rows))
+    columns = zip(*rows, strict=True) if rows else [()] * len(IDENTIFIER)
+    each = [pa.array(c, f.type) for c, f in zip(columns, _ARROW.value_type, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(each, fields=list(_ARROW.value_type)), type=_ARROW)
 
 
 def identifiers(app: Column, text: Column, region: Column, prefix: Column) -> Column:
     """array<struct> of a block's identifiers; region is where its searchable part begins. Texts without any label's
     beginning (a JVM test) aren't sent to Python."""
-    return _identifiers(app, F.when(text.rlike("(?iU)call|sofia/|channel|session"), text), region.cast("int"), prefix)
+    # told not to be deterministic, it is run once for an entry: else a filter on what it finds, which the optimizer adds
+    # to each explode(), would run it again
+    return _identifiers.asNondeterministic()(app, F.when(text.rlike("(?iU)call|sofia/|channel|session"), text), region.cast("int"), prefix)
 
 
 @arrow_udf(T.StringType())

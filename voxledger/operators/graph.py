@@ -94,7 +94,9 @@ class LinkSchema:
     approved: bool = True
 
 
-def _declared(entries: DataFrame, s: LinkSchema) -> DataFrame:
+def _declared(s: LinkSchema) -> Column:
+    """array<struct> of the edges that an entry declares by one schema."""
+
     def node(i: Column) -> Column:
         return F.concat_ws("\u0000", i["namespace"], i["normalized"])
 
@@ -109,23 +111,22 @@ def _declared(entries: DataFrame, s: LinkSchema) -> DataFrame:
 
     pairs = F.flatten(F.transform(of(s.source_types), lambda a: F.transform(F.filter(of(s.target_types), lambda b: fits(a, b)), lambda b: ends(a, b))))
     told = {"relation": s.relation, "schema_id": s.schema_id, "schema_version": s.schema_version, "cardinality": s.cardinality, "allows_correlation": s.allows_correlation}
-    each = entries.select("entry_id", F.explode(F.array_distinct(pairs)).alias("p"))
-    return each.select("p.src", "p.dst", *[F.lit(v).alias(k) for k, v in told.items()], "entry_id", "p.src_type", "p.dst_type")
+    return F.transform(F.array_distinct(pairs), lambda p: F.struct(*[p[c].alias(c) for c in ("src", "dst", "src_type", "dst_type")], *[F.lit(v).alias(k) for k, v in told.items()]))
 
 
 def recognise(entries: DataFrame, schemas: list[LinkSchema]) -> DataFrame:
     """Edges that entries (entry_id, identifiers) declare by the latest approved version of each schema: pairs of
-    identifiers of one entry, made and tested row by row."""
+    identifiers of one entry, made and tested row by row. Entries are gone through once for all schemas."""
     latest: dict[str, LinkSchema] = {}
     for s in sorted((s for s in schemas if s.approved), key=lambda s: s.schema_version):
         latest[s.schema_id] = s
-    out = None
-    for s in sorted(latest.values(), key=lambda s: s.schema_id):
-        one = _declared(entries, s)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    if not latest:
         return entries.sparkSession.createDataFrame([], EDGES)
-    return out.distinct()
+    edges = F.concat(*[_declared(s) for _, s in sorted(latest.items())])
+    # explode() would have the optimizer make the edges twice, once to tell whether there are any
+    each = entries.select("entry_id", F.explode_outer(edges).alias("p")).where("p IS NOT NULL")
+    names = [f.split()[0] for f in EDGES.split(", ")]
+    return each.select(*["entry_id" if n == "entry_id" else f"p.{n}" for n in names]).distinct()
 
 
 def latest_schemas(schemas: DataFrame) -> DataFrame:
