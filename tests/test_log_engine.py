@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxledger.functions import identifiers as ids
+from voxledger.functions import temporal
 from voxledger.functions.temporal import local_to_utc, offset_to_utc, utc_text
 from voxledger.operators import blocks, correlate, graph, headers, rules, sanitize, scanner, search, secure, stats, timeline
 from voxledger.plans import log_queries, scenario
@@ -586,3 +587,15 @@ def test_links_of_two_schemas_and_entries_without_any(spark):
     entries = spark.createDataFrame(rows, "entry_id string, identifiers array<struct<type:string, namespace:string, normalized:string>>")
     got = sorted((r.src[2:], r.dst[2:], r.relation, r.schema_version, r.allows_correlation, r.entry_id) for r in graph.recognise(entries, schemas).collect())
     assert got == [("p", "q", "A", 1, True, "1"), ("q", "p", "B", 3, False, "1"), ("q", "r", "B", 3, False, "1")]
+
+
+def test_times_made_step_by_step_are_those_of_the_column(spark):
+    texts = [
+        None, "", "x", "2018-11-04 00:30:00", "2019-02-16 23:30:00.5", "2020-01-01 10:00:00.123456", "2020-01-01 10:00:00.1234567", "2020-13-01 10:00:00", "2020-01-01T10:00:00",
+        "2020-01-01T10:00:00Z", "2020-01-01T10:00:00.25-03:00", "2020-01-01T10:00:00.1234567Z", "2020-02-30T10:00:00Z", "2020-01-01T10:00:00+3", "1987-06-01 12:00:00",
+    ]
+    rows = spark.createDataFrame([(t, own) for t in texts for own in (True, False, None)], "t string, own boolean")
+    t, own = F.col("t"), F.col("own")
+    both = temporal.with_utc(rows, t, own, "new").withColumn("old", F.when(own, temporal.local_to_utc(t)).otherwise(temporal.offset_to_utc(t)))
+    assert both.columns == ["t", "own", "new", "old"] and both.where("NOT (new <=> old)").count() == 0
+    assert {r[0] for r in both.select("new.failure").distinct().collect()} == {None, temporal.INVALID, temporal.PRECISION, temporal.NONEXISTENT, temporal.AMBIGUOUS, temporal.NO_OFFSET}

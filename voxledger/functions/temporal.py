@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHANNEL_ZONE = "America/Sao_Paulo"
@@ -27,35 +27,60 @@ def _result(utc: Column, digits: Column, failure: Column) -> Column:
     return F.struct(F.when(ok, utc).alias("utc"), F.when(ok, digits).alias("precision"), failure.alias("failure"))
 
 
-def local_to_utc(text: Column, zone: str = CHANNEL_ZONE) -> Column:
-    """struct(utc, precision, failure) of a wall-clock text. A wall time that the zone skips, or has twice, fails."""
-    digits = fraction_digits(text)
-    wall = F.try_to_timestamp(F.when(text.rlike(LOCAL) & (digits <= 6), text))
-    utc = F.to_utc_timestamp(wall, zone)
+def _timed(text: Column, form: Column, digits: Column) -> Column:
+    return F.try_to_timestamp(F.when(form & (digits <= 6), text))
+
+
+def _local_failure(text: Column, form: Column, digits: Column, wall: Column, utc: Column, zone: str) -> Column:
     hour = F.expr("interval 1 hour")
     twice = (F.from_utc_timestamp(utc + hour, zone) == wall) | (F.from_utc_timestamp(utc - hour, zone) == wall)
-    failure = (
-        F.when(text.isNull() | ~text.rlike(LOCAL), INVALID)
+    return (
+        F.when(text.isNull() | ~form, INVALID)
         .when(digits > 6, PRECISION)
         .when(wall.isNull(), INVALID)
         .when(F.from_utc_timestamp(utc, zone) != wall, NONEXISTENT)
         .when(twice, AMBIGUOUS)
     )
-    return _result(utc, digits, failure)
 
 
-def offset_to_utc(text: Column) -> Column:
-    """struct(utc, precision, failure) of an ISO text with its own offset."""
-    digits = fraction_digits(text)
-    stamp = F.try_to_timestamp(F.when(text.rlike(OFFSET) & (digits <= 6), text))
-    failure = (
+def _offset_failure(text: Column, form: Column, digits: Column, stamp: Column) -> Column:
+    return (
         F.when(text.isNull(), INVALID)
-        .when(text.rlike(LOCAL), NO_OFFSET)
-        .when(~text.rlike(OFFSET), INVALID)
+        .when(~form & text.rlike(LOCAL), NO_OFFSET)
+        .when(~form, INVALID)
         .when(digits > 6, PRECISION)
         .when(stamp.isNull(), INVALID)
     )
-    return _result(stamp, digits, failure)
+
+
+def local_to_utc(text: Column, zone: str = CHANNEL_ZONE) -> Column:
+    """struct(utc, precision, failure) of a wall-clock text. A wall time that the zone skips, or has twice, fails."""
+    form, digits = text.rlike(LOCAL), fraction_digits(text)
+    wall = _timed(text, form, digits)
+    utc = F.to_utc_timestamp(wall, zone)
+    return _result(utc, digits, _local_failure(text, form, digits, wall, utc, zone))
+
+
+def offset_to_utc(text: Column) -> Column:
+    """struct(utc, precision, failure) of an ISO text with its own offset."""
+    form, digits = text.rlike(OFFSET), fraction_digits(text)
+    stamp = _timed(text, form, digits)
+    return _result(stamp, digits, _offset_failure(text, form, digits, stamp))
+
+
+def with_utc(rows: DataFrame, text: Column, local: Column, name: str, zone: str = CHANNEL_ZONE) -> DataFrame:
+    """rows with `name`: local_to_utc() of a text where `local` is true, else offset_to_utc(). Each step is a column of its
+    own, so that it is made once for a text: written out in one, a time would be matched, parsed and shifted some thirty times."""
+    t, own, form, digits, time, utc, failure = (F.col(f"__utc_{c}") for c in ("text", "local", "form", "digits", "time", "utc", "failure"))
+    steps = {
+        "text": text, "local": local, "form": F.when(own, t.rlike(LOCAL)).otherwise(t.rlike(OFFSET)), "digits": fraction_digits(t), "time": _timed(t, form, digits),
+        "utc": F.when(own, F.to_utc_timestamp(time, zone)).otherwise(time),
+        "failure": F.when(own, _local_failure(t, form, digits, time, utc, zone)).otherwise(_offset_failure(t, form, digits, time)),
+    }
+    out = rows
+    for step, made in steps.items():
+        out = out.withColumn(f"__utc_{step}", made)
+    return out.withColumn(name, _result(utc, digits, failure)).drop(*[f"__utc_{step}" for step in steps])
 
 
 def utc_text(utc: Column, precision: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import identifiers
-from voxledger.functions.temporal import local_to_utc, offset_to_utc
+from voxledger.functions.temporal import with_utc
 
 #: The levels each application writes.
 VPL_LEVELS = ("DEBUG", "INFO", "NOTICE", "WARNING", "ERR", "CRIT", "ALERT")
@@ -119,7 +119,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     b = b.withColumn("__p", F.struct(*[c.alias(n) for n, c in parts.items()]))
     parts = {n: F.col(f"__p.{n}") for n in parts}
     fields = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in parts.items()]), lambda x: x["value"].isNotNull())
-    b = b.withColumn("__time", F.when(app == "VPL", local_to_utc(parts["timestamp"])).otherwise(offset_to_utc(parts["timestamp"])))
+    b = with_utc(b, parts["timestamp"], app == "VPL", "__time")
     region = F.when(f == "ork-real", F.length(t) - F.length(parts["logger"]) - 3 - F.length(parts["mensagem"])).when(f == "ork-legado", F.length(F.regexp_replace(t, r"\s+\z", "")) - F.length(parts["mensagem"])).when(f.isNotNull(), F.length(t) - F.length(F.ltrim(parts["mensagem"])))
     parsed = b.select("*", fields.alias("fields"), identifiers(app, F.when(f.isNotNull(), t), region, parts["ChannelUuid"]).alias("identifiers"))
     value = parts.__getitem__
