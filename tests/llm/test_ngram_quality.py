@@ -149,3 +149,26 @@ def test_all_trusted_documents_but_the_held_out_are_trained_on(spark):
     held = docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 1").count()
     assert chosen.count() == 2600 - held > 2000
     assert table.where("order = 1").count() == chosen.count() + 7 + 1 + 1  # own words, shared ones, the end and the beginning
+
+
+def test_the_exchange_never_writes_the_model_and_gives_the_same_scores(spark, monkeypatch):
+    """Also with buckets so small that frequent words are dealt by the word before, and with blocks of a few texts."""
+    _, table, labels = tables(spark)
+    rows = lambda **of: sorted((str(r.doc_id), r.n_tokens, r.perplexity, r.adjusted, r.kept) for r in k.score(table, labels, **of).collect())
+    same = lambda got: all(g[:2] + g[4:] == w[:2] + w[4:] and g[2:4] == pytest.approx(w[2:4], rel=1e-9) for g, w in zip(got, want, strict=True))
+    want = rows(broadcast_rows=10**9)
+    monkeypatch.setattr(k, "train", None)
+    assert same(rows(broadcast_rows=0))
+    monkeypatch.setattr(k, "BLOCK_BYTES", 500)
+    heavy, codes_for = [], k.codes_for
+    monkeypatch.setattr(k, "codes_for", lambda *a: heavy.append(codes_for(*a)) or heavy[-1])
+    assert same(rows(broadcast_rows=0, bucket_tokens=100))
+    assert len(heavy[0].heavy) > 3 and heavy[0].buckets > 10
+
+
+def test_too_many_words_for_the_exchange_take_the_join(spark, monkeypatch):
+    _, table, labels = tables(spark)
+    rows = lambda: sorted((str(r.doc_id), r.n_tokens, round(r.perplexity, 6), r.kept) for r in k.score(table, labels, broadcast_rows=0).collect())
+    want = rows()
+    monkeypatch.setattr(k, "VOCABULARY", 0)
+    assert rows() == want
