@@ -82,3 +82,32 @@ def test_lines_without_blocks(spark, tmp_path, follow):
     place = ["line_no", "start_byte", "end_byte", "text", "interpreted"]
     want = batch_read(spark, tmp_path, "VOCI", {"v": lines})
     assert sorted(map(str, got.select(place).collect())) == sorted(map(str, want.select(place).collect()))
+
+
+def test_lines_of_parts_that_wait_are_written_once_and_go_when_their_turn_has_come(spark, tmp_path, follow):
+    files = {"a": whole("a", 12), "b": whole("b", 5)}
+    a, b = cut(files["a"], 8, 5), cut(files["b"], 3, 6)
+
+    def held():
+        return sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").glob("waiting/batch=*/of=*") if any(p.glob("*.parquet")))
+
+    def kept():
+        last = max((tmp_path / "out" / "state").iterdir(), key=lambda p: int(p.name.split("=")[1]))
+        return spark.read.parquet(str(last / "lines"))
+
+    follow("ORK", ("a.log.1", a[1]), ("a.log.2", a[2]))
+    first = held()
+    assert len(first) == 1 and kept().isEmpty()
+    follow("ORK", ("a.log.4", a[4]), ("b.log.1", b[1]))
+    follow("ORK", ("a.log.6", a[6]))
+    assert len(held()) == 4 and kept().isEmpty()  # those of one batch aren't written again by the next
+    follow("ORK", ("a.log.0", a[0]))  # 0 to 2 are there, 4 and 6 wait still
+    follow("ORK", ("a.log.3", a[3]), ("a.log.1.bak", "no part"))
+    assert first[0] not in held() and len(held()) == 3
+    follow("ORK", ("b.log.0", b[0]), ("a.log.5", a[5]))
+    follow("ORK", ("b.log.2", b[2]), ("a.log.7", a[7]))
+    assert held() == []
+    got = tail.entries_so_far(spark, str(tmp_path / "out"))
+    want = rows(batch_read(spark, tmp_path, "ORK", files))
+    assert rows(got) == want and got.select("file_token", "entry_id").distinct().count() == len(want) == 19
+    assert kept().select("file").distinct().count() == 2

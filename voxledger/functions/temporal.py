@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxledger.functions.steps import Steps, take
+
 CHANNEL_ZONE = "America/Sao_Paulo"
 
 #: Failure codes.
@@ -68,8 +70,8 @@ def offset_to_utc(text: Column) -> Column:
     return _result(stamp, digits, _offset_failure(text, form, digits, stamp))
 
 
-def with_utc(rows: DataFrame, text: Column, local: Column, name: str, zone: str = CHANNEL_ZONE) -> DataFrame:
-    """rows with `name`: local_to_utc() of a text where `local` is true, else offset_to_utc(). Each step is a column of its
+def utc_steps(text: Column, local: Column, name: str, zone: str = CHANNEL_ZONE) -> Steps:
+    """The steps to `name`: local_to_utc() of a text where `local` is true, else offset_to_utc(). Each step is a column of its
     own, so that it is made once for a text: written out in one, a time would be matched, parsed and shifted some thirty times."""
     t, own, form, digits, time, utc, failure = (F.col(f"__utc_{c}") for c in ("text", "local", "form", "digits", "time", "utc", "failure"))
     steps = {
@@ -77,10 +79,13 @@ def with_utc(rows: DataFrame, text: Column, local: Column, name: str, zone: str
         "utc": F.when(own, F.to_utc_timestamp(time, zone)).otherwise(time),
         "failure": F.when(own, _local_failure(t, form, digits, time, utc, zone)).otherwise(_offset_failure(t, form, digits, time)),
     }
-    out = rows
-    for step, made in steps.items():
-        out = out.withColumn(f"__utc_{step}", made)
-    return out.withColumn(name, _result(utc, digits, failure)).drop(*[f"__utc_{step}" for step in steps])
+    return [*({f"__utc_{step}": made} for step, made in steps.items()), {name: _result(utc, digits, failure)}]
+
+
+def with_utc(rows: DataFrame, text: Column, local: Column, name: str, zone: str = CHANNEL_ZONE) -> DataFrame:
+    """rows with `name`, see utc_steps()."""
+    steps = utc_steps(text, local, name, zone)
+    return take(rows, steps).drop(*[c for step in steps for c in step if c != name])
 
 
 def utc_text(utc: Column, precision: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from voxledger.functions.steps import once
 from voxledger.operators.headers import CONTINUATION, start_kind, with_start_kind
 
 __all__ = ["CONTINUATION", "blocks", "entry_id", "start_kind", "with_start_kind"]
@@ -39,10 +40,21 @@ def blocks(lines: DataFrame, bucket_lines: int = 100_000) -> DataFrame:
     headers = F.col("__headers_before") + F.col("__headers")
     number = F.when(headers == 0, F.col("__orphans_before") + F.col("__lines")).otherwise(F.col("__orphans") + headers) - 1
     placed = counted.join(each.drop("own", "lead", "orphans"), keys).withColumn("read_order", number)
+    return joined(placed)
+
+
+@once
+def _joining() -> tuple[list[Column], list[Column]]:
     line = F.struct("line_no", "text", "terminator")
-    each = placed.groupBy("file_token", "app", "read_order").agg(
+    text = F.concat_ws("", F.flatten(F.transform("lines", lambda x: F.array(x["text"], x["terminator"]))))
+    return [
         F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"),
         F.min_by("start_kind", "line_no").alias("start_kind"), F.bool_and(F.col("text").isNotNull()).alias("decodable"), F.sort_array(F.collect_list(line)).alias("lines"),
-    )
-    text = F.concat_ws("", F.flatten(F.transform("lines", lambda x: F.array(x["text"], x["terminator"]))))
-    return each.select("file_token", "app", entry_id(F.col("file_token"), F.col("read_order")).alias("entry_id"), "read_order", "line_start", "line_end", "start_byte", "end_byte", "start_kind", F.when(F.col("decodable"), text).alias("text"))
+    ], [entry_id(F.col("file_token"), F.col("read_order")).alias("entry_id"), F.when(F.col("decodable"), text).alias("text")]
+
+
+def joined(placed: DataFrame) -> DataFrame:
+    """Blocks of lines whose read_order is known."""
+    lines, (name, text) = _joining()
+    each = placed.groupBy("file_token", "app", "read_order").agg(*lines)
+    return each.select("file_token", "app", name, "read_order", "line_start", "line_end", "start_byte", "end_byte", "start_kind", text)

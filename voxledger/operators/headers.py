@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import identifiers
-from voxledger.functions.temporal import with_utc
+from voxledger.functions.steps import Steps, once, take
+from voxledger.functions.temporal import utc_steps
 
 #: The levels each application writes.
 VPL_LEVELS = ("DEBUG", "INFO", "NOTICE", "WARNING", "ERR", "CRIT", "ALERT")
@@ -38,19 +41,28 @@ def _real_time(text: Column) -> Column:
     return F.try_to_timestamp(text).isNotNull()
 
 
-def _groups(text: Column, pattern: str, n: int) -> Column:
-    """The n groups of a pattern that matches a whole text, from one run of it; null if it doesn't match. They are told
+def _matched(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that matches a whole text, from one run of it, behind a mark; else the text. They are told
     apart by line feeds, which no group of a header but the last, its message, can hold."""
-    found = F.regexp_replace(text, pattern, _MATCHED + "\n".join(f"${i + 1}" for i in range(n)))
+    return F.regexp_replace(text, pattern, _MATCHED + "\n".join(f"${i + 1}" for i in range(n)))
+
+
+def _groups(text: Column, found: Column, n: int) -> Column:
+    """The groups that _matched() found; null if the pattern doesn't match."""
     return F.when(found.startswith(_MATCHED) & ~text.startswith(_MATCHED), F.split(F.substring(found, len(_MATCHED) + 1, 2**31 - 1), "\n", n))
 
 
-def _real(app: Column, text: Column) -> Column:
-    return F.when(app == "VPL", _groups(text, VPL_REAL, 6)).when(app == "ORK", _groups(text, ORK_REAL, 7))
+#: The patterns of the real and the legacy grammar of each application, and how many groups they have.
+_REAL = (("VPL", VPL_REAL, 6), ("ORK", ORK_REAL, 7))
+_LEGACY = (("VPL", VPL_LEGACY, 4), ("ORK", ORK_LEGACY, 3))
 
 
-def _legacy(app: Column, text: Column) -> Column:
-    return F.when(app == "VPL", _groups(text, VPL_LEGACY, 4)).when(app == "ORK", _groups(text, ORK_LEGACY, 3))
+def _by_app(app: Column, grammars: tuple, make: Callable[[str, int], Column]) -> Column:
+    (first, pattern, n), *rest = grammars
+    out = F.when(app == first, make(pattern, n))
+    for name, pattern, n in rest:
+        out = out.when(app == name, make(pattern, n))
+    return out
 
 
 def _valid_real(app: Column, g: Column) -> Column:
@@ -63,12 +75,14 @@ def _valid_legacy(g: Column) -> Column:
     return _real_time(F.nullif(F.get(g, F.lit(0)), F.lit("")))
 
 
-def _with_header(rows: DataFrame, app: Column, text: Column) -> DataFrame:
-    """rows with `__real` and `__old`: the groups of the real grammar, else of the legacy one, where the header is valid.
+def _header_steps(app: Column, text: Column) -> Steps:
+    """`__real` and `__old`: the groups of the real grammar, else of the legacy one, where the header is valid.
     Each is a column of its own, so that a pattern is run once for a text, however often its groups are used."""
-    g, o = F.col("__real"), F.col("__old")
-    real = rows.withColumn("__real", _real(app, text)).withColumn("__real", F.when(_valid_real(app, g), g))
-    return real.withColumn("__old", F.when(g.isNull(), _legacy(app, text))).withColumn("__old", F.when(_valid_legacy(o), o))
+    found, g, o = F.col("__found"), F.col("__real"), F.col("__old")
+    return [
+        {"__found": _by_app(app, _REAL, lambda pattern, n: _matched(text, pattern, n))}, {"__real": _by_app(app, _REAL, lambda _, n: _groups(text, found, n))}, {"__real": F.when(_valid_real(app, g), g)},
+        {"__found": F.when(g.isNull(), _by_app(app, _LEGACY, lambda pattern, n: _matched(text, pattern, n)))}, {"__old": _by_app(app, _LEGACY, lambda _, n: _groups(text, found, n))}, {"__old": F.when(_valid_legacy(o), o)},
+    ]
 
 
 def _kind(text: Column, apparent: Column, valid: Column) -> Column:
@@ -78,29 +92,31 @@ def _kind(text: Column, apparent: Column, valid: Column) -> Column:
 
 def start_kind(app: Column, text: Column) -> Column:
     """Valid header, header that only looks like one, or continuation; undecodable lines continue."""
-    return _kind(text, apparent_header(app, text), _valid_real(app, _real(app, text)) | _valid_legacy(_legacy(app, text)))
+    real, old = (_by_app(app, grammars, lambda pattern, n: _groups(text, _matched(text, pattern, n), n)) for grammars in (_REAL, _LEGACY))
+    return _kind(text, apparent_header(app, text), _valid_real(app, real) | _valid_legacy(old))
+
+
+@once
+def _kind_steps() -> Steps:
+    app, t = F.col("app"), F.col("text")
+    tried = F.when(F.col("__apparent") | (app == "ORK") & F.contains(t, F.lit("|")), t)
+    kind = _kind(t, F.col("__apparent"), F.col("__real").isNotNull() | F.col("__old").isNotNull())
+    return [{"__apparent": apparent_header(app, t)}, {"__tried": tried}, *_header_steps(app, F.col("__tried")), {"start_kind": kind}]
 
 
 def with_start_kind(lines: DataFrame) -> DataFrame:
     """lines (app, text) with their start_kind(). Of lines that don't seem headers only the orchestrator's legacy ones, which
     have a bar, can be valid: the grammars aren't tried on others."""
-    app, t = F.col("app"), F.col("text")
-    seen = lines.withColumn("__apparent", apparent_header(app, t))
-    tried = seen.withColumn("__tried", F.when(F.col("__apparent") | (app == "ORK") & F.contains(t, F.lit("|")), t))
-    kind = _kind(t, F.col("__apparent"), F.col("__real").isNotNull() | F.col("__old").isNotNull())
-    return _with_header(tried, app, F.col("__tried")).withColumn("start_kind", kind).drop("__apparent", "__tried", "__real", "__old")
+    return take(lines, _kind_steps()).drop("__apparent", "__tried", "__found", "__real", "__old")
 
 
 def apparent_header(app: Column, text: Column) -> Column:
     return F.when(app == "VPL", text.rlike(VPL_APPARENT)).when(app == "ORK", text.rlike(ORK_APPARENT)).otherwise(False)
 
 
-def parse_blocks(blocks: DataFrame) -> DataFrame:
-    """Entries of VPL and ORK blocks: the real grammar first, then the legacy one, else not interpreted.
-
-    Adds format, interpreted, level, message, origin, timestamp_original, timestamp_utc, precision,
-    fields (name, value), identifiers (with spans and lines) and failures (codes).
-    """
+@once
+def _entry_steps() -> tuple[Steps, list[Column]]:
+    """The steps from blocks to entries, and what is told of these."""
     t, app, real, old = F.col("text"), F.col("app"), F.col("__real"), F.col("__old")
     fmt = F.when(real.isNotNull(), F.concat(F.lower(app), F.lit("-real"))).when(old.isNotNull(), F.concat(F.lower(app), F.lit("-legado")))
     f = F.col("format")
@@ -115,20 +131,28 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
         "ChannelUuid": pick(1, None, None, None), "timestamp": pick(2, 1, 1, 1), "percentual_operacional": pick(3, None, None, None), "host": pick(None, None, 2, None),
         "processo": pick(None, None, 3, None), "pid": pick(None, None, 4, None), "severidade": pick(4, 2, 5, 2), "origem": pick(5, 3, None, None), "logger": pick(None, None, 6, None), "mensagem": pick(6, 4, 7, 3),
     }
-    b = _with_header(blocks, app, t).withColumn("format", fmt)
-    b = b.withColumn("__p", F.struct(*[c.alias(n) for n, c in parts.items()]))
+    steps = [*_header_steps(app, t), {"format": fmt}, {"__p": F.struct(*[c.alias(n) for n, c in parts.items()])}]
     parts = {n: F.col(f"__p.{n}") for n in parts}
     fields = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("value")) for n, c in parts.items()]), lambda x: x["value"].isNotNull())
-    b = with_utc(b, parts["timestamp"], app == "VPL", "__time")
     region = F.when(f == "ork-real", F.length(t) - F.length(parts["logger"]) - 3 - F.length(parts["mensagem"])).when(f == "ork-legado", F.length(F.regexp_replace(t, r"\s+\z", "")) - F.length(parts["mensagem"])).when(f.isNotNull(), F.length(t) - F.length(F.ltrim(parts["mensagem"])))
-    parsed = b.select("*", fields.alias("fields"), identifiers(app, F.when(f.isNotNull(), t), region, parts["ChannelUuid"]).alias("identifiers"))
+    steps += [*utc_steps(parts["timestamp"], app == "VPL", "__time"), {"fields": fields, "identifiers": identifiers(app, F.when(f.isNotNull(), t), region, parts["ChannelUuid"])}]
     value = parts.__getitem__
     broken = F.when(t.isNull(), INVALID_UTF8).when(f.isNull(), F.concat(app, F.lit("_"), F.when(F.col("start_kind") == "CONTINUACAO", ORPHAN).otherwise(INVALID_HEADER)))
     failures = F.array_compact(F.array(broken, F.when(f.isNotNull(), F.col("__time.failure"))))
-    return parsed.select(
-        *[c for c in blocks.columns], "format", f.isNotNull().alias("interpreted"), F.upper(value("severidade")).alias("level"), value("mensagem").alias("message"), F.coalesce(value("origem"), value("logger")).alias("origin"),
-        value("timestamp").alias("timestamp_original"), F.when(f.isNotNull(), F.col("__time.utc")).alias("timestamp_utc"), F.when(f.isNotNull(), F.col("__time.precision")).alias("precision"), "fields", "identifiers", failures.alias("failures"),
-    )
+    return steps, [
+        f, f.isNotNull().alias("interpreted"), F.upper(value("severidade")).alias("level"), value("mensagem").alias("message"), F.coalesce(value("origem"), value("logger")).alias("origin"),
+        value("timestamp").alias("timestamp_original"), F.when(f.isNotNull(), F.col("__time.utc")).alias("timestamp_utc"), F.when(f.isNotNull(), F.col("__time.precision")).alias("precision"), F.col("fields"), F.col("identifiers"), failures.alias("failures"),
+    ]
+
+
+def parse_blocks(blocks: DataFrame) -> DataFrame:
+    """Entries of VPL and ORK blocks: the real grammar first, then the legacy one, else not interpreted.
+
+    Adds format, interpreted, level, message, origin, timestamp_original, timestamp_utc, precision,
+    fields (name, value), identifiers (with spans and lines) and failures (codes).
+    """
+    steps, told = _entry_steps()
+    return take(blocks, steps).select(*blocks.columns, *told)
 
 
 def parse_voci(lines: DataFrame) -> DataFrame:

@@ -57,31 +57,49 @@ def preflight(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFr
     return spark.createDataFrame(sources, SOURCES_SCHEMA), spark.createDataFrame(errors, ERRORS_SCHEMA)
 
 
-def _in_ranges(column: str, extra: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of a scan with their number and the bytes up to them within their file's range: a task reads a range from
-    its beginning to its end, so this needs no shuffle. `extra` bytes end each row."""
+def _in_ranges(column: str, extra: int, flag: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a scan with their number and the bytes up to them within their file's range, and how many rows up to them
+    have `flag`: a task reads a range from its beginning to its end, so this needs no shuffle. `extra` bytes end each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n, end = None, 0, 0
+        at, before = None, {}
         for batch in batches:
-            paths, starts = batch.column("path").to_pylist(), batch.column("block").to_numpy()
-            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + extra
-            lines, ends = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
-            for k, here in enumerate(zip(paths, starts.tolist(), strict=True)):
-                if here != at:
-                    at, n, end = here, 0, 0
-                n, end = n + 1, end + int(sizes[k])
-                lines[k], ends[k] = n, end
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines), pa.array(ends)], names=[*batch.schema.names, "line_in", "end_in"])
+            n = batch.num_rows
+            if not n:
+                continue
+            paths, starts = batch.column("path"), batch.column("block").to_numpy()
+            of = paths.dictionary_encode().indices.to_numpy()
+            new = np.ones(n, bool)
+            new[1:] = (of[1:] != of[:-1]) | (starts[1:] != starts[:-1])
+            first, own = np.flatnonzero(new), np.cumsum(new) - 1
+            sizes = batch.column(column)
+            sizes = pc.fill_null(sizes if pa.types.is_integer(sizes.type) else pc.binary_length(sizes), 0)
+            counted = {"line_in": np.ones(n, np.int64), "end_in": sizes.to_numpy(zero_copy_only=False).astype(np.int64) + extra}
+            if flag:
+                counted["flag_in"] = batch.column(flag).to_numpy(zero_copy_only=False).astype(np.int64)
+            on = (paths[0].as_py(), int(starts[0])) == at
+            for name, each in counted.items():
+                up = np.cumsum(each)
+                up -= (up - each)[first][own]
+                if on:
+                    up[own == 0] += before[name]
+                counted[name] = up
+            at, before = (paths[n - 1].as_py(), int(starts[-1])), {name: int(up[-1]) for name, up in counted.items()}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, counted.values())], names=[*batch.schema.names, *counted])
 
     return run
 
 
+def in_ranges(raw: DataFrame, column: str, extra: int, flag: str | None = None) -> DataFrame:
+    """raw (path, block, and `column`: bytes or their number) with line_in and end_in, and flag_in if a flag is named."""
+    added = [T.StructField(n, T.LongType()) for n in ("line_in", "end_in", *(["flag_in"] if flag else []))]
+    return raw.mapInArrow(_in_ranges(column, extra, flag), T.StructType([*raw.schema.fields, *added]))
+
+
 def _numbered(raw: DataFrame, column: str, extra: int) -> DataFrame:
     """raw (path, block and more) with `line_no` and `end`: what each range holds is counted in one scan, and a second
     scan adds what the ranges before it hold. Only a row for each range is shuffled, never a line."""
-    schema = T.StructType([*raw.schema.fields, T.StructField("line_in", T.LongType()), T.StructField("end_in", T.LongType())])
-    counted = raw.mapInArrow(_in_ranges(column, extra), schema)
+    counted = in_ranges(raw, column, extra)
     each = counted.groupBy("path", "block").agg(F.max("line_in").alias("lines"), F.max("end_in").alias("bytes"))
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     shift = each.select(F.col("path").alias("__path"), F.col("block").alias("__block"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("lines", "bytes")])
@@ -126,7 +144,12 @@ def byte_lines(line: DataFrame) -> DataFrame:
     text (null where it isn't UTF-8), terminator, sha256 of the line's bytes, decodable, and bad_byte: the place in the
     file of the first byte of the line that isn't UTF-8.
     """
-    line = _numbered(line, "b", 1).withColumns({"value": F.col("b").cast("string"), "start": F.col("end") - F.octet_length("b") - 1})
+    return typed_lines(_numbered(line, "b", 1))
+
+
+def typed_lines(numbered: DataFrame, *more: str) -> DataFrame:
+    """The columns of byte_lines(), and `more`, of lines (b, path, size) whose number and end in their file are known."""
+    line = numbered.withColumns({"value": F.col("b").cast("string"), "start": F.col("end") - F.octet_length("b") - 1})
     closed = F.col("end") <= F.col("size")
     cr = F.col("value").endswith("\r")
     terminator = F.when(~closed, "").when(cr, "\r\n").otherwise("\n")
@@ -136,7 +159,7 @@ def byte_lines(line: DataFrame) -> DataFrame:
     bad = F.col("start") + F.when(~valid, _bad_byte(F.when(~valid, F.col("b"))))
     return line.select(
         "path", "line_no", F.col("start").alias("start_byte"), F.least("end", "size").alias("end_byte"), F.when(valid, body).alias("text"), terminator.alias("terminator"),
-        F.sha2(F.concat("b", ending), 256).alias("sha256"), valid.alias("decodable"), bad.alias("bad_byte"),
+        F.sha2(F.concat("b", ending), 256).alias("sha256"), valid.alias("decodable"), bad.alias("bad_byte"), *more,
     )
 
 
