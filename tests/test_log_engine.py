@@ -599,3 +599,35 @@ def test_times_made_step_by_step_are_those_of_the_column(spark):
     both = temporal.with_utc(rows, t, own, "new").withColumn("old", F.when(own, temporal.local_to_utc(t)).otherwise(temporal.offset_to_utc(t)))
     assert both.columns == ["t", "own", "new", "old"] and both.where("NOT (new <=> old)").count() == 0
     assert {r[0] for r in both.select("new.failure").distinct().collect()} == {None, temporal.INVALID, temporal.PRECISION, temporal.NONEXISTENT, temporal.AMBIGUOUS, temporal.NO_OFFSET}
+
+
+def test_selected_entries_are_those_that_search_finds(spark):
+    one = [("call_id", "chamada_externa", "CallId", "STRASSE", "strasse", "r", 0, 3, 0)]
+    rows = [("e1", "CallId=STRASSE", one), ("e2", "zur Straße 7", []), ("e3", "STRASSE and ü", []), ("e4", "nothing", []), ("e5", None, None), ("e6", "linked only", []), ("e7", "a strasse, linked", [])]
+    schema = "entry_id string, text string, identifiers array<struct<type:string,namespace:string,field:string,original:string,normalized:string,rule:string,span_start:int,span_end:int,line_offset:int>>"
+    entries = spark.createDataFrame(rows, schema)
+    linked = spark.createDataFrame([("e6", search.EVIDENCE), ("e6", search.EXPANDED), ("e7", search.EXPANDED), ("e1", search.EVIDENCE)], "entry_id string, reason string")
+    for query, expansion in (("strasse", linked), ("Straße", None), ("nowhere", linked)):
+        want = {r["entry_id"]: r["reasons"] for r in search.search(entries, query, expansion).collect()}
+        got = search.selected(entries, query, expansion)
+        assert {r["entry_id"]: r["reasons"] for r in got.collect()} == want and got.columns[-1] == "reasons"
+    assert set(want) == {"e1", "e6", "e7"}
+
+
+def test_no_component_is_looked_for_where_no_cardinality_is_violated(spark, monkeypatch):
+    rows = [("a", "x", "1:N"), ("a", "y", "1:N"), ("b", "z", "1:1"), ("c", "z", "N:N"), ("a", "x", "1:N")]
+    df = spark.createDataFrame([(s, d, "r", "s" + c, 1, c, True, f"e{i}") for i, (s, d, c) in enumerate(rows)], "src string, dst string, relation string, schema_id string, schema_version int, cardinality string, allows_correlation boolean, entry_id string")
+    monkeypatch.setattr(graph, "components", lambda edges: pytest.fail("components of edges without a violation"))
+    assert [r["ambiguous"] for r in graph.with_ambiguity(df).collect()] == [False] * 5
+    violating = spark.createDataFrame([("p", "x", "s1:N", 1, "1:N"), ("q", "x", "s1:N", 1, "1:N"), ("p", "y", "s1:N", 2, "1:N"), ("k", "l", "n1", 1, "N:1"), ("k", "m", "n1", 1, "N:1")], "src string, dst string, schema_id string, schema_version int, cardinality string")
+    want = {r["node"] for r in graph.cardinality_violations(violating).collect()}
+    assert {r["node"] for r in graph._violating(violating).collect()} == want == {"x", "k"}
+
+
+def test_selection_of_a_scenario_joins_no_entry_with_another(spark, small):
+    from voxledger.plans import log_queries
+
+    entries = log_queries._both(spark, small).cache()
+    plan = search.selected(entries, "CALL-7")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("InMemoryTableScan")[0] and "Exchange" not in plan.split("InMemoryTableScan")[0]
+    entries.unpersist()

@@ -42,7 +42,11 @@ def chains(identifiers: DataFrame, reach: DataFrame) -> DataFrame:
 def valid_chains(found: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:
     """(source, node) of paths, given by their steps (source, node, at, a, b), all of whose steps are unambiguous
     allowed edges that a selected entry declares."""
-    good = edges.where("allows_correlation and not ambiguous").join(selected.select("entry_id"), "entry_id", "left_semi")
+    return chains_of(found, edges.where("allows_correlation and not ambiguous").join(selected.select("entry_id"), "entry_id", "left_semi"))
+
+
+def chains_of(found: DataFrame, good: DataFrame) -> DataFrame:
+    """The same of edges that are known to be good."""
     pairs = good.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(good.select("dst", "src")).distinct().withColumn("ok", F.lit(True))
     return found.join(pairs, ["a", "b"], "left").groupBy("source", "node").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("valid")).where("valid").drop("valid")
 

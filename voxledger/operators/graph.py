@@ -21,17 +21,20 @@ def node_of() -> Column:
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    """src and dst of each edge and of its reverse, stored: pairs are told apart once, before they are turned round, so that
+    one of edges that run either way between two nodes may be there twice."""
+    pairs = materialize(edges.select("src", "dst").where("src <> dst").distinct())
+    return pairs.union(pairs.select("dst", "src"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, ways: DataFrame | None = None) -> DataFrame:
     """Every node that a seed `source` reaches by edges either way: source, node, depth (of a shortest path) and parent,
-    the least node before it on such paths.
+    the least node before it on such paths. `ways` are both_ways() of the edges, for who has them.
 
     Breadth first: each round joins the frontier with the edges and keeps nodes not seen from that source. Rounds are
     stored once and never rewritten, and a row doesn't grow with its depth; paths() follows the parents.
     """
-    step = materialize(both_ways(edges))
+    step = both_ways(edges) if ways is None else ways
     seen = materialize(seeds.select("source", F.col("source").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -66,7 +69,7 @@ def paths(found: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node): labels fall to the least neighbour's label, and to the label of
     the label, until nothing moves."""
-    pairs = materialize(both_ways(edges))
+    pairs = both_ways(edges)
     labels = materialize(pairs.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("component")))
     while True:
         near = pairs.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
@@ -117,6 +120,11 @@ def _declared(s: LinkSchema) -> Column:
 def recognise(entries: DataFrame, schemas: list[LinkSchema]) -> DataFrame:
     """Edges that entries (entry_id, identifiers) declare by the latest approved version of each schema: pairs of
     identifiers of one entry, made and tested row by row. Entries are gone through once for all schemas."""
+    return declared(entries, schemas).distinct()
+
+
+def declared(entries: DataFrame, schemas: list[LinkSchema]) -> DataFrame:
+    """recognise() of entries whose ids differ: each tells its edges once, so none is compared with another's."""
     latest: dict[str, LinkSchema] = {}
     for s in sorted((s for s in schemas if s.approved), key=lambda s: s.schema_version):
         latest[s.schema_id] = s
@@ -126,7 +134,7 @@ def recognise(entries: DataFrame, schemas: list[LinkSchema]) -> DataFrame:
     # explode() would have the optimizer make the edges twice, once to tell whether there are any
     each = entries.select("entry_id", F.explode_outer(edges).alias("p")).where("p IS NOT NULL")
     names = [f.split()[0] for f in EDGES.split(", ")]
-    return each.select(*["entry_id" if n == "entry_id" else f"p.{n}" for n in names]).distinct()
+    return each.select(*["entry_id" if n == "entry_id" else f"p.{n}" for n in names])
 
 
 def latest_schemas(schemas: DataFrame) -> DataFrame:
@@ -152,9 +160,24 @@ def cardinality_violations(edges: DataFrame) -> DataFrame:
     return out.union(back).select("node", "schema_id", "schema_version", "partners")
 
 
+def _violating(edges: DataFrame) -> DataFrame:
+    """node of cardinality_violations(), which need no count: a node with several partners has a least and another greatest one."""
+    by = ["schema_id", "schema_version", "cardinality"]
+
+    def several(node: str, partner: str, sides: tuple[str, ...]) -> DataFrame:
+        each = edges.where(F.col("cardinality").isin(*sides)).groupBy(*by, F.col(node).alias("node")).agg(F.min(partner).alias("least"), F.max(partner).alias("greatest"))
+        return each.where("least <> greatest").select("node")
+
+    return several("src", "dst", ONE_TARGET).union(several("dst", "src", ONE_SOURCE)).distinct()
+
+
 def with_ambiguity(edges: DataFrame) -> DataFrame:
-    """edges with `ambiguous`: one violation makes all edges of its component ambiguous."""
+    """edges with `ambiguous`: one violation makes all edges of its component ambiguous. Without any, there is no component to
+    look for."""
+    violating = materialize(_violating(edges))
+    if violating.isEmpty():
+        return edges.withColumn("ambiguous", F.lit(False))
     parts = materialize(components(edges))
-    bad = parts.join(cardinality_violations(edges).select("node").distinct(), "node", "left_semi").select("component").distinct()
+    bad = parts.join(violating, "node", "left_semi").select("component").distinct()
     poisoned = materialize(parts.join(bad, "component", "left_semi").select(F.col("node").alias("src"), F.lit(True).alias("__bad")))
     return edges.join(poisoned, "src", "left").withColumn("ambiguous", F.coalesce("__bad", F.lit(False))).drop("__bad")

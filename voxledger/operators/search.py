@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.functions.identifiers import casefold, normalize_query
+from voxledger.functions.store import materialize
 
 #: Why an entry was found.
 STRUCTURED, LITERAL, EXPANDED, EVIDENCE = "IGUALDADE_ESTRUTURADA", "FALLBACK_LITERAL", "EXPANSAO_POR_VINCULO", "EVIDENCIA_DE_VINCULO"
@@ -84,6 +85,23 @@ def search(entries: DataFrame, query: str, expansion: DataFrame | None = None) -
     return found.groupBy("entry_id").agg(reasons.alias("reasons")).orderBy("entry_id")
 
 
+def selected(entries: DataFrame, query: str, expansion: DataFrame | None = None) -> DataFrame:
+    """The entries that search() finds, with their reasons. Whether an entry holds the query is told row by row, so only the
+    ids of `expansion` are joined, and only texts that lower() can't fold go to Python."""
+    wanted, needle, t = normalize_query(query), F.lit(query.casefold()), F.col("text")
+    holds = F.coalesce(F.exists("identifiers", lambda i: i["normalized"] == wanted), F.lit(False))
+    none = F.array().cast("array<string>")
+    if expansion is None:
+        told = entries.withColumn("__linked", none)
+    else:
+        reached = materialize(expansion.groupBy("entry_id").agg(F.collect_set("reason").alias("__linked")))
+        told = entries.join(reached, "entry_id", "left").withColumn("__linked", F.coalesce("__linked", none))
+    maybe = told.where(holds | F.contains(F.lower(t), needle) | (F.octet_length(t) != F.char_length(t)) | (F.size("__linked") > 0))
+    own = F.when(holds, STRUCTURED).when(F.contains(casefold(t), needle), LITERAL)
+    reasons = F.array_compact(F.array(own, *[F.when(F.array_contains("__linked", r), r) for r in (EXPANDED, EVIDENCE)]))
+    return maybe.withColumn("reasons", reasons).where(F.size("reasons") > 0).drop("__linked")
+
+
 def expand(identifiers: DataFrame, query: str, reach: DataFrame, edges: DataFrame) -> DataFrame:
     """(entry_id, reason) reached from nodes that equal the query: entries of the nodes reached, and entries that
     declare an edge of a path, which runs either way."""

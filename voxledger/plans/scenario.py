@@ -129,12 +129,18 @@ class Scenario:
     @_part
     def edges(self) -> DataFrame | None:
         """Edges between nodes, with `ambiguous`; None where there is nothing to link by."""
-        found = [e for e in (self._links, graph.recognise(self._all, self._schemas) if self._schemas else None) if e is not None]
-        return materialize(graph.with_ambiguity(found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True))) if found else None
+        found = [e for e in (self._links, graph.declared(self._all, self._schemas) if self._schemas else None) if e is not None]
+        if not found:
+            return None
+        return graph.with_ambiguity(materialize(found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)))
 
     def _allowed(self, ambiguous: bool = False) -> DataFrame:
         return self.edges.where("allows_correlation and " + ("ambiguous" if ambiguous else "not ambiguous"))
 
+    @_part
+    def _ways(self) -> DataFrame:
+        return graph.both_ways(self._allowed())
+
     @_part
     def entries(self) -> DataFrame:
         """The selection: entries that hold the query or are linked to it, with identifiers, failures and reasons."""
@@ -142,8 +148,8 @@ class Scenario:
         if self.edges is not None:
             ids = search.exploded_identifiers(self._all)
             asked = ids.where(F.col("normalized") == normalize_query(self.query)).select(graph.node_of().alias("source")).distinct()
-            expansion = search.expand(ids, self.query, graph.closure(self._allowed(), asked), self.edges)
-        return materialize(self._all.join(search.search(self._all, self.query, expansion), "entry_id"))
+            expansion = search.expand(ids, self.query, graph.closure(self._allowed(), asked, ways=self._ways), self.edges)
+        return materialize(search.selected(self._all, self.query, expansion))
 
     @_part
     def counts(self) -> DataFrame:
@@ -172,7 +178,8 @@ class Scenario:
     def _chains(self, ambiguous: bool) -> tuple[DataFrame, DataFrame]:
         """(ends, steps) of the paths between the applications. They start from the channel's nodes of the selection."""
         own = search.exploded_identifiers(self.entries)
-        reach = graph.closure(self._allowed(ambiguous), own.where("app = 'VPL'").select(graph.node_of().alias("source")).distinct())
+        sources = own.where("app = 'VPL'").select(graph.node_of().alias("source")).distinct()
+        reach = graph.closure(self._allowed(ambiguous), sources, ways=None if ambiguous else self._ways)
         ends = materialize(correlate.chains(own, reach))
         return ends, graph.steps(reach, ends)
 
@@ -180,13 +187,18 @@ class Scenario:
     def _blocked(self) -> DataFrame | None:
         return self._chains(True)[0] if self.edges is not None else None
 
+    @_part
+    def _declared(self) -> DataFrame:
+        """Allowed edges that selected entries declare, with these."""
+        return materialize(self._allowed().join(self.entries.select("entry_id", "file_token", "read_order"), "entry_id"))
+
     @_part
     def traversed(self) -> DataFrame | None:
         """The steps of valid paths between the applications: source, node, at, a, b."""
         if self.edges is None:
             return None
         _, steps = self._chains(False)
-        return materialize(steps.join(correlate.valid_chains(steps, self.edges, self.entries), ["source", "node"], "left_semi"))
+        return materialize(steps.join(correlate.chains_of(steps, self._declared), ["source", "node"], "left_semi"))
 
     @_part
     def links(self) -> DataFrame | None:
@@ -194,7 +206,7 @@ class Scenario:
         if self.traversed is None:
             return None
         both = self.traversed.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(self.traversed.select("b", "a")).distinct()
-        used = self._allowed().join(both, ["src", "dst"], "left_semi").join(self.entries.select("entry_id", "file_token", "read_order"), "entry_id")
+        used = self._declared.join(both, ["src", "dst"], "left_semi")
         return used.withColumn("rule", F.format_string("vinculo:%s:v%d", "schema_id", "schema_version"))
 
     @_part
